@@ -7,7 +7,8 @@ its blocks' signatures; a window and an item that agree in one of the signature'
 thus don't drown short items, whose similarity with the whole document would be near zero.
 
 Candidates are verified in the same task with the document's whole shingle set. Items are the stated query set: their
-signatures go to the tasks in blocks of bounded size, documents are read once for each block and never shuffled.
+signatures go to the tasks in blocks of bounded size, documents are read once for each block and never shuffled. A task
+lays its documents' shingles end to end and cuts windows out of that; one that spans two documents stands for both.
 """
 
 from __future__ import annotations
@@ -21,35 +22,55 @@ from pyspark.sql import functions as F
 from .common import WordHashes, grams, id_and_text, map_texts, materialize, mix64, words_of
 
 
-def _signatures(values: np.ndarray, seeds: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Minima of every hash function over the runs of values that begin at starts: (functions, runs)."""
-    out = np.empty((len(seeds), len(starts)), np.uint64)
-    base = values.view(np.uint64)
+def _signatures(values: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+    """Minima of every hash function over blocks of `size` values: (functions, blocks)."""
+    blocks = -(-len(values) // size)
+    padded = np.full(blocks * size, values[-1], np.int64)
+    padded[: len(values)] = values
+    by_place = np.ascontiguousarray(padded.view(np.uint64).reshape(blocks, size).T)
+    out, step = np.empty((len(seeds), blocks), np.uint64), max(1, (1 << 15) // size)
     with np.errstate(over="ignore"):
-        for i, seed in enumerate(seeds):
-            x = base * seed
-            out[i] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), starts)
+        for at in range(0, blocks, step):
+            part = by_place[:, at : at + step]
+            for i, seed in enumerate(seeds):
+                x = part * seed
+                x ^= x >> np.uint64(31)
+                x.min(axis=0, out=out[i, at : at + step])
     return out
 
 
-def _index(items: list[tuple[int, np.ndarray]], seeds: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """By size class: the class's size, its signatures' values with the row mixed in, sorted, and each one's item."""
-    classes: dict[int, list[int]] = {}
-    for at, (_, values) in enumerate(items):
-        classes.setdefault(max(4, 1 << (len(values) - 1).bit_length()), []).append(at)
-    out = []
-    for size, members in sorted(classes.items()):
-        values = np.concatenate([items[m][1] for m in members])
-        starts = np.cumsum([0, *(len(items[m][1]) for m in members)])[:-1]
-        keys = _rows_mixed(_signatures(values, seeds, starts)).ravel()
+def _keys(signatures: np.ndarray) -> np.ndarray:
+    """Signature values with their row worked in."""
+    with np.errstate(over="ignore"):
+        return signatures + np.arange(1, len(signatures) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+
+
+class Class:
+    """The items of one size class: their signature keys, sorted, each one's item, and a table of the keys' low bits."""
+
+    BITS = 18
+
+    def __init__(self, size: int, members: list[int], values: list[np.ndarray], seeds: np.ndarray):
+        keys = np.concatenate([_keys(_signatures(v, seeds, len(v))).ravel() for v in values])
         order = np.argsort(keys, kind="stable")
-        out.append((size, keys[order], np.tile(np.array(members), len(seeds))[order]))
-    return out
+        self.size, self.keys, self.members = size, keys[order], np.repeat(members, len(seeds))[order]
+        self.low = np.zeros(1 << self.BITS, bool)
+        self.low[(keys & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
+    def hits(self, windows: np.ndarray) -> list[tuple[int, int]]:
+        """(window, item) that agree in a row of the signatures."""
+        probes = _keys(windows)
+        row, window = np.nonzero(self.low[(probes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
+        found = probes[row, window]
+        left, right = np.searchsorted(self.keys, found, "left"), np.searchsorted(self.keys, found, "right")
+        return [(w, m) for i in np.flatnonzero(left < right) for w in [int(window[i])] for m in self.members[left[i] : right[i]].tolist()]
 
-def _rows_mixed(signatures: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(signatures + np.arange(1, len(signatures) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+
+def _index(items: list[tuple[int, np.ndarray]], seeds: np.ndarray) -> list[Class]:
+    classes: dict[int, list[int]] = {}
+    for at, (_, values) in enumerate(items):
+        classes.setdefault(max(4, 1 << (len(values) - 1).bit_length()), []).append(at)
+    return [Class(size, members, [items[m][1] for m in members], seeds) for size, members in sorted(classes.items())]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000) -> DataFrame:
@@ -86,36 +107,36 @@ def _search(rows: DataFrame, items: DataFrame, threshold: float, shingle_words:
     def make():
         known = WordHashes()
 
-        def candidates(values: np.ndarray, index: list) -> set[int]:
-            out: set[int] = set()
-            width, blocks = index[0][0], _signatures(values, seeds, np.arange(0, len(values), index[0][0]))
-            for size, keys, members in index:
-                while width < size:  # two blocks make one of the next class
+        def candidates(stream: np.ndarray, ends: np.ndarray, classes: list[Class]) -> set[tuple[int, int]]:
+            """(document's place, item) of the windows over all documents' values in a row, whatever documents they touch."""
+            width, blocks, out = classes[0].size, _signatures(stream, seeds, classes[0].size), set()
+            for own in classes:
+                while width < own.size:  # two blocks make one of the next class
                     blocks = np.minimum(blocks[:, ::2], np.concatenate((blocks[:, 1::2], blocks[:, -1:]), axis=1)[:, : (blocks.shape[1] + 1) // 2])
                     width *= 2
-                probes = _rows_mixed(np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks).ravel()
-                left = np.searchsorted(keys, probes, "left")
-                for at in np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == probes)):
-                    right = np.searchsorted(keys, probes[at], "right")
-                    out.update(members[left[at] : right].tolist())
+                for window, item in own.hits(np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks):
+                    first, last = np.searchsorted(ends, (window * width, min((window + 2) * width, len(stream)) - 1), "right")
+                    out.update((doc, item) for doc in range(first, last + 1))
             return out
 
         def call(ids, texts):
             out: list[tuple] = []
-            for doc, text in zip(ids, texts, strict=True):
-                words = known.of(words_of(text))
-                for length, its, index in shared.value:
-                    values = grams(words, length)
-                    if not len(values):
-                        continue
-                    hits = candidates(values, index)
-                    whole = np.unique(values) if hits else values
-                    for hit in sorted(hits):
-                        item, own = its[hit]
-                        at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
-                        common = int((whole[at] == own).sum())
+            words = [known.of(words_of(t)) for t in texts]
+            for length, its, classes in shared.value:
+                values = [grams(w, length) for w in words]
+                stream = np.concatenate(values)
+                if not len(stream):
+                    continue
+                whole: dict[int, np.ndarray] = {}
+                for doc, hit in sorted(candidates(stream, np.cumsum([*map(len, values)]), classes)):
+                    if doc not in whole:
+                        whole[doc] = np.unique(values[doc])
+                    item, own = its[hit]
+                    if len(whole[doc]):
+                        at = np.minimum(np.searchsorted(whole[doc], own), len(whole[doc]) - 1)
+                        common = int((whole[doc][at] == own).sum())
                         if common >= threshold * len(own):
-                            out.append((doc, item, len(own), common, common / len(own)))
+                            out.append((ids[doc], item, len(own), common, common / len(own)))
             return [list(c) for c in zip(*out, strict=True)] or [[]] * 5
 
         return call
