@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[pa.A
         arrow, call = to_arrow_schema(names), make()
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            ends = np.cumsum(np.nan_to_num(np.array(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)) + 64)
+            ends = np.cumsum(np.nan_to_num(np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)) + 64)
             at = 0
             while at < len(column):
                 base = ends[at - 1] if at else 0
@@ -159,3 +160,20 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             break
         state = new
     return now.groupBy("a").agg(F.min("b").alias("component_id")).select(F.col("a").alias("node"), "component_id").union(now.select("b", "b").distinct().toDF("node", "component_id"))
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Writes a file in the shared folder under its final name only when it is whole; a task that runs again writes it anew."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, path)
+
+
+def read_files(spark: SparkSession, uri: str) -> DataFrame:
+    """All files of a folder of put_file, as (path, content)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(uri).select("path", "content")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, near_dedup, secrets
+from . import decontaminate, langid, near_dedup, packing, secrets
 from .common import materialize, read_table
 
 
@@ -35,6 +35,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of at most 4096 tokens."""
+    return packing.pack(docs, capacity=4096, end_id=1)
+
+
 def apply(stages: list[tuple[str, Callable]], spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written to the shared folder and read again as the next one's documents."""
     docs = read_table(spark, sf_dir, "documents")

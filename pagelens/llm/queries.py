@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, near_dedup, secrets
+from . import decontaminate, langid, language_model, near_dedup, packing, quality, secrets, token_files, topk, warc
 from .common import crc_mod, read_table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(read_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return secrets.digest(secrets.find_secrets(docs))
@@ -18,6 +31,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -25,10 +44,42 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_secrets, op5_decontamination, op7_language, op9_near_duplicates)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(read_table(spark, sf_dir, "documents"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_language_model, op4_secrets, op5_decontamination, op6_quality, op7_language, op8_top_k, op9_near_duplicates, op10_token_files)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS stored FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> stored THEN stored END AS refers_to
+        FROM g""",
+    "op5_decontamination": """
+        WITH texts AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        words AS (SELECT kind, id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM texts),
+        runs AS (SELECT DISTINCT kind, id, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS s FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+        items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM runs WHERE kind = 1)
+        SELECT d.id AS doc_id, i.id AS item_id, max(i.n) AS item_shingles, count(*) AS found, count(*) / max(i.n) AS containment
+        FROM runs d JOIN items i ON d.s = i.s WHERE d.kind = 0
+        GROUP BY d.id, i.id HAVING count(*) >= 0.75 * max(i.n)""",
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
+}
