@@ -2,5 +2,398 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelens.functions import text as T
+from pagelens.functions.score import grade
+from pagelens.operators import benchmark, dom, evidence, normalize, reports, scoring
+from pagelens.operators.metrics import WEIGHTS
+from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
+from pagelens.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL pieces ----------------------------------------------------------------------------------------------
+
+_QUOTED = "text"
+for _old, _new in (T.MOJIBAKE | T.QUOTES).items():
+    _QUOTED = f"replace({_QUOTED}, '{_old.replace(chr(39), chr(39) * 2)}', '{_new.replace(chr(39), chr(39) * 2)}')"
+_SPACE = r"[ \t\n\r\f\v   -     　]"
+#: clean.t is the normalised text of every document
+CLEAN = f"""clean AS (SELECT doc_id, lang, source, n_chars, text,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_QUOTED}, '!{{2,}}', '!', 'g'), '\\?{{2,}}', '?', 'g'), '{_SPACE}+([,.!?;:])', '\\1', 'g'), '([,.!?;:])([A-Za-z])', '\\1 \\2', 'g'), '{_SPACE}+', ' ', 'g')) AS t
+    FROM (SELECT doc_id, lang, source, n_chars, coalesce(text, '') AS text FROM documents))"""
+TOKENS = (
+    CLEAN
+    + """,
+    tokens AS (SELECT *,
+        list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+([A-ZÀ-ſ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s,
+        regexp_extract_all(lower(t), '\\b[a-zA-ZÀ-ſ]+(?:[''-][a-zA-ZÀ-ſ]+)*\\b') AS w FROM clean)"""
+)
+_HALF = "floor(({0}) * {1} + 0.5) / {1}"
+_CLAMP = "greatest(0.0, least(100.0, floor(({0}) * 100.0 + 0.5) / 100.0))"
+
+
+# ---- text ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, len(s) AS n_sentences, len(w) AS n_words FROM tokens")
+def text_tokens(spark, sf_dir):
+    stats = text_stats(table(spark, sf_dir, "documents"))
+    return stats.select("doc_id", F.size("sentence_list").cast("long").alias("n_sentences"), F.size("word_list").cast("long").alias("n_words"))
+
+
+@query(f"WITH {CLEAN} SELECT doc_id, md5(t) AS normal_md5, CAST(length(t) AS INTEGER) AS normal_chars FROM clean")
+def text_normalize(spark, sf_dir):
+    t = T.normalize_text(F.coalesce(F.col("text"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("normal_md5"), F.length(t).alias("normal_chars"))
+
+
+@query(f"WITH {CLEAN} SELECT k AS comparison_key, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(t), '[^A-Za-z0-9_\\s-]', '', 'g'), '\\s+', ' ', 'g'))) AS k FROM clean) GROUP BY k")
+def text_comparison_keys(spark, sf_dir):
+    key = F.md5(T.comparison_key(F.coalesce(F.col("text"), F.lit(""))))
+    return table(spark, sf_dir, "documents").groupBy(key.alias("comparison_key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"WITH {TOKENS} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(w) AS word FROM tokens) GROUP BY word HAVING count(*) >= 50")
+def text_frequent_words(spark, sf_dir):
+    words = text_stats(table(spark, sf_dir, "documents")).select("doc_id", F.explode("word_list").alias("word"))
+    per_doc = words.groupBy("word", "doc_id").agg(F.count("*").alias("c"))  # spreads a frequent word over documents first
+    return per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 50")
+
+
+_TEXT_FACTS = (
+    TOKENS
+    + """,
+    facts AS (SELECT doc_id, lang, len(s) AS n, len(w) AS m, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters,
+        len(list_filter(s, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) BETWEEN 8 AND 25)) AS good,
+        len(list_filter(s, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) > 40)) AS toolong,
+        len(list_filter(w, lambda x: length(x) > 10)) AS rare,
+        len(list_filter(w, lambda x: list_contains(['"""
+    + "','".join(T.VAGUE_WORDS)
+    + """'], x))) AS vague,
+        len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, ' ') <> '')) AS paragraphs FROM tokens),
+    ratios AS (SELECT *, letters / m::DOUBLE AS len_, m / n::DOUBLE AS per, rare / m::DOUBLE AS r, vague / m::DOUBLE AS v FROM facts)"""
+)
+_READABILITY = f"""{_CLAMP.format('+'.join(f"{_CLAMP.format(x)} * {w}" for x, w in [
+    ("good / n::DOUBLE * 100 - toolong * 5", 0.30),
+    ("CASE WHEN len_ BETWEEN 4 AND 7 THEN 90 WHEN len_ > 7 THEN greatest(40, 90 - (len_ - 7) * 10) ELSE greatest(50, 90 - (4 - len_) * 10) END", 0.25),
+    ("CASE WHEN per BETWEEN 8 AND 25 THEN 95 WHEN per > 40 THEN greatest(30, 95 - (per - 40) * 3) WHEN per < 8 THEN greatest(40, 95 - (8 - per) * 5) ELSE 80 END", 0.25),
+    ("CASE WHEN m > 2000 THEN 95 WHEN m > 500 THEN 80 WHEN m > 100 THEN 60 ELSE 30 END", 0.20)]))}"""
+_CLARITY = f"""{_CLAMP.format('+'.join(f"{_CLAMP.format(x)} * {w}" for x, w in [
+    ("CASE WHEN per BETWEEN 8 AND 20 THEN 90 WHEN per > 30 THEN greatest(30, 90 - (per - 30) * 3) WHEN per < 5 THEN 60 ELSE 75 END", 0.30),
+    ("CASE WHEN r < 0.05 THEN 95 WHEN r < 0.10 THEN 85 WHEN r < 0.20 THEN 70 ELSE greatest(30, 90 - r * 100) END", 0.25),
+    ("CASE WHEN paragraphs >= 5 THEN 85 WHEN paragraphs >= 2 THEN 70 WHEN paragraphs >= 1 THEN 50 ELSE 30 END", 0.25),
+    ("CASE WHEN v < 0.05 THEN 95 WHEN v < 0.10 THEN 80 WHEN v < 0.20 THEN 60 ELSE greatest(25, 90 - v * 150) END", 0.20)]))}"""
+
+
+@query(f"""WITH {_TEXT_FACTS} SELECT doc_id, CASE WHEN n > 0 AND m > 0 THEN {_READABILITY} END AS readability, CASE WHEN n > 0 AND m > 0 THEN greatest(0.3, floor((0.85 - toolong * 0.02) * 10000.0 + 0.5) / 10000.0) END AS confidence FROM ratios""")
+def text_readability(spark, sf_dir):
+    rows = text_metrics(table(spark, sf_dir, "documents")).where("metric = 'readability'")
+    return rows.select("doc_id", F.col("score").alias("readability"), "confidence")
+
+
+@query(f"""WITH {_TEXT_FACTS}, scored AS (SELECT doc_id, lang, CASE WHEN n > 0 AND m > 0 THEN {_CLARITY} END AS clarity FROM ratios)
+SELECT doc_id, clarity, CASE WHEN clarity IS NULL THEN 'N/A' WHEN clarity >= 90 THEN 'A' WHEN clarity >= 80 THEN 'B' WHEN clarity >= 70 THEN 'C' WHEN clarity >= 60 THEN 'D' ELSE 'F' END AS grade FROM scored""")
+def text_clarity(spark, sf_dir):
+    rows = text_metrics(table(spark, sf_dir, "documents")).where("metric = 'clarity'")
+    return rows.select("doc_id", F.col("score").alias("clarity"), grade(F.col("score")).alias("grade"))
+
+
+@query(f"""WITH {_TEXT_FACTS}, scored AS (SELECT doc_id, CASE WHEN n > 0 AND m > 0 THEN {_READABILITY} END AS x FROM ratios)
+SELECT CAST(l.quality AS INTEGER) AS quality, count(*) AS docs, round(avg(x), 6) AS mean_readability, median(x) AS median_readability FROM scored JOIN labels l USING (doc_id) GROUP BY ALL""")
+def text_score_by_label(spark, sf_dir):
+    rows = text_metrics(table(spark, sf_dir, "documents")).where("metric = 'readability'").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy(F.col("quality").cast("int").alias("quality")).agg(F.count("*").alias("docs"), F.round(F.avg("score"), 6).alias("mean_readability"), F.median("score").alias("median_readability"))
+
+
+_EMAILS = "regexp_extract_all(text, '\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b')"
+
+
+@query(
+    f"""WITH found AS (
+    SELECT doc_id, 'email' AS kind, unnest(list_distinct({_EMAILS})) AS value FROM documents UNION ALL
+    SELECT doc_id, 'url', unnest(list_filter(list_distinct(regexp_extract_all(text, 'https?://[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}(?:/[^\\s]*)?')), lambda v: length(v) <= 200)) FROM documents)
+    SELECT doc_id, kind, count(*) AS n, min(value) AS first_value FROM found GROUP BY doc_id, kind"""
+)
+def text_contact_entities(spark, sf_dir):
+    found = text_entities(table(spark, sf_dir, "documents")).where(F.col("type").isin("email", "url"))
+    return found.groupBy("doc_id", F.col("type").alias("kind")).agg(F.count("*").alias("n"), F.min("value").alias("first_value"))
+
+
+@query()
+def text_entity_counts(spark, sf_dir):
+    found = text_entities(table(spark, sf_dir, "documents"), distinct=True)
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("confidence").alias("confidence"))
+
+
+@query("SELECT conv_id, role, count(*) AS turns, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> ''))) AS tokens FROM conversations GROUP BY conv_id, role")
+def conversation_volume(spark, sf_dir):
+    tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+"), lambda x: x != ""))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum(tokens).cast("long").alias("tokens"))
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------
+
+
+def audit(spark, sf_dir) -> PageAudit:
+    return PageAudit(table(spark, sf_dir, "pages"))
+
+
+_TEXT_OF = "trim(regexp_replace(html_unescape_({0}), '\\s+', ' ', 'g'))"
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS h1, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<footer[ >]')) AS footers, len(regexp_extract_all(html, '<nav[ >]')) AS navs, len(regexp_extract_all(html, '<script[ >]')) AS scripts FROM pages")
+def page_element_counts(spark, sf_dir):
+    nodes = audit(spark, sf_dir).nodes
+    n = lambda tag: F.sum(F.when(F.col("tag") == tag, 1).otherwise(0)).cast("long")
+    return nodes.groupBy("page_id").agg(n("h1").alias("h1"), F.sum(F.when((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull(), 1).otherwise(0)).cast("long").alias("links"), n("li").alias("items"), n("footer").alias("footers"), n("nav").alias("navs"), n("script").alias("scripts"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM pages")
+def page_metadata(spark, sf_dir):
+    fields = evidence.metadata(audit(spark, sf_dir).nodes)
+    of = lambda name: F.max(F.when(F.col("type") == f"meta_{name}", F.col("value")))
+    return fields.groupBy("page_id").agg(of("lang").alias("lang"), of("charset").alias("charset"))
+
+
+@query(
+    """WITH hrefs AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+    t AS (SELECT page_id, CASE WHEN lower(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) IN ('', host) THEN 'internal_link' ELSE 'external_link' END AS kind FROM hrefs)
+    SELECT page_id, kind, count(*) AS n FROM t GROUP BY page_id, kind"""
+)
+def page_links(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return evidence.links(a.nodes, a.pages).groupBy("page_id", F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+
+
+_PRESENT = {"title": "<title>", "meta:name=description": 'name="description"', "h1": "<h1[ >]", "main": "<main[ >]", "nav": "<nav[ >]", "article": "<article[ >]", "script:type=application/ld+json": "application/ld.json", "meta:property=og:title": "og:title", "meta:property=og:description": "og:description", "meta:property=og:image": "og:image", "link:rel=canonical": 'rel="canonical"', "img:alt": "<img[^>]* alt=", "section": "<section[ >]", "header": "<header[ >]", "footer": "<footer[ >]", "html:lang": "<html[^>]* lang=", "meta:name=viewport": 'name="viewport"', "time": "<time[ >]", "meta:name=robots": 'name="robots"'}
+
+
+@query("SELECT page_id, name, severity FROM pages, (VALUES " + ", ".join(f"('{_PRESENT[s]}', '{n}', '{v}')" for s, n, v in evidence.ABSENCES) + ") AS r(pattern, name, severity) WHERE NOT regexp_matches(html, pattern)")
+def page_absences(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return evidence.absence(a.nodes, a.pages).select("page_id", F.col("value").alias("name"), F.col("meta")["severity"].alias("severity"))
+
+
+@query("SELECT page_id, length(html) > 100 AND NOT (contains(lower(html), '</html>') AND contains(lower(html), '</body>')) AS truncated_html, length(html) > 10485760 AS oversized_html FROM pages")
+def page_source_flags(spark, sf_dir):
+    return audit(spark, sf_dir).flags.select("page_id", "truncated_html", "oversized_html")
+
+
+@query()
+def page_contamination(spark, sf_dir):
+    return normalize.contamination_rows(audit(spark, sf_dir).flags)
+
+
+@query()
+def page_evidence_summary(spark, sf_dir):
+    return evidence.summary(audit(spark, sf_dir).signals)
+
+
+@query()
+def page_dedup_summary(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return normalize.dedup_counts(a.signals, a.kept)
+
+
+@query()
+def page_hierarchy(spark, sf_dir):
+    return normalize.hierarchy_stats(evidence.hierarchy(audit(spark, sf_dir).nodes))
+
+
+@query()
+def page_domains(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return normalize.domain_ranking(evidence.domain_profile(a.nodes, a.texts)).where("rank = 1").select("page_id", F.col("value").alias("domain"), "running")
+
+
+@query()
+def page_semantics(spark, sf_dir):
+    """Classes of headings, paragraphs, lists, tables, links and anchors."""
+    a = audit(spark, sf_dir)
+    h, p, li, t, k = evidence.headings(a.nodes), evidence.paragraphs(a.nodes), evidence.lists(a.nodes), evidence.tables(a.nodes), evidence.links(a.nodes, a.pages)
+    rows = evidence.semantic_headings(h)
+    for more in (evidence.semantic_paragraphs(p), evidence.semantic_lists(li), evidence.semantic_tables(t), evidence.semantic_links(k), evidence.anchor_text(k)):
+        rows = rows.unionByName(more)
+    return rows.groupBy("section", "type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+
+
+@query()
+def page_metrics(spark, sf_dir):
+    return audit(spark, sf_dir).metric_rows.select("page_id", "metric", "score", "confidence")
+
+
+@query()
+def score_pages(spark, sf_dir):
+    return audit(spark, sf_dir).scores
+
+
+@query()
+def page_recommendations(spark, sf_dir):
+    return reports.top_recommendations(audit(spark, sf_dir).recommendations)
+
+
+@query()
+def page_reports(spark, sf_dir):
+    return audit(spark, sf_dir).reports
+
+
+@query()
+def documents_as_pages(spark, sf_dir):
+    """Plain texts through the page audit."""
+    return PageAudit(corpus.text_pages(table(spark, sf_dir, "documents"), "doc_id", "text")).scores
+
+
+# Constructed pages: what they hold is known from the columns that they are made of.
+
+
+def product_pages(spark, sf_dir) -> DataFrame:
+    """Pages of parts: a JSON-LD product, a table of facts, an image with or without alt."""
+    p = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    ld = F.concat(F.lit('{"@context":"https://schema.org","@type":"Product","name":"'), F.col("p_name"), F.lit('"}'))
+    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), lambda i: F.concat(F.lit("<tr><td>row "), i.cast("string"), F.lit("</td><td>x"), i.cast("string"), F.lit("</td></tr>"))), "")
+    img = F.when(F.col("p_partkey") % 3 == 0, '<img src="a.png">').otherwise(F.concat(F.lit('<img src="a.png" alt="'), F.col("p_name"), F.lit('">')))
+    html = F.concat(F.lit('<html lang="en"><head><title>'), F.col("p_name"), F.lit('</title><script type="application/ld+json">'), ld, F.lit("</script></head><body><main><h1>"), F.col("p_name"), F.lit("</h1><h3>Facts</h3><table><tr><th>Name</th><th>Value</th></tr>"), rows, F.lit("</table>"), img, F.lit("<ul><li>Brand: "), F.col("p_brand"), F.lit("</li></ul></main></body></html>"))
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("SELECT p_partkey AS page_id, CAST(p_size % 5 + 2 AS INTEGER) AS table_rows, 'Name | Value' AS headers, 1 AS json_ld, 'Product' AS schema_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS with_alt, 1 AS skipped FROM part WHERE p_partkey <= 500")
+def product_page_evidence(spark, sf_dir):
+    a = PageAudit(product_pages(spark, sf_dir))
+    t = evidence.tables(a.nodes).select("page_id", F.col("meta")["rows"].cast("int").alias("table_rows"), F.col("meta")["headers"].alias("headers"))
+    d = evidence.structured_data(a.nodes).where("type = 'json_ld'").groupBy("page_id").agg(F.count("*").cast("int").alias("json_ld"), F.min("value").alias("schema_type"))
+    i = evidence.accessibility(a.nodes).groupBy("page_id").agg(F.sum(F.when(F.col("type") == "img_alt", 1).otherwise(0)).cast("int").alias("with_alt"))
+    h = normalize.heading_issues(evidence.headings(a.nodes)).groupBy("page_id").agg(F.sum(F.col("skips").cast("int")).cast("int").alias("skipped"))
+    return t.join(d, "page_id").join(i, "page_id").join(h, "page_id")
+
+
+# ---- corpora, baselines and drift ----------------------------------------------------------------------------
+
+
+def cases(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 900).cast("string")).alias("url"), F.array("source", "lang").alias("tags"), F.col("source").alias("expected_type"))
+
+
+_CASES = "cases AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS category, 'https://example.com/' || source || '/' || (doc_id % 900) AS url, source, doc_id FROM documents)"
+_FNV = "lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)), 8, '0'))"
+
+
+@query(f"WITH {_CASES} SELECT id, category, " + _FNV.format("id || '|' || category || '|' || url || '|0|' || source || '|' || source || ',' || category") + " AS case_hash FROM cases")
+def corpus_case_hashes(spark, sf_dir):
+    return benchmark.case_hashes(cases(spark, sf_dir))
+
+
+@query()
+def corpus_hash(spark, sf_dir):
+    return benchmark.corpus_hash(cases(spark, sf_dir))
+
+
+@query(f"WITH {_CASES} SELECT url, count(*) AS n FROM cases GROUP BY url HAVING count(*) > 1")
+def corpus_duplicate_urls(spark, sf_dir):
+    return benchmark.duplicates(cases(spark, sf_dir), "url")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, 'error' AS level, CASE WHEN page_id % 5 = 0 THEN 'Empty category' ELSE 'Invalid URL' END AS problem FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0 AND page_id % 5 <> 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'error', 'Invalid URL' FROM pages WHERE page_id % 35 = 0")
+def corpus_csv_problems(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    rows = p.select(F.col("page_id").cast("string").alias("Page_ID"), F.when(F.col("page_id") % 5 == 0, " ").otherwise("web").alias("category"), F.when(F.col("page_id") % 7 == 0, "ftp:/x").otherwise(F.concat(F.lit("https://e.com/"), F.col("page_id").cast("string"))).alias("url"))
+    return corpus.validate_csv(rows)
+
+
+@query("SELECT c || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS id, c AS category, 'https://example.com/' || c || '/' || lpad(CAST(i AS VARCHAR), 3, '0') AS url FROM (SELECT unnest(['" + "','".join(corpus.CATEGORIES) + "']) AS c), (SELECT unnest(range(1, 201)) AS i)")
+def corpus_synthetic(spark, sf_dir):
+    return corpus.synthetic_corpus(spark).select("id", "category", "url")
+
+
+def results(spark, sf_dir, which: str) -> DataFrame:
+    """Two runs over documents: the later one misses some cases, has new ones, errors and moved scores."""
+    d = table(spark, sf_dir, "documents")
+    now = which == "current"
+    i = F.col("doc_id")
+    score = (F.col("n_chars") % 1000) / 10.0 + (F.when(i % 7 == 0, 0.51).when(i % 7 == 1, 0.5).otherwise(0.0) if now else F.lit(0.0))
+    metric = (i * 7 % 100).cast("double") + (F.when(i % 17 == 0, 3.0).otherwise(0.0) if now else F.lit(0.0))
+    values = F.create_map(*(x for m in WEIGHTS for x in (F.lit(m), metric if m == "extractability" else F.lit(50.0))))
+    rows = d.where(i % (11 if now else 13) != 0)
+    return rows.select(
+        i.cast("string").alias("case_id"),
+        F.col("lang").alias("category"),
+        F.when(i % (19 if now else 23) == 0, "error").otherwise("ok").alias("status"),
+        score.alias("final_score"),
+        F.lit(0.8).alias("confidence"),
+        values.alias("metrics"),
+        F.array(*([F.lit("a")] + ([F.when(i % 29 == 0, "b").otherwise("c")] if now else [F.lit("c")]))).alias("recommendations"),
+        F.array(F.lit("main_landmark")).alias("absence"),
+        F.when(i % 31 == 0, "shadow_dom").alias("contamination_type") if now else F.lit(None).cast("string").alias("contamination_type"),
+        (F.col("n_chars") % 977).cast("double").alias("runtime_ms"),
+    )
+
+
+_RUNS = """cur AS (SELECT doc_id, lang, CASE WHEN doc_id % 19 = 0 THEN 'error' ELSE 'ok' END AS status, (n_chars % 1000) / 10.0::DOUBLE + CASE WHEN doc_id % 7 = 0 THEN 0.51 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, n_chars FROM documents WHERE doc_id % 11 <> 0),
+    base AS (SELECT doc_id, lang, CASE WHEN doc_id % 23 = 0 THEN 'error' ELSE 'ok' END AS status, (n_chars % 1000) / 10.0::DOUBLE AS score FROM documents WHERE doc_id % 13 <> 0),
+    j AS (SELECT coalesce(c.doc_id, b.doc_id) AS id, coalesce(c.lang, b.lang) AS category, c.doc_id AS ci, b.doc_id AS bi, c.status AS cs, b.status AS bs, c.score AS c1, b.score AS b1 FROM cur c FULL JOIN base b ON c.doc_id = b.doc_id),
+    drifts AS (
+        SELECT id, category, 'schema' AS type, CAST(NULL AS VARCHAR) AS metric FROM j WHERE ci IS NULL OR bi IS NULL OR cs <> bs
+        UNION ALL SELECT id, category, 'score', NULL FROM j WHERE cs = 'ok' AND bs = 'ok' AND abs(c1 - b1) > 0.5
+        UNION ALL SELECT id, category, 'metric', 'extractability' FROM j WHERE cs = 'ok' AND bs = 'ok' AND id % 17 = 0
+        UNION ALL SELECT id, category, 'recommendation', NULL FROM j WHERE cs = 'ok' AND bs = 'ok' AND id % 29 = 0
+        UNION ALL SELECT id, category, 'contamination', NULL FROM j WHERE cs = 'ok' AND bs = 'ok' AND id % 31 = 0)"""
+
+
+def drifts(spark, sf_dir) -> DataFrame:
+    return benchmark.drift(results(spark, sf_dir, "current"), results(spark, sf_dir, "baseline"))
+
+
+@query(f"WITH {_RUNS} SELECT CAST(id AS VARCHAR) AS case_id, category, type, metric FROM drifts")
+def regression_drifts(spark, sf_dir):
+    return drifts(spark, sf_dir).select("case_id", "category", "type", "metric")
+
+
+@query(f"WITH {_RUNS} SELECT type, count(*) AS records, count(DISTINCT id) AS cases FROM drifts GROUP BY type")
+def regression_by_type(spark, sf_dir):
+    return benchmark.drift_by(drifts(spark, sf_dir), "type")
+
+
+@query(f"WITH {_RUNS}, k AS (SELECT category, count(*) AS cases, count(*) FILTER (WHERE id IN (SELECT id FROM drifts)) AS drifted FROM j WHERE ci IS NOT NULL AND bi IS NOT NULL GROUP BY category) SELECT category, cases, drifted, drifted / cases >= 0.05 AS drifts FROM k")
+def regression_categories(spark, sf_dir):
+    return benchmark.category_verdicts(results(spark, sf_dir, "current"), results(spark, sf_dir, "baseline"), drifts(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS} SELECT 'schema' AS reason, true AS drifted, (SELECT count(DISTINCT id) FROM drifts) AS moved, (SELECT count(DISTINCT id) FROM drifts WHERE type = 'schema') AS schema_drifts, (SELECT count(*) FROM cur) AS cases")
+def regression_verdict(spark, sf_dir):
+    d = drifts(spark, sf_dir)
+    return benchmark.corpus_verdict(results(spark, sf_dir, "current"), results(spark, sf_dir, "baseline"), d).select("reason", "drifted", "moved", "schema_drifts", "cases")
+
+
+@query(f"WITH {_RUNS} SELECT lang AS category, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS passed, count(*) FILTER (WHERE status <> 'ok') AS failed, round(median(score), 6) AS median_score FROM cur GROUP BY ROLLUP (lang)")
+def run_summary(spark, sf_dir):
+    return benchmark.run_summary(results(spark, sf_dir, "current")).select("category", "total", "passed", "failed", F.round("median_score", 6).alias("median_score"))
+
+
+@query("WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, CAST(n_chars % 977 AS DOUBLE) AS ms FROM documents WHERE doc_id % 11 <> 0) SELECT avg(ms) AS mean_ms, median(ms) AS median_ms, (SELECT case_id FROM r ORDER BY ms DESC, case_id LIMIT 1) AS slowest, (SELECT case_id FROM r ORDER BY ms, case_id LIMIT 1) AS fastest FROM r")
+def run_runtimes(spark, sf_dir):
+    return benchmark.runtime_stats(results(spark, sf_dir, "current"))
+
+
+@query("SELECT m AS metric, CAST(w AS DOUBLE) AS weight FROM (VALUES " + ", ".join(f"('{m}', {w})" for m, w in WEIGHTS.items()) + ") AS t(m, w)")
+def scoring_weights(spark, sf_dir):
+    return spark.createDataFrame(list(scoring.normalize_weights(None).items()), "metric string, weight double")
