@@ -54,7 +54,7 @@ def normalize_text(col: Column, case: str = "none") -> Column:
 
 def sentences(col: Column) -> Column:
     """Sentences of a text: cut after . ! ? where a capital follows."""
-    parts = F.transform(F.split(normalize_text(col), SENTENCE_BREAK), F.trim)
+    parts = F.transform(F.split(normalize_text(col), SENTENCE_BREAK), lambda x: F.trim(x))
     return F.coalesce(F.filter(parts, lambda s: s != ""), F.array().cast("array<string>"))
 
 
@@ -69,7 +69,7 @@ def comparison_key(col: Column) -> Column:
 
 
 def join_fragments(fragments: Column) -> Column:
-    return F.array_join(F.filter(F.transform(fragments, normalize_text), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(fragments, lambda x: normalize_text(x)), lambda x: x != ""), " ")
 
 
 def truncate(col: Column, n: int) -> Column:

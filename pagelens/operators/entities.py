@@ -36,7 +36,7 @@ def values_of(kind: str, text: Column) -> Column:
     """Distinct values of a kind, in the order its patterns find them."""
     patterns = next(p for k, _, p in KINDS if k == kind)
     found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p.replace(r"\b", T.EDGE)), F.lit(int(kind == "person"))) for p in patterns)))
-    found = F.array_distinct(F.transform(found, T.collapse_space) if kind == "person" else F.transform(found, F.trim))
+    found = F.array_distinct(F.transform(found, T.collapse_space) if kind == "person" else F.transform(found, lambda x: F.trim(x)))
     if kind == "phone":
         return F.filter(found, lambda v: F.length(v) >= 10)
     if kind == "social":

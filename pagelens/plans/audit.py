@@ -67,7 +67,7 @@ class PageAudit:
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences, words and paragraphs of plain texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     return docs.select(id_col, T.sentences(text).alias("sentence_list"), T.words(text).alias("word_list"), F.size(paragraphs).alias("n_paragraphs"))
 
 
