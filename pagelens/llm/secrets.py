@@ -30,6 +30,20 @@ _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
 _N = len(_SYMBOLS) + 1
 
 
+_CLASS = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * 5 + [4])
+
+
+def _prior(mass: float = 10.0) -> np.ndarray:
+    """Counts that ordinary identifiers start from: a character is mostly followed by one of its class, names start with a letter."""
+    follow = np.full((5, 4), 0.05)
+    follow[range(4), range(4)] = 0.85
+    follow[4] = 0.6, 0.3, 0.05, 0.05
+    sizes = np.bincount(_CLASS)[:4]
+    grid = np.zeros((_N, _N))
+    grid[:, :-1] = mass * follow[_CLASS][:, _CLASS[:-1]] / sizes[_CLASS[:-1]]
+    return grid.ravel()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in code points, by start and then kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if ":" in text or "=" in text else []
@@ -44,6 +58,11 @@ def _pairs(token: str) -> np.ndarray:
     return np.concatenate(([_N - 1], codes[:-1])) * _N + codes
 
 
+def undecided(token: str) -> bool:
+    """Long tokens of digits and letters: what the models are to judge, so never a sample of ordinary ones."""
+    return len(token) >= 16 and any("0" <= c <= "9" for c in token) and not token.isdigit() and any(c.isalpha() for c in token)
+
+
 def labelled_tokens(rows: DataFrame) -> DataFrame:
     """(label, token, n): values marked by the fixed patterns (1) and ordinary tokens of 6 letters and more (0), with counts."""
 
@@ -65,6 +84,8 @@ def labelled_tokens(rows: DataFrame) -> DataFrame:
                     at = max(at, end)
                 rest.append(text[at:])
                 for token in plain.findall(" ".join(rest)):
+                    if undecided(token):
+                        continue
                     seen[0, token] = seen.get((0, token), 0) + 1
             return [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())]
 
@@ -85,6 +106,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     keep = scale if total <= max_docs else int(scale * max_docs / total)
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < keep)
     counts = np.full((2, _N * _N), 0.05)
+    counts[0] += _prior()
     tokens = labelled_tokens(sample)
     for label in (0, 1):
         for (token,) in tokens.where(F.col("label") == label).orderBy(F.xxhash64("token")).limit(max_tokens).select("token").collect():
@@ -103,7 +125,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
 
 def is_random(token: str, ratios: np.ndarray, per_char: float, total: float) -> bool:
     """Whether the token's log-likelihood ratio says random string; only tokens of digits and letters can be (bare numbers are not secrets)."""
-    if token.isdigit() or not any("0" <= c <= "9" for c in token) or not any(c.isalpha() for c in token):
+    if not undecided(token):
         return False
     score = float(ratios[_pairs(token)].sum())
     return score >= total and score >= per_char * len(token)
