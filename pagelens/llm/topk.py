@@ -48,28 +48,32 @@ def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tupl
     return query[keep], score[keep], ids[keep]
 
 
-def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, score, id) of every query's k best vectors other than its own id."""
+def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, loose: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, score, id) of every query's k best vectors other than its own id.
+
+    Any set of terms that cannot reach the limit may be called non-essential. Where postings are dense, traversing one
+    more is cheaper than probing it for many candidates, so the set ends where its bounds exceed `loose` of the range.
+    """
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    kind = np.float64 if bound < 2**53 else np.int64  # floats are exact up to there, and faster
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64  # floats are exact up to there, and faster
     q, x = queries.astype(kind), vectors.astype(kind)
     top, low = x.max(axis=0), x.min(axis=0)
     high = np.maximum(q * top, q * low)
     lowest = np.minimum(q * top, q * low)
-    spread = high - lowest
+    spread = high.astype(np.float64) - lowest
     rank_of = np.argsort(np.argsort(spread, axis=1, kind="stable"), axis=1)
     summed = np.cumsum(np.sort(spread, axis=1), axis=1)
-    limit = np.full(len(q), -np.inf)
+    limit, lowest = np.full(len(q), -np.inf), lowest.astype(np.float64)
     best = (np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64))
     at, size = 0, 4 * k
     while at < len(x):
         part, own = x[at : at + size], ids[at : at + size]
         # non-essential: the lowest-spread terms that, even all at their best, leave a candidate under the limit
-        count = (summed < (limit - lowest.sum(axis=1))[:, None]).sum(axis=1)
+        count = (summed < (loose * (limit - lowest.sum(axis=1)))[:, None]).sum(axis=1)
         spare = rank_of < count[:, None]
-        rest = np.where(spare, high, 0).sum(axis=1)
+        rest = np.where(spare, high, 0).sum(axis=1, dtype=np.float64)
         partial = part @ np.where(spare, 0, q).T
-        row, col = np.nonzero(partial >= limit - rest)
+        row, col = np.nonzero(partial >= (limit - rest).astype(kind if kind is not np.int64 else np.float64))
         other = own[row] != query_ids[col]
         row, col = row[other], col[other]
         score = partial[row, col]
