@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, materialize, new_dir, put_file, read_files
-from .tokens import Encoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 
 MAGIC = b"PFORTOK1"
 BLOCK = 128
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, file = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, file = encoder(path).encode, TaskContext.get().partitionId(), 0
         doc_ids, lengths, parts, size = [], [], [], 0
 
         def close():
@@ -138,7 +138,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 ids, texts = batch.column(0).slice(lo, 512).to_pylist(), batch.column(1).slice(lo, 512).to_pylist()
-                flat, sizes = encoder.encode(texts)
+                flat, sizes = encode(texts)
                 ends = np.cumsum(sizes)
                 flat = np.insert(flat, ends, np.uint32(end_id))
                 doc_ids += ids

@@ -1,13 +1,18 @@
-"""Token ids of whole texts by a public tokenizer, each distinct word encoded once a task."""
+"""Token ids of whole texts by a public tokenizer, each distinct word encoded once a worker."""
 
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 
 from .common import MAX_CACHED_WORDS
 
+#: Marks that may follow a letter; the apostrophe begins contractions and is not among them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -15,12 +20,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Words(dict):
+    """Word to its place in the tables; new words are listed."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Encoder:
     """Ids as tokenizers gives for each text with add_special_tokens=False.
 
-    Where the tokenizer drops white space, words are independent of each other: they are looked up in a cache of bounded
-    size, and only new ones are encoded. Texts that hold one of the tokenizer's added tokens, and all texts of other
-    tokenizers, are encoded whole.
+    Where the tokenizer drops white space, words are independent of each other, and so are a letter and the mark after
+    it (both are tried out on the tokenizer): words are looked up in a cache of bounded size, and only new ones are
+    encoded. Texts that hold one of the tokenizer's added tokens, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -31,10 +48,12 @@ class Encoder:
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = all(one(f"{a}{gap}{b}") == one(a) + one(b) for gap in (" ", "\n", "\t \x0b") for a, b in (("ab", "cd"), ("a.", "'s"), ("1", "2"), (".", "!"), ("It", "IS"))) and one("ABC") == one("abc")
+        apart = self.by_word and all(one(f"ab{m}{rest}") == one("ab") + one(f"{m}{rest}") for m in MARKS for rest in ("", "!", "c", "'s", "́", "1"))
+        self.split = re.compile(b"(?<=[a-z])(?=[" + re.escape(MARKS).encode() + b"])").sub if apart else None
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Words()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
@@ -44,32 +63,37 @@ class Encoder:
         """All ids, text after text, as uint32, and each text's number of ids."""
         if len(self.known) > MAX_CACHED_WORDS:
             self._forget()
-        known, new, parts = self.known, [], []
-        for text in texts:
+        whole: dict[int, np.ndarray] = {}
+        places: list[np.ndarray] = []
+        of = self.known.__getitem__
+        for i, text in enumerate(texts):
             low = text.lower() if text else b""
             if not self.by_word or any(a in low for a in self.added):
-                parts.append(np.array(self._raw([text.decode() if text else ""])[0], np.uint32))
-                continue
-            words = low.split()
-            try:
-                parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        if new:
-            ids = self._raw([w.decode() for w in new])
+                whole[i] = np.array(self._raw([text.decode() if text else ""])[0], np.uint32)
+                low = b""
+            words = (self.split(b" ", low) if self.split else low).split()
+            places.append(np.fromiter(map(of, words), np.int64, len(words)))
+        if self.known.new:
+            ids = self._raw([w.decode() for w in self.known.new])
+            self.known.new = []
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
-            self.flat = np.concatenate((self.flat, np.array([x for i in ids for x in i], np.uint32)))
-        out = [p if p.dtype == np.uint32 else self._gather(p) for p in parts]
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array([len(x) for x in out], np.int64)
-
-    def _gather(self, words: np.ndarray) -> np.ndarray:
+            self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))))
+        words = np.concatenate(places) if places else np.zeros(0, np.int64)
         lengths = self.lengths[words]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - lengths), lengths)
-        return self.flat[at]
+        flat = self.flat[at]
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, places)])]
+        sizes = np.diff(cuts)
+        if whole:
+            parts = [whole.get(i, flat[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return flat, sizes
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its cache serves all tasks that the worker runs."""
+    return Encoder(path)
