@@ -6,6 +6,7 @@ recommendations array<string>, absence array<string>, contamination_type, runtim
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,31 @@ def load_baseline(spark, path: str, corpus_hash_: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("corpus_hash") == corpus_hash_)
 
 
+def serialize_baseline(baseline: DataFrame) -> DataFrame:
+    """One JSON line per case."""
+    return baseline.select(F.to_json(F.struct(*baseline.columns)).alias("line"))
+
+
+def deserialize_baseline(lines: DataFrame, schema) -> DataFrame:
+    """Cases of JSON lines; lines that are broken or lack a case, status or corpus hash come back with problem set."""
+    parsed = lines.select("line", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    problem = F.when(F.try_parse_json("line").isNull(), "invalid json").when(F.col("r.case_id").isNull() | F.col("r.status").isNull() | F.col("r.corpus_hash").isNull(), "missing fields")
+    return parsed.select("r.*", problem.alias("problem"))
+
+
+def compare_or_store(current: DataFrame, path: str, corpus_hash_: str) -> DataFrame | None:
+    """Drift against the stored baseline of this corpus; stores current as one and returns None where there is none."""
+    spark = current.sparkSession
+    try:
+        stored = load_baseline(spark, path, corpus_hash_)
+    except AnalysisException:  # nothing stored yet
+        stored = None
+    if stored is None or stored.isEmpty():
+        store_baseline(create_baseline(current, corpus_hash_), path)
+        return None
+    return drift(current, stored)
+
+
 def _record(kind: str, when: Column, base: Column, now: Column, delta: Column, metric: Column | None = None) -> Column:
     return F.when(when, F.struct(F.lit(kind).alias("type"), (F.lit(None) if metric is None else metric).cast("string").alias("metric"), base.cast("string").alias("baseline_value"), now.cast("string").alias("current_value"), delta.cast("double").alias("delta")))
 

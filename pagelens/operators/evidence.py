@@ -70,9 +70,8 @@ def signal(frame: DataFrame, section: str, kind: Column | str, value: Column, co
 
 
 def with_text(nodes: DataFrame, tags: list[str]) -> DataFrame:
-    """Elements of the tags with their visible text as content (empty where there is none)."""
-    wanted = nodes.where(F.col("tag").isin(tags))
-    return wanted.join(dom.element_text(nodes, wanted), ["page_id", "pre"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    """Elements of the tags; content is their visible text."""
+    return nodes.where(F.col("tag").isin(tags))
 
 
 def metadata(nodes: DataFrame) -> DataFrame:
@@ -199,7 +198,7 @@ def semantic_structure(nodes: DataFrame) -> DataFrame:
     boxes = nodes.where(F.col("tag").isin(SECTION_TAGS))
     divs = nodes.where((F.col("tag") == "div") & F.lower(attr("class")).rlike("section|container|content"))
     with_heading = nodes.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.explode("ancestors").alias("pre")).distinct()
-    long = dom.element_text(nodes, divs).where(F.length("content") > 50).select("page_id", "pre")
+    long = divs.where(F.length("content") > 50).select("page_id", "pre")
     chosen = divs.join(with_heading.union(long).distinct(), ["page_id", "pre"], "left_semi")
     return signal(boxes.union(chosen), "semantic_structure", F.when(F.col("tag") == "div", "structure_div").otherwise("structure_section"), F.concat_ws(" ", "tag", attr("class")), 0.85, tag=F.col("tag"), depth=F.col("depth"))
 

@@ -108,3 +108,28 @@ def page_stats(kept: DataFrame, flags: DataFrame, extract: DataFrame) -> DataFra
     numbers = [c for c, t in rows.dtypes if t in ("bigint", "int", "double") and c not in ("page_id", "entity_confidence")]
     rows = rows.fillna(0, numbers).fillna(False, ["valid", "extractable"]).fillna(0.0, ["entity_confidence"])
     return rows.withColumn("absent", F.transform(F.coalesce("absent", F.array()), lambda a: F.replace(a, F.lit(" "), F.lit("_")))).withColumn("sentence_list", T.sentences(F.col("visible_text"))).withColumn("word_list", T.words(F.col("visible_text")))
+
+
+def flatten_items(lists: DataFrame) -> DataFrame:
+    """Items of list signals, cleaned, a row each."""
+    items = F.filter(F.transform(F.split("value", r"\s*\|\s*"), lambda i: T.normalize_text(i)), lambda i: i != "")
+    return lists.select("page_id", "pos", F.posexplode(items).alias("at", "item"))
+
+
+def word_matrix(signals: DataFrame) -> DataFrame:
+    """Words of every signal's value: of paragraphs, list items or table rows."""
+    return signals.select("page_id", "section", "pos", T.words(F.col("value")).alias("words"))
+
+
+def structured_data_summary(kept: DataFrame) -> DataFrame:
+    """Structured data by format after dedup, and the distinct types."""
+    n = lambda kind: F.sum((F.col("type") == kind).cast("int")).alias(kind)
+    return kept.where("section = 'structured_data'").groupBy("page_id").agg(n("json_ld"), n("json_ld_invalid"), n("microdata"), n("rdfa"), F.array_sort(F.collect_set("value")).alias("types"))
+
+
+def accessibility_summary(kept: DataFrame) -> DataFrame:
+    """Alt coverage (1 where there are no images), landmarks and issues of each page."""
+    n = lambda *kinds: F.sum(F.col("type").isin(*kinds).cast("int"))
+    per = kept.where("section = 'accessibility'").groupBy("page_id").agg(n("img_alt").alias("with_alt"), n("img_missing_alt").alias("without_alt"), F.countDistinct(F.when(F.col("type").isin("aria_landmark", "semantic_landmark"), F.col("value"))).alias("landmarks"), n("img_missing_alt", "unlabeled_input").alias("issues"))
+    images = F.col("with_alt") + F.col("without_alt")
+    return per.withColumn("alt_coverage", F.when(images > 0, F.col("with_alt") / images).otherwise(1.0))

@@ -101,3 +101,23 @@ def full_report(scores: DataFrame, metric_rows: DataFrame, recs: DataFrame, n: i
     scored = F.col("status").isin("scored", "scored_absence_evidence")
     body = F.struct("page_id", "final_score", "weighted_score", "confidence", "status", "grade", F.when(scored, F.col("metrics")).alias("metrics"), F.when(scored, F.col("recommendations")).alias("recommendations"), F.coalesce(F.col("contamination_type").isNotNull() | ~scored, F.lit(True)).alias("contamination"))
     return rows.select("page_id", F.to_json(body).alias("report"))
+
+
+def weaknesses(stats: DataFrame, metric_rows: DataFrame, under: float = 60.0) -> DataFrame:
+    """(page_id, metric, part, value): parts of metrics under a limit, the weakest first."""
+    rows = metric_rows.where("score is not null").select("page_id", "metric", F.explode("parts").alias("part", "value")).where(F.col("value") < under)
+    return rows.join(stats.select("page_id"), "page_id", "left_semi")
+
+
+def summary_report(scores: DataFrame, recs: DataFrame, weak: DataFrame, n: int = 5) -> DataFrame:
+    """One JSON document per page: score, grade, distinct weaknesses, top recommendations."""
+    top = top_recommendations(recs, n).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "priority", "message"))).alias("recommendations"))
+    parts = weak.groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat_ws(".", "metric", "part"))).alias("weaknesses"))
+    rows = scores.join(top, "page_id", "left").join(parts, "page_id", "left")
+    return rows.select("page_id", F.to_json(F.struct("page_id", "final_score", "confidence", "status", "grade", "weaknesses", "recommendations")).alias("report"))
+
+
+def absence_lists(signals: DataFrame) -> DataFrame:
+    """What each page lacks, by severity."""
+    of = lambda level: F.array_sort(F.collect_set(F.when(F.col("meta")["severity"] == level, F.col("value")))).alias(level)
+    return signals.where("section = 'absence'").groupBy("page_id").agg(of("critical"), of("warning"), of("info"), F.count("*").alias("n"))

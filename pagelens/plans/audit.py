@@ -49,7 +49,7 @@ class PageAudit:
     @cached_property
     def metric_rows(self) -> DataFrame:
         """Blocked pages have no metrics."""
-        return metrics.metric_rows(self.stats.where("not blocked"), metrics.text_metrics() + metrics.page_metrics())
+        return materialize(metrics.metric_rows(self.stats.where("not blocked"), metrics.text_metrics() + metrics.page_metrics()), "metrics")
 
     @cached_property
     def scores(self) -> DataFrame:

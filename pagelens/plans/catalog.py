@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import grade
-from pagelens.operators import benchmark, dom, evidence, normalize, reports, scoring
+from pagelens.operators import benchmark, evidence, inventory, normalize, reports, scoring
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
 from pagelens.sources import corpus
@@ -49,7 +49,6 @@ TOKENS = (
         list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+([A-ZÀ-ſ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s,
         regexp_extract_all(lower(t), '\\b[a-zA-ZÀ-ſ]+(?:[''-][a-zA-ZÀ-ſ]+)*\\b') AS w FROM clean)"""
 )
-_HALF = "floor(({0}) * {1} + 0.5) / {1}"
 _CLAMP = "greatest(0.0, least(100.0, floor(({0}) * 100.0 + 0.5) / 100.0))"
 
 
@@ -159,9 +158,6 @@ def audit(spark, sf_dir) -> PageAudit:
     return PageAudit(table(spark, sf_dir, "pages"))
 
 
-_TEXT_OF = "trim(regexp_replace(html_unescape_({0}), '\\s+', ' ', 'g'))"
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS h1, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<footer[ >]')) AS footers, len(regexp_extract_all(html, '<nav[ >]')) AS navs, len(regexp_extract_all(html, '<script[ >]')) AS scripts FROM pages")
 def page_element_counts(spark, sf_dir):
     nodes = audit(spark, sf_dir).nodes
@@ -264,6 +260,34 @@ def documents_as_pages(spark, sf_dir):
     return PageAudit(corpus.text_pages(table(spark, sf_dir, "documents"), "doc_id", "text")).scores
 
 
+@query("SELECT page_id, 'article' AS tag FROM pages")
+def page_main_content(spark, sf_dir):
+    return inventory.main_content(audit(spark, sf_dir).nodes).select("page_id", "tag")
+
+
+@query()
+def page_selectors(spark, sf_dir):
+    return inventory.selectors(audit(spark, sf_dir).nodes)
+
+
+@query("SELECT page_id, len(critical) AS critical, len(warning) AS warning, len(info) AS info FROM (SELECT page_id, list(name) FILTER (WHERE severity = 'critical') AS critical, list(name) FILTER (WHERE severity = 'warning') AS warning, list(name) FILTER (WHERE severity = 'info') AS info FROM (" + ORACLE_SQL["page_absences"] + ") GROUP BY page_id)")
+def page_absence_counts(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    per = reports.absence_lists(evidence.absence(a.nodes, a.pages))
+    return per.select("page_id", *(F.size(c).cast("long").alias(c) for c in ("critical", "warning", "info")))
+
+
+@query()
+def page_summaries(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return reports.summary_report(a.scores, a.recommendations, reports.weaknesses(a.stats, a.metric_rows))
+
+
+@query("SELECT page_id, CAST(count(*) AS BIGINT) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)) AS item FROM pages) WHERE trim(item) <> '' GROUP BY page_id")
+def page_list_items(spark, sf_dir):
+    return normalize.flatten_items(evidence.lists(audit(spark, sf_dir).nodes)).groupBy("page_id").agg(F.count("*").alias("items"))
+
+
 # Constructed pages: what they hold is known from the columns that they are made of.
 
 
@@ -394,6 +418,14 @@ def run_runtimes(spark, sf_dir):
     return benchmark.runtime_stats(results(spark, sf_dir, "current"))
 
 
+@query(f"WITH {_RUNS} SELECT CAST(doc_id AS VARCHAR) AS case_id, status, score AS final_score, 'h1' AS corpus_hash FROM base")
+def baseline_round_trip(spark, sf_dir):
+    """A baseline as JSON lines and back."""
+    made = benchmark.create_baseline(results(spark, sf_dir, "baseline"), "h1")
+    back = benchmark.deserialize_baseline(benchmark.serialize_baseline(made), made.schema)
+    return back.where("problem is null").select("case_id", "status", "final_score", "corpus_hash")
+
+
 @query("SELECT m AS metric, CAST(w AS DOUBLE) AS weight FROM (VALUES " + ", ".join(f"('{m}', {w})" for m, w in WEIGHTS.items()) + ") AS t(m, w)")
 def scoring_weights(spark, sf_dir):
     return spark.createDataFrame(list(scoring.normalize_weights(None).items()), "metric string, weight double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import SPACE
+
 MAX_HTML = 10 * 1024 * 1024
 
 # Fixed values of HTML: elements without content, those that belong in the head, and which start tags close a <p>.
@@ -19,7 +22,12 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 for _tag in ("tbody", "thead", "tfoot"):
     CLOSES[_tag] = ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})
 
-NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, ancestors array<int>, ancestor_tags array<string>"
+#: Elements whose text is kept with them, and those whose text is not shown.
+TEXT_TAGS = frozenset("title h1 h2 h3 h4 h5 h6 p li td th a div main article section summary figcaption caption label".split())
+UNSHOWN = frozenset(("script", "style", "template"))
+_BLANKS = re.compile(f"{SPACE}+")
+
+NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, ancestors array<int>, ancestor_tags array<string>, content string"
 
 
 class TreeBuilder(HTMLParser):
@@ -119,6 +127,14 @@ class TreeBuilder(HTMLParser):
         if len(self.stack) < 2 and not any(n["tag"] == "body" for n in self.nodes):
             self._ensure("#text")
         self._pop_to(0)
+        parts: dict[int, list[str]] = {n["pre"]: [] for n in self.nodes if n["tag"] in TEXT_TAGS}
+        for n in self.nodes:
+            if n["kind"] == "text" and UNSHOWN.isdisjoint(n["ancestor_tags"]):
+                for up in n["ancestors"]:
+                    if up in parts:
+                        parts[up].append(n["text"])
+        for n in self.nodes:
+            n["content"] = _BLANKS.sub(" ", "".join(parts[n["pre"]])).strip(" ") if n["pre"] in parts else None
         return self.nodes
 
 
@@ -133,10 +149,13 @@ def nodes_of(html: str | None) -> list[dict]:
 def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Nodes of all pages (page_id and NODE): elements and texts in pre-order, each with its ancestors.
 
+    Elements that carry text (TEXT_TAGS) have it as content, white space collapsed, so that no later step has to gather
+    it from the text nodes again.
+
     Null and blank pages have no nodes. The html column goes no further than this.
     """
     names = [c.split()[0] for c in NODE.split(", ")]
-    types = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    types = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
 
     def run(batches):
         for batch in batches:
