@@ -22,17 +22,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, materialize
-from .tokens import Encoder, default_tokenizer
+from .tokens import default_tokenizer, encoder
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank counts equal lengths within the partition part."""
 
     def make():
-        encoder, seen, part = Encoder(tokenizer), {}, TaskContext.get().partitionId()
+        encode, seen, part = encoder(tokenizer).encode, {}, TaskContext.get().partitionId()
 
         def call(ids, texts):
-            flat, lengths = encoder.encode(texts)
+            flat, lengths = encode(texts)
             out, at = [], 0
             for doc, n in zip(ids, lengths.tolist(), strict=True):
                 own = np.append(flat[at : at + n], np.uint32(end_id)).astype("<u4")
