@@ -151,7 +151,7 @@ def _code(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(middle, counts, "right").astype(np.uint16)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, batch_bytes: int = 12 << 20, tokens_per_shard: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, batch_bytes: int = 8 << 20, tokens_per_shard: int = 3_000_000) -> DataFrame:
     """Scores of all rows: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model learns from the documents whose crc32 of the id as text, modulo held_out_of, is not 0. base_score is the
