@@ -1,9 +1,8 @@
-"""Elias-Fano lists and a two-level n-gram trie over them, kept in one memory-mapped file."""
+"""Elias-Fano lists and a two-level n-gram trie over them, kept in one memory map."""
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 
 import numpy as np
 
@@ -82,7 +81,7 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts, monotone pointers to their successors, and quantised weights of those, in a mapped file without a name.
+    """Contexts, monotone pointers to their successors, and quantised weights of those, in one memory map.
 
     Contexts and successors are 32-bit hashes. A successor is stored relative to its context: the context's place and the
     successor's hash make one rising list, and a search stays within the context's range of it.
@@ -95,14 +94,10 @@ class Trie:
         place = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
         successors = (place << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         pieces = [p for values in (context[first], np.append(first, len(keys)), successors) for p in EliasFano.parts(values)] + [codes.astype(np.uint16)]
-        with tempfile.TemporaryFile() as file:
-            ends = []
-            for p in pieces:
-                file.write(p.tobytes() + bytes(-p.nbytes % 8))
-                ends.append(file.tell())
-            file.write(bytes(8))
-            file.flush()
-            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        ends = np.cumsum([p.nbytes + -p.nbytes % 8 for p in pieces]).tolist()
+        self.map = mmap.mmap(-1, ends[-1] + 8)  # no file: a machine's own folders are not for jobs
+        for start, p in zip([0, *ends], pieces):
+            self.map[start : start + p.nbytes] = p.tobytes()
         whole = np.frombuffer(self.map, np.uint8)
         views = [whole[start : start + p.nbytes].view(p.dtype) for start, p in zip([0, *ends], pieces)]
         lists = [EliasFano(int(views[i][0]), int(views[i][1]), *views[i + 1 : i + 4]) for i in (0, 4, 8)]
