@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = lambda most, of: max(1, min(scale, int(scale * most / max(1, of))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(scale))
     rows = id_and_text(docs, id_col, text_col)
-    positive = rows.join(marks.where("y = 1").where(drawn < share(max_positive, good)).select("doc_id"), "doc_id", "left_semi")
+    positive = rows.where(drawn < share(max_positive, good)).join(marks.where("y = 1").select("doc_id"), "doc_id", "left_semi")  # drawn before the shuffle
     unlabelled = rows.where(drawn < share(max_unlabelled, total - n)).join(marks.select("doc_id"), "doc_id", "left_anti")
 
     def matrix(df: DataFrame) -> np.ndarray:
