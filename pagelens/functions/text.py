@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that were UTF-8 and read as Latin-1, and punctuation variants.
@@ -15,10 +15,12 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‏‪-‮⁠﻿]"
 LETTER = r"a-zA-ZÀ-ſ"
 #: A word boundary of ASCII word characters only.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-WORD = f"{EDGE}[{LETTER}]+(?:['-][{LETTER}]+)*{EDGE}"
+WORD = f"(?=[{LETTER}]){EDGE}[{LETTER}]+(?:['-][{LETTER}]+)*{EDGE}"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-ZÀ-ſ])"
 VAGUE_WORDS = ["thing", "things", "stuff", "something", "anything", "everything", "various", "some", "many", "few", "several", "certain", "it", "they", "them", "this", "that", "these", "those"]
 
+ODD_MARKS = "[" + "".join(sorted({c for q in QUOTES for c in q})) + "]"
+
 # Schema.org type names.
 SCHEMA_TYPES = ["Article", "NewsArticle", "BlogPosting", "Product", "Offer", "Organization", "LocalBusiness", "Person", "WebSite", "WebPage", "FAQPage", "HowTo", "Recipe", "Event", "Review", "AggregateRating", "BreadcrumbList", "ItemList", "ImageObject", "SoftwareApplication", "Course", "JobPosting", "QAPage", "Place"]
 
@@ -36,8 +38,10 @@ def collapse_space(col: Column) -> Column:
 
 def normalize_text(col: Column, case: str = "none") -> Column:
     """Text without control characters, with usual quotes, single marks and one blank after punctuation before a letter."""
+    raw = col
     col = F.regexp_replace(col, CONTROL, "")
-    col = replace_all(col, MOJIBAKE | QUOTES)
+    col = F.when(F.contains(raw, F.lit("Ã")), replace_all(col, MOJIBAKE)).otherwise(col)  # most texts have none of these
+    col = F.when(raw.rlike(ODD_MARKS), replace_all(col, QUOTES)).otherwise(col)
     col = F.regexp_replace(F.regexp_replace(col, "!{2,}", "!"), r"\?{2,}", "?")
     col = F.regexp_replace(col, rf"{SPACE}+([,.!?;:])", "$1")
     col = F.regexp_replace(col, r"([,.!?;:])(?=[A-Za-z])", "$1 ")
@@ -65,7 +69,12 @@ def words(col: Column) -> Column:
 
 def comparison_key(col: Column) -> Column:
     """Key by which values count as equal: lower case, no marks, single blanks; empty where nothing of ASCII is left."""
-    return collapse_space(F.regexp_replace(normalize_text(col, "lower"), r"[^A-Za-z0-9_\s-]", ""))
+    return key_of_normal(normalize_text(col))
+
+
+def key_of_normal(col: Column) -> Column:
+    """comparison_key of a text that is normalised already."""
+    return collapse_space(F.regexp_replace(F.lower(col), r"[^A-Za-z0-9_\s-]", ""))
 
 
 def join_fragments(fragments: Column) -> Column:
@@ -109,3 +118,21 @@ def fnv1a(col: Column) -> Column:
     """32-bit FNV-1a over code points, as eight hex digits."""
     codes = F.transform(F.split(col, ""), lambda c: F.ascii(c).cast("long"))
     return F.lower(F.lpad(F.hex(F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)) % F.lit(4294967296))), 8, "0"))
+
+
+def text_numbers(rows: DataFrame) -> DataFrame:
+    """rows with what the text metrics count in sentence_list and word_list, each counted once."""
+    sizes = F.transform("sentence_list", lambda s: F.size(F.split(F.trim(s), r"\s+")))
+    many = lambda array, test: F.size(F.filter(array, test))
+    rows = rows.withColumn("sentence_sizes", sizes)
+    return rows.withColumns(
+        {
+            "n_sentences": F.size("sentence_list"),
+            "n_words": F.size("word_list"),
+            "good_sentences": many("sentence_sizes", lambda x: (x >= 8) & (x <= 25)),
+            "long_sentences": many("sentence_sizes", lambda x: x > 40),
+            "letters": F.length(F.array_join("word_list", "")),
+            "rare_words": many("word_list", lambda w: F.length(w) > 10),
+            "vague_words": many("word_list", lambda w: w.isin(VAGUE_WORDS)),
+        }
+    ).drop("sentence_sizes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,10 +34,27 @@ KINDS = [
 MOST = {"organization": 100, "product": 100, "url": 200}
 
 
+def bounded(pattern: str, kind: str) -> str:
+    r"""The pattern with \b of ASCII words; where a word character is sure to stand at the edge, one look suffices."""
+    sure = not pattern.startswith((r"\b\(?", r"\b\+?", r"\b[a-zA-Z0-9._%+-]"))
+    start = "(?<![A-Za-z0-9_])" if sure else T.EDGE
+    end = T.EDGE if r"S\.A\." in pattern else "(?![A-Za-z0-9_])"
+    out, mode = pattern, ""
+    if out.startswith("(?i)"):
+        out, mode = out[4:], "(?i)"
+    if out.startswith(r"\b"):
+        first = re.match(r"\\b(\\d|\[A-Z\])", out)
+        ahead = "(?=[A-Z])" if kind in ("organization", "location") or first and first[1] == "[A-Z]" else "(?=[0-9])" if first else ""
+        out = ahead + start + out[2:]  # a look at the next character rules most places out
+    if out.endswith(r"\b"):
+        out = out[:-2] + end
+    return mode + out
+
+
 def values_of(kind: str, text: Column) -> Column:
     """Distinct values of a kind, in the order its patterns find them."""
     patterns = next(p for k, _, p in KINDS if k == kind)
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p.replace(r"\b", T.EDGE)), F.lit(int(kind == "person"))) for p in patterns)))
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(bounded(p, kind)), F.lit(int(kind == "person"))) for p in patterns)))
     found = F.array_distinct(F.transform(found, T.collapse_space) if kind == "person" else F.transform(found, lambda x: F.trim(x)))
     if kind == "phone":
         return F.filter(found, lambda v: F.length(v) >= 10)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.score import clamp_confidence, clamp_score, ladder, ratio
-from pagelens.functions.text import VAGUE_WORDS
 
 # Weights of the metrics, and penalties by severity of what contaminates a page.
 WEIGHTS = {"readability": 0.06, "structure": 0.06, "clarity": 0.05, "consistency": 0.05, "semantic": 0.06, "completeness": 0.06, "semanticStructure": 0.10, "structuredData": 0.08, "extractability": 0.10, "accessibility": 0.08, "entityRecognition": 0.10, "machineComprehension": 0.20}
@@ -38,20 +37,14 @@ class Metric:
 
 
 def text_metrics() -> list[Metric]:
-    """Metrics that need sentence_list, word_list and n_paragraphs alone."""
-    sentences, words = c("sentence_list"), c("word_list")
-    n, m = F.size(sentences), F.size(words)
-    sizes = F.transform(sentences, lambda s: F.size(F.split(F.trim(s), r"\s+")))
-    good = F.size(F.filter(sizes, lambda x: (x >= 8) & (x <= 25)))
-    too_long = F.size(F.filter(sizes, lambda x: x > 40))
-    letters = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
-    length, per = ratio(letters, m), ratio(m, n)
-    rare = ratio(F.size(F.filter(words, lambda w: F.length(w) > 10)), m)
-    vague = ratio(F.size(F.filter(words, lambda w: w.isin(VAGUE_WORDS))), m)
+    """Metrics that need text_numbers and n_paragraphs alone."""
+    n, m, too_long = c("n_sentences"), c("n_words"), c("long_sentences")
+    length, per = ratio(c("letters"), m), ratio(m, n)
+    rare, vague = ratio(c("rare_words"), m), ratio(c("vague_words"), m)
     readability = Metric(
         "readability",
         {
-            "sentence_length": (ratio(good, n) * 100 - too_long * 5, 0.30),
+            "sentence_length": (ratio(c("good_sentences"), n) * 100 - too_long * 5, 0.30),
             "word_complexity": (F.when((length >= 4) & (length <= 7), 90.0).when(length > 7, most(40, 90 - (length - 7) * 10)).otherwise(most(50, 90 - (4 - length) * 10)), 0.25),
             "words_per_sentence": (F.when((per >= 8) & (per <= 25), 95.0).when(per > 40, most(30, 95 - (per - 40) * 3)).when(per < 8, most(40, 95 - (8 - per) * 5)).otherwise(80.0), 0.25),
             "text_volume": (F.when(m > 2000, 95.0).when(m > 500, 80.0).when(m > 100, 60.0).otherwise(30.0), 0.20),
@@ -77,9 +70,11 @@ def text_metrics() -> list[Metric]:
 
 
 def _deviation(sizes: Column) -> Column:
+    """Standard deviation of an array, from its sums."""
     n = F.size(sizes)
-    mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n > 0, F.sqrt(F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)).otherwise(0.0)
+    sums = F.aggregate(sizes, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx")), lambda a, x: F.struct((a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx")))
+    mean = sums["x"] / n
+    return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), sums["xx"] / n - mean * mean))).otherwise(0.0)
 
 
 def page_metrics() -> list[Metric]:

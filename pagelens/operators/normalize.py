@@ -17,7 +17,7 @@ def normalize_signals(signals: DataFrame) -> DataFrame:
 
     Values whose key is empty (nothing of ASCII in them) are dropped.
     """
-    rows = signals.withColumn("value", T.normalize_text(F.col("value"))).withColumn("key", T.comparison_key(F.col("value"))).where("key <> ''")
+    rows = signals.withColumn("value", T.normalize_text(F.col("value"))).withColumn("key", T.key_of_normal(F.col("value"))).where("key <> ''")
     w = W.partitionBy("page_id", "section", "key")
     rows = rows.withColumn("first", F.min("pos").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("confidence"), "pos", "type"))).where("rank = 1")
     return rows.withColumn("pos", F.col("first")).drop("rank", "first")
@@ -107,7 +107,8 @@ def page_stats(kept: DataFrame, flags: DataFrame, extract: DataFrame) -> DataFra
     rows = flags.join(counts, "page_id", "left").join(skips, "page_id", "left").join(hierarchy_stats(kept), "page_id", "left").join(extract.drop("extractable"), "page_id", "left").join(extract.select("page_id", "extractable"), "page_id", "left")
     numbers = [c for c, t in rows.dtypes if t in ("bigint", "int", "double") and c not in ("page_id", "entity_confidence")]
     rows = rows.fillna(0, numbers).fillna(False, ["valid", "extractable"]).fillna(0.0, ["entity_confidence"])
-    return rows.withColumn("absent", F.transform(F.coalesce("absent", F.array()), lambda a: F.replace(a, F.lit(" "), F.lit("_")))).withColumn("sentence_list", T.sentences(F.col("visible_text"))).withColumn("word_list", T.words(F.col("visible_text")))
+    rows = rows.withColumn("absent", F.transform(F.coalesce("absent", F.array()), lambda a: F.replace(a, F.lit(" "), F.lit("_"))))
+    return T.text_numbers(rows.withColumn("sentence_list", T.sentences(F.col("visible_text"))).withColumn("word_list", T.words(F.col("visible_text"))))
 
 
 def flatten_items(lists: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ PRIORITY = {"high": 0, "medium": 1, "low": 2}
 def rules() -> list[tuple[str, str, Column]]:
     """(metric, template, when) in the metrics' order."""
     c = F.col
-    per = ratio(F.size("word_list"), F.size("sentence_list"))
-    long = F.exists("sentence_list", lambda s: F.size(F.split(F.trim(s), r"\s+")) > 40)
+    per = ratio(c("n_words"), c("n_sentences"))
+    long = c("long_sentences") > 0
     lacks = lambda name: F.array_contains("absent", name)
     content = c("n_headings") + c("n_paragraphs") + c("n_lists") + c("n_tables") + c("n_links") + c("n_structured_data") + c("n_semantic_html")
     return [
         ("readability", "improve_readability", long | (per > 25)),
-        ("readability", "add_content", F.size("word_list") < 100),
+        ("readability", "add_content", c("n_words") < 100),
         ("structure", "add_headings", (c("h1") == 0) | (c("n_headings") < 3)),
         ("structure", "fix_hierarchy", c("skipped_levels") > 0),
         ("clarity", "improve_clarity", per > 25),

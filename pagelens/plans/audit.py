@@ -39,7 +39,7 @@ class PageAudit:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return normalize.normalize_signals(self.signals)
+        return materialize(normalize.normalize_signals(self.signals), "kept")
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -68,7 +68,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Sentences, words and paragraphs of plain texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
-    return docs.select(id_col, T.sentences(text).alias("sentence_list"), T.words(text).alias("word_list"), F.size(paragraphs).alias("n_paragraphs"))
+    return T.text_numbers(docs.select(id_col, T.sentences(text).alias("sentence_list"), T.words(text).alias("word_list"), F.size(paragraphs).alias("n_paragraphs")))
 
 
 def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
