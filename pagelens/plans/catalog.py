@@ -145,7 +145,7 @@ def text_entity_counts(spark, sf_dir):
     return found.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("confidence").alias("confidence"))
 
 
-@query("SELECT conv_id, role, count(*) AS turns, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> ''))) AS tokens FROM conversations GROUP BY conv_id, role")
+@query("SELECT conv_id, role, count(*) AS turns, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id, role")
 def conversation_volume(spark, sf_dir):
     tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+"), lambda x: x != ""))
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.sum(tokens).cast("long").alias("tokens"))
