@@ -299,7 +299,7 @@ def page_list_items(spark, sf_dir):
 
 def product_pages(spark, sf_dir) -> DataFrame:
     """Pages of parts: a JSON-LD product, a table of facts, an image with or without alt."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    p = table(spark, sf_dir, "part")
     ld = F.concat(F.lit('{"@context":"https://schema.org","@type":"Product","name":"'), F.col("p_name"), F.lit('"}'))
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), lambda i: F.concat(F.lit("<tr><td>row "), i.cast("string"), F.lit("</td><td>x"), i.cast("string"), F.lit("</td></tr>"))), "")
     img = F.when(F.col("p_partkey") % 3 == 0, '<img src="a.png">').otherwise(F.concat(F.lit('<img src="a.png" alt="'), F.col("p_name"), F.lit('">')))

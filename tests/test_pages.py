@@ -114,3 +114,12 @@ def test_text_markdown_json_pages(spark):
     made = corpus.json_to_html('{"a": {"b": 1}, "l": [{"x": 1}, {"y": 2}], "s": ["u", "v"]}')
     assert "<h1>a</h1><p>b: 1</p>" in made and "<th>x</th><th>y</th>" in made and "<li>u</li>" in made
     assert corpus.json_to_html("{") is None
+
+
+def test_every_part_has_a_product_page(spark, tmp_path):
+    from pagelens.plans import catalog
+
+    parts = [(i, f"name {i}", i % 50 + 1, f"Brand#{i % 7}") for i in (1, 3, 500, 501, 502, 20_000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["product_page_evidence"](spark, str(tmp_path)).collect())
+    assert got == [(i, size % 5 + 2, "Name | Value", 1, "Product", int(i % 3 > 0), 1) for i, _, size, _ in parts]
