@@ -11,27 +11,49 @@ from . import decontaminate, langid, near_dedup, packing, secrets
 from .common import materialize, read_table
 
 
+#: A document within a stage, where its id may be null or repeated: a hash of id and text, never null. Rows that agree in
+#: both share it, and whatever a stage finds in a text holds for all of them.
+KEY = "__key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and texts without a letter. lang is left as it is."""
-    found = langid.predict(docs, langid.train(docs)).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """Drops documents in which no language is found: null texts and texts without a letter. lang is left as it is.
+
+    Each row is judged by its own text, whether its id is null or repeated.
+    """
+    keyed = _keyed(docs)
+    found = langid.predict(keyed, langid.train(docs), id_col=KEY).where("lang_pred <> 'und'").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(found, KEY, "left_semi").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group, once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Keeps the document of smallest doc_id of each group, once.
+
+    Of rows that repeat that id, the one of smallest text stays (null last; then by the other columns in their order).
+    Rows without an id are linked with nothing, and all of them are kept.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    order = [F.col("text").isNull(), F.col("text"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))]
+    least = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(order[0].alias("__null"), *order[1:])).alias("__row"))
+    named = least.select(*(F.col(c) if c == "doc_id" else F.col("__row")[c].alias(c) for c in docs.columns))
+    return named.union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = decontaminate.contained_items(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, those without an id too."""
+    keyed = _keyed(docs)
+    leaks = decontaminate.contained_items(keyed, read_table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(leaks, KEY, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the text by [secret] and sets n_chars anew; keeps every document."""
-    masked = secrets.redact(docs, secrets.find_secrets(docs))
+    """Replaces secrets in the text by [secret] and sets n_chars anew; keeps every document, and masks those without an id too."""
+    keyed = _keyed(docs)
+    masked = secrets.redact(keyed, secrets.find_secrets(keyed, id_col=KEY, ratios=secrets.train(docs)), id_col=KEY)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

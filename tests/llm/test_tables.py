@@ -105,3 +105,21 @@ def test_registry():
     names = set(e.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(e.oracle_sql()) <= names and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_stages_keep_rows_without_an_id(spark, tmp_path):
+    leak = " ".join(f"leak{i}" for i in range(40))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "the first of the texts"), (None, "my password=abcdef123 stays"), (None, leak), (None, None), (None, "12 ?!")]
+    rows += [(7, "zebra text of a repeated id"), (7, "apple text of a repeated id"), (7, None), (8, "a plain text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    one = S.keep_languages(spark, docs, str(tmp_path))
+    assert texts(one) == sorted((str(i), t) for i, t in rows if t not in (None, "12 ?!"))
+    two = S.drop_near_duplicates(spark, one, str(tmp_path))
+    assert two.columns == docs.columns and texts(two) == [x for x in texts(one) if x[1] != "zebra text of a repeated id"]
+    three = S.drop_contaminated(spark, two, str(tmp_path))
+    assert texts(three) == [x for x in texts(two) if x[1] != leak]
+    four = S.mask_secrets(spark, three, str(tmp_path))
+    assert texts(four) == [("7", "apple text of a repeated id"), ("8", "a plain text"), ("None", "my [secret] stays"), ("None", "the first of the texts")]
+    assert S.pack_sequences(spark, four, str(tmp_path)).count() == 4
