@@ -6,6 +6,8 @@ recommendations array<string>, absence array<string>, contamination_type, runtim
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions.score import half_up
 from pagelens.operators.metrics import WEIGHTS
+from pagelens.plans.scratch import materialize
 
 # Tolerances of drift, and shares from which a category and a corpus have drifted.
 SCORE_TOLERANCE, CONFIDENCE_TOLERANCE, METRIC_TOLERANCE = 0.5, 0.05, 0.5
 CATEGORY_SHARE, CATEGORIES, CASE_SHARE = 0.05, 2, 0.10
+#: Hashes that one step of a corpus hash joins.
+RUN = 1024
 CRITICAL_METRICS = ["semanticStructure", "extractability", "machineComprehension"]
 
 
@@ -30,14 +35,28 @@ def case_hashes(corpus: DataFrame) -> DataFrame:
     return corpus.select("id", "category", T.fnv1a(case_line(corpus)).alias("case_hash"))
 
 
-def corpus_hash(corpus: DataFrame) -> DataFrame:
-    """One hash for a corpus in (category, id) order: FNV-1a over each category's hash, that over its cases' in order.
+def corpus_hash(corpus: DataFrame, run: int = RUN) -> DataFrame:
+    """One hash for a corpus in (category, id) order, as (corpus_hash, cases).
 
-    Two levels keep any one string as long as a category's or a corpus's list of eight-digit hashes, not its pages.
+    Cases' hashes are cut in that order into runs of `run`, each run's hashes joined by line feeds are hashed, the runs'
+    hashes are cut and hashed in the same way, level by level, until one is left. So no group holds more than `run`
+    rows. Nulls come first in the order and repeated cases are told apart by their hashes. An empty corpus has the hash
+    of the empty text and null cases.
     """
-    per = case_hashes(corpus).groupBy("category").agg(T.fnv1a(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "case_hash"))), lambda c: c["case_hash"]), "\n")).alias("h"), F.count("*").alias("cases"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "h"))), lambda c: c["h"]), "\n")
-    return per.agg(T.fnv1a(joined).alias("corpus_hash"), F.sum("cases").alias("cases"))
+    ordered = case_hashes(corpus).repartitionByRange("category", "id", "case_hash").sortWithinPartitions("category", "id", "case_hash")
+    # the id that Spark gives a row has the partition above its 33 lowest bits, and the row's place in it there
+    placed = materialize(ordered.select("case_hash", F.monotonically_increasing_id().alias("at")), "case-hashes")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = list(accumulate((r.n for r in counts), initial=0))
+    first = corpus.sparkSession.createDataFrame([(r.part, start) for r, start in zip(counts, starts)], "part long, start long")
+    rows = starts[-1]
+    level = placed.withColumn("part", part).join(F.broadcast(first), "part").select((F.col("start") + place).alias("pos"), F.col("case_hash").alias("h"), F.lit(1).cast("long").alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda c: c["h"]), "\n")
+    while rows > run:
+        level = level.groupBy(F.floor(F.col("pos") / run).alias("above")).agg(T.fnv1a(joined).alias("h"), F.sum("n").alias("n")).withColumnRenamed("above", "pos")
+        rows = -(-rows // run)
+    return level.agg(T.fnv1a(joined).alias("corpus_hash"), F.sum("n").alias("cases"))
 
 
 def duplicates(corpus: DataFrame, column: str) -> DataFrame:

@@ -94,3 +94,21 @@ def test_responses(spark):
     assert got == {1: [], 2: ["access_denied", "empty_response"], 3: ["server_unavailable", "unsupported_content_type"], 4: ["http_418"]}
     tries = spark.createDataFrame([(1, 2, 200, "<html>b"), (1, 1, 500, "<html>a"), (1, 3, 200, "<html>c"), (2, 1, 404, "x")], "page_id long, priority int, status int, body string")
     assert {r.page_id: (r.html, r.flag) for r in corpus.first_success(tries).collect()} == {1: ("<html>b", None), 2: (None, "fetch_failure")}
+
+
+def test_corpus_hash_in_bounded_runs(spark):
+    def fnv(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return f"{h:08x}"
+
+    rows = [(f"{i:03}", "hot" if i % 10 else "cold", f"https://e.com/{i}") for i in range(100)]
+    c = spark.createDataFrame(rows, "id string, category string, url string")
+    for run in (3, 10, 1024):
+        hashes = [fnv(f"{i}|{cat}|{url}|0||") for i, cat, url in sorted(rows, key=lambda r: (r[1], r[0]))]
+        while len(hashes) > run:
+            hashes = [fnv("\n".join(hashes[i : i + run])) for i in range(0, len(hashes), run)]
+        for parts in (1, 7):
+            assert tuple(B.corpus_hash(c.repartition(parts), run).first()) == (fnv("\n".join(hashes)), 100)
+    assert tuple(B.corpus_hash(c.where("false")).first()) == (fnv(""), None)
