@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import SPACE
 
-MAX_HTML = 10 * 1024 * 1024
+#: Pages and nodes that are turned into a batch of Arrow at once.
+PAGES, NODES = 64, 20_000
 
 # Fixed values of HTML: elements without content, those that belong in the head, and which start tags close a <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -142,7 +143,7 @@ def nodes_of(html: str | None) -> list[dict]:
     if not html or not html.strip():
         return []
     builder = TreeBuilder()
-    builder.feed(html[:MAX_HTML])
+    builder.feed(html)
     return builder.finish()
 
 
@@ -152,20 +153,23 @@ def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     Elements that carry text (TEXT_TAGS) have it as content, white space collapsed, so that no later step has to gather
     it from the text nodes again.
 
-    Null and blank pages have no nodes. The html column goes no further than this.
+    A page is parsed whole, however long it is. Null and blank pages have no nodes. The html column goes no further than this.
     """
     names = [c.split()[0] for c in NODE.split(", ")]
     types = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                ids, rows = [], []
-                for page, html in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist(), strict=True):
-                    found = nodes_of(html)
-                    ids += [page] * len(found)
-                    rows += found
-                columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["page_id", *names])
+            ids, rows, held = [], [], 0
+            for at in range(len(batch)):
+                found = nodes_of(batch.column(1)[at].as_py())
+                ids += [batch.column(0)[at].as_py()] * len(found)
+                rows += found
+                held += 1
+                if held == PAGES or len(rows) >= NODES or at == len(batch) - 1:
+                    for i in range(0, len(rows), NODES):
+                        columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows[i : i + NODES]], t) for n, t in zip(names, types, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + NODES], pa.int64()), *columns], names=["page_id", *names])
+                    ids, rows, held = [], [], 0
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, " + NODE)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagelens.operators import evidence, normalize
 from pagelens.plans.audit import PageAudit
 from pagelens.sources import corpus
-from pagelens.sources.html import nodes_of
+from pagelens.sources.html import nodes_of, parse_dom
 
 GOOD = """<!DOCTYPE html><html lang="en"><head><title>Shop guide</title><meta name="description" content="d"><meta property="og:title" content="t">
 <link rel="canonical" href="https://a.com/x"><script type="application/ld+json">[{"@type":"Product"},{"@type":"Offer"}]</script></head><body>
@@ -123,3 +123,11 @@ def test_every_part_has_a_product_page(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(tuple(r) for r in catalog.QUERIES["product_page_evidence"](spark, str(tmp_path)).collect())
     assert got == [(i, size % 5 + 2, "Name | Value", 1, "Product", int(i % 3 > 0), 1) for i, _, size, _ in parts]
+
+
+def test_pages_are_parsed_whole(spark):
+    page = "<html><body><p>" + "x" * (10 << 20) + '</p><a href="/late">Late link</a>' + "<i>n</i>" * 15_000 + "</body></html>"
+    rows = [(1, "u", page), (2, "u", "<p>short</p>"), (3, "u", None), (4, "u", "<b>last</b>")]
+    nodes = parse_dom(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r.page_id, r.tag): r.n for r in nodes.where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n")).collect()}
+    assert got[1, "a"] == 1 and got[1, "i"] == 15_000 and got[2, "p"] == 1 and got[4, "b"] == 1 and {p for p, _ in got} == {1, 2, 4}
