@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts
+from .common import MAX_CACHED_WORDS, id_and_text, map_texts
 
 #: The fixed patterns, with the least length of the part that counts; letters of the first key in either case.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -23,7 +23,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The least length of a token that the models judge.
+LEAST = 12
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(_SYMBOLS), np.int64)
 _CODE[[ord(c) for c in _SYMBOLS]] = np.arange(len(_SYMBOLS))
@@ -59,8 +61,20 @@ def _pairs(token: str) -> np.ndarray:
 
 
 def undecided(token: str) -> bool:
-    """Long tokens of digits and letters: what the models are to judge, so never a sample of ordinary ones."""
-    return len(token) >= 16 and any("0" <= c <= "9" for c in token) and not token.isdigit() and any(c.isalpha() for c in token)
+    """Long tokens of digits and letters: often secrets, so never a sample of ordinary ones."""
+    return len(token) >= LEAST and any("0" <= c <= "9" for c in token) and not token.isdigit() and any(c.isalpha() for c in token)
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of start to end beside spans, which are in order of their starts."""
+    left = []
+    for s, e in spans:
+        if s >= end:
+            break
+        if s > start:
+            left.append((start, s))
+        start = max(start, e)
+    return [*left, (start, end)] if start < end else left
 
 
 def labelled_tokens(rows: DataFrame) -> DataFrame:
@@ -124,8 +138,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
 
 
 def is_random(token: str, ratios: np.ndarray, per_char: float, total: float) -> bool:
-    """Whether the token's log-likelihood ratio says random string; only tokens of digits and letters can be (bare numbers are not secrets)."""
-    if not undecided(token):
+    """Whether the token's log-likelihood ratio says random string; tokens without a letter never are (bare numbers are not secrets)."""
+    if len(token) < LEAST or not any(c.isalpha() for c in token):
         return False
     score = float(ratios[_pairs(token)].sum())
     return score >= total and score >= per_char * len(token)
@@ -134,8 +148,9 @@ def is_random(token: str, ratios: np.ndarray, per_char: float, total: float) ->
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratios: np.ndarray | None = None, per_char: float = 0.5, total: float = 12.0) -> DataFrame:
     """Secrets of every row: (doc_id, spans), spans an array of (kind, start, end) by start, then kind.
 
-    Kinds: the three fixed patterns, and markov for tokens of 16 characters and more that the models call random and
-    that no fixed pattern overlaps. Offsets are code points, the end exclusive. Null and empty texts have no spans;
+    Kinds: the three fixed patterns, and markov for tokens of 12 characters and more that the models call random. What
+    an assign span covers is cut off a token first; of a token that goes beyond an access or hex span, markov spans are
+    the parts that no fixed pattern covers. Offsets are code points, the end exclusive. Null and empty texts have no spans;
     repeated rows and null ids give a row each; other columns are ignored; an empty table gives no rows. Needs no
     shuffle; the ratios, a table of fixed size, go along with the task.
     """
@@ -145,6 +160,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def make():
         import pyarrow as pa
 
+        known: dict[str, bool] = {}
+
+        def random(token):
+            if token not in known:
+                if len(known) >= MAX_CACHED_WORDS:
+                    known.clear()
+                known[token] = is_random(token, ratios, per_char, total)
+            return known[token]
+
         kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
         def call(ids, texts):
@@ -154,8 +178,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = base_spans(text)
                 extra = []
                 for m in TOKEN.finditer(text):
-                    if is_random(m[0], ratios, per_char, total) and not any(s < m.end() and m.start() < e for s, _, e in found):
-                        extra.append((m.start(), 3, m.end()))
+                    if not found:
+                        extra += [(m.start(), 3, m.end())] if random(m[0]) else []
+                        continue
+                    for start, end in uncovered(m.start(), m.end(), [(s, e) for s, k, e in found if k == 0]):
+                        if random(text[start:end]):
+                            extra += [(s, 3, e) for s, e in uncovered(start, end, [(s, e) for s, _, e in found])]
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(found + extra)])
             return [ids, pa.array(out, kind_type)]
 

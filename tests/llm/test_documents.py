@@ -1,6 +1,7 @@
 """Operators over documents against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -373,3 +374,16 @@ def test_packing_plans():
 
 def test_packing_of_nothing(empty):
     assert packing.pack(empty).count() == 0
+
+
+def test_secrets_of_letters_short_ones_and_parts_beside_fixed_spans(spark):
+    head, run = "Xk9vQ2mZp7RtL4wYc8Jb", "0123456789abcdef01234567"
+    texts = ["key XkQvZmpRtLwYcJbNfGhD here", "key XkQv2mZpRt7L here", f"key {head}{run}Zq end", "client_secret=Xk9vQ2mZp7RtL4wYc8", "nabotelimarogu 123456789012 --------------"]
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    ratios = secrets.train(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios=ratios)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
+    assert got[0] == [("markov", 4, 24)] and got[1] == [("markov", 4, 16)]
+    assert got[2] == [("markov", 4, 23), ("hex", 23, 48), ("markov", 48, 50)]
+    assert got[3] == [("assign", 7, 32)] and got[4] == []
