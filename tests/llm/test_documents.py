@@ -356,20 +356,60 @@ def test_packing(corpus, ids, capacity):
     assert len(sequences) <= -(-sum(r.length for r in got) // capacity) * 1.05 + 1
 
 
+def contents(runs, capacity):
+    made = Counter()
+    for config, times in runs:
+        assert sum(x * k for x, k in config.items()) <= capacity and times > 0
+        for x, k in config.items():
+            made[x] += k * times
+    return made
+
+
 def test_packing_plans():
     rng = np.random.default_rng(1)
-    for n, cap in ((5, 10), (300, 64), (3000, 256)):
+    for n, cap in ((5, 10), (300, 64), (3000, 256), (20_000, 4096)):
         lengths, counts = np.unique(np.minimum(cap, 1 + rng.geometric(4 / cap, n)), return_counts=True)
         h = dict(zip(lengths.tolist(), counts.tolist()))
-        plan, made = packing.solve(h, cap), Counter()
-        for config, times in plan:
-            assert sum(x * k for x, k in config.items()) <= cap and times > 0
-            for x, k in config.items():
-                made[x] += k * times
-        assert made == h
-        assert sum(t for _, t in plan) <= -(-sum(x * k for x, k in h.items()) // cap) * 1.03 + 1
-    huge = packing._best_fit({7: 10**9, 3: 10**9, 5: 1}, 10)
-    assert sum(t for _, t in huge) == 10**9 + 1
+        for scale in (1, 10_000):  # done in one way at every size
+            plan = packing.solve({x: k * scale for x, k in h.items()}, cap)
+            assert contents(plan.runs, cap) == {x: k * scale for x, k in h.items()}
+            assert plan.bound <= plan.sequences <= plan.bound * (1.03 if n >= 300 else 1.15) + 1 and len(plan.runs) < 20_000
+        if n >= 3000:
+            assert plan.by_program > 0.6 * plan.pieces and plan.gap < 0.1
+    assert packing.solve({}, 10).runs == [] and packing.solve({10: 3, 1: 0}, 10).runs == [({10: 1}, 3)]
+
+
+def test_packing_program_against_all_configurations():
+    """Value and dual bound enclose the program's optimum, found by brute force on a grid of prices."""
+    lengths, counts, cap = np.array([7, 5, 3, 2]), np.array([9, 14, 20, 11]), 12
+    program = packing.fractional(lengths, counts, cap, gap=0.02, rounds=400)
+    fits = [c for c in np.ndindex(2, 3, 5, 7) if np.dot(c, lengths) <= cap and any(c)]
+    cover = np.zeros(4)
+    for (places, each), x in program.columns.items():
+        cover[list(places)] += np.array(each) * x
+        assert np.dot(lengths[list(places)], each) <= cap
+    assert (cover >= counts - 1e-6).all() and program.value == pytest.approx(sum(program.columns.values()))
+    rng = np.random.default_rng(0)
+    dual = max(float(y @ counts / max(np.dot(fits, y))) for y in np.exp(rng.normal(size=(4000, 4)) * 0.5) * lengths)
+    assert program.bound <= program.value <= 1.02 * program.bound and dual <= program.value + 1e-9
+
+
+def test_knapsack_against_all_fillings():
+    rng = np.random.default_rng(3)
+    lengths, counts, prices = np.array([9, 7, 4, 3]), np.array([1, 2, 5, 2]), rng.random(4)
+    bag = packing.Knapsack(lengths, counts, 20)
+    best = bag.solve(prices)
+    fillings = [np.array(c) for c in np.ndindex(2, 3, 6, 3)]
+    for room in range(21):
+        assert best[room] == pytest.approx(max(float(c @ prices) for c in fillings if c @ lengths <= room))
+    own = bag.configurations(np.arange(21))
+    assert (own <= counts).all() and np.allclose(own @ prices, best) and (own @ lengths <= np.arange(21)).all()
+
+
+def test_best_fit_in_bulk():
+    huge = packing._best_fit([], {7: 10**9, 3: 10**9, 5: 1}, 10)
+    assert contents(huge, 10) == {7: 10**9, 3: 10**9, 5: 1} and sum(t for _, t in huge) == 10**9 + 1
+    assert contents(packing._best_fit([({4: 1}, 5)], {3: 7, 6: 2}, 10), 10) == {4: 5, 3: 7, 6: 2}
 
 
 def test_packing_of_nothing(empty):
