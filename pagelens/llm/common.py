@@ -174,6 +174,17 @@ def put_file(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
+def get_file(uri: str) -> bytes | None:
+    """The bytes of a file of put_file; None where there is none."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_stream(path) as file:
+        return file.read()
+
+
 def read_files(spark: SparkSession, uri: str) -> DataFrame:
     """All files of a folder of put_file, as (path, content)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(uri).select("path", "content")

@@ -49,7 +49,7 @@ def test_loser_tree(k):
     assert list(warc.merge([])) == []
 
 
-@pytest.mark.parametrize("shard,block", [(16_384, 2_048), (37, 3)])
+@pytest.mark.parametrize("shard,block", [(16_384, 32 << 20), (37, 150)])
 def test_top_k(spark, shard, block):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)], 0) for i in range(200)]
@@ -57,7 +57,7 @@ def test_top_k(spark, shard, block):
     rows += [(300, None, 0), (320, [1.0, None, 0.0], 0), (340, [float("nan")], 0), (360, [float("inf"), 1.0], 0), (380, [], 0), (400, [1.0, -1.0], 0), (None, [1.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = {}
-    for r in topk.top_k(table, shard_rows=shard, block_rows=block).collect():
+    for r in topk.top_k(table, shard_rows=shard, block_bytes=block).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = {i: np.floor(64 * np.array([*v, *[0.0] * (6 - len(v))])).astype(int) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     for i in good:
@@ -74,9 +74,28 @@ def test_top_k_of_few_and_none(spark):
 
 
 def test_large_components_stay_exact():
-    x = np.array([[2**30, 1], [2**30, 2], [2**30, 3]])
-    query, score, ids = topk.max_score(x[:1], np.array([0]), x, np.arange(3), 2)
-    assert score.tolist() == [2**60 + 3, 2**60 + 2] and ids.tolist() == [2, 1]
+    x = np.array([[2**29, 1], [2**29, 2], [2**29, 3]])
+    ((score, ids),) = topk.max_score(x[:1], np.array([0]), [(x, np.arange(3))], 2)
+    assert score.tolist() == [2**58 + 3, 2**58 + 2] and ids.tolist() == [2, 1]
+
+
+@pytest.mark.parametrize("top", [3, 400, 2**27])
+def test_max_score_against_brute_force_and_its_work(top):
+    """Ties, negative and zero components; the postings and components read are fewer than all."""
+    rng = np.random.default_rng(top)
+    x = np.rint(rng.normal(size=(3000, 32)) * top / 3).astype(np.int64)
+    x[2000:2100] = x[:100]
+    x[5] = 0
+    ids = rng.permutation(3000)
+    shards = [(x[:1700], ids[:1700]), (x[1700:], ids[1700:])]
+    for q, (score, found) in enumerate(topk.max_score(x[:40], ids[:40], shards, 20)):
+        want = sorted((-int(s), int(j)) for s, j in zip(x @ x[q], ids) if j != ids[q])[:20]
+        assert list(zip((-score).tolist(), found.tolist())) == want
+    shard = topk.Shard(x, ids, topk._kind(x, x))
+    for q in range(6, 40):
+        shard.search(x[q], int(ids[q]), 20)
+    everything = 34 * x.size
+    assert 0 < shard.traversed < 0.5 * everything and shard.traversed + shard.probed < 0.95 * everything
 
 
 def test_pipeline_stages(spark, corpus, tmp_path):
