@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, connected_components, id_and_text, long_lists, map_texts, materialize, shingles, words_of
 
 
+#: Parts that a class of equal sets is dealt out in.
+PARTS = 64
+
+
 def sketches(docs: DataFrame, k: int, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch) of every row of docs (doc_id, text binary)."""
 
@@ -56,12 +60,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(100 * inter >= percent * (F.size("full_a") + F.size("full_b") - inter)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, k: int = 64, shingle_words: int = 5, slack_sigmas: float = 4.1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, k: int = 64, shingle_words: int = 5, slack_sigmas: float = 4.1, exact: bool = False) -> DataFrame:
     """Component of every row of docs: (doc_id, n_shingles, component_id, kept).
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least threshold; component_id is the
     smallest id reachable. A sketch estimate may be slack_sigmas standard errors under the threshold before a pair is
-    let go (a miss has odds of about 2 in 100,000 at the threshold itself and vanishes above it).
+    let go (a miss has odds of about 2 in 100,000 at the threshold itself and vanishes above it). With exact, all sets
+    of different components are also looked at through exact prefix lists, so that no link is missed, at a higher cost.
 
     Null, empty or blank texts have an empty set and no links. Rows that repeat an id are linked with each other and
     give a row each. A row without an id is linked with nothing and has a null component_id and kept true. Other
@@ -71,8 +76,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t, slack = threshold, slack_sigmas * math.sqrt(threshold * (1 - threshold) / k)
     sketch = materialize(sketches(rows, k, shingle_words), "near-sketch")
 
-    classes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = sketch.join(classes, "set_key", "left")
+    # a class of thousands of copies is dealt out by part, first for its least id and then to learn it
+    dealt = sketch.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    parts = dealt.where("set_key is not null and doc_id is not null").groupBy("set_key", "part").agg(F.min("doc_id").alias("least"))
+    classes = parts.join(parts.groupBy("set_key").agg(F.min("least").alias("rep")), "set_key").select("set_key", "part", "rep")
+    member = dealt.join(classes, ["set_key", "part"], "left").drop("part")
     reps = materialize(member.where("rep = doc_id").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"]), "near-reps")
     held = F.size("sketch")
     needed = F.when(F.col("n") <= t * k, F.ceil(t * F.col("n"))).otherwise(F.floor((t - slack) * held)).cast("int")
@@ -89,7 +97,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("value", "rep", "central")
     )
     listed = materialize(listed, "near-lists")
-    sets = materialize(full_sets(rows.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id", "full"]), "near-sets")
+    asked = (reps if exact else listed).select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialize(full_sets(rows.join(asked, "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id", "full"]), "near-sets")
 
     pivot = listed.groupBy("value").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("pivot"))
     star = listed.join(pivot, "value").where("pivot <> rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
@@ -104,6 +113,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settled = listed.select("value", "rep").join(first.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = settled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     open_docs = settled.join(mixed, "value", "left_semi").select(F.col("rep").alias("doc_id"), "component").distinct()
+    if exact:
+        open_docs = reps.select("rep").distinct().join(first.toDF("rep", "component"), "rep", "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
     more = materialize(_between_components(sets, open_docs, t), "near-links")
 
     same_id = member.where("rep <> doc_id").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
