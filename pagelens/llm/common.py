@@ -14,8 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word cache of a Python worker is emptied when it holds this many words.
-MAX_CACHED_WORDS = 1_000_000
+#: A word cache of a task is emptied when its words, with about 150 bytes each besides their own, take this many bytes.
+MAX_CACHE_BYTES = 32 << 20
+WORD_BYTES = 150
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,11 +62,15 @@ def shares(spark: SparkSession, total_bytes: float, target: int = 64 << 20) -> i
 
 
 class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash; remembers what it has seen up to MAX_CACHED_WORDS."""
+    """Word (bytes) to its 64-bit hash; remembers what it has seen up to MAX_CACHE_BYTES."""
+
+    size = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
+        self.size += len(word) + WORD_BYTES
+        if self.size > MAX_CACHE_BYTES:
             self.clear()
+            self.size = 0
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -107,7 +112,17 @@ def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     return grams(hashes, min(size, len(hashes))) if len(hashes) else np.zeros(0, np.int64)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[pa.Array]]], schema: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+def _chunks(column: pa.Array, chunk_bytes: int) -> Iterator[tuple[int, int]]:
+    """Slices (start, rows) of a binary column with about chunk_bytes of text each, a row at least."""
+    ends = np.cumsum(np.nan_to_num(np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)) + 64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk_bytes, "right")))
+        yield at, to - at
+        at = to
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[pa.Array]]], schema: str, chunk_bytes: int = 2 << 20) -> DataFrame:
     """df (doc_id, text binary) through a function made once a task, called on chunks of about chunk_bytes of text.
 
     The function gets ids and texts and returns the columns of schema.
@@ -121,18 +136,35 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list[pa.A
         arrow, call = to_arrow_schema(names), make()
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            ends = np.cumsum(np.nan_to_num(np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float)) + 64)
-            at = 0
-            while at < len(column):
-                base = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, base + chunk_bytes, "right")))
-                out = call(ids.slice(at, to - at).to_pylist(), column.slice(at, to - at).to_pylist())
+            for at, n in _chunks(column, chunk_bytes):
+                out = call(ids.slice(at, n).to_pylist(), column.slice(at, n).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
-                at = to
 
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list], np.ndarray | list]], text_col: str = "text", chunk_bytes: int = 2 << 20) -> DataFrame:
+    """df with all its columns through a function made once a task, which gets a chunk's texts (UTF-8, null as None).
+
+    An array of booleans that it returns says which rows stay; a list of texts takes the place of theirs.
+    """
+    at_text = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = make()
+        for batch in batches:
+            column = batch.column(at_text)
+            raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            for at, n in _chunks(raw, chunk_bytes):
+                out, part = call(raw.slice(at, n).to_pylist()), batch.slice(at, n)
+                if isinstance(out, np.ndarray):
+                    yield part if out.all() else part.filter(pa.array(out))
+                else:
+                    yield part.set_column(at_text, batch.schema.field(at_text), pa.array(out, column.type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def long_lists(parts: list[np.ndarray]) -> pa.Array:
     """Arrays of int64 as one Arrow column of lists."""
     ends = np.cumsum([0, *map(len, parts)])

@@ -16,10 +16,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, id_and_text, map_texts, materialize, mix64, words_of
+from .common import WordHashes, grams, id_and_text, map_rows, map_texts, materialize, mix64, words_of
 
 
 def _signatures(values: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
@@ -86,14 +86,58 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     blocks of `block` rows, numbered by item hash, so that what a task holds is bounded.
     """
     rows = id_and_text(docs, id_col, text_col)
+    found = []
+    for part in _blocks(items, item_id, item_text, block):
+        hits = _search(rows.sparkSession, part, threshold, shingle_words, functions)
+
+        def make(hits=hits):
+            search = hits()
+
+            def call(ids, texts):
+                out = [(ids[doc], *rest) for doc, *rest in search(texts)]
+                return [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+
+            return call
+
+        found.append(map_texts(rows, make, "doc_id long, item_id long, item_shingles long, found long, containment double"))
+    return reduce(DataFrame.union, found)
+
+
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds none of the items (see contained_items).
+
+    Each row is judged by its own text, in one pass for each block of items and without a join, whether its id is null
+    or repeated. Null and empty texts stay; without items all rows stay; an empty table gives no rows.
+    """
+    for part in _blocks(items, item_id, item_text, block):
+        hits = _search(docs.sparkSession, part, threshold, shingle_words, functions)
+
+        def make(hits=hits):
+            search = hits()
+
+            def clean(texts):
+                stays = np.ones(len(texts), bool)
+                stays[[doc for doc, *_ in search(texts)]] = False
+                return stays
+
+            return clean
+
+        docs = map_rows(docs, make, text_col)
+    return docs
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, block: int) -> list[DataFrame]:
+    """Items (item_id, text) in parts of about `block` rows."""
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     blocks = max(1, -(-wanted.count() // block))
-    numbered = wanted if blocks == 1 else materialize(wanted.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    found = [_search(rows, (numbered if blocks == 1 else numbered.where(F.col("part") == i)).select("item_id", "text"), threshold, shingle_words, functions) for i in range(blocks)]
-    return reduce(DataFrame.union, found)
+    if blocks == 1:
+        return [wanted]
+    numbered = materialize(wanted.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    return [numbered.where(F.col("part") == i).select("item_id", "text") for i in range(blocks)]
 
 
-def _search(rows: DataFrame, items: DataFrame, threshold: float, shingle_words: int, functions: int) -> DataFrame:
+def _search(spark: SparkSession, items: DataFrame, threshold: float, shingle_words: int, functions: int):
+    """A function that a task calls once for a search: texts to (text's place, item_id, item_shingles, found, containment)."""
     hashes = WordHashes()
     seeds = mix64(np.arange(1, functions + 1, dtype=np.uint64)) | np.uint64(1)
     by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -102,7 +146,7 @@ def _search(rows: DataFrame, items: DataFrame, threshold: float, shingle_words:
         if words:
             length = min(shingle_words, len(words))
             by_length.setdefault(length, []).append((item, np.unique(grams(hashes.of(words), length))))
-    shared = rows.sparkSession.sparkContext.broadcast([(n, its, _index(its, seeds)) for n, its in sorted(by_length.items())])
+    shared = spark.sparkContext.broadcast([(n, its, _index(its, seeds)) for n, its in sorted(by_length.items())])
 
     def make():
         known = WordHashes()
@@ -119,7 +163,7 @@ def _search(rows: DataFrame, items: DataFrame, threshold: float, shingle_words:
                     out.update((doc, item) for doc in range(first, last + 1))
             return out
 
-        def call(ids, texts):
+        def search(texts):
             out: list[tuple] = []
             words = [known.of(words_of(t)) for t in texts]
             for length, its, classes in shared.value:
@@ -136,9 +180,9 @@ def _search(rows: DataFrame, items: DataFrame, threshold: float, shingle_words:
                         at = np.minimum(np.searchsorted(whole[doc], own), len(whole[doc]) - 1)
                         common = int((whole[doc][at] == own).sum())
                         if common >= threshold * len(own):
-                            out.append((ids[doc], item, len(own), common, common / len(own)))
-            return [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+                            out.append((doc, item, len(own), common, common / len(own)))
+            return out
 
-        return call
+        return search
 
-    return map_texts(rows, make, "doc_id long, item_id long, item_shingles long, found long, containment double")
+    return make

@@ -24,14 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, materialize
-from .tokens import default_tokenizer, encoder
+from .tokens import Encoder, default_tokenizer
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank counts equal lengths within the partition part."""
 
     def make():
-        encode, seen, part = encoder(tokenizer).encode, {}, TaskContext.get().partitionId()
+        encode, seen, part = Encoder(tokenizer).encode, {}, TaskContext.get().partitionId()
 
         def call(ids, texts):
             flat, lengths = encode(texts)

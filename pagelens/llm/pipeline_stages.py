@@ -11,30 +11,21 @@ from . import decontaminate, langid, near_dedup, packing, secrets
 from .common import materialize, read_table
 
 
-#: A document within a stage, where its id may be null or repeated: a hash of id and text, never null. Rows that agree in
-#: both share it, and whatever a stage finds in a text holds for all of them.
-KEY = "__key"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-
-
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and texts without a letter. lang is left as it is.
+    """Drops documents in which language ID finds no language: null and empty texts and texts without a letter.
 
-    Each row is judged by its own text, whether its id is null or repeated.
+    The languages are learned from docs' own lang, which is left as it is. Each row is judged by its own text, whether
+    its id is null or repeated. If no language can be learned, every document is dropped; an empty table stays empty.
     """
-    keyed = _keyed(docs)
-    found = langid.predict(keyed, langid.train(docs), id_col=KEY).where("lang_pred <> 'und'").select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed.join(found, KEY, "left_semi").select(*docs.columns)
+    return langid.with_language(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group, once.
 
     Of rows that repeat that id, the one of smallest text stays (null last; then by the other columns in their order).
-    Rows without an id are linked with nothing, and all of them are kept.
+    Rows without an id are linked with nothing, and all of them are kept; so are null and blank texts of ids of their own.
+    An empty table stays empty.
     """
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     order = [F.col("text").isNull(), F.col("text"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))]
@@ -44,21 +35,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, those without an id too."""
-    keyed = _keyed(docs)
-    leaks = decontaminate.contained_items(keyed, read_table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed.join(leaks, KEY, "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, those without an id or with a repeated one too; null and empty texts stay.
+
+    An empty benchmark or an empty table leaves docs as they are.
+    """
+    return decontaminate.without_items(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the text by [secret] and sets n_chars anew; keeps every document, and masks those without an id too."""
-    keyed = _keyed(docs)
-    masked = secrets.redact(keyed, secrets.find_secrets(keyed, id_col=KEY, ratios=secrets.train(docs)), id_col=KEY)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Replaces secrets in the text by [secret] and sets n_chars anew (null for null texts).
+
+    Keeps every document, and masks each by its own text, those without an id or with a repeated one too.
+    """
+    masked = secrets.redact(docs, ratios=secrets.train(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' token pieces in sequences of at most 4096 tokens."""
+    """Places of all documents' token pieces in sequences of at most 4096 tokens.
+
+    Null and empty texts are one piece, their end; rows without an id or with a repeated one give pieces of their own.
+    """
     return packing.pack(docs, capacity=4096, end_id=1)
 
 

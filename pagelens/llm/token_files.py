@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, materialize, new_dir, put_file, read_files
-from .tokens import default_tokenizer, encoder
+from .tokens import Encoder, default_tokenizer
 
 MAGIC = b"PFORTOK1"
 BLOCK = 128
@@ -112,7 +112,7 @@ def decode_file(raw: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
     return number, [d if k else None for d, k in zip(doc_ids, known, strict=True)], lengths.astype(np.int64), ids
 
 
-def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None, ids_per_file: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None, ids_per_file: int = 1_000_000) -> DataFrame:
     """Writes all documents' ids, each with end_id, to files in folder; returns (file, docs, n_ids), a row per file.
 
     Files are numbered in ascending document order (null ids first); a file is closed once it has ids_per_file ids.
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, file = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, file = Encoder(path).encode, TaskContext.get().partitionId(), 0
         doc_ids, lengths, parts, size = [], [], [], 0
 
         def close():
@@ -169,12 +169,20 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes docs to files (see write_token_files) and reads those back: (doc_id, start, n_tokens, ids_crc32), start over all files."""
+    """Writes docs to files and reads those back: (doc_id, start, n_tokens, ids_crc32), start counted over all files.
+
+    Documents are in ascending order of their ids, null ids first; rows that repeat an id, or have none, are written each
+    and give a row each, one after the other in no set order. A null or empty text is the end id alone. Other columns
+    are ignored; an empty table writes no file and gives no rows.
+    """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
     written = materialize(write_token_files(docs, folder, **options), "token-index")
-    # one row a file, not a document: a running sum of file sizes
-    starts = written.withColumn("base", F.sum("n_ids").over(W.orderBy("file")) - F.col("n_ids")).select("file", "base")
+    # running sums of file sizes: over a part's files, and over the parts, which are as many as the write had tasks
+    files = written.withColumn("part", F.shiftright("file", 24))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("before", F.sum("all").over(W.orderBy("part")) - F.col("all")).select("part", "before")
+    own = F.sum("n_ids").over(W.partitionBy("part").orderBy("file")) - F.col("n_ids")
+    starts = files.withColumn("own", own).join(parts, "part").select("file", (F.col("own") + F.col("before")).alias("base"))
     if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     back = read_token_files(read_files(spark, folder))

@@ -78,6 +78,13 @@ def test_between_components_finds_what_a_star_missed(spark):
     assert {tuple(r) for r in pairs.collect()} == want
 
 
+def test_exact_near_duplicates(corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    want = brute_components(rows)
+    got = near_dedup.near_duplicates(corpus, exact=True).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 51), (7, 7)]
     got = {r.node: r.component_id for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -157,7 +164,7 @@ def test_secrets(spark):
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for a, _, k, b in spans} <= set(got[i].spans.split(","))
     assert got[6].spans == "" and got[7].spans == "markov:4:28"
-    masked = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, ratios=secrets.train(docs)).collect()}
     assert masked[1] == 'x [secret]" and [secret] end' and masked[7] == "key [secret] here" and masked[4] is None and masked[6] == SECRETS[5][1]
     assert "\U0001f600 [secret]' 0123" in masked[3]
 
@@ -188,6 +195,67 @@ def test_language(spark):
     assert langid.predict(spark.createDataFrame(tests, schema), none).where("lang_pred = 'und'").count() == 8
 
 
+def test_one_language_only_where_viterbi_agrees():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 30, 400)
+    scores = rng.normal(size=(lengths.sum(), 3)) + np.repeat(rng.normal(size=(400, 3)), lengths, axis=0)
+    prior = np.log([0.5, 0.3, 0.2])
+    for penalty in (0.5, 2.0, 5.0):
+        best, sure = langid.one_language(scores, lengths, prior, penalty)
+        labels = langid.viterbi(scores, lengths, prior, penalty)
+        ends = np.cumsum(lengths)
+        for i in np.flatnonzero(sure & (lengths > 0)):
+            assert set(labels[ends[i] - lengths[i] : ends[i]].tolist()) == {best[i]}
+        assert penalty < 5 or sure.mean() > 0.3
+
+
+def test_word_scores_against_brute_force(spark):
+    """Each character by the longest gram of at most four that was seen, interpolated with the shorter ones."""
+    texts = [("en", "the then there they"), ("de", "der den dem denen"), ("en", "at the hat")]
+    model = langid.train(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string"))
+    grams = {"en": Counter(), "de": Counter()}
+    for lang, text in texts:
+        for w in text.split():
+            p = f"\x02{w}\x03"
+            grams[lang].update(p[i : i + n] for n in range(1, 5) for i in range(len(p) - n + 1) if n > 1 or i)
+    singles = {g for c in grams.values() for g in c if len(g) == 1}
+    everything = {g for c in grams.values() for g in c}
+
+    def prob(c, g):
+        lower = 1 / (len(singles) + 200) if len(g) == 1 else prob(c, g[1:])
+        context = sum(n for x, n in c.items() if len(x) == 1) if len(g) == 1 else c[g[:-1]] if g[:-1] in everything else 0
+        return (c[g] + 5 * lower) / (max(context, c[g]) + 5)
+
+    words = ["then", "dent", "q", "thq"]
+    got = langid.word_scores(words, model)
+    for i, w in enumerate(words):
+        p = f"\x02{w}\x03"
+        for j, lang in enumerate(model.langs):
+            want = 0.0
+            for end in range(2, len(p) + 1):
+                own = next((p[s:end] for s in range(max(0, end - 4), end) if p[s:end] in everything), None)
+                want += np.log(prob(grams[lang], own) if own else 1 / (len(singles) + 200))
+            assert got[i, j] == pytest.approx(want, rel=1e-4)
+
+
+def test_hundreds_of_languages(spark):
+    letters = "abcdefghijklmnopqrst"
+    say = lambda i: " ".join(letters[i % 20] + letters[i // 20] + letters[(i + k) % 20] + "u" * (1 + k % 2) for k in range(30))
+    docs = spark.createDataFrame([(i, say(i), f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.train(docs)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in got) > 290
+
+
+def test_with_language(spark):
+    en, de = "the house and the water with this thing that", "das haus und der schnee mit nicht ein ich"
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(en, "en"), (de, "de")] * 20)], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    docs = spark.createDataFrame([(None, en, "x"), (1, de, "y"), (1, None, "y"), (2, "", None), (3, "12 !", None), (3, f"{en} {en} {de}", None)], "doc_id long, text string, spans string")
+    texts = lambda **a: sorted(r.text for r in langid.with_language(docs, model, **a).collect())
+    assert texts() == sorted([en, de, f"{en} {en} {de}"]) and texts(languages=["de"]) == [de] and texts(least_share=0.9) == sorted([en, de])
+    assert langid.with_language(docs.where("false"), model).count() == 0 and langid.with_language(docs, langid.train(train.where("false"))).count() == 0
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 
@@ -427,3 +495,35 @@ def test_secrets_of_letters_short_ones_and_parts_beside_fixed_spans(spark):
     assert got[0] == [("markov", 4, 24)] and got[1] == [("markov", 4, 16)]
     assert got[2] == [("markov", 4, 23), ("hex", 23, 48), ("markov", 48, 50)]
     assert got[3] == [("assign", 7, 32)] and got[4] == []
+
+
+def test_planted_secrets_that_no_fixed_pattern_covers(spark):
+    """Precision and recall over keys of several alphabets, beside words and identifiers with and without digits."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bcdfglmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 6))) + rnd.choice(["", "n", "st", "ring"])
+    vocabulary = [word() for _ in range(3000)]
+    names = lambda: "".join(w.capitalize() for w in rnd.sample(vocabulary, 3)) + rnd.choice(["", "2", "V10"])
+    plain = [w for w in vocabulary if len(w) >= 12] + [names() for _ in range(300)] + ["_".join(rnd.sample(vocabulary, 3)) + str(rnd.randrange(99)) for _ in range(300)]
+    plain += ["getUserById2AndReturnHttpResponse", "550e8400-e29b-41d4-a716-446655440000", "123456789012345678"]
+    keys = ["".join(rnd.choice(a) for _ in range(20)) for a in secrets.ALPHABETS for _ in range(60)]
+    train = spark.createDataFrame([(i, " ".join(rnd.choices(vocabulary, k=400))) for i in range(100)], "doc_id long, text string")
+    ratios = secrets.train(train)
+    docs = spark.createDataFrame([(i, f"see {t} now") for i, t in enumerate(plain + keys)], "doc_id long, text string")
+    hits = {r.doc_id for r in secrets.find_secrets(docs, ratios=ratios).where("size(spans) > 0").collect()}
+    caught, wrong = sum(i >= len(plain) for i in hits), sum(i < len(plain) for i in hits)
+    assert caught >= 0.95 * len(keys) and wrong <= 0.02 * len(plain)
+
+
+def test_secret_samples_given(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    taught = secrets.train(docs, random=["zzzqqqzzzqqq"] * 3000, ordinary=["orderlyNames"] * 3000)
+    assert secrets.is_random("zzzqqqzzzqqq", taught, 0.6, 12) and not secrets.is_random("orderlyNames", taught, 0.6, 12)
+
+
+def test_redact_by_row(spark):
+    rows = [(1, "password=abcdef123 zz"), (1, "zz password=abcdef123"), (None, "secret=abcdef"), (2, None), (2, ""), (3, "plain"), (3, "plain")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
+    got = secrets.redact(docs, ratios=secrets.train(docs))
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", "[secret] zz"), ("1", "zz [secret]"), ("None", "[secret]"), ("2", "None"), ("2", ""), ("3", "plain"), ("3", "plain")])
+    assert secrets.redact(docs.where("false"), ratios=secrets.train(docs)).count() == 0
