@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +79,27 @@ def _codes(text: str, alphabet: np.ndarray) -> np.ndarray:
     return np.where(alphabet[at] == points, at + 1, 0).astype(np.uint64)
 
 
+def _count_grams(words: list[str], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Character grams of one to ORDER characters of words between start and end marks, each with the words' counts summed."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet = np.unique(points)
+    if len(alphabet) > ALPHABET and len(words) > 1:
+        for half in (slice(0, len(words) // 2), slice(len(words) // 2, None)):
+            yield from _count_grams(words[half], counts[half])
+        return
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes, weights = np.searchsorted(alphabet, points).astype(np.uint64), np.repeat(counts, sizes)
+    keys = codes
+    for size in range(1, ORDER + 1):
+        ends = place >= max(1, size - 1)
+        found, which = np.unique(keys[ends], return_inverse=True)
+        chars = np.stack([alphabet[((found >> np.uint64(16 * back)) & np.uint64(0xFFFF)).astype(np.int64)] for back in range(size - 1, -1, -1)], axis=1)
+        yield np.ascontiguousarray(chars.astype("<u4")).view(f"<U{size}").ravel().astype(object), np.bincount(which, weights=weights[ends]).astype(np.int64)
+        if size < ORDER:
+            keys = keys | (np.roll(codes, size) << np.uint64(16 * size))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 1500) -> Model:
     """A model from docs' text and non-null language, of at most about max_docs_per_lang documents a language.
 
@@ -95,26 +116,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < keep[F.col("lang")])
 
     def count(batches):
-        def close(words: Counter):
-            grams: Counter = Counter()
-            for (lang, word), n in words.items():
-                grams[lang, "script", script_of(word)] += n
-                padded = "\x02" + word + "\x03"
-                for size in range(1, ORDER + 1):
-                    for i in range(max(0, 2 - size), len(padded) - size + 1):
-                        grams[lang, "gram", padded[i : i + size]] += n
-            keys = list(grams)
-            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([grams[k] for k in keys], pa.int64())], names=["lang", "kind", "gram", "n"])
+        def close(words: Counter) -> Iterator[pa.RecordBatch]:
+            for lang in sorted({lang for lang, _ in words}):
+                own = {w: n for (x, w), n in words.items() if x == lang}
+                kinds: Counter = Counter()
+                for word, n in own.items():
+                    kinds[script_of(word)] += n
+                parts = [("script", np.array(list(kinds), object), np.array(list(kinds.values())))]
+                parts += [("gram", *found) for found in _count_grams(list(own), np.fromiter(own.values(), np.int64, len(own)))]
+                for kind, grams, counts in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([kind] * len(grams)), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "kind", "gram", "n"])
 
         for batch in batches:
             words: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words.update((lang, w) for w in WORD.findall(text.as_py().lower()))
                 if len(words) > 100_000:
-                    yield close(words)
+                    yield from close(words)
                     words.clear()
-            if words:
-                yield close(words)
+            yield from close(words)
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # the grams of the bounded sample
@@ -157,11 +177,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, np.log(shares / shares.sum()), scripts, alphabet, keys, logs, math.log(floor))
 
 
+class _Scripts(dict):
+    """A character to the place of its script among the names, -1 for scripts that are not there."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def __missing__(self, char: str) -> int:
+        name = script_of(char)
+        self[char] = at = self.names.index(name) if name in self.names else -1
+        return at
+
+
 class WordScores(dict):
     """Word to its row in a table of scores by language."""
 
     def __init__(self, model: Model):
         self.model, self.new, self.size = model, [], 0
+        names = list(model.scripts)
+        may = np.array([model.scripts[x] for x in names], bool).reshape(len(names), len(model.langs))
+        self.masks = np.concatenate((np.where(may | ~may.any(axis=1, keepdims=True), 0, -30), np.zeros((1, len(model.langs))))).astype(np.float32)
+        self.script = _Scripts(names)
         self.used, self.scores, self.letters = 0, np.zeros((1024, len(model.langs)), np.float32), np.zeros(1024, np.int32)
 
     def __missing__(self, word: str) -> int:
@@ -180,14 +216,10 @@ class WordScores(dict):
         n, to = len(self.new), self.used + len(self.new)
         while to > len(self.letters):  # room for twice as many
             self.scores, self.letters = (np.concatenate((x, np.zeros_like(x))) for x in (self.scores, self.letters))
-        masks = np.zeros((n, len(self.model.langs)), np.float32)
         lower = [w.lower() for w in self.new]
-        for i, word in enumerate(lower):
-            may = self.model.scripts.get(script_of(word))
-            if may is not None and may.any():
-                masks[i] = -30.0 * ~may
-        self.scores[self.used : to] = word_scores(lower, self.model) + masks
-        self.letters[self.used : to] = [sum(map(str.isalpha, w)) for w in self.new]
+        script = np.fromiter((self.script[w[0]] for w in lower), np.int64, n)
+        self.scores[self.used : to] = word_scores(lower, self.model) + self.masks[script]
+        self.letters[self.used : to] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in self.new]
         self.new, self.used = [], to
 
 
