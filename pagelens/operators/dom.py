@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +12,48 @@ from pagelens.functions import text as T
 
 HIDDEN = ["script", "style", "template", "noscript", "svg"]
 
-# Markers looked for in a page's source.
-SPA_MARKS = ['id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"', "data-reactroot", "ng-app", "ng-version"]
-HYDRATION_MARKS = ["__NEXT_DATA__", "__NUXT__", "window.__INITIAL_STATE__", "hydrate(", "hydrateRoot("]
-LAZY_MARKS = ["data-src", "data-srcset", "data-lazy", "data-original", "data-bg", "lazyload", "lazy-load", "lozad", "IntersectionObserver", 'loading="lazy"', "infinite-scroll", "infinite_scroll", "load-more", "loadmore"]
-BUILDER_MARKS = ["elementor", "data-elementor", "wp-content/plugins/elementor"]
-MOJIBAKE_MARKS = ["�", "Ã©", "Ã¨", "â€™", "â€œ"]
+# Selectors and strings that tell an application shell, boilerplate, lazy loading and a page builder.
+SHELL_SELECTORS = ["#root", "#app", "#__next", "#__nuxt", "[data-reactroot]", "[data-v-app]", "[ng-version]"]
+HYDRATION_MARKS = ["data-reactroot", "data-react-helmet", "data-server-rendered", "data-n-hydration", "data-n-ssr", "ng-version", "data-v-"]
+BOILERPLATE_SELECTORS = ["#cookie-banner", "#gdpr-banner", ".cookie-consent", ".gdpr-overlay", "#login-wall", ".paywall", ".skeleton", "[role='dialog']"]
+LAZY_ATTRIBUTES = ["loading", "data-lazy", "data-lazy-src", "data-src", "data-bg", "data-background", "data-lazyload", "data-ll-status", "data-was-processed", "data-evaluated", "data-elementor-type", "data-elementor-id", "data-ll-state", "data-ll-loaded"]
+LAZY_CLASSES = ["lazy", "lazyload", "lazy-load", "lazyloading", "lazy-loading", "lazyloaded", "lazy-loaded", "lazyload-item", "lazyload-pending", "lazyload-wrapper", "lozad", "blazy", "vanilla-lazyload", "elementor-lazy", "elementor-lazyload"]
+SCROLL_MARKS = ["infinite-scroll", "infinite_scroll", "loadmore", "load-more", "auto-load", "scroll-pagination", "scroll-loader"]
+RENDER_MARKS = ['id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"', "data-reactroot", "data-react-root", "data-v-app", "ng-version"]
+BUILDER_MARKS = ["elementor-section", "elementor-widget", "elementor-column", "elementor-container", "elementor-element", "e-con", "data-elementor-type", "data-elementor-id", "elementor/frontend", "elementorfrontend"]
+
+
+MOJIBAKE_MARKS = ["\ufffd", "Ã©", "Ã¨", "Ã§", "Ã "]
+
+
+_SELECTOR = re.compile(r"""([a-z][a-z0-9]*)|([#.])([\w-]+)|\[([\w-]+)(?:(\*?=)['"]?([^'"\]]*)['"]?)?\]""")
+
+
+def matches(css: str) -> Column:
+    """Whether a node is one that the selector finds: tag, id, class and attribute tests, after a parent (>) or ancestor tag."""
+    *before, last = re.split(r"\s+", css.strip())
+    tests = [F.col("kind") == "element"]
+    if before:
+        child = before[-1] == ">"
+        up = before[-2] if child else before[-1]
+        tests.append(F.try_element_at("ancestor_tags", F.lit(-1)) == up if child else F.array_contains("ancestor_tags", up))
+    for tag, mark, name, attribute, test, value in _SELECTOR.findall(last):
+        if tag:
+            tests.append(F.col("tag") == tag)
+        elif mark == "#":
+            tests.append(F.col("attrs")["id"] == name)
+        elif mark == ".":
+            tests.append(class_has(F.col("attrs"), name))
+        elif test == "=":
+            tests.append(F.col("attrs")[attribute] == value)
+        else:
+            tests.append(F.contains(F.col("attrs")[attribute], F.lit(value)) if test else F.col("attrs")[attribute].isNotNull())
+    return F.coalesce(reduce(lambda x, y: x & y, tests), F.lit(False))
+
+
+def found(css: str) -> Column:
+    """Aggregate: 1 if a group of nodes has one that the selector finds, else 0."""
+    return F.max(matches(css).cast("int"))
 
 
 def has_any(col: Column, marks: list[str]) -> Column:
@@ -65,28 +104,30 @@ def page_flags(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         count((F.try_element_at("ancestor_tags", F.lit(-1)) == "body") & element & ~F.col("tag").isin("script", "noscript", "template")).alias("body_children"),
         F.max(F.coalesce(F.array_contains("ancestor_tags", "script") & F.contains("text", F.lit("attachShadow")), F.lit(False))).alias("shadow_dom"),
         count(element & in_body & (F.col("pre") == F.col("last"))).alias("empty_leaves"),
-        count(element & (F.lower(F.col("attrs")["class"]).rlike("cookie|consent|paywall|newsletter|banner|modal|gdpr|subscribe"))).alias("banner_elements"),
+        sum(found(css) for css in BOILERPLATE_SELECTORS).alias("banner_elements"),
+        F.greatest(*(found(css) for css in SHELL_SELECTORS)).alias("shell_elements"),
+        count(F.col("tag") == "parsererror").alias("parser_errors"),
     )
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "html").join(per, "page_id", "left").join(page_text(nodes, pages), "page_id", "left").fillna(0, ["text_nodes", "elements", "scripts", "bodies", "body_children", "empty_leaves", "banner_elements"]).fillna(False, ["shadow_dom"])
+    rows = pages.select("page_id", "html").join(per, "page_id", "left").join(page_text(nodes, pages), "page_id", "left").fillna(0, ["text_nodes", "elements", "scripts", "bodies", "body_children", "empty_leaves", "banner_elements", "shell_elements", "parser_errors"]).fillna(False, ["shadow_dom"])
     text_len = F.length("visible_text")
     last_word = F.regexp_extract("visible_text", r"(\S+)$", 1)
     rows = rows.withColumns(
         {
             "blank": F.trim(html) == "",
-            "hydration_shell": (text_len < 80) & (has_any(html, SPA_MARKS) | has_any(html, HYDRATION_MARKS) | ((F.col("scripts") > 5) & (text_len < 50))),
+            "hydration_shell": (text_len < 80) & ((F.col("shell_elements") > 0) | has_any(html, HYDRATION_MARKS) | ((F.col("scripts") > 5) & (text_len < 50))),
             "script_only_dom": (F.col("body_children") == 0) | (text_len < 20),
             "boilerplate_only": text_len.between(100, 399) & (F.col("banner_elements") >= 2),
-            "malformed_dom": (F.col("elements") < 3) | (F.col("bodies") == 0),
+            "malformed_dom": (F.col("elements") < 3) | (F.col("bodies") == 0) | (F.col("parser_errors") > 0),
             "oversized_html": F.length(html) > 10 * 1024 * 1024,
             "encoding_failure": has_any(html, MOJIBAKE_MARKS) | html.rlike("[À-Ã][\\u0080-\\u00BF]"),
             "mid_sentence_truncation": (text_len >= 150) & ~F.col("visible_text").rlike(r"[.!?:;]$") & last_word.rlike("^[A-Za-z]{4,}$") & last_word.rlike("(?i)[^aeiou]{2}$"),
             "truncated_html": (F.length(html) > 100) & ~(F.contains(F.lower(html), F.lit("</html>")) & F.contains(F.lower(html), F.lit("</body>"))),
-            "needs_rendering": has_any(html, LAZY_MARKS) | has_any(html, BUILDER_MARKS) | has_any(html, SPA_MARKS),
-            "lazy_load": has_any(html, LAZY_MARKS),
-            "page_builder": has_any(html, BUILDER_MARKS),
+            "lazy_load": has_any(F.lower(html), [*LAZY_ATTRIBUTES, *LAZY_CLASSES, "intersectionobserver", *SCROLL_MARKS]) | (F.contains(F.lower(html), F.lit("pagination")) & F.contains(F.lower(html), F.lit("scroll"))),
+            "page_builder": has_any(F.lower(html), BUILDER_MARKS),
         }
     )
+    rows = rows.withColumn("needs_rendering", F.col("lazy_load") | F.col("page_builder") | has_any(F.lower(html), RENDER_MARKS))
     corrupt = F.when(F.col("bodies") == 0, "no_body").when(F.col("text_nodes") < 3, "too_few_text_nodes").when(F.col("empty_leaves") > 12000, "too_many_empty_nodes").when(F.col("script_only_dom"), "script_only").when(F.col("hydration_shell"), "hydration_shell")
     rows = rows.withColumn("dom_corruption", corrupt)
     order = [F.when(F.col("blank"), "parser_error"), F.when(F.col("dom_corruption").isNotNull(), "dom_corruption")] + [F.when(F.col(c), c) for c in ("hydration_shell", "shadow_dom", "malformed_dom", "script_only_dom", "boilerplate_only", "oversized_html", "encoding_failure", "mid_sentence_truncation")]

@@ -31,6 +31,7 @@ KINDS = [
     ("url", 0.90, [r"https?://[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?:/[^\s]*)?"]),
     ("person", 0.70, [r"\b(?:by|author|written by|posted by|created by|chef|designer|architect|owner|founder|director|manager)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})\b"]),
 ]
+#: Characters after which a kind's values are cut and end in an ellipsis.
 MOST = {"organization": 100, "product": 100, "url": 200}
 
 
@@ -52,7 +53,7 @@ def bounded(pattern: str, kind: str) -> str:
 
 
 def values_of(kind: str, text: Column) -> Column:
-    """Distinct values of a kind, in the order its patterns find them."""
+    """Distinct values of a kind, in the order its patterns find them; long ones are cut after that, none is dropped."""
     patterns = next(p for k, _, p in KINDS if k == kind)
     found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(bounded(p, kind)), F.lit(int(kind == "person"))) for p in patterns)))
     found = F.array_distinct(F.transform(found, T.collapse_space) if kind == "person" else F.transform(found, lambda x: F.trim(x)))
@@ -60,7 +61,7 @@ def values_of(kind: str, text: Column) -> Column:
         return F.filter(found, lambda v: F.length(v) >= 10)
     if kind == "social":
         return F.filter(found, lambda v: ~F.contains(text, F.concat(v, F.lit("."))))
-    return F.filter(found, lambda v: F.length(v) <= MOST[kind]) if kind in MOST else found
+    return F.transform(found, lambda v: T.truncate(v, MOST[kind])) if kind in MOST else found
 
 
 def extract_entities(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

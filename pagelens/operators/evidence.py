@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import ratio
-from pagelens.operators import dom
+from pagelens.operators import dom, inventory
 from pagelens.operators.entities import extract_entities
 
 META = "map<string,string>"
@@ -23,9 +23,22 @@ SEMANTIC_TAGS = ["main", "nav", "header", "footer", "article", "section", "aside
 ARIA_ROLES = ["banner", "navigation", "main", "contentinfo", "complementary", "search", "form", "region"]
 LANDMARK_ROLE = {"header": "banner", "nav": "navigation", "main": "main", "footer": "contentinfo", "aside": "complementary", "section": "region", "article": "article"}
 SECTION_TAGS = ["main", "article", "section", "aside", "nav", "header", "footer"]
-BOILERPLATE = ["cookie", "consent", "newsletter", "popup", "modal", "banner", "advert", "social-share", "related-posts"]
-AMBIGUOUS_HEADINGS = ["introduction", "overview", "more", "info", "information", "details", "other", "misc", "general", "welcome", "about", "untitled"]
-AMBIGUOUS_ANCHORS = ["click here", "here", "read more", "more", "learn more", "link", "this", "see more", "details", "continue"]
+BOILERPLATE = ["#cookie-banner", ".cookie-banner", "#gdpr", ".gdpr", "#sidebar", ".sidebar", "#comments", ".comments", "#related", ".related-posts", "#ad", ".advertisement"]
+NOISE_TAGS = ["nav", "footer", "header", "aside"]
+AMBIGUOUS_HEADINGS = ["click here", "read more", "more info", "details", "home", "welcome", "untitled", "lorem ipsum"]
+AMBIGUOUS_ANCHORS = ["click here", "read more", "more", "here", "link", "this", "this page", "this link", "see more", "view more", "learn more", "continue", "go", "next", "prev", "previous"]
+TECHNICAL = ["API", "SDK", "HTTP", "JSON", "SQL", "algorithm", "function", "parameter", "variable", "configure?", "deploy", "instance", "async"]
+SECTION_PARENTS = {"main": ["section", "article", "aside"], "article": ["section"], "section": ["section"], "body": ["section", "main", "article"]}
+SECTION_CLASSES = ["elementor-section", "elementor-top-section", "elementor-inner-section", "elementor-container", "elementor-column", "elementor-widget", "elementor-element", "e-con", "e-con-inner", "e-con-boxed", "e-con-full", "wp-block", "wp-block-group", "wp-block-cover", "wp-block-columns", "wp-block-media-text", "entry-content", "post-content", "page-content", "content-area", "content-block", "content-section", "main-content", "primary-content", "module", "panel", "card", "tile", "feature", "hero", "hero-section", "banner", "container", "row", "col-", "section", "grid", "flex", "flex-col", "flex-row", "post-block", "article-body", "story-body"]
+#: Kinds of content blocks: their selectors in order of precedence, and confidence.
+BLOCKS = {
+    "faq": ([".faq", "[class*='faq']", "[class*='frequently-asked']", "details > summary", ".accordion-item"], 0.85),
+    "pricing": ([".pricing-table", ".pricing-card", "[class*='pricing']", ".plan-card", ".price-card", "[class*='plan-']"], 0.9),
+    "specs": ([".product-specs", ".specifications", "[class*='spec']", ".tech-specs", ".product-details"], 0.85),
+    "feature": ([".features-list", ".feature-list", "[class*='feature']", ".benefits-list", ".advantages"], 0.8),
+    "review": ([".review", ".reviews", "[class*='review']", ".testimonial", ".testimonials", "[class*='testimonial']", ".rating", ".star-rating"], 0.8),
+    "qa": ([".qa", ".q-a", "[class*='question-answer']", ".comment-question", ".discussion"], 0.75),
+}
 #: Absent selector, its usual name and severity.
 ABSENCES = [
     ("title", "title", "critical"),
@@ -48,14 +61,15 @@ ABSENCES = [
     ("time", "time_elements", "info"),
     ("meta:name=robots", "robots_meta", "info"),
 ]
-#: Domain, weight, class or tag marks, keywords.
+#: Domain, weight, selectors, keywords.
 DOMAINS = [
-    ("ecommerce", 1.0, ["product", "cart", "price"], ["add to cart", "buy now", "checkout", "shipping", "price"]),
-    ("blog", 1.0, ["post", "entry", "author"], ["posted by", "comments", "read more", "author", "published"]),
-    ("documentation", 1.0, ["docs", "toc", "api"], ["documentation", "api reference", "getting started", "installation", "guide"]),
-    ("product_page", 1.0, ["features", "specs", "gallery"], ["features", "specifications", "reviews", "warranty", "in stock"]),
-    ("landing_page", 1.0, ["hero", "cta", "testimonial"], ["get started", "sign up", "free trial", "learn more", "pricing"]),
-    ("support_page", 1.0, ["faq", "help", "support"], ["help center", "faq", "contact us", "troubleshooting", "support"]),
+    ("ecommerce", 1.0, [".add-to-cart", "[data-product-id]", ".price", ".product-price", "button[class*='cart']", ".shop", "[class*='product-card']"], ["add to cart", "buy now", "price", "checkout", "shipping", "cart", "wishlist", "in stock", "out of stock"]),
+    ("blog", 1.0, ["article.post", ".blog-post", ".entry-content", ".post-content", "time.published", ".author-bio", ".blog"], ["blog", "post", "author", "published", "comments", "related posts", "share this", "category"]),
+    ("documentation", 1.0, [".docs", "[class*='documentation']", ".api-reference", ".code-block", "pre code", ".markdown-body", "nav.docs-nav", ".table-of-contents"], ["documentation", "api", "reference", "guide", "tutorial", "example", "parameter", "returns", "endpoint", "method"]),
+    ("product_page", 1.0, [".product-detail", "[class*='product-info']", ".product-gallery", ".product-specs", ".product-features"], ["product", "features", "specifications", "details", "gallery", "description", "reviews"]),
+    ("landing_page", 1.0, [".hero", "[class*='hero']", ".cta", "[class*='cta']", ".value-prop", ".features-section", ".testimonials"], ["get started", "sign up", "try free", "learn more", "contact us", "our platform", "our solution", "get a demo"]),
+    ("support_page", 1.0, [".faq", "[class*='faq']", ".help-center", ".support", ".ticket", ".contact-support", ".knowledge-base"], ["help", "support", "faq", "frequently asked", "contact us", "submit a ticket", "troubleshoot", "issue", "problem"]),
+    ("documentation_alt", 0.8, [".md-content", "article.markdown", ".prose", "pre > code"], ["install", "configuration", "usage", "cli", "command", "options", "flags"]),
 ]
 
 
@@ -126,13 +140,26 @@ def links(nodes: DataFrame, pages: DataFrame, most: int = 500) -> DataFrame:
     return signal(kept, "links", F.when(internal, "internal_link").otherwise("external_link"), F.when(F.col("content") != "", T.truncate(F.col("content"), 200)).otherwise(attr("href")), 0.9, href=attr("href"), nofollow=F.coalesce(attr("rel").contains("nofollow"), F.lit(False)), link_class=T.classify_link(F.col("content"), attr("href")), has_text=F.col("content") != "")
 
 
-def anchor_text(links_: DataFrame, most: int = 300) -> DataFrame:
-    """Quality of links' texts: clear, ambiguous or missing, and whether a word of it stands in the target."""
-    text = F.lower(F.when(F.col("meta")["has_text"] == "true", F.col("value")).otherwise(""))
-    relevant = F.exists(F.split(text, r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col("meta")["href"]), w))
-    kind = F.when(text == "", "anchor_missing").when(text.isin(AMBIGUOUS_ANCHORS) | (F.length(text) < 3), "anchor_ambiguous").otherwise("anchor_clear")
+def anchor_text(links_: DataFrame, nodes: DataFrame, most: int = 300) -> DataFrame:
+    """Quality of links' texts: anchor_clear, anchor_ambiguous, anchor_plain, anchor_image_only or anchor_no_text.
+
+    relevant tells whether a word of over three characters stands in the target's path; `most` signals a page are kept.
+    """
+    image = nodes.where("tag = 'img'").select("page_id", F.explode("ancestors").alias("pos"), "pre", attr("alt").alias("alt")).groupBy("page_id", "pos").agg(F.min_by(F.coalesce("alt", F.lit("")), "pre").alias("alt"))
+    rows = links_.join(image, ["page_id", "pos"], "left")
+    text = F.when(F.col("meta")["has_text"] == "true", F.col("value")).otherwise("")
+    low, href = F.lower(text), F.lower(F.col("meta")["href"])
+    path = F.regexp_replace(F.regexp_replace(href, r"^([a-z][a-z0-9+.-]*:)?//[^/?#]*", ""), r"[?#].*$", "")
+    relevant = F.exists(F.split(low, r"\s+"), lambda w: (F.length(w) > 3) & F.contains(path, w))
+    ambiguous = reduce(lambda x, y: x | y, [low.startswith(a) for a in AMBIGUOUS_ANCHORS])
+    clear = ~ambiguous & text.rlike(r"\b[A-Z][a-z]+|\w{10,}") & (F.length(text) > 5)
+    kind = F.when((text == "") & F.col("alt").isNotNull(), "anchor_image_only").when(text == "", "anchor_no_text").when(ambiguous, "anchor_ambiguous").when(clear, "anchor_clear").otherwise("anchor_plain")
+    sure = F.create_map(*(F.lit(x) for kv in {"anchor_image_only": 0.5, "anchor_no_text": 0.3, "anchor_ambiguous": 0.4, "anchor_clear": 0.9, "anchor_plain": 0.65}.items() for x in kv))
+    value = F.when(text != "", F.col("value")).otherwise(T.truncate(F.coalesce(F.when(F.col("alt") != "", F.col("alt")), F.col("meta")["href"]), 200))
+    issue = F.when(kind == "anchor_image_only", "image_only_link").when(kind == "anchor_no_text", "no_anchor_text").when(ambiguous, "ambiguous_anchor_text").when(~F.coalesce(relevant, F.lit(False)), "potentially_irrelevant")
+    meta = F.map_filter(F.create_map(F.lit("relevant"), F.coalesce(relevant, F.lit(False)).cast("string"), F.lit("issue"), issue), lambda k, v: v.isNotNull())
     n = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    return links_.withColumn("n", n).where(F.col("n") <= most).select("page_id", F.lit("anchor_text").alias("section"), "pos", kind.alias("type"), "value", F.lit(0.8).alias("confidence"), F.create_map(F.lit("relevant"), F.coalesce(relevant, F.lit(False)).cast("string")).alias("meta"))
+    return rows.withColumn("n", n).where(F.col("n") <= most).select("page_id", F.lit("anchor_text").alias("section"), "pos", kind.alias("type"), value.alias("value"), sure[kind].alias("confidence"), meta.alias("meta"))
 
 
 def accessibility(nodes: DataFrame) -> DataFrame:
@@ -194,28 +221,49 @@ def semantic_html(nodes: DataFrame) -> DataFrame:
 
 
 def semantic_structure(nodes: DataFrame) -> DataFrame:
-    """Sectioning containers, and divs of a section class that hold a heading or over 50 characters."""
-    boxes = nodes.where(F.col("tag").isin(SECTION_TAGS))
-    divs = nodes.where((F.col("tag") == "div") & F.lower(attr("class")).rlike("section|container|content"))
+    """Sectioning elements in their usual parents, and divs of a sectioning class that hold a heading or over 50 characters."""
+    up = F.try_element_at("ancestor_tags", F.lit(-1))
+    box = reduce(lambda x, y: x | y, [(up == parent) & F.col("tag").isin(tags) for parent, tags in SECTION_PARENTS.items()])
+    boxes = nodes.where("kind = 'element'").where(box)
+    divs = nodes.where((F.col("tag") == "div") & dom.has_any(F.lower(attr("class")), SECTION_CLASSES))
     with_heading = nodes.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.explode("ancestors").alias("pre")).distinct()
     long = divs.where(F.length("content") > 50).select("page_id", "pre")
-    chosen = divs.join(with_heading.union(long).distinct(), ["page_id", "pre"], "left_semi")
+    chosen = divs.join(with_heading.union(long).distinct(), ["page_id", "pre"], "left_semi").select(*boxes.columns)
     return signal(boxes.union(chosen), "semantic_structure", F.when(F.col("tag") == "div", "structure_div").otherwise("structure_section"), F.concat_ws(" ", "tag", attr("class")), 0.85, tag=F.col("tag"), depth=F.col("depth"))
 
 
-def semantic_headings(headings_: DataFrame) -> DataFrame:
-    key = F.lower(F.trim("value"))
-    kind = F.when(key.isin(AMBIGUOUS_HEADINGS) | (F.length(key) < 4), "heading_ambiguous").otherwise("heading_clear")
-    before = F.lag(F.col("meta")["level"].cast("int")).over(W.partitionBy("page_id").orderBy("pos"))
-    skips = F.coalesce(F.col("meta")["level"].cast("int") - before > 1, F.lit(False))
-    return headings_.select("page_id", F.lit("semantic_headings").alias("section"), "pos", kind.alias("type"), "value", F.lit(0.8).alias("confidence"), F.create_map(F.lit("skips_level"), skips.cast("string")).alias("meta"))
+def semantic_headings(headings_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Headings as heading_clear, heading_ambiguous or heading_plain, with their topic and whether their level fits.
+
+    A level fits if it is at most one deeper than the deepest level above it among the headings that are children of the
+    heading's ancestors; without one, if it is at most 2.
+    """
+    key, level = F.lower(F.trim("value")), F.col("meta")["level"].cast("int")
+    ambiguous = dom.has_any(key, AMBIGUOUS_HEADINGS) | (F.length("value") < 5)
+    kind = F.when(ambiguous, "heading_ambiguous").when(F.length("value") > 5, "heading_clear").otherwise("heading_plain")
+    tags = nodes.where(F.col("tag").rlike("^h[1-6]$")).withColumn("level", F.substring("tag", 2, 1).cast("int"))
+    beside = tags.select("page_id", F.col("parent").alias("up"), F.col("level").alias("other")).distinct()
+    above = tags.select("page_id", F.col("pre").alias("pos"), "level", F.explode(F.slice("ancestors", 2, F.greatest(F.size("ancestors") - 1, F.lit(0)))).alias("up"))
+    found = above.join(beside, ["page_id", "up"]).where("other < level").groupBy("page_id", "pos").agg(F.max("other").alias("found"))
+    rows = headings_.join(found, ["page_id", "pos"], "left")
+    fits = F.when(F.col("found").isNull(), level <= 2).otherwise(level <= F.col("found") + 1)
+    topic = F.when(kind == "heading_clear", F.array_join(F.slice(F.split("value", r"\s+"), 1, 5), " "))
+    meta = F.map_filter(F.create_map(F.lit("hierarchy_correct"), fits.cast("string"), F.lit("topic"), topic), lambda k, v: v.isNotNull())
+    return rows.select("page_id", F.lit("semantic_headings").alias("section"), "pos", kind.alias("type"), "value", F.when(kind == "heading_clear", 0.9).otherwise(0.5).alias("confidence"), meta.alias("meta"))
 
 
 def semantic_paragraphs(paragraphs_: DataFrame, most: int = 200) -> DataFrame:
+    """Paragraphs as clear (40 characters and over 10 words) or unclear, their technical terms and three most frequent long words."""
     clear = (F.length("value") >= 40) & (F.col("meta")["words"].cast("int") > 10)
-    technical = F.col("value").rlike(r"(?i)\b(api|http|json|xml|sql|function|class|server|database|algorithm|protocol|version|config)\b")
+    term = lambda t: F.regexp_extract("value", rf"(?i)\b{t}\b", 0)
+    terms = F.filter(F.array(*map(term, TECHNICAL)), lambda t: t != "")
+    words = F.filter(F.split(F.lower("value"), r"\s+"), lambda w: F.length(w) > 4)
+    ranked = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("word"))))
+    topic = F.array_join(F.transform(F.slice(ranked, 1, 3), lambda t: t["word"]), ",")
+    sentences = F.size(F.regexp_extract_all("value", F.lit("[.!?]+"), F.lit(0)))
     n = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    return paragraphs_.withColumn("n", n).where(F.col("n") <= most).select("page_id", F.lit("semantic_paragraphs").alias("section"), "pos", F.when(clear, "paragraph_clear").otherwise("paragraph_unclear").alias("type"), "value", F.lit(0.8).alias("confidence"), F.create_map(F.lit("technical"), technical.cast("string")).alias("meta"))
+    meta = F.create_map(F.lit("technical"), (F.size(terms) > 0).cast("string"), F.lit("terms"), F.array_join(terms, ","), F.lit("topic"), topic, F.lit("sentences"), sentences.cast("string"))
+    return paragraphs_.withColumn("n", n).where(F.col("n") <= most).select("page_id", F.lit("semantic_paragraphs").alias("section"), "pos", F.when(clear, "paragraph_clear").otherwise("paragraph_unclear").alias("type"), T.truncate(F.col("value"), 500).alias("value"), F.when(clear, 0.85).otherwise(0.5).alias("confidence"), meta.alias("meta"))
 
 
 def semantic_lists(lists_: DataFrame) -> DataFrame:
@@ -241,49 +289,67 @@ def entities(texts: DataFrame) -> DataFrame:
 
 
 def domain_profile(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Score of each domain: twice its weight for a mark among classes and ids, once for a keyword in the text."""
-    marks = nodes.where("kind = 'element'").select("page_id", F.lower(F.concat_ws(" ", "tag", attr("class"), attr("id"))).alias("m"))
-    seen = marks.groupBy("page_id").agg(*(F.max(F.contains("m", F.lit(x)).cast("int")).alias(f"{d}_{x}") for d, _, xs, _ in DOMAINS for x in xs))
-    low = F.lower("visible_text")
-    scores = [(d, sum((F.coalesce(F.col(f"{d}_{x}"), F.lit(0)) * 2 * w for x in xs), F.lit(0.0)) + sum((F.contains(low, F.lit(k)).cast("int") * w for k in ks), F.lit(0.0))) for d, w, xs, ks in DOMAINS]
-    rows = texts.join(seen, "page_id", "left").select("page_id", F.posexplode(F.array(*(F.struct(F.lit(d).alias("d"), s.alias("s")) for d, s in scores))).alias("pre", "e")).where("e.s > 0")
+    """Score of each domain: twice its weight for a selector that finds something, once for a keyword in the text."""
+    seen = nodes.groupBy("page_id").agg(*(sum(dom.found(css) for css in marks).alias(d) for d, _, marks, _ in DOMAINS))
+    low = F.lower("element_text")
+    scores = [(d, F.coalesce(F.col(d), F.lit(0)) * 2 * w + sum((F.contains(low, F.lit(k)).cast("int") for k in ks), F.lit(0)) * w) for d, w, _, ks in DOMAINS]
+    rows = texts.join(seen, "page_id", "left").select("page_id", F.posexplode(F.array(*(F.struct(F.lit(d).alias("d"), s.cast("double").alias("s")) for d, s in scores))).alias("pre", "e")).where("e.s > 0")
     return signal(rows, "domain_profile", "domain", F.col("e.d"), F.least(F.col("e.s") / 10, F.lit(1.0)), score=F.col("e.s"))
 
 
 def structured_content(nodes: DataFrame) -> DataFrame:
-    """Blocks of faq, pricing, specs, features, review and qa: the first class mark of a kind that occurs is taken."""
-    kinds = {"faq": ["faq", "accordion", "question"], "pricing": ["pricing", "price-table", "plans"], "specs": ["specs", "specifications", "attributes"], "features": ["features", "feature-list", "benefits"], "review": ["review", "testimonial", "rating"], "qa": ["qa", "questions", "answers"]}
-    marks = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("prio"), F.lit(m).alias("mark")) for k, ms in kinds.items() for i, m in enumerate(ms)))
-    hits = nodes.where(attr("class").isNotNull()).select("page_id", "pre", "attrs", F.explode(marks).alias("m")).where(F.contains(F.lower(attr("class")), F.col("m.mark")))
+    """Blocks of faq, pricing, specs, feature, review and qa: all that the first selector of a kind which finds any finds."""
+    hits = F.array_compact(F.array(*(F.when(dom.matches(css), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("prio"), F.lit(sure).alias("sure"))) for kind, (marks, sure) in BLOCKS.items() for i, css in enumerate(marks))))
+    rows = nodes.where("kind = 'element'").select("page_id", "pre", "tag", "attrs", "content", F.explode(hits).alias("m"))
     first = F.rank().over(W.partitionBy("page_id", "m.kind").orderBy("m.prio"))
-    return signal(hits.withColumn("r", first).where("r = 1"), "structured_content", F.concat(F.lit("block_"), F.col("m.kind")), attr("class"), 0.8)
+    chosen = rows.withColumn("r", first).where("r = 1")
+    price = F.when(F.col("m.kind") == "pricing", F.nullif(F.regexp_extract(F.coalesce("content", F.lit("")), r"\$\d+(?:\.\d{2})?", 0), F.lit("")))
+    return signal(chosen, "structured_content", F.concat("m.kind", F.lit("_block")), T.truncate(F.coalesce(F.when(F.col("content") != "", F.col("content")), attr("class"), F.col("tag")), 300), F.col("m.sure"), price=price)
 
 
 def extractability(nodes: DataFrame, flags: DataFrame, pages: DataFrame) -> DataFrame:
-    """Content density, noise share (nav, footer, header, aside), repeated blocks, boilerplate and main region of each page."""
-    noise_tags = F.array(*map(F.lit, ["nav", "footer", "header", "aside"]))
-    shown = nodes.where("kind = 'text'").where(F.array_contains("ancestor_tags", "body") & ~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, dom.HIDDEN[:3]))))
-    chars = F.length(F.trim("text"))
-    noise = shown.groupBy("page_id").agg(F.sum(chars).alias("all_chars"), F.sum(F.when(F.arrays_overlap("ancestor_tags", noise_tags), chars).otherwise(0)).alias("noise_chars"))
-    blocks = with_text(nodes, ["p", "li", "div"]).where(F.length("content") >= 20).groupBy("page_id", T.comparison_key(F.col("content")).alias("key")).count()
-    repeated = blocks.groupBy("page_id").agg(F.sum(F.when(F.col("count") > 1, 1).otherwise(0)).alias("repeated"), F.sum("count").alias("blocks"))
-    plates = nodes.where(F.lower(attr("class")).rlike("|".join(BOILERPLATE))).groupBy("page_id").agg(F.count("*").alias("boilerplate"))
-    regions = with_text(nodes, ["main", "article", "section"]).where(F.length("content") > 50).groupBy("page_id").agg(F.count("*").alias("regions"))
-    rows = pages.select("page_id", F.length(F.coalesce("html", F.lit(""))).alias("size")).join(flags.select("page_id", F.length("visible_text").alias("text"), "contamination"), "page_id")
-    for part in (noise, repeated, plates, regions):
+    """Content density, noise share, repeated blocks, boilerplate and main region of each page.
+
+    density: the main content's characters over the body's; noise: those of nav, footer, header and aside outside each
+    other; repeated: texts of over 30 characters, by their first 100, that several blocks have; boilerplate: how many of
+    twelve selectors find something; regions: 1 if the main content has over 50 characters.
+    """
+    element = F.col("kind") == "element"
+    outer = element & F.col("tag").isin(NOISE_TAGS) & ~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, NOISE_TAGS)))
+    block = element & F.col("tag").isin("p", "div", "span", "li", "td")
+    per = nodes.groupBy("page_id").agg(F.sum(F.when(outer, F.length(F.coalesce("content", F.lit("")))).otherwise(0)).alias("noise_chars"), sum(dom.found(css) for css in BOILERPLATE).alias("boilerplate"), F.sum(F.when(block, 1).otherwise(0)).alias("blocks"))
+    keys = nodes.where(block & (F.length("content") > 30)).groupBy("page_id", F.xxhash64(F.substring("content", 1, 100)).alias("key")).count()
+    repeated = keys.where("count > 1").groupBy("page_id").agg(F.count("*").alias("repeated"))
+    main = inventory.main_content(nodes).select("page_id", F.when(F.col("tag") != "body", F.length(F.coalesce("content", F.lit("")))).alias("main_chars"))
+    rows = pages.select("page_id").join(flags.select("page_id", F.length("element_text").alias("text"), "contamination"), "page_id")
+    for part in (per, repeated, main):
         rows = rows.join(part, "page_id", "left")
-    rows = rows.fillna(0, ["all_chars", "noise_chars", "repeated", "blocks", "boilerplate", "regions"])
-    density, share = ratio(F.col("text"), F.col("size")), ratio(F.col("noise_chars"), F.col("all_chars"))
+    rows = rows.withColumn("main_chars", F.coalesce("main_chars", "text")).fillna(0, ["noise_chars", "repeated", "blocks", "boilerplate"])
+    density, share = ratio(F.col("main_chars"), F.col("text")), F.least(F.lit(1.0), ratio(F.col("noise_chars"), F.col("text")))
     ok = (density >= 0.3) & (share < 0.7) & (F.size("contamination") == 0)
-    return rows.select("page_id", F.round(density, 4).alias("density"), F.round(share, 4).alias("noise"), "repeated", "blocks", "boilerplate", "regions", ok.alias("extractable"))
+    return rows.select("page_id", F.round(density, 4).alias("density"), F.round(share, 4).alias("noise"), "repeated", "blocks", "boilerplate", (F.col("main_chars") > 50).cast("long").alias("regions"), ok.alias("extractable"))
 
 
-def redundancy(headings_: DataFrame, paragraphs_: DataFrame) -> DataFrame:
-    """Texts of 30 characters and more that occur twice or more, by their first 150 characters."""
-    rows = headings_.union(paragraphs_).where(F.length("value") >= 30).withColumn("key", F.substring(F.lower("value"), 1, 150))
-    found = rows.groupBy("page_id", "key").agg(F.count("*").alias("n"), F.min("pos").alias("pre"), F.min_by("value", "pos").alias("value")).where("n >= 2")
+def redundancy(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of 30 characters and more of headings, paragraphs and divs without divs that occur twice or more, by their first 150, and navigation that stands in the text more than once."""
+    holders = nodes.where("tag = 'div'").select("page_id", F.explode("ancestors").alias("pre")).distinct().withColumn("holds", F.lit(True))
+    blocks = nodes.where(F.col("tag").rlike("^(h[1-6]|p|div)$") & (F.length("content") >= 30)).select("page_id", "pre", "tag", "content").join(holders, ["page_id", "pre"], "left").where("tag <> 'div' or holds is null")
+    again = blocks.groupBy("page_id", F.substring(F.lower("content"), 1, 150).alias("key")).agg(F.count("*").alias("n"), F.min_by("tag", "pre").alias("tag"), F.min("pre").alias("pre")).where("n >= 2")
+    menus = nodes.where("tag = 'nav'").where(F.length("content") > 20).groupBy("page_id", F.substring("content", 1, 100).alias("key")).agg(F.min("pre").alias("pre"))
+    low = F.lower("element_text")
+    menus = menus.join(texts.select("page_id", "element_text"), "page_id").withColumn("n", ((F.length(low) - F.length(F.replace(low, F.lower("key"), F.lit("")))) / F.length("key")).cast("long")).where("n > 1")
     severity = F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 3, "warning").otherwise("info")
-    return signal(found, "redundancy", "redundant_text", F.col("value"), 0.85, repeats=F.col("n"), severity=severity)
+    content = F.when(F.col("tag").rlike("^h"), "heading").when(F.col("tag") == "p", "paragraph").otherwise("block")
+    sure = F.least(F.lit(0.9), 0.5 + F.col("n") * 0.1)
+    return signal(again, "redundancy", "redundant_content", T.truncate(F.col("key"), 200), sure, repeats=F.col("n"), severity=severity, content=content).union(signal(menus, "redundancy", "redundant_navigation", T.truncate(F.col("key"), 200), sure, repeats=F.col("n"), severity=severity, content=F.lit("navigation")))
+
+
+def poor_content(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Absences of content: an empty first h1, an empty description, and a body of under 100 characters."""
+    first = nodes.where("tag = 'h1' or (tag = 'meta' and attrs['name'] = 'description')").groupBy("page_id", "tag").agg(F.min("pre").alias("pre"), F.min_by(F.trim(F.coalesce(F.when(F.col("tag") == "h1", F.col("content")).otherwise(attr("content")), F.lit(""))), "pre").alias("text")).where("text = ''")
+    name = F.when(F.col("tag") == "h1", "empty_h1").otherwise("empty_meta_description")
+    short = texts.where(F.length("element_text").between(1, 99)).select("page_id", F.lit(0).alias("pre"), F.length("element_text").alias("chars"))
+    return signal(first, "absence", name, name, 0.9, severity=F.lit("warning")).union(signal(short, "absence", "minimal_content", F.lit("minimal_content"), 0.85, severity=F.lit("warning"), chars=F.col("chars")))
 
 
 def absence(nodes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -304,7 +370,7 @@ def absence(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 def extract_all(pages: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """All sections' signals."""
     h, p, li, t, a = headings(nodes), paragraphs(nodes), lists(nodes), tables(nodes), links(nodes, pages)
-    parts = [metadata(nodes), h, p, li, t, a, accessibility(nodes), structured_data(nodes), hierarchy(nodes), semantic_html(nodes), semantic_structure(nodes), entities(texts), domain_profile(nodes, texts), structured_content(nodes), redundancy(h, p), anchor_text(a), absence(nodes, pages)]
+    parts = [metadata(nodes), h, p, li, t, a, accessibility(nodes), structured_data(nodes), hierarchy(nodes), semantic_html(nodes), semantic_structure(nodes), entities(texts), domain_profile(nodes, texts), structured_content(nodes), redundancy(nodes, texts), anchor_text(a, nodes), absence(nodes, pages), poor_content(nodes, texts)]
     return reduce(DataFrame.unionByName, parts)
 
 

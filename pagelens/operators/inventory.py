@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Attributes and class names of lazily loaded media, and the prefix of a page builder's classes.
-LAZY_ATTRIBUTES = ["data-src", "data-srcset", "data-lazy", "data-lazy-src", "data-original", "data-bg", "data-background"]
-LAZY_CLASSES = "lazy|lazyload|lozad|b-lazy"
-BUILDER = "elementor"
+from pagelens.operators import dom
+
+# Selectors of lazily loaded elements, and classes and attributes of a page builder's parts.
+LAZY_SELECTORS = ['[loading="lazy"]', "[data-lazy]", "[data-lazy-src]", "[data-src]", "[data-bg]", "[data-background]", "[data-lazyload]", "[data-ll-status]", "[data-was-processed]", "[data-elementor-type]", "[data-elementor-id]", ".lazy", ".lazyload", ".lazy-loading", ".lazyload-pending", ".lazyload-item"]
+BUILDER_PARTS = {
+    "section": ["elementor-section", "elementor-top-section", "elementor-inner-section", "elementor-section-wrap", "e-con", "e-con-inner", "e-con-boxed", "e-con-full"],
+    "container": ["elementor-container", "elementor-widget-container", "elementor-element", "elementor-element-populated", "elementor-widget-wrap"],
+    "column": ["elementor-column", "elementor-col-"],
+    "widget": ["elementor-widget"],
+}
+BUILDER_ATTRIBUTES = ["data-elementor-type", "data-elementor-id", "data-elementor-settings", "data-elementor-post-type", "data-elementor-device-mode"]
+BUILDER_SCRIPTS = ["elementor/frontend", "elementorFrontend", "elementor-webpack", "elementor-pro"]
 
 
 def selectors(nodes: DataFrame) -> DataFrame:
@@ -39,18 +49,50 @@ def main_content(nodes: DataFrame) -> DataFrame:
 
 
 def lazy_media(nodes: DataFrame) -> DataFrame:
-    """Per page: lazily loaded elements, and media of those that have no source yet."""
-    media = F.col("tag").isin("img", "iframe", "video", "source")
-    attrs = F.map_keys("attrs")
-    lazy = F.arrays_overlap(attrs, F.array(*map(F.lit, LAZY_ATTRIBUTES))) | (F.lower(F.col("attrs")["loading"]) == "lazy") | F.lower(F.col("attrs")["class"]).rlike(LAZY_CLASSES)
-    rows = nodes.where("kind = 'element'").where(F.coalesce(lazy, F.lit(False)))
-    unloaded = media & (F.coalesce(F.col("attrs")["src"], F.lit("")) == "")
-    return rows.groupBy("page_id").agg(F.count("*").alias("lazy"), F.sum(unloaded.cast("int")).alias("unloaded"))
+    """Per page: lazily loaded elements (lazy), those not loaded yet (unloaded), and whether scripts observe what is in view.
+
+    Unloaded: images, frames and videos with a data source and no source; classes of pending loads without one of
+    finished ones; pending states; and builder documents without a widget container. Pages without any have no row.
+    """
+    attrs = F.col("attrs")
+    lower = F.coalesce(F.lower(attrs["class"]), F.lit(""))
+    lazy = reduce(lambda x, y: x | y, [dom.matches(css) for css in LAZY_SELECTORS]) | dom.has_any(lower, dom.LAZY_CLASSES)
+    media = F.col("tag").isin("img", "iframe", "video") & (attrs["data-src"].isNotNull() | attrs["data-lazy-src"].isNotNull()) & (F.trim(F.coalesce(attrs["src"], F.lit(""))) == "")
+    waiting = (dom.matches(".lazy") | dom.matches(".lazyload") | dom.matches(".lazyload-pending")) & ~dom.matches(".lazy-loaded") & ~dom.matches(".lazyloaded")
+    state = attrs["data-ll-status"].isin("pending", "loading")
+    observer = F.coalesce(F.array_contains("ancestor_tags", "script") & F.contains("text", F.lit("IntersectionObserver")), F.lit(False))
+    n = lambda *tests: sum((F.sum(F.coalesce(t, F.lit(False)).cast("int")) for t in tests), F.lit(0))
+    per = nodes.groupBy("page_id").agg(n(lazy).alias("lazy"), n(media, waiting, state).alias("unloaded"), F.max(observer).alias("observer"))
+    documents = nodes.where("kind = 'element'").where(attrs["data-elementor-type"].isNotNull()).select("page_id", "pre")
+    inside = nodes.where(dom.matches(".elementor-widget-container")).select("page_id", F.explode("ancestors").alias("pre")).distinct()
+    empty = documents.join(inside, ["page_id", "pre"], "left_anti").groupBy("page_id").agg(F.count("*").alias("empty"))
+    rows = per.join(empty, "page_id", "left").withColumn("unloaded", F.col("unloaded") + F.coalesce("empty", F.lit(0))).drop("empty")
+    return rows.where((F.col("lazy") > 0) | (F.col("unloaded") > 0) | F.col("observer"))
 
 
 def builder_inventory(nodes: DataFrame) -> DataFrame:
-    """Per page: a page builder's sections, columns and widgets, and the distinct widget types."""
-    rows = nodes.where(F.col("attrs")["class"].contains(BUILDER)).withColumn("class", F.col("attrs")["class"])
-    n = lambda name: F.sum(F.col("class").rlike(rf"(^|\s){BUILDER}-{name}(\s|$)").cast("int")).alias(name.replace("-", "_"))
-    kind = F.regexp_extract("class", rf"{BUILDER}-widget-([\w-]+)", 1)
-    return rows.groupBy("page_id").agg(n("section"), n("inner-section"), n("column"), n("widget"), F.array_sort(F.collect_set(F.when(kind != "", kind))).alias("widget_types"))
+    """Per page that a page builder made: its sections, inner sections, containers, columns and widgets, and the widgets' types.
+
+    A page is a builder's if a class, an attribute, a style or a script of it names the builder.
+    """
+    attrs = F.col("attrs")
+    classes = F.coalesce(attrs["class"], F.lit(""))
+    element = F.col("kind") == "element"
+    n = lambda test, name: F.sum(F.when(element & test, 1).otherwise(0)).alias(name)
+    inner = F.contains(classes, F.lit("elementor-inner-section")) | dom.class_has(attrs, "e-con-inner")
+    kind = F.regexp_extract(classes, r"elementor-widget-([\w-]+)", 1)
+    script = F.array_contains("ancestor_tags", "script") & dom.has_any(F.col("text"), BUILDER_SCRIPTS) | (F.col("tag") == "script") & dom.has_any(attrs["src"], BUILDER_SCRIPTS)
+    style = F.array_contains("ancestor_tags", "style") & F.contains("text", F.lit(".elementor-"))
+    marked = reduce(lambda x, y: x | y, [attrs[a].isNotNull() for a in BUILDER_ATTRIBUTES])
+    parts = [n(dom.has_any(classes, marks), name) for name, marks in BUILDER_PARTS.items()]
+    per = nodes.groupBy("page_id").agg(*parts, n(inner, "inner_section"), F.array_sort(F.collect_set(F.when(element & (kind != ""), kind))).alias("widget_types"), F.max(F.coalesce(script | style | (element & marked), F.lit(False))).alias("marked"))
+    some = reduce(lambda x, y: x | y, [F.col(name) > 0 for name in BUILDER_PARTS])
+    return per.where(some | F.col("marked")).drop("marked")
+
+
+def builder_text(nodes: DataFrame) -> DataFrame:
+    """(page_id, widget, texts): texts of the headings, paragraphs, links, buttons and image descriptions of each builder widget."""
+    widgets = nodes.where((F.col("kind") == "element") & F.contains(F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit("elementor-widget"))).select("page_id", F.col("pre").alias("widget"))
+    text = F.when(F.col("tag").rlike("^(h[1-6]|p|a|button)$"), F.col("content")).when(F.col("tag") == "img", F.col("attrs")["alt"])
+    parts = nodes.select("page_id", "pre", F.trim(text).alias("text"), F.explode("ancestors").alias("widget")).where("text <> ''")
+    return parts.join(widgets, ["page_id", "widget"]).groupBy("page_id", "widget").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda t: t["text"]).alias("texts"))

@@ -188,7 +188,7 @@ def page_metrics() -> list[Metric]:
                 "density": (100 * c("density"), 0.30),
                 "noise": (100 * (1 - c("noise")), 0.20),
                 "boilerplate": (F.when(b == 0, 95.0).when(b <= 2, 80.0).when(b <= 5, 60.0).otherwise(most(25, 80.0 - (b - 2) * 10)), 0.15),
-                "redundancy": (F.when((r == 0) & (c("repeated") == 0), 95.0).when((r <= 2) & (c("repeated") <= 2), 80.0).when(r <= 5, 60.0).otherwise(most(20, 80.0 - r * 8)), 0.15),
+                "redundancy": (F.when((r == 0) & (c("max_repeats") == 0), 95.0).when((r <= 2) & (c("max_repeats") <= 2), 80.0).when(r <= 5, 60.0).otherwise(most(20, 80.0 - r * 8)), 0.15),
                 "region": (ladder(c("regions"), [(3, 95), (2, 80), (1, 60)], 30), 0.20),
             },
             F.lit(False),

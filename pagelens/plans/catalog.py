@@ -137,7 +137,7 @@ _EMAILS = "regexp_extract_all(text, '\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA
 @query(
     f"""WITH found AS (
     SELECT doc_id, 'email' AS kind, unnest(list_distinct({_EMAILS})) AS value FROM documents UNION ALL
-    SELECT doc_id, 'url', unnest(list_filter(list_distinct(regexp_extract_all(text, 'https?://[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}(?:/[^\\s]*)?')), lambda v: length(v) <= 200)) FROM documents)
+    SELECT doc_id, 'url', unnest(list_transform(list_distinct(regexp_extract_all(text, 'https?://[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}(?:/[^\\s]*)?')), lambda v: CASE WHEN length(v) <= 200 THEN v ELSE rtrim(v[1:200]) || '…' END)) FROM documents)
     SELECT doc_id, kind, count(*) AS n, min(value) AS first_value FROM found GROUP BY doc_id, kind"""
 )
 def text_contact_entities(spark, sf_dir):
@@ -234,8 +234,8 @@ def page_semantics(spark, sf_dir):
     """Classes of headings, paragraphs, lists, tables, links and anchors."""
     a = audit(spark, sf_dir)
     h, p, li, t, k = evidence.headings(a.nodes), evidence.paragraphs(a.nodes), evidence.lists(a.nodes), evidence.tables(a.nodes), evidence.links(a.nodes, a.pages)
-    rows = evidence.semantic_headings(h)
-    for more in (evidence.semantic_paragraphs(p), evidence.semantic_lists(li), evidence.semantic_tables(t), evidence.semantic_links(k), evidence.anchor_text(k)):
+    rows = evidence.semantic_headings(h, a.nodes)
+    for more in (evidence.semantic_paragraphs(p), evidence.semantic_lists(li), evidence.semantic_tables(t), evidence.semantic_links(k), evidence.anchor_text(k, a.nodes)):
         rows = rows.unionByName(more)
     return rows.groupBy("section", "type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
@@ -307,7 +307,7 @@ def product_pages(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
 
 
-@query("SELECT p_partkey AS page_id, CAST(p_size % 5 + 2 AS INTEGER) AS table_rows, 'Name | Value' AS headers, 1 AS json_ld, 'Product' AS schema_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS with_alt, 1 AS skipped FROM part WHERE p_partkey <= 500")
+@query("SELECT p_partkey AS page_id, CAST(p_size % 5 + 2 AS INTEGER) AS table_rows, 'Name | Value' AS headers, 1 AS json_ld, 'Product' AS schema_type, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS with_alt, 1 AS skipped FROM part")
 def product_page_evidence(spark, sf_dir):
     a = PageAudit(product_pages(spark, sf_dir))
     t = evidence.tables(a.nodes).select("page_id", F.col("meta")["rows"].cast("int").alias("table_rows"), F.col("meta")["headers"].alias("headers"))

@@ -24,7 +24,7 @@ for _tag in ("tbody", "thead", "tfoot"):
     CLOSES[_tag] = ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})
 
 #: Elements whose text is kept with them, and those whose text is not shown.
-TEXT_TAGS = frozenset("title h1 h2 h3 h4 h5 h6 p li td th a div main article section summary figcaption caption label".split())
+TEXT_TAGS = frozenset("title h1 h2 h3 h4 h5 h6 p li td th a div main article section summary figcaption caption label span nav header footer aside summary details".split())
 UNSHOWN = frozenset(("script", "style", "template"))
 _BLANKS = re.compile(f"{SPACE}+")
 

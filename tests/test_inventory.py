@@ -26,7 +26,7 @@ def test_main_content(spark):
 def test_lazy_and_builder(spark):
     n = nodes(spark)
     lazy = inventory.lazy_media(n).first()
-    assert (lazy.lazy, lazy.unloaded) == (2, 1)
+    assert (lazy.lazy, lazy.unloaded, lazy.observer) == (2, 1, False)
     built = inventory.builder_inventory(n).first()
     assert (built.section, built.widget, built.widget_types) == (1, 2, ["heading", "image"])
 
