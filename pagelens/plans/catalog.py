@@ -317,6 +317,80 @@ def product_page_evidence(spark, sf_dir):
     return t.join(d, "page_id").join(i, "page_id").join(h, "page_id")
 
 
+def supplier_pages(spark, sf_dir) -> DataFrame:
+    """Pages of suppliers with noise, a sidebar of some domain, repeated paragraphs, and headings and links of every kind."""
+    p, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    heading = F.element_at(F.array(*map(F.lit, ("Welcome to our home", "Tiny", "Terms", "Products of the year"))), (k % 4).cast("int") + 1)
+    anchor = F.element_at(F.array(*map(F.lit, ("read more about it", "here", "Catalogue of goods"))), (k % 3).cast("int") + 1)
+    text = F.concat(F.lit("This paragraph of "), F.col("s_name"), F.lit(" tells of its API and database, at some length."))
+    paragraphs = F.array_join(F.array_repeat(F.concat(F.lit("<p>"), text, F.lit("</p>")), (k % 3).cast("int") + 1), "")
+    aside = F.when(k % 2 == 0, '<div class="sidebar price">add to cart</div>').otherwise('<div class="sidebar faq">help and support</div>')
+    html = F.concat(F.lit('<html lang="en"><head><title>'), F.col("s_name"), F.lit("</title></head><body><nav>"), F.col("s_name"), F.lit(" menu of pages</nav><main><h1>"), heading, F.lit("</h1>"), paragraphs, F.lit('<a href="/goods/'), k.cast("string"), F.lit('">'), anchor, F.lit("</a></main>"), aside, F.lit("<footer>"), F.col("s_name"), F.lit(" ends the page</footer></body></html>"))
+    return p.select(k.alias("page_id"), F.concat(F.lit("https://made.example/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+_MADE = """made AS (SELECT s_suppkey AS page_id, s_suppkey % 3 + 1 AS copies, s_suppkey % 2 AS odd, s_suppkey % 4 AS four, s_suppkey % 3 AS three,
+    ['Welcome to our home', 'Tiny', 'Terms', 'Products of the year'][s_suppkey % 4 + 1] AS heading, ['read more about it', 'here', 'Catalogue of goods'][s_suppkey % 3 + 1] AS anchor,
+    'This paragraph of ' || s_name || ' tells of its API and database, at some length.' AS p, CASE WHEN s_suppkey % 2 = 0 THEN 'add to cart' ELSE 'help and support' END AS aside, s_name AS name FROM supplier),
+    sizes AS (SELECT *, length(heading) + copies * length(p) + length(anchor) AS main, 2 * length(name) + length(' menu of pages') + length(' ends the page') AS noise FROM made),
+    shares AS (SELECT *, round(main / (main + noise + length(aside)), 4) AS density, round(noise / (main + noise + length(aside)), 4) AS share FROM sizes)"""
+_REPEATS = "CASE copies WHEN 1 THEN 95.0 WHEN 2 THEN 80.0 ELSE 60.0 END"
+_MADE_SCORE = _CLAMP.format(f"{_CLAMP.format('100 * density')} * 0.3 + {_CLAMP.format('100 * (1 - share)')} * 0.2 + 80.0 * 0.15 + {_REPEATS} * 0.15 + 60.0 * 0.2")
+
+
+@query(f"WITH {_MADE} SELECT page_id, density, share AS noise, CASE WHEN copies > 1 THEN 1 ELSE 0 END::BIGINT AS repeated, 1::BIGINT AS regions, 1::BIGINT AS boilerplate, density >= 0.3 AND share < 0.7 AS extractable, {_MADE_SCORE} * CASE WHEN density >= 0.3 AND share < 0.7 THEN 1.0 ELSE 0.7 END AS score FROM shares")
+def made_extractability(spark, sf_dir):
+    """Density, noise, repeats, boilerplate and the extractability metric of made pages."""
+    a = PageAudit(supplier_pages(spark, sf_dir))
+    rows = evidence.extractability(a.nodes, a.flags, a.pages)
+    scores = a.metric_rows.where("metric = 'extractability'").select("page_id", "score")
+    return rows.join(scores, "page_id").select("page_id", "density", "noise", F.col("repeated").cast("long").alias("repeated"), F.col("regions").cast("long").alias("regions"), F.col("boilerplate").cast("long").alias("boilerplate"), "extractable", "score")
+
+
+@query(
+    f"""WITH {_MADE}, d AS (
+    SELECT page_id, 'ecommerce' AS domain, CASE WHEN odd = 0 THEN 4.0 ELSE 0.0 END AS score FROM made UNION ALL
+    SELECT page_id, 'support_page', CASE WHEN odd = 1 THEN 6.0 ELSE 0.0 END FROM made UNION ALL
+    SELECT page_id, 'documentation', 1.0 FROM made UNION ALL
+    SELECT page_id, 'product_page', CASE WHEN four = 3 THEN 1.0 ELSE 0.0 END FROM made)
+    SELECT page_id, domain, score, least(score / 10, 1.0) AS confidence FROM d WHERE score > 0"""
+)
+def made_domains(spark, sf_dir):
+    """Domains of made pages, by selectors and keywords."""
+    a = PageAudit(supplier_pages(spark, sf_dir))
+    return evidence.domain_profile(a.nodes, a.texts).select("page_id", F.col("value").alias("domain"), F.col("meta")["score"].cast("double").alias("score"), "confidence")
+
+
+@query(
+    f"""WITH {_MADE}
+    SELECT page_id, 'semantic_headings' AS section, CASE four WHEN 2 THEN 'heading_plain' WHEN 3 THEN 'heading_clear' ELSE 'heading_ambiguous' END AS type, heading AS value, CASE four WHEN 3 THEN 0.9 ELSE 0.5 END AS confidence FROM made UNION ALL
+    SELECT page_id, 'anchor_text', CASE three WHEN 2 THEN 'anchor_clear' ELSE 'anchor_ambiguous' END, anchor, CASE three WHEN 2 THEN 0.9 ELSE 0.4 END FROM made UNION ALL
+    SELECT page_id, 'semantic_paragraphs', 'paragraph_clear', p, 0.85 FROM made, range(1, copies + 1) UNION ALL
+    SELECT page_id, 'redundancy', 'redundant_content', lower(p), 0.5 + copies * 0.1 FROM made WHERE copies > 1 UNION ALL
+    SELECT page_id, 'structured_content', 'faq_block', aside, 0.85 FROM made WHERE odd = 1"""
+)
+def made_semantics(spark, sf_dir):
+    """Classes of headings, anchors and paragraphs, repeats and content blocks of made pages."""
+    a = PageAudit(supplier_pages(spark, sf_dir))
+    n = a.nodes
+    rows = evidence.semantic_headings(evidence.headings(n), n)
+    for more in (evidence.anchor_text(evidence.links(n, a.pages), n), evidence.semantic_paragraphs(evidence.paragraphs(n)), evidence.redundancy(n, a.texts), evidence.structured_content(n)):
+        rows = rows.unionByName(more)
+    return rows.select("page_id", "section", "type", "value", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    f"""WITH {_MADE} SELECT page_id, 'structure' AS metric, {_CLAMP.format("50.0 * 0.30 + 50.0 * 0.25 + 100.0 * 0.25 + 95.0 * 0.20")} AS score, 0.85 AS confidence FROM made UNION ALL
+    SELECT page_id, 'accessibility', {_CLAMP.format("70.0 * 0.35 + 80.0 * 0.20 + 40.0 * 0.15 + 95.0 * 0.20 + 50.0 * 0.10")}, 0.82 FROM made UNION ALL
+    SELECT page_id, 'semantic', {_CLAMP.format("70.0 * 0.30 + 60.0 * 0.25 + 60.0 * 0.20 + 45.0 * 0.25")}, 0.83 FROM made UNION ALL
+    SELECT page_id, 'structuredData', NULL, NULL FROM made"""
+)
+def made_metrics(spark, sf_dir):
+    """Metrics of made pages that follow from how they are made."""
+    a = PageAudit(supplier_pages(spark, sf_dir))
+    return a.metric_rows.where("metric in ('structure', 'accessibility', 'semantic', 'structuredData')").select("page_id", "metric", "score", "confidence")
+
+
 # ---- corpora, baselines and drift ----------------------------------------------------------------------------
 
 
