@@ -1,4 +1,4 @@
-"""Elias-Fano lists and a two-level n-gram trie over them, kept in one memory map."""
+"""Elias-Fano lists, and a level of an n-gram trie over them, kept in one memory map."""
 
 from __future__ import annotations
 
@@ -81,19 +81,22 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts, monotone pointers to their successors, and quantised weights of those, in one memory map.
+    """A level of an n-gram trie: contexts, monotone pointers to their successors, and quantised probabilities of those.
 
-    Contexts and successors are 32-bit hashes. A successor is stored relative to its context: the context's place and the
-    successor's hash make one rising list, and a search stays within the context's range of it.
+    Contexts and successors are whole ids under 2**62 in all, no hashes. A successor is stored relative to its context:
+    the context's place and the successor make one rising list, and a search stays within the context's range of it.
+    Successors' counts, which are the next level's context counts, stand beside the probabilities.
     """
 
-    def __init__(self, keys: np.ndarray, codes: np.ndarray):
-        """keys: distinct context << 32 | successor as uint64, sorted; codes: two bytes for each."""
-        context = (keys >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(context, prepend=-1))
-        place = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-        successors = (place << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        pieces = [p for values in (context[first], np.append(first, len(keys)), successors) for p in EliasFano.parts(values)] + [codes.astype(np.uint16)]
+    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        """Distinct pairs in ascending order of context and then successor; two bytes of code and a count for each."""
+        new = np.diff(contexts, prepend=-1) != 0
+        first, place = np.flatnonzero(new), np.cumsum(new) - 1
+        self.bits = int(successors.max()).bit_length() if len(successors) else 0
+        if len(first) and int(place[-1]).bit_length() + self.bits > 62:
+            raise ValueError("too many contexts in a level")
+        lists = (contexts[first], np.append(first, len(contexts)), (place << self.bits) | successors)
+        pieces = [p for values in lists for p in EliasFano.parts(values)] + [codes.astype(np.uint16), counts.astype(np.int64)]
         ends = np.cumsum([p.nbytes + -p.nbytes % 8 for p in pieces]).tolist()
         self.map = mmap.mmap(-1, ends[-1] + 8)  # no file: a machine's own folders are not for jobs
         for start, p in zip([0, *ends], pieces):
@@ -101,18 +104,19 @@ class Trie:
         whole = np.frombuffer(self.map, np.uint8)
         views = [whole[start : start + p.nbytes].view(p.dtype) for start, p in zip([0, *ends], pieces)]
         lists = [EliasFano(int(views[i][0]), int(views[i][1]), *views[i + 1 : i + 4]) for i in (0, 4, 8)]
-        self.contexts, self.pointers, self.successors, self.codes = *lists, views[12]
+        self.contexts, self.pointers, self.successors, self.codes, self.counts = *lists, views[12], views[13]
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of context << 32 | successor; 0 where the trie has none."""
-        if not self.successors.size or not len(keys):
-            return np.zeros(len(keys), np.uint16)
-        context, which = np.unique((keys >> np.uint64(32)).astype(np.int64), return_inverse=True)
+    def __call__(self, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs, in any order, and whether they are there (0 and False for others)."""
+        if not self.successors.size or not len(contexts):
+            return np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+        context, which = np.unique(contexts, return_inverse=True)
         place = np.minimum(self.contexts.find(context), self.contexts.size - 1)
-        known = self.contexts[place] == context
+        known = (self.contexts[place] == context)[which] & (successors < 1 << self.bits)
         begin, end = self.pointers[place], self.pointers[place + 1]
-        target = (place[which] << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        target = (place[which] << self.bits) | np.where(known, successors, 0)
         at = self.successors.find(target)
-        inside = known[which] & (at >= begin[which]) & (at < end[which])
+        inside = known & (at >= begin[which]) & (at < end[which])
         at = np.where(inside, at, 0)
-        return np.where(inside & (self.successors[at] == target), self.codes[at], 0).astype(np.uint16)
+        there = inside & (self.successors[at] == target)
+        return np.where(there, at, 0), there

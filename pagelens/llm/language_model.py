@@ -1,18 +1,22 @@
-"""Language-model scores by a bigram model whose counts come from the whole corpus.
-
-Documents are tokenized once into batches of bounded size, each with its own dictionary. A batch sends its distinct
-words and word pairs (once each, whatever their count) to shards by hash, so a frequent word or pair adds a row a batch
-to its shard, not one an occurrence. A shard adds up the batches' counts, builds an Elias-Fano trie of its pairs with
-quantised weights, answers every batch from it, and forgets it; answers go back by batch, where texts are scored.
-
-The model: P(w|h) = (c(hw) + f(c(h)) * base(w)) / (c(h) + f(c(h))) with f(c) = c**beta, a proper distribution for every
-context up to the quantisation of c(hw) in the trie (exact to 4096, within 0.02 % above). beta is set so that the sum of
-f over contexts is the number of distinct pairs, so f estimates how many different words have followed a context.
-base(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). A text's tokens are its words and one end; the first follows a start.
+"""Language-model scores by an Elias-Fano trigram trie whose counts come from the whole corpus.
+
+Documents are tokenized once into batches of bounded size, each with its own dictionary, written to files in the shared
+folder. The model is made level by level: words, pairs, triples. At each level a batch sends its distinct n-grams (once
+each, whatever their count) to shards, dealt by context, so that a context's successors meet; contexts of more than a
+shard's tokens are dealt out by successor too. A shard adds up the batches' counts, builds a level of the trie, with the
+smoothed probabilities quantised to two bytes, answers every batch from it by context-relative successor search, and
+forgets it. Words get dense ids, the most frequent the smallest; a pair's id is its place in its shard's level: ids are
+whole, no hashes of n-grams are compared. N-grams of which all occurrences lie in one batch, known from the counts of
+their parts, are counted there and never sent; neither are those of contexts that were not learned.
+
+The model: P(w|h) = (c(hw) + f(c(h)) * Q(w)) / (c(h) + f(c(h))) with f(c) = c**beta, where Q is the next shorter
+context's P, and for no context base(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); a proper distribution for every context up
+to the quantisation of log10 P to steps of 0.0003. A text's tokens are its words and one end; the first follows a start.
 """
 
 from __future__ import annotations
 
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, id_and_text, materialize, mix64, words_of
+from .common import WordHashes, crc_mod, get_file, id_and_text, materialize, mix64, new_dir, put_file, words_of
 from .elias_fano import Trie
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))  # no word holds a space
-BETAS = np.linspace(0, 1, 41)
-#: What a pair's two-byte code stands for: counts up to 4096, then steps of 0.04 % up to about 1e14.
-LEVELS = np.concatenate((np.arange(4097.0), 4096 * 1.00039 ** np.arange(1, 61440)))
+STEP = 3e-4  # of log10 between neighbouring codes
+NONE = 65_535  # the code of what a level does not have
+ASKED = "shard long, batch long, data binary"
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log10(p) / -STEP), 0, NONE - 1).astype(np.uint16)
+
+
+def probability(codes: np.ndarray) -> np.ndarray:
+    return 10.0 ** (codes * -STEP)
+
+
+def mass(counts: np.ndarray, beta: float) -> np.ndarray:
+    """Pseudo-counts that a context gives to the shorter one's distribution."""
+    return np.maximum(counts, 1.0) ** beta
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -41,8 +58,34 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
 
 
-def tokenize(rows: DataFrame, batch_bytes: int) -> DataFrame:
-    """Batches of rows (doc_id, text, held_out): their documents, tokens as places in a dictionary, and the dictionary."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on, one after the other."""
+    return b"".join(struct.pack("<I", len(part)) + part for part in map(squeeze, arrays))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<I", data, at)
+        out.append(unsqueeze(data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def steps(values: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Differences between neighbours; whole values where fresh."""
+    return np.where(fresh, values, np.diff(values, prepend=0))
+
+
+def sums(diffs: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The values that steps() was made of."""
+    total = np.cumsum(diffs)
+    at = np.flatnonzero(fresh)
+    return total - np.repeat(total[at] - diffs[at], np.diff(np.append(at, len(diffs)))) if len(at) else total
+
+
+def tokenize(rows: DataFrame, folder: str, batch_bytes: int) -> DataFrame:
+    """Writes batches of rows (doc_id, text, held_out) to files in folder; returns (batch, tokens, learned) of each."""
 
     def run(batches):
         hashes, part, n = WordHashes(), TaskContext.get().partitionId(), 0
@@ -50,10 +93,13 @@ def tokenize(rows: DataFrame, batch_bytes: int) -> DataFrame:
 
         def close():
             nonlocal ids, held, parts, size, n
-            flat = np.concatenate(parts)
-            words, places = np.unique(np.append(flat, START), return_inverse=True)
-            made = [(part << 32) + n, squeeze(np.array([len(p) for p in parts])), squeeze(places[:-1]), words.tobytes(), ids, held, len(flat)]
-            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(made, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64()), strict=True)], names=["batch", "lengths", "places", "words", "ids", "held", "tokens"])
+            number, lengths = (part << 32) + n, np.array([len(p) for p in parts])
+            words, places = np.unique(np.append(np.concatenate(parts), START), return_inverse=True)
+            known = np.array([i is not None for i in ids])
+            bare = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
+            put_file(f"{folder}/{number}", pack(lengths, places[:-1], words, np.array(held, np.uint8), known, bare))
+            learned = int(lengths[~np.array(held, bool)].sum())
+            out = pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (number, int(lengths.sum()), learned)], names=["batch", "tokens", "learned"])
             ids, held, parts, size, n = [], [], [], 0, n + 1
             return out
 
@@ -69,89 +115,125 @@ def tokenize(rows: DataFrame, batch_bytes: int) -> DataFrame:
         if ids:
             yield close()
 
-    return rows.mapInArrow(run, "batch long, lengths binary, places binary, words binary, ids array<long>, held array<boolean>, tokens long")
+    return rows.mapInArrow(run, "batch long, tokens long, learned long")
 
 
 class Batch:
-    """A row of tokenize(), unpacked: token places, those before them, and distinct pairs in ascending order of key."""
+    """A batch's file: its documents, token places in the dictionary, and distinct n-grams with how often each was learned."""
 
-    def __init__(self, lengths: bytes, places: bytes, words: bytes, held: list[bool]):
-        self.words = np.frombuffer(words, np.uint64)
-        self.lengths = unsqueeze(lengths).astype(np.int64)
-        self.places = unsqueeze(places).astype(np.int64)
+    def __init__(self, folder: str, number: int):
+        lengths, places, self.words, held, known, bare = unpack(get_file(f"{folder}/{number}"))
+        self.lengths, self.places, self.held = lengths.astype(np.int64), places.astype(np.int64), held.astype(bool)
+        self.ids = [i if k else None for i, k in zip(bare.astype(np.uint64).view(np.int64).tolist(), known.tolist(), strict=True)]
+        self.words = self.words.astype(np.uint64)
         self.start = int(np.searchsorted(self.words, START))
-        self.ends = np.cumsum(self.lengths)
-        self.before = np.roll(self.places, 1)
-        self.before[self.ends - self.lengths] = self.start
-        learned = ~np.array(held, bool)
-        self.learned = np.repeat(learned, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.learned = np.repeat(~self.held, self.lengths)
         self.counts = np.bincount(self.places[self.learned], minlength=len(self.words))
-        self.counts[self.start] = learned.sum()
+        self.counts[self.start] = (~self.held).sum()
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys (context hash << 32 | word hash) ascending, how often each was learned, and every token's pair."""
-        short = self.words >> np.uint64(32)
-        keys = (short[self.before] << np.uint64(32)) | short[self.places]
-        found, pair = np.unique(keys, return_inverse=True)
-        return found, np.bincount(pair[self.learned], minlength=len(found)), pair
+    def pairs(self) -> None:
+        """first, second: places of every distinct pair's words; pair: every token's; pair_counts."""
+        before = np.roll(self.places, 1)
+        before[self.starts] = self.start
+        found, self.pair = np.unique(before * len(self.words) + self.places, return_inverse=True)
+        self.first, self.second = np.divmod(found, len(self.words))
+        self.pair_counts = np.bincount(self.pair[self.learned], minlength=len(found))
 
+    def triples(self) -> None:
+        """head, tail: the two pairs of every distinct triple; triple: every token's, -1 for the first of a document; triple_counts."""
+        inner = np.ones(len(self.places), bool)
+        inner[self.starts] = False
+        inner = np.flatnonzero(inner)
+        found, at, which = np.unique(self.pair[inner - 1] * len(self.words) + self.places[inner], return_index=True, return_inverse=True)
+        self.head, self.tail = self.pair[inner[at] - 1], self.pair[inner[at]]
+        self.triple = np.full(len(self.places), -1)
+        self.triple[inner] = which
+        self.triple_counts = np.bincount(which[self.learned[inner]], minlength=len(found))
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(keys) % np.uint64(shards)).astype(np.int64)
 
+def shard_of(contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, shards: int, limit: int) -> np.ndarray:
+    """Dealt by context; one of more than `limit` occurrences is cut into as many parts by successor."""
+    part = successors % -(-totals // limit).clip(1)
+    with np.errstate(over="ignore"):
+        return (mix64(contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
-def _ask(batches: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, batch, keys, counts): what every batch sends to a shard; kind 0 words, 1 pairs."""
 
-    def run(rows):
-        for row in rows:
-            for r in row.to_pylist():
-                b = Batch(r["lengths"], r["places"], r["words"], r["held"])
-                out = []
-                for kind, (keys, counts) in enumerate(((b.words, b.counts), b.pairs()[:2])):
-                    to = shard_of(keys, shards)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(shards + 1))
-                    for s in np.flatnonzero(np.diff(cuts)):
-                        own = order[cuts[s] : cuts[s + 1]]
-                        out.append((kind, int(s), r["batch"], keys[own].tobytes(), squeeze(counts[own])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "shard", "batch", "keys", "counts"])
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "batch", "data"])
 
-    return batches.select("batch", "lengths", "places", "words", "held").mapInArrow(run, "kind int, shard long, batch long, keys binary, counts binary")
 
+def ask(batch: int, contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, counts: np.ndarray, lower: np.ndarray, shards: int, limit: int) -> tuple[list[tuple], np.ndarray]:
+    """(shard, batch, data) for n-grams of a level, and the order in which answers will come, shard after shard.
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """A shard's answers: each batch's counts (words) or codes (pairs) in the order asked, and the totals with batch -1."""
-    kind, shard = asked["kind"][0].as_py(), asked["shard"][0].as_py()
-    keys = [np.frombuffer(k.as_py(), np.uint64) for k in asked["keys"]]
+    totals: the context's count; counts: the n-gram's in this batch; lower: the code of the shorter context's probability.
+    A batch always sends a row, be it an empty one.
+    """
+    to = shard_of(contexts, successors, totals, shards, limit)
+    order = np.lexsort((successors, contexts, to))
+    cuts = np.searchsorted(to[order], np.arange(shards + 1))
+    out = []
+    for s in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[s] : cuts[s + 1]]
+        fresh = np.diff(contexts[own], prepend=-1) != 0
+        heads = own[fresh]
+        sizes = np.diff(np.append(np.flatnonzero(fresh), len(own)))
+        out.append((int(s), batch, pack(np.diff(contexts[heads], prepend=0), sizes, totals[heads], steps(successors[own], fresh), counts[own], lower[own])))
+    return out or [(batch % shards, batch, b"")], order
+
+
+def _answer(asked: pa.Table, beta: float, counted: bool) -> pa.Table:
+    """A shard's answers to every batch, in the order asked: codes, and with counted also counts and places, 0 where the level has none."""
+    shard, batches = asked["shard"][0].as_py(), asked["batch"].to_pylist()
+    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for data in asked["data"]:
+        got = [x.astype(np.int64) for x in unpack(data.as_py())] or [np.zeros(0, np.int64)] * 6
+        fresh = np.zeros(len(got[3]), bool)
+        fresh[np.cumsum(got[1]) - got[1]] = True
+        for list_, x in zip(parts, (np.repeat(np.cumsum(got[0]), got[1]), sums(got[3], fresh), np.repeat(got[2], got[1]), got[4], got[5]), strict=True):
+            list_.append(x)
+    ends = np.cumsum([len(x) for x in parts[0]])
+    contexts, successors, totals, counts, lower = (np.concatenate(x) for x in parts)
+    del parts
+    order = np.lexsort((successors, contexts))
+    c, s = contexts[order], successors[order]
+    fresh = (np.diff(c, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0)
+    first = np.flatnonzero(fresh)
+    sum_ = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+    one = order[first][sum_ > 0]
+    sum_ = sum_[sum_ > 0]
+    f = mass(totals[one], beta)
+    level = Trie(contexts[one], successors[one], quantise((sum_ + f * probability(lower[one])) / (totals[one] + f)), sum_)
+    answers, begin = [], 0
+    for end in ends.tolist():
+        at, there = level(contexts[begin:end], successors[begin:end])
+        codes = np.where(there, level.codes[at], NONE) if len(level.codes) else np.full(end - begin, NONE)
+        if counted:
+            own = np.where(there, level.counts[at], 0) if len(level.codes) else np.zeros(end - begin, np.int64)
+            answers.append(pack(codes, own, steps(at[there], np.arange(there.sum()) == 0)))
+        else:
+            answers.append(pack(codes))
+        begin = end
+    return pa.table({"shard": pa.array([shard] * len(batches), pa.int64()), "batch": pa.array(batches, pa.int64()), "data": pa.array(answers, pa.binary())})
+
+
+def _count_words(asked: pa.Table, shards: int) -> pa.Table:
+    """A shard's answers to every batch: words' counts and ids, in the order asked; and the totals (tokens, words) with batch -1."""
+    shard = asked["shard"][0].as_py()
+    sent = [unpack(d.as_py()) for d in asked["data"]]
+    keys = [np.cumsum(k[0]) if len(k[0]) else k[0].astype(np.uint64) for k in sent]
     found, which = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.zeros(len(found), np.int64)
-    at = 0
-    for k, c in zip(keys, asked["counts"], strict=True):
-        counts[which[at : at + len(k)]] += unsqueeze(c.as_py()).astype(np.int64)  # a batch's keys are distinct
-        at += len(k)
-    seen = counts > 0
-    if kind == 0:
-        words = seen & (found != START)
-        contexts = counts[seen & (found != END)].astype(float)
-        totals = [float(counts[words].sum()), float(words.sum()), 0.0, *(contexts[:, None] ** BETAS).sum(axis=0)]
-        cuts = np.cumsum([0, *map(len, keys)])
-        answers = [squeeze(counts[which[a:b]]) for a, b in zip(cuts, cuts[1:])]
-    else:
-        totals = [0.0, 0.0, float(seen.sum()), *[0.0] * len(BETAS)]
-        del which
-        trie = Trie(found[seen], _code(counts[seen]))
-        answers = [squeeze(trie(k)) for k in keys]
-    return pa.table({"kind": pa.array([kind] * (len(keys) + 1), pa.int32()), "shard": pa.array([shard] * (len(keys) + 1), pa.int64()), "batch": pa.array([*asked["batch"].to_pylist(), -1], pa.int64()), "answer": pa.array([*answers, b""], pa.binary()), "totals": pa.array([*[None] * len(keys), totals], pa.list_(pa.float64()))})
-
-
-def _code(counts: np.ndarray) -> np.ndarray:
-    """The code whose level is nearest."""
-    middle = (LEVELS[1:] + LEVELS[:-1]) / 2
-    return np.searchsorted(middle, counts, "right").astype(np.uint16)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, batch_bytes: int = 8 << 20, tokens_per_shard: int = 3_000_000) -> DataFrame:
+    counts = np.bincount(which, weights=np.concatenate([k[1] for k in sent]), minlength=len(found)).astype(np.int64)
+    ids = np.empty(len(found), np.int64)
+    ids[np.argsort(-counts, kind="stable")] = np.arange(len(found)) * shards + shard
+    cuts = np.cumsum([0, *map(len, keys)])
+    answers = [pack(counts[which[a:b]], ids[which[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    known = int(((counts > 0) & (found != START)).sum())
+    n = len(keys)
+    return pa.table({"shard": pa.array([shard] * (n + 1), pa.int64()), "batch": pa.array([*asked["batch"].to_pylist(), -1], pa.int64()), "data": pa.array([*answers, b""], pa.binary()), "words": pa.array([*[0] * n, known], pa.int64())})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, batch_bytes: int = 8 << 20, tokens_per_shard: int = 3_000_000, beta: float = 0.7) -> DataFrame:
     """Scores of all rows: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model learns from the documents whose crc32 of the id as text, modulo held_out_of, is not 0. base_score is the
@@ -160,43 +242,106 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     columns are ignored; an empty table gives no rows. With nothing to learn from, every token has base 1.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("held_out", crc_mod("doc_id", held_out_of) == 0)
-    batches = materialize(tokenize(rows, batch_bytes), "lm-batches")
-    spark = batches.sparkSession
-    tokens = batches.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tokens_per_shard))
-    answered = _ask(batches, shards).groupBy("kind", "shard").applyInArrow(_answer, "kind int, shard long, batch long, answer binary, totals array<double>")
-    answered = materialize(answered, "lm-answers")
-    sums = answered.where("batch = -1").select([F.sum(F.col("totals")[i]).alias(f"s{i}") for i in range(3 + len(BETAS))]).first()
-    n, v, pairs, *powers = (x or 0.0 for x in sums)
-    beta = float(np.interp(pairs, powers, BETAS)) if pairs else 0.0
-    norm = n + 0.1 * (v + 1)
-
-    def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        if len(own):
-            r = own.to_pylist()[0]
-            b = Batch(r["lengths"], r["places"], r["words"], r["held"])
-            keys, _, pair = b.pairs()
-            counts, codes = np.zeros(len(b.words), np.int64), np.zeros(len(keys), np.uint16)
-            places = {}
-            for kind, all_keys in ((0, b.words), (1, keys)):
-                to = shard_of(all_keys, shards)
-                order = np.argsort(to, kind="stable")
-                places[kind] = (order, np.searchsorted(to[order], np.arange(shards + 1)))
-            for a in answers.to_pylist():
-                order, cuts = places[a["kind"]]
-                (codes if a["kind"] else counts)[order[cuts[a["shard"]] : cuts[a["shard"] + 1]]] = unsqueeze(a["answer"])
-            base = (counts + 0.1) / norm
-            c = counts[b.before].astype(float)
-            f = np.where(c > 0, c**beta, 1.0)
-            token = base[b.places]
-            full = (LEVELS[codes[pair]] + f * token) / (c + f)
-            starts = b.ends - b.lengths
-            out = {"doc_id": r["ids"], "held_out": r["held"], "n_tokens": b.lengths, "n_known": np.add.reduceat((counts[b.places] > 0).astype(np.int64), starts), "base_score": np.add.reduceat(np.log10(token), starts), "score": np.add.reduceat(np.log10(full), starts)}
+    spark = docs.sparkSession
+    folder = new_dir(spark, "lm")
+    batches = materialize(tokenize(rows, folder, batch_bytes), "lm-batches")
+    tokens, train = batches.agg(F.sum("tokens"), F.sum("learned")).first()
+    tokens, train = tokens or 0, train or 0
+    shards, limit = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // tokens_per_shard)), tokens_per_shard
+
+    def word_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = (mix64(words) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return order, np.searchsorted(to[order], np.arange(shards + 1))
+
+    def ask_words(found):
+        for rows in found:
+            for number in rows.column(0).to_pylist():
+                b = Batch(folder, number)
+                order, cuts = word_order(b.words)
+                own = [(s, order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield _rows([(s, number, pack(np.diff(b.words[at], prepend=np.uint64(0)), b.counts[at])) for s, at in own])
+
+    first = batches.select("batch").mapInArrow(ask_words, ASKED).groupBy("shard").applyInArrow(lambda t: _count_words(t, shards), ASKED + ", words long")
+    words = materialize(first, "lm-words")
+    vocabulary = words.where("batch = -1").agg(F.sum("words")).first()[0] or 0
+    norm = train + 0.1 * (vocabulary + 1)
+
+    def ask_pairs(answers: pa.Table) -> pa.Table:
+        number = answers["batch"][0].as_py()
+        b = Batch(folder, number)
+        counts, ids = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
+        order, cuts = word_order(b.words)
+        for s, data in zip(answers["shard"].to_pylist(), answers["data"], strict=True):
+            at = order[cuts[s] : cuts[s + 1]]
+            counts[at], ids[at] = unpack(data.as_py())
+        b.pairs()
+        base = quantise((counts + 0.1) / norm)
+        whole = counts == b.counts  # all that was learned of the word is in this batch
+        send = np.flatnonzero(~(whole[b.first] | whole[b.second]))
+        out, order = ask(number, ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], b.pair_counts[send], base[b.second[send]], shards, limit)
+        put_file(f"{folder}/words-{number}", pack(counts, ids))
+        put_file(f"{folder}/pairs-{number}", pack(order, np.bincount(shard_of(ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], shards, limit), minlength=shards)))
+        return pa.Table.from_batches([_rows(out)])
+
+    def in_order(answers: pa.Table, cuts: np.ndarray):
+        """Each shard's answer and the places, in the order asked, that it stands for."""
+        for s, data in zip(answers["shard"].to_pylist(), answers["data"], strict=True):
+            if cuts[s + 1] > cuts[s]:
+                yield s, slice(int(cuts[s]), int(cuts[s + 1])), unpack(data.as_py())
+
+    def ask_triples(answers: pa.Table) -> pa.Table:
+        number = answers["batch"][0].as_py()
+        b = Batch(folder, number)
+        b.pairs()
+        counts, ids = (x.astype(np.int64) for x in unpack(get_file(f"{folder}/words-{number}")))
+        order, sizes = unpack(get_file(f"{folder}/pairs-{number}"))
+        whole = counts == b.counts
+        own = whole[b.first] | whole[b.second]
+        send, cuts = np.flatnonzero(~own)[order.astype(np.int64)], np.cumsum(np.append(0, sizes))
+        context = counts[b.first]
+        f, low = mass(context, beta), probability(quantise((counts + 0.1) / norm))[b.second]
+        n, place = np.where(own, b.pair_counts, 0), np.zeros(len(own), np.int64)
+        codes = quantise((n + f * low) / (context + f))
+        for s, at, (found, times, places) in in_order(answers, cuts):
+            there = found != NONE
+            to = send[at]
+            codes[to[there]] = found[there]
+            n[to] = times
+            place[to[there]] = (s << 32) + np.cumsum(places.astype(np.int64))
+        b.triples()
+        closed = own | (n == b.pair_counts)
+        own = closed[b.head] | closed[b.tail]
+        context, low = n[b.head], codes[b.tail]
+        f = mass(context, beta)
+        exact = quantise((np.where(own, b.triple_counts, 0) + f * probability(low)) / (context + f))
+        send = np.flatnonzero(~own)
+        out, order = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
+        to = shard_of(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
+        put_file(f"{folder}/triples-{number}", pack(send[order], np.bincount(to, minlength=shards), exact, codes[b.pair[b.starts]]))
+        return pa.Table.from_batches([_rows(out)])
+
+    def finish(answers: pa.Table) -> pa.Table:
+        number = answers["batch"][0].as_py()
+        b = Batch(folder, number)
+        b.pairs()
+        b.triples()
+        counts = unpack(get_file(f"{folder}/words-{number}"))[0].astype(np.int64)
+        send, sizes, codes, heads = unpack(get_file(f"{folder}/triples-{number}"))
+        codes, send = codes.astype(np.int64), send.astype(np.int64)
+        for _, at, (found,) in in_order(answers, np.cumsum(np.append(0, sizes))):
+            there = found != NONE
+            codes[send[at][there]] = found[there]
+        token = np.zeros(len(b.places))
+        inner = b.triple >= 0
+        token[inner], token[b.starts] = codes[b.triple[inner]] * -STEP, heads * -STEP
+        base = np.log10((counts + 0.1) / norm)[b.places]
+        seen = (counts[b.places] > 0).astype(np.int64)
+        out = [b.ids, b.held, b.lengths, np.add.reduceat(seen, b.starts), np.add.reduceat(base, b.starts), np.add.reduceat(token, b.starts)]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), out, kinds, strict=True)})
 
-    own = batches.select("batch", "lengths", "places", "words", "ids", "held")
-    replies = answered.where("batch <> -1").select("batch", "kind", "shard", "answer")
-    scored = own.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    level2 = words.where("batch <> -1").select("shard", "batch", "data").groupBy("batch").applyInArrow(ask_pairs, ASKED).groupBy("shard").applyInArrow(lambda t: _answer(t, beta, True), ASKED)
+    level3 = level2.groupBy("batch").applyInArrow(ask_triples, ASKED).groupBy("shard").applyInArrow(lambda t: _answer(t, beta, False), ASKED)
+    scored = level3.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -301,31 +301,75 @@ def test_risk_is_never_negative_part_driven():
 # ---- language model ----
 
 
+def brute_model(toks, held, beta=0.7):
+    """Counts of one to three tokens, and P by the definition, from the documents that are not held out."""
+    c = [Counter(), Counter(), Counter(), Counter()]
+    for i, t in toks:
+        if not held(i):
+            padded = [b" start", *t]
+            for n in (1, 2, 3):
+                c[n].update(tuple(padded[j : j + n]) for j in range(len(padded) - n + 1) if n > 1 or j)
+            c[0][b" start"] += 1
+    n, v = sum(c[1].values()), len(c[1])
+    base = lambda w: (c[1][w,] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(h, w):
+        if not h:
+            return base(w)
+        total = c[0][b" start"] if h == (b" start",) else c[len(h)][h]
+        f = max(total, 1) ** beta
+        return (c[len(h) + 1][(*h, w)] + f * p(h[1:], w)) / (total + f)
+
+    return c, n, base, p
+
+
 def test_language_model(corpus):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     toks = [(i, words_of(t.encode() if t is not None else None) + [b" end"]) for i, t in rows]
-    c, pairs, contexts = Counter(), Counter(), Counter()
-    for i, t in toks:
-        if not held(i):
-            c.update(t)
-            before = [b" start", *t[:-1]]
-            pairs.update(zip(before, t))
-            contexts.update(before)
-    n, v = sum(c.values()), len(c)
-    beta = np.interp(len(pairs), [sum(x**b for x in contexts.values()) for b in language_model.BETAS], language_model.BETAS)
-    base = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    f = lambda h: max(contexts[h], 1) ** beta
+    c, n, base, p = brute_model(toks, held)
     want = defaultdict(list)
     for i, t in toks:
-        want[i].append((held(i), len(t), sum(c[w] > 0 for w in t), n, sum(log10(base(w)) for w in t), sum(log10((pairs[h, w] + f(h) * base(w)) / (contexts[h] + f(h))) for h, w in zip([b" start", *t], t))))
-    got = defaultdict(list)
-    for r in language_model.score(corpus, batch_bytes=3000, tokens_per_shard=500).collect():
-        got[r.doc_id].append(tuple(r)[1:])
-    assert set(got) == set(want)
-    for i in want:
-        for a, b in zip(sorted(got[i], key=str), sorted(want[i], key=str), strict=True):
-            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9, abs=1e-9)
+        padded = [b" start", *t]
+        total = sum(log10(p(tuple(padded[max(0, j - 2) : j]), padded[j])) for j in range(1, len(padded)))
+        want[i].append((held(i), len(t), sum(c[1][w,] > 0 for w in t), n, sum(log10(base(w)) for w in t), total))
+    for options in ({"batch_bytes": 3000, "tokens_per_shard": 50}, {}):  # heavy contexts in parts; and all in one batch
+        got = defaultdict(list)
+        for r in language_model.score(corpus, **options).collect():
+            got[r.doc_id].append(tuple(r)[1:])
+        assert set(got) == set(want)
+        for i in want:
+            for a, b in zip(sorted(got[i], key=str), sorted(want[i], key=str), strict=True):
+                assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and abs(a[5] - b[5]) <= 1e-3 * b[1]
+
+
+def test_the_model_is_a_distribution():
+    rnd = random.Random(5)
+    toks = [(i, [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(0, 6))] + [b" end"]) for i in range(40)]
+    c, n, base, p = brute_model(toks, lambda i: False)
+    vocabulary = [w for (w,) in c[1]]
+    for h in [(), (b" start",), (b"a",), (b" start", b"b"), (b"a", b"b"), (b"zz", b"a")]:
+        rest = p(h, b"never seen")  # the mass of all other words, as one
+        assert sum(p(h, w) for w in vocabulary) + rest == pytest.approx(1)
+
+
+def test_repeated_documents_score_higher(spark):
+    rnd = random.Random(6)
+    words = [f"v{i}" for i in range(300)]
+    once = [(i, " ".join(rnd.choices(words, k=60))) for i in range(200)]
+    twice = [(1000 + i, t) for i, t in once[:40]]
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.score(spark.createDataFrame(once + twice, "doc_id long, text string"), batch_bytes=4000).collect()}
+    assert np.mean([got[i] for i in range(40)]) > np.mean([got[i] for i in range(40, 200)])
+
+
+def test_steps_and_packing():
+    rng = np.random.default_rng(0)
+    x, fresh = np.sort(rng.integers(0, 2**40, 50)), np.zeros(50, bool)
+    fresh[[0, 7, 20]] = True
+    assert (language_model.sums(language_model.steps(x, fresh), fresh) == x).all()
+    parts = [np.array([], np.int64), np.array([0, 255]), np.array([2**63], np.uint64), rng.integers(0, 70000, 9)]
+    back = language_model.unpack(language_model.pack(*parts))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(parts, back, strict=True)) and language_model.unpack(b"") == []
 
 
 def test_language_model_of_nothing(empty):
@@ -344,13 +388,19 @@ def test_elias_fano():
 
 
 def test_trie():
+    """Whole ids: contexts and successors that agree in their low 32 bits stay apart."""
     rng = np.random.default_rng(0)
-    keys = np.unique((rng.zipf(1.5, 5000).astype(np.uint64) % np.uint64(2**32) << np.uint64(32)) | rng.integers(0, 2**32, 5000).astype(np.uint64))
-    codes = rng.integers(1, 60000, len(keys)).astype(np.uint16)
-    asked = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 2**63, 100).astype(np.uint64)))
-    known = dict(zip(keys.tolist(), codes.tolist()))
-    assert Trie(keys, codes)(asked).tolist() == [known.get(k, 0) for k in asked.tolist()]
-    assert (Trie(keys[:0], codes[:0])(asked) == 0).all()
+    contexts = np.concatenate((rng.zipf(1.5, 4000) % 2**35, rng.zipf(1.5, 1000) % 2**35 + 2**32))
+    keys = np.unique(np.stack((contexts, rng.integers(0, 2**20, 5000) + (rng.integers(0, 3, 5000) << 32)), axis=1), axis=0)
+    codes, counts = rng.integers(1, 60000, len(keys)), rng.integers(1, 2**40, len(keys))
+    asked = np.concatenate((keys, keys + [0, 1], keys + [1, 0], keys + [0, 2**32], keys + [2**32, 0], rng.integers(0, 2**40, (100, 2))))
+    known = {tuple(k): i for i, k in enumerate(keys.tolist())}
+    trie = Trie(keys[:, 0], keys[:, 1], codes, counts)
+    at, there = trie(asked[:, 0], asked[:, 1])
+    assert there.tolist() == [tuple(k) in known for k in asked.tolist()]
+    assert [(int(trie.codes[i]), int(trie.counts[i])) for i in at[there]] == [(codes[known[tuple(k)]], counts[known[tuple(k)]]) for k in asked[there].tolist()]
+    none = Trie(*(np.zeros(0, np.int64),) * 4)
+    assert not none(keys[:, 0], keys[:, 1])[1].any()
 
 
 # ---- tokens ----
