@@ -281,7 +281,7 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, predicted int")
     labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(300)], "doc_id long, quality int")
     model = quality.train(docs, labels)
-    assert 0.8 < model.prior < 0.87
+    assert 0.75 < model.prior < 0.9
     got = {r.doc_id: r for r in quality.score(docs, model).collect()}
     assert np.mean([got[i].predicted == int(i % 6 != 0) for i in range(300, 900)]) > 0.98
     assert all(0 <= r.score <= 1 for r in got.values())
@@ -293,11 +293,37 @@ def test_quality(spark):
 def test_risk_is_never_negative_part_driven():
     """Few unlabelled rows, all positive: the estimate of the negative part stays bounded and weights finite."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(50, len(quality.FEATURES)))
+    x = rng.normal(size=(50, quality.FEATURES)).astype(np.float32)
     model = quality.fit(x, x[:10], 0.9, steps=400)
     assert np.isfinite(model.weights).all() and np.abs(model.weights).max() < 50
 
 
+def test_risk_and_slopes_against_the_definition():
+    rng = np.random.default_rng(1)
+    loss = lambda z: np.log(1 + np.exp(-z))
+    for shift in (0.0, 6.0):  # the second has a negative part under zero
+        zp, zu, prior = rng.normal(size=7) + shift, rng.normal(size=9) - shift, 0.6
+        up, down = quality.risk(zp, zu, prior)
+        assert up == pytest.approx(prior * loss(zp).mean()) and down == pytest.approx(loss(-zu).mean() - prior * loss(-zp).mean())
+        assert (down < 0) == (shift > 0)
+        gp, gu = quality.slopes(zp, zu, prior)
+        whole = (lambda a, b: -quality.risk(a, b, prior)[1]) if down < 0 else (lambda a, b: sum(quality.risk(a, b, prior)))
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-6
+            assert gp[i] == pytest.approx((whole(zp + step, zu) - whole(zp - step, zu)) / 2e-6, abs=1e-6)
+        for i in range(9):
+            step = np.eye(9)[i] * 1e-6
+            assert gu[i] == pytest.approx((whole(zp, zu + step) - whole(zp, zu - step)) / 2e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_estimated_prior(share):
+    rng = np.random.default_rng(4)
+    good, bad = (lambda n, at=at: (rng.normal(size=(n, quality.FEATURES)) * 0.1 + np.r_[np.full(3, at), np.zeros(quality.FEATURES - 3)]).astype(np.float32) for at in (0.3, -0.3))
+    unlabelled = rng.permutation(np.concatenate((good(int(2000 * share)), bad(2000 - int(2000 * share)))))
+    assert abs(quality.estimate_prior(good(1000), unlabelled) - share) < 0.12
+
+
 # ---- language model ----
 
 
