@@ -49,13 +49,19 @@ def mass(counts: np.ndarray, beta: float) -> np.ndarray:
 
 
 def squeeze(array: np.ndarray) -> bytes:
-    """The array as narrow as its values allow, compressed; the first byte is the width."""
-    width = next(w for w in (1, 2, 4, 8) if not len(array) or w == 8 or int(array.max()) < 1 << (8 * w))
-    return bytes([width]) + zstandard.ZstdCompressor(1).compress(array.astype(f"<u{width}").tobytes())
+    """The array in as many bytes a value as its values need, all first bytes before all second ones, compressed; after the width."""
+    width = max(1, -(-int(array.max()).bit_length() // 8)) if len(array) else 1
+    planes = np.ascontiguousarray(array.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    whole = next(w for w in (1, 2, 4, 8) if w >= width)
+    out = np.zeros((planes.shape[1], whole), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(f"<u{whole}").ravel()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -94,7 +100,11 @@ def tokenize(rows: DataFrame, folder: str, batch_bytes: int) -> DataFrame:
         def close():
             nonlocal ids, held, parts, size, n
             number, lengths = (part << 32) + n, np.array([len(p) for p in parts])
-            words, places = np.unique(np.append(np.concatenate(parts), START), return_inverse=True)
+            words, places, times = np.unique(np.append(np.concatenate(parts), START), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words have small places, which take little room
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words, places = words[order], rank[places]
             known = np.array([i is not None for i in ids])
             bare = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
             put_file(f"{folder}/{number}", pack(lengths, places[:-1], words, np.array(held, np.uint8), known, bare))
@@ -126,7 +136,7 @@ class Batch:
         self.lengths, self.places, self.held = lengths.astype(np.int64), places.astype(np.int64), held.astype(bool)
         self.ids = [i if k else None for i, k in zip(bare.astype(np.uint64).view(np.int64).tolist(), known.tolist(), strict=True)]
         self.words = self.words.astype(np.uint64)
-        self.start = int(np.searchsorted(self.words, START))
+        self.start = int(np.flatnonzero(self.words == START)[0])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.learned = np.repeat(~self.held, self.lengths)
         self.counts = np.bincount(self.places[self.learned], minlength=len(self.words))
@@ -159,6 +169,13 @@ def shard_of(contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, s
         return (mix64(contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
+def asking_order(contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, shards: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams shard after shard, by context and successor, and where shards begin."""
+    to = shard_of(contexts, successors, totals, shards, limit)
+    order = np.lexsort((successors, contexts, to))
+    return order, np.searchsorted(to[order], np.arange(shards + 1))
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "batch", "data"])
 
@@ -169,9 +186,7 @@ def ask(batch: int, contexts: np.ndarray, successors: np.ndarray, totals: np.nda
     totals: the context's count; counts: the n-gram's in this batch; lower: the code of the shorter context's probability.
     A batch always sends a row, be it an empty one.
     """
-    to = shard_of(contexts, successors, totals, shards, limit)
-    order = np.lexsort((successors, contexts, to))
-    cuts = np.searchsorted(to[order], np.arange(shards + 1))
+    order, cuts = asking_order(contexts, successors, totals, shards, limit)
     out = []
     for s in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[s] : cuts[s + 1]]
@@ -251,7 +266,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     def word_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         to = (mix64(words) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((words, to))
         return order, np.searchsorted(to[order], np.arange(shards + 1))
 
     def ask_words(found):
@@ -279,9 +294,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         base = quantise((counts + 0.1) / norm)
         whole = counts == b.counts  # all that was learned of the word is in this batch
         send = np.flatnonzero(~(whole[b.first] | whole[b.second]))
-        out, order = ask(number, ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], b.pair_counts[send], base[b.second[send]], shards, limit)
+        out, _ = ask(number, ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], b.pair_counts[send], base[b.second[send]], shards, limit)
         put_file(f"{folder}/words-{number}", pack(counts, ids))
-        put_file(f"{folder}/pairs-{number}", pack(order, np.bincount(shard_of(ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], shards, limit), minlength=shards)))
         return pa.Table.from_batches([_rows(out)])
 
     def in_order(answers: pa.Table, cuts: np.ndarray):
@@ -295,11 +309,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         b = Batch(folder, number)
         b.pairs()
         counts, ids = (x.astype(np.int64) for x in unpack(get_file(f"{folder}/words-{number}")))
-        order, sizes = unpack(get_file(f"{folder}/pairs-{number}"))
         whole = counts == b.counts
         own = whole[b.first] | whole[b.second]
-        send, cuts = np.flatnonzero(~own)[order.astype(np.int64)], np.cumsum(np.append(0, sizes))
-        context = counts[b.first]
+        context, send = counts[b.first], np.flatnonzero(~own)
+        order, cuts = asking_order(ids[b.first[send]], ids[b.second[send]], context[send], shards, limit)
+        send = send[order]
         f, low = mass(context, beta), probability(quantise((counts + 0.1) / norm))[b.second]
         n, place = np.where(own, b.pair_counts, 0), np.zeros(len(own), np.int64)
         codes = quantise((n + f * low) / (context + f))
@@ -317,8 +331,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         exact = quantise((np.where(own, b.triple_counts, 0) + f * probability(low)) / (context + f))
         send = np.flatnonzero(~own)
         out, order = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
-        to = shard_of(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
-        put_file(f"{folder}/triples-{number}", pack(send[order], np.bincount(to, minlength=shards), exact, codes[b.pair[b.starts]]))
+        _, cuts = asking_order(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
+        put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]]))
         return pa.Table.from_batches([_rows(out)])
 
     def finish(answers: pa.Table) -> pa.Table:
