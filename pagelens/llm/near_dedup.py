@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialize(_between_components(sets, open_docs, t), "near-links")
 
     same_id = member.where("rep <> doc_id").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(links.union(more).union(same_id))
+    final = connected_components(first.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more).union(same_id))
     out = member.join(final.toDF("rep", "component_id"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
