@@ -12,6 +12,7 @@ from pagelens.functions.score import grade
 from pagelens.operators import benchmark, evidence, inventory, normalize, reports, scoring
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
+from pagelens.plans.runner import run_cases
 from pagelens.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,6 +392,28 @@ def made_metrics(spark, sf_dir):
     return a.metric_rows.where("metric in ('structure', 'accessibility', 'semantic', 'structuredData')").select("page_id", "metric", "score", "confidence")
 
 
+def supplier_cases(spark, sf_dir) -> DataFrame:
+    p = supplier_pages(spark, sf_dir)
+    return p.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("kind_"), (F.col("page_id") % 4).cast("string")).alias("category"), "url", F.when(F.col("page_id") % 11 != 5, F.col("html")).alias("snapshot_html"))
+
+
+@query("SELECT 'kind_' || (s_suppkey % 4) AS category, CASE WHEN s_suppkey % 11 = 5 THEN 'error' ELSE 'ok' END AS status, count(*) AS cases, CAST(sum(CASE WHEN s_suppkey % 11 = 5 THEN 0 ELSE 1 END) AS BIGINT) AS scored FROM supplier GROUP BY ALL")
+def case_run(spark, sf_dir):
+    """Audits of stored pages as results of a corpus run."""
+    return run_cases(supplier_cases(spark, sf_dir)).groupBy("category", "status").agg(F.count("*").alias("cases"), F.count("final_score").alias("scored"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS case_id, CASE WHEN s_suppkey % 11 = 5 THEN false ELSE true END AS lower_score FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey % 11 <> 5")
+def case_regression(spark, sf_dir):
+    """Drift of audited pages against a baseline of the same pages: those that have lost their main landmark, and no others."""
+    cases = supplier_cases(spark, sf_dir)
+    base = run_cases(cases)
+    changed = F.replace(F.replace("snapshot_html", F.lit("<main>"), F.lit("<div>")), F.lit("</main>"), F.lit("</div>"))
+    now = run_cases(cases.withColumn("snapshot_html", F.when(F.col("id").cast("long") % 7 == 0, changed).otherwise(F.col("snapshot_html"))))
+    drifts = benchmark.drift(now, benchmark.create_baseline(base, "made"))
+    return drifts.groupBy("case_id").agg(F.max((F.col("type") == "score") & (F.col("delta") < 0)).alias("lower_score"))
+
+
 # ---- corpora, baselines and drift ----------------------------------------------------------------------------
 
 

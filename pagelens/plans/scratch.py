@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_pagelens_scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-pagelens-")
         spark._pagelens_scratch = base
         spark.sparkContext.setCheckpointDir(base)

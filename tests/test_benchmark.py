@@ -112,3 +112,16 @@ def test_corpus_hash_in_bounded_runs(spark):
         for parts in (1, 7):
             assert tuple(B.corpus_hash(c.repartition(parts), run).first()) == (fnv("\n".join(hashes)), 100)
     assert tuple(B.corpus_hash(c.where("false")).first()) == (fnv(""), None)
+
+
+def test_run_cases(spark):
+    from pagelens.plans.runner import run_cases
+
+    page = "<html lang='en'><head><title>T</title></head><body><main><h1>Some words</h1><p>A paragraph of a page that says enough to be read. It has two sentences.</p><p>Another one.</p></main></body></html>"
+    cases = [("a", "x", "https://a.com/", page), ("b", "x", None, page), ("c", "y", "https://c.com/", None), ("d", "y", None, "")]
+    got = {r.case_id: r for r in run_cases(spark.createDataFrame(cases, "id string, category string, url string, snapshot_html string")).collect()}
+    assert [got[i].status for i in "abcd"] == ["ok", "ok", "error", "ok"] and got["c"].error_message == "No content available for case c"
+    assert got["a"].final_score == got["b"].final_score > 0 and got["a"].metrics == got["b"].metrics and got["a"].recommendations
+    assert got["c"].final_score is None and got["d"].final_score is None and got["d"].contamination_type
+    rows = list(got.values())
+    assert B.drift(spark.createDataFrame(rows, SCHEMA + ", error_message string"), spark.createDataFrame(rows, SCHEMA + ", error_message string")).count() == 0
