@@ -2,13 +2,12 @@
 
 Writing: one gzip member per record, files closed at a size limit. Pages with equal payloads are stored once, the
 others become revisit records that name the stored one. Reading: every archive gives a run of index entries sorted by
-URL key and time. Runs are cut at sampled keys into ranges of bounded size, and the runs of a range are merged by a
-k-way loser tree, so that ranges in turn give the globally ordered history of every URL.
+URL key and time. Spark deals the entries into ranges of whole keys, of bounded size, and the runs of a range are merged
+by a k-way loser tree, so that ranges in turn give the globally ordered history of every URL.
 """
 
 from __future__ import annotations
 
-import bisect
 import datetime
 import hashlib
 import re
@@ -25,6 +24,8 @@ from .common import materialize, new_dir, put_file, read_files
 
 EPOCH = datetime.datetime(2000, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Parts that the copies of a payload are dealt out in.
+PARTS = 64
 ENTRY = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file long, offset long, length long"
 
 
@@ -74,9 +75,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes a record per row of pages to archives in folder; returns (file, n), a row per archive."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    shared = F.octet_length("payload") >= least_shared
-    groups = rows.where(shared).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("n")).where("n > 1").select("digest", "stored")
-    marked = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("stored"), F.col("stored")).alias("refers_to"))
+    # copies are found by (digest, page) alone, dealt out in parts; payloads move once, by page
+    copies = rows.where((F.octet_length("payload") >= least_shared) & F.col("page_id").isNotNull()).select("digest", "page_id").distinct().withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)))
+    parts = copies.groupBy("digest", "part").agg(F.max("page_id").alias("largest"))
+    stored = parts.join(parts.groupBy("digest").agg(F.max("largest").alias("stored")), "digest").select("digest", "part", "stored")
+    revisits = copies.join(stored, ["digest", "part"]).where("page_id <> stored").select("page_id", "digest", "stored")
+    marked = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", F.col("stored").alias("refers_to"))
 
     def write(batches):
         part, file, out, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -156,38 +160,31 @@ def merge(runs: list[list]) -> Iterator:
         replay(top)
 
 
-def merged_index(runs: DataFrame, rows_per_range: int = 100_000, sample_per_range: int = 40) -> DataFrame:
+def merged_index(runs: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
     """All runs' entries with (range, rank): ascending range and then rank is the order by URL key, time and page.
 
-    Ranges are cut at a sample of whole keys (URL key, time, page), so a URL of many captures spans several. The
-    sample has about sample_per_range keys for each range, the only thing that the driver sees.
+    Ranges of about rows_per_range entries are cut at whole keys (URL key, time, page, record), so a URL of many captures
+    spans several. Nulls of URL key and page come first.
     """
-    total = runs.count()
-    ranges = max(1, -(-total // rows_per_range))
-    share = min(1.0, ranges * sample_per_range / max(1, total))
-    key = [F.coalesce("url_key", F.lit("")), F.col("captured"), F.coalesce("page_id", F.lit(-1))]
-    sample = sorted(map(tuple, runs.where(F.pmod(F.xxhash64(*key, "file", "offset"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(*key).collect())) if ranges > 1 else []
-    cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
-
-    def place(batches):
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            at = [bisect.bisect_right(cuts, (u, c, -1 if p is None else p)) for u, c, p in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "range"])
-
+    ranges = max(1, -(-runs.count() // rows_per_range))
     names = [c.split()[0] for c in ENTRY.split(", ")]
 
-    def join_runs(table: pa.Table) -> pa.Table:
+    def join_runs(batches):
+        batches = list(batches)
+        if not sum(map(len, batches)):
+            return
+        table = pa.Table.from_batches(batches)
         table = table.sort_by([("file", "ascending"), ("seq", "ascending")])
-        keys = list(zip(table["url_key"].to_pylist(), table["captured"].to_pylist(), [-1 if p is None else p for p in table["page_id"].to_pylist()], range(len(table)), strict=True))
+        keys = list(zip([u or "" for u in table["url_key"].to_pylist()], table["captured"].to_pylist(), [-1 if p is None else p for p in table["page_id"].to_pylist()], range(len(table)), strict=True))
         files = table["file"].to_pylist()
         cut = [i for i in range(len(files)) if not i or files[i] != files[i - 1]] + [len(files)]
         order = [k[3] for k in merge([keys[a:b] for a, b in zip(cut, cut[1:])])]
-        out = table.take(pa.array(order, pa.int64())).select([*names, "range"])
-        return out.append_column("rank", pa.array(range(len(order)), pa.int64()))
+        out = table.take(pa.array(order, pa.int64())).select(names).combine_chunks()
+        out = out.append_column("range", pa.array([TaskContext.get().partitionId()] * len(order), pa.int64())).append_column("rank", pa.array(range(len(order)), pa.int64()))
+        yield from out.to_batches(max_chunksize=10_000)
 
-    placed = runs.mapInArrow(place, ENTRY + ", seq long, range long")
-    return placed.groupBy("range").applyInArrow(join_runs, ENTRY + ", range long, rank long")
+    key = [F.coalesce("url_key", F.lit("")), F.col("captured"), F.coalesce("page_id", F.lit(-1)), F.col("file"), F.col("seq")]
+    return runs.select(*names, "seq").repartitionByRange(ranges, *key).mapInArrow(join_runs, ENTRY + ", range long, rank long")
 
 
 def capture_index(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
