@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer, each distinct word encoded once a task while the cache holds it."""
+"""Token ids of whole texts by a public tokenizer, each distinct word encoded once a worker while the cache holds it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import MAX_CACHE_BYTES, WORD_BYTES
+from .common import WORD_BYTES
 
 #: Marks that may follow a letter; the apostrophe begins contractions and is not among them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -19,14 +19,8 @@ def default_tokenizer() -> str:
 
     return public_tokenizers.path("word_bpe_49k.json")
 
-
-@lru_cache(maxsize=1)
-def load(path: str):
-    """The worker's tokenizer, of fixed size; what an encoder remembers of words goes with its task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: What an encoder may remember of words, in bytes; it forgets all beyond that.
+MAX_ENCODER_BYTES = 160 << 20
 
 
 class _Words(dict):
@@ -52,7 +46,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = all(one(f"{a}{gap}{b}") == one(a) + one(b) for gap in (" ", "\n", "\t \x0b") for a, b in (("ab", "cd"), ("a.", "'s"), ("1", "2"), (".", "!"), ("It", "IS"))) and one("ABC") == one("abc")
@@ -69,7 +66,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, as uint32, and each text's number of ids."""
-        if self.known.size > MAX_CACHE_BYTES:
+        if self.known.size > MAX_ENCODER_BYTES:
             self._forget()
         whole: dict[int, np.ndarray] = {}
         places: list[np.ndarray] = []
@@ -99,3 +96,9 @@ class Encoder:
             parts = [whole.get(i, flat[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
             flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return flat, sizes
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, whose memory of words, bounded by bytes, serves all tasks that the worker runs."""
+    return Encoder(path)
