@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str) -> DataF
 
         return call
 
-    return map_texts(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return map_texts(docs, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", 8 << 20)
 
 
 class Knapsack:
