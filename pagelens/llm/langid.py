@@ -125,7 +125,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 parts = [("script", np.array(list(kinds), object), np.array(list(kinds.values())))]
                 parts += [("gram", *found) for found in _count_grams(list(own), np.fromiter(own.values(), np.int64, len(own)))]
                 for kind, grams, counts in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([kind] * len(grams)), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "kind", "gram", "n"])
+                    if len(grams):  # no word may be long enough for the longest grams
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([kind] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "kind", "gram", "n"])
 
         for batch in batches:
             words: Counter = Counter()

@@ -603,3 +603,17 @@ def test_redact_by_row(spark):
     assert got.columns == docs.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", "[secret] zz"), ("1", "zz [secret]"), ("None", "[secret]"), ("2", "None"), ("2", ""), ("3", "plain"), ("3", "plain")])
     assert secrets.redact(docs.where("false"), ratios=secrets.train(docs)).count() == 0
+
+
+def test_languages_of_one_letter_words(spark):
+    """Words too short for the longest grams, in the first batch of a task, in a later one, and alone."""
+    rows = [("hello world", "en"), ("a b c", "de")]
+    for order in (rows, rows[::-1], rows[1:], [("a b", "de")] * 3 + [("hello world and more", "en")] * 3 + [("c", "de")] * 3):
+        docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(order)], "doc_id long, text string, lang string").coalesce(1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        try:
+            model = langid.train(docs)
+            got = {r.text: r.lang_pred for r in langid.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert model.langs == sorted({x for _, x in order}) and got == dict(order)
