@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each applies its operator to its whole table and derives the contract's columns."""
+"""The queries op1 to op13: each applies its operator to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, language_model, near_dedup, packing, quality, secrets, token_files, topk, warc
+from . import decontaminate, divergence, langid, language_model, near_dedup, packing, quality, secrets, token_files, topk, warc
 from .common import crc_mod, read_table
 
 
@@ -56,7 +56,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_language_model, op4_secrets, op5_decontamination, op6_quality, op7_language, op8_top_k, op9_near_duplicates, op10_token_files)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_language_model, op4_secrets, op5_decontamination, op6_quality, op7_language, op8_top_k, op9_near_duplicates, op10_token_files, op11_divergence)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -94,4 +98,21 @@ ORACLE_SQL = {
         least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
         FROM documents d JOIN least l ON l.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+    "op11_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        tokens AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        counts AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM tokens t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+        groups AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+        probs AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                         CAST(1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 1)) // (g.n + l.v) AS BIGINT) AS p, CAST(1 + (1000000000 * (CAST(k.n AS HUGEINT) + 1)) // (l.n + l.v) AS BIGINT) AS q
+                  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM probs WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
