@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, language_model, near_dedup, packing, quality, secrets, token_files, topk, warc
+from . import decomposition, decontaminate, divergence, langid, language_model, near_dedup, packing, quality, secrets, token_files, topk, vector_codes, warc
 from .common import crc_mod, read_table
 
 
@@ -60,7 +60,38 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_language_model, op4_secrets, op5_decontamination, op6_quality, op7_language, op8_top_k, op9_near_duplicates, op10_token_files, op11_divergence)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decomposition.decompose(read_table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_packing, op3_language_model, op4_secrets, op5_decontamination, op6_quality, op7_language, op8_top_k, op9_near_duplicates, op10_token_files, op11_divergence, op12_vector_codes, op13_decomposition)}
+
+def _vector_codes_sql(rounds: int) -> str:
+    """Codebooks c0, c1, ... and assignments a0, a1, ..., one after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT p.row, p.j, any_value(p.x) AS x, min(d.dist * 64 + d.i) % 64 AS i, min(d.dist * 64 + d.i) // 64 AS dist
+            FROM parts p JOIN (SELECT p.row, p.j, c.i, CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - c.x[k]) * (p.x[k] - c.x[k]))) AS BIGINT) AS dist
+                               FROM parts p JOIN c{i} c ON c.j = p.j) d ON d.row = p.row AND d.j = p.j GROUP BY p.row, p.j)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS (SELECT c.j, c.i, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+                SELECT j, i, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS x
+                FROM (SELECT j, i, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, i, x, unnest(range(1, len(x) + 1)) AS k FROM a{i}) GROUP BY j, i, k) GROUP BY j, i) m ON m.j = c.j AND m.i = c.i)""")
+    return f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT row, j, e[j * (len(e) // 16) + 1 : (j + 1) * (len(e) // 16)] AS x FROM (SELECT row, e, unnest(range(16)) AS j FROM v)),
+        c0 AS (SELECT j, row AS i, x FROM parts WHERE row < 64),
+        {", ".join(steps)},
+        coded AS (SELECT row, string_agg(printf('%02x', i), '' ORDER BY j) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+        sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY j, i)) AS codebooks_sha256 FROM c{rounds})
+        SELECT v.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, sha.codebooks_sha256
+        FROM v JOIN coded c ON c.row = v.row JOIN sha ON true"""
+
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -115,4 +146,5 @@ ORACLE_SQL = {
                   UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM probs WHERE n > 0 AND p > q),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_vector_codes": _vector_codes_sql(2),
 }
