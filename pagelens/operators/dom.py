@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
+from pagelens.operators import containment
+from pagelens.sources.html import INSIDE
 
 HIDDEN = ["script", "style", "template", "noscript", "svg"]
 
@@ -36,7 +38,9 @@ def matches(css: str) -> Column:
     if before:
         child = before[-1] == ">"
         up = before[-2] if child else before[-1]
-        tests.append(F.try_element_at("ancestor_tags", F.lit(-1)) == up if child else F.array_contains("ancestor_tags", up))
+        if not child and up not in INSIDE:
+            raise ValueError(f"nodes do not tell whether they are within {up}")
+        tests.append(F.col("parent_tag") == up if child else F.array_contains("within", up))
     for tag, mark, name, attribute, test, value in _SELECTOR.findall(last):
         if tag:
             tests.append(F.col("tag") == tag)
@@ -74,26 +78,28 @@ def joined_text(keep: Column) -> Column:
 
 
 def element_text(nodes: DataFrame, wanted: DataFrame, hidden: list[str] | None = None) -> DataFrame:
-    """(page_id, pre, content) of the wanted elements (page_id, pre): their visible text; an equi join on ancestors."""
+    """(page_id, pre, content) of the wanted elements (page_id, pre): their visible text, by a containment join."""
     hidden = HIDDEN[:3] if hidden is None else hidden
-    texts = nodes.where("kind = 'text'").where(~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, hidden))))
-    texts = texts.select("page_id", F.col("pre").alias("at"), "text", F.explode("ancestors").alias("pre"))
-    found = texts.join(wanted.select("page_id", "pre"), ["page_id", "pre"], "left_semi").groupBy("page_id", "pre").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    shown = (F.col("kind") == "text") & ~F.arrays_overlap("within", F.array(*map(F.lit, hidden)))
+    marked = nodes.join(wanted.select("page_id", "pre", F.lit(True).alias("wanted")), ["page_id", "pre"], "left")
+    inside = containment.pairs(marked, F.col("wanted"), shown)
+    texts = inside.join(nodes.select("page_id", "pre", "text"), ["page_id", "pre"]).select("page_id", F.col("up").alias("pre"), F.col("pre").alias("at"), "text")
+    found = texts.groupBy("page_id", "pre").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
     return found.select("page_id", "pre", T.collapse_space(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("content"))
 
 
 def page_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id, visible_text, element_text) of every page: body text without hidden elements; the second keeps noscript and svg."""
-    in_body = F.array_contains("ancestor_tags", "body")
-    shown = in_body & ~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, HIDDEN)))
-    kept = in_body & ~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, HIDDEN[:3])))
+    in_body = F.array_contains("within", "body")
+    shown = in_body & ~F.arrays_overlap("within", F.array(*map(F.lit, HIDDEN)))
+    kept = in_body & ~F.arrays_overlap("within", F.array(*map(F.lit, HIDDEN[:3])))
     found = nodes.groupBy("page_id").agg(joined_text(shown).alias("visible_text"), joined_text(kept).alias("element_text"))
     return pages.select("page_id").join(found, "page_id", "left").fillna("")
 
 
 def page_flags(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row of predicates per page (page_id, html): what makes a page's evidence doubtful, and why."""
-    in_body = F.array_contains("ancestor_tags", "body")
+    """One row of predicates per page (page_id, html): what makes a page's evidence doubtful, and why; parse_error tells why a page has no nodes."""
+    in_body = F.array_contains("within", "body")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     element = F.col("kind") == "element"
     per = nodes.groupBy("page_id").agg(
@@ -101,12 +107,13 @@ def page_flags(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         count(element).alias("elements"),
         count(F.col("tag") == "script").alias("scripts"),
         count(F.col("tag") == "body").alias("bodies"),
-        count((F.try_element_at("ancestor_tags", F.lit(-1)) == "body") & element & ~F.col("tag").isin("script", "noscript", "template")).alias("body_children"),
-        F.max(F.coalesce(F.array_contains("ancestor_tags", "script") & F.contains("text", F.lit("attachShadow")), F.lit(False))).alias("shadow_dom"),
+        count((F.col("parent_tag") == "body") & element & ~F.col("tag").isin("script", "noscript", "template")).alias("body_children"),
+        F.max(F.coalesce(F.array_contains("within", "script") & F.contains("text", F.lit("attachShadow")), F.lit(False))).alias("shadow_dom"),
         count(element & in_body & (F.col("pre") == F.col("last"))).alias("empty_leaves"),
         sum(found(css) for css in BOILERPLATE_SELECTORS).alias("banner_elements"),
         F.greatest(*(found(css) for css in SHELL_SELECTORS)).alias("shell_elements"),
         count(F.col("tag") == "parsererror").alias("parser_errors"),
+        F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("parse_error"),
     )
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "html").join(per, "page_id", "left").join(page_text(nodes, pages), "page_id", "left").fillna(0, ["text_nodes", "elements", "scripts", "bodies", "body_children", "empty_leaves", "banner_elements", "shell_elements", "parser_errors"]).fillna(False, ["shadow_dom"])
@@ -130,7 +137,7 @@ def page_flags(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("needs_rendering", F.col("lazy_load") | F.col("page_builder") | has_any(F.lower(html), RENDER_MARKS))
     corrupt = F.when(F.col("bodies") == 0, "no_body").when(F.col("text_nodes") < 3, "too_few_text_nodes").when(F.col("empty_leaves") > 12000, "too_many_empty_nodes").when(F.col("script_only_dom"), "script_only").when(F.col("hydration_shell"), "hydration_shell")
     rows = rows.withColumn("dom_corruption", corrupt)
-    order = [F.when(F.col("blank"), "parser_error"), F.when(F.col("dom_corruption").isNotNull(), "dom_corruption")] + [F.when(F.col(c), c) for c in ("hydration_shell", "shadow_dom", "malformed_dom", "script_only_dom", "boilerplate_only", "oversized_html", "encoding_failure", "mid_sentence_truncation")]
+    order = [F.when(F.col("blank") | F.col("parse_error").isNotNull(), "parser_error"), F.when(F.col("dom_corruption").isNotNull(), "dom_corruption")] + [F.when(F.col(c), c) for c in ("hydration_shell", "shadow_dom", "malformed_dom", "script_only_dom", "boilerplate_only", "oversized_html", "encoding_failure", "mid_sentence_truncation")]
     rows = rows.withColumn("contamination", F.array_compact(F.array(*order)))
     blocking = F.filter("contamination", lambda c: c.isin("dom_corruption", "hydration_shell", "script_only_dom"))
     return rows.withColumn("blocked", F.size(blocking) > 0).withColumn("contamination_type", F.coalesce(F.get(blocking, F.lit(0)), F.get("contamination", F.lit(0)))).drop("html")

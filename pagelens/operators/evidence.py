@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import ratio
-from pagelens.operators import dom, inventory
+from pagelens.operators import containment, dom, inventory
 from pagelens.operators.entities import extract_entities
 
 META = "map<string,string>"
@@ -115,15 +115,14 @@ def lists(nodes: DataFrame) -> DataFrame:
     items = with_text(nodes, ["li"]).where("content <> ''").select("page_id", F.col("parent").alias("pre"), F.struct(F.col("pre").alias("at"), T.truncate(F.col("content"), 200).alias("item")).alias("item"))
     per = items.groupBy("page_id", "pre").agg(F.array_sort(F.collect_list("item")).alias("items"))
     rows = nodes.where(F.col("tag").isin("ul", "ol")).join(per, ["page_id", "pre"])
-    nested = F.arrays_overlap("ancestor_tags", F.array(F.lit("ul"), F.lit("ol")))
+    nested = F.arrays_overlap("within", F.array(F.lit("ul"), F.lit("ol")))
     return signal(rows, "lists", F.when(F.col("tag") == "ol", "ordered_list").otherwise("unordered_list"), F.array_join(F.transform(F.slice("items", 1, 20), lambda i: i["item"]), " | "), 0.9, items=F.size("items"), nested=nested)
 
 
 def tables(nodes: DataFrame) -> DataFrame:
     """Tables: headers, number of rows and a sample of five rows."""
     cells = with_text(nodes, ["td", "th"]).select("page_id", F.col("parent").alias("row"), "pre", "tag", "content")
-    rows = nodes.where("tag = 'tr'").select("page_id", F.col("pre").alias("row"), F.explode("ancestors").alias("table"))
-    inside = rows.join(nodes.where("tag = 'table'").select("page_id", F.col("pre").alias("table")), ["page_id", "table"])
+    inside = containment.pairs(nodes, F.col("tag") == "table", F.col("tag") == "tr").toDF("page_id", "table", "row")
     filled = inside.join(cells, ["page_id", "row"], "left").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("pre", "tag", "content"))).alias("cells"))
     per = filled.groupBy("page_id", "table").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows")).withColumnRenamed("table", "pre")
     of = lambda r: F.array_join(F.transform(r["cells"], lambda c: c["content"]), " | ")
@@ -145,7 +144,8 @@ def anchor_text(links_: DataFrame, nodes: DataFrame, most: int = 300) -> DataFra
 
     relevant tells whether a word of over three characters stands in the target's path; `most` signals a page are kept.
     """
-    image = nodes.where("tag = 'img'").select("page_id", F.explode("ancestors").alias("pos"), "pre", attr("alt").alias("alt")).groupBy("page_id", "pos").agg(F.min_by(F.coalesce("alt", F.lit("")), "pre").alias("alt"))
+    inside = containment.pairs(nodes, F.col("tag") == "a", F.col("tag") == "img").withColumnRenamed("up", "pos")
+    image = inside.join(nodes.where("tag = 'img'").select("page_id", "pre", attr("alt").alias("alt")), ["page_id", "pre"]).groupBy("page_id", "pos").agg(F.min_by(F.coalesce("alt", F.lit("")), "pre").alias("alt"))
     rows = links_.join(image, ["page_id", "pos"], "left")
     text = F.when(F.col("meta")["has_text"] == "true", F.col("value")).otherwise("")
     low, href = F.lower(text), F.lower(F.col("meta")["href"])
@@ -167,7 +167,7 @@ def accessibility(nodes: DataFrame) -> DataFrame:
     element = nodes.where("kind = 'element'")
     images = element.where("tag = 'img'")
     labels = element.where("tag = 'label'").where(attr("for").isNotNull()).select("page_id", attr("for").alias("id")).distinct()
-    inputs = element.where(F.col("tag").isin("input", "select", "textarea")).where(~F.coalesce(F.lower(attr("type")).isin("hidden", "submit", "button", "image", "reset"), F.lit(False)) & attr("aria-label").isNull() & attr("aria-labelledby").isNull() & ~F.array_contains("ancestor_tags", "label")).withColumn("id", attr("id"))
+    inputs = element.where(F.col("tag").isin("input", "select", "textarea")).where(~F.coalesce(F.lower(attr("type")).isin("hidden", "submit", "button", "image", "reset"), F.lit(False)) & attr("aria-label").isNull() & attr("aria-labelledby").isNull() & ~F.array_contains("within", "label")).withColumn("id", attr("id"))
     parts = [
         signal(images, "accessibility", F.when(attr("alt").isNotNull(), "img_alt").otherwise("img_missing_alt"), F.coalesce(attr("alt"), attr("src"), F.lit("")), 0.95),
         signal(element.where(attr("role").isin(ARIA_ROLES)), "accessibility", "aria_landmark", attr("role"), 0.95),
@@ -190,8 +190,10 @@ def structured_data(nodes: DataFrame) -> DataFrame:
     valid = F.try_parse_json("text").isNotNull()
     typed = raw.withColumn("valid", valid).withColumn("type", F.explode_outer(F.when(F.col("valid"), types)))
     element = nodes.where("kind = 'element'")
-    props = element.where(attr("itemprop").isNotNull()).select("page_id", F.explode("ancestors").alias("pre"), attr("itemprop").alias("prop")).groupBy("page_id", "pre").agg(F.array_join(F.array_sort(F.collect_set("prop")), ",").alias("props"))
-    scopes = element.where(attr("itemscope").isNotNull() | attr("itemtype").isNotNull()).join(props, ["page_id", "pre"], "left")
+    scope = attr("itemscope").isNotNull() | attr("itemtype").isNotNull()
+    inside = containment.pairs(element, scope, attr("itemprop").isNotNull())
+    props = inside.join(element.select("page_id", "pre", attr("itemprop").alias("prop")), ["page_id", "pre"]).groupBy("page_id", F.col("up").alias("pre")).agg(F.array_join(F.array_sort(F.collect_set("prop")), ",").alias("props"))
+    scopes = element.where(scope).join(props, ["page_id", "pre"], "left")
     return reduce(
         DataFrame.union,
         [
@@ -205,13 +207,12 @@ def structured_data(nodes: DataFrame) -> DataFrame:
 def hierarchy(nodes: DataFrame, deepest: int = 15) -> DataFrame:
     """Kept tree nodes: headings, their ancestors, semantic tags and roles; depth counts kept ancestors."""
     heading = F.col("tag").rlike("^h[1-6]$")
-    inner = nodes.where((F.col("kind") == "element") & F.array_contains("ancestor_tags", "body"))
-    above = inner.where(heading).select("page_id", F.explode("ancestors").alias("pre")).distinct().withColumn("above", F.lit(True))
+    inner = nodes.where((F.col("kind") == "element") & F.array_contains("within", "body"))
+    above = containment.holding(inner, F.lit(True), heading).withColumn("above", F.lit(True))
     sectioned = F.coalesce(F.lower(attr("class")).rlike("section|container|content|wrapper"), F.lit(False)) & (F.col("tag") == "div")
     kept = inner.join(above, ["page_id", "pre"], "left").where(heading | F.col("above") | F.col("tag").isin(SEMANTIC_TAGS) | attr("role").isNotNull() | sectioned).where(F.col("tag") != "body")
-    ups = kept.select("page_id", F.col("pre").alias("up"))
-    depth = kept.select("page_id", "pre", F.explode("ancestors").alias("up")).join(ups, ["page_id", "up"]).groupBy("page_id", "pre").agg(F.count("*").alias("kept_depth"))
-    rows = kept.join(depth, ["page_id", "pre"], "left").withColumn("kept_depth", F.coalesce("kept_depth", F.lit(0)) + 1).where(F.col("kept_depth") <= deepest)
+    depth = containment.enclosing(kept, F.lit(True), F.lit(True)).select("page_id", "pre", (F.col("n") + 1).cast("int").alias("kept_depth"))
+    rows = kept.join(depth, ["page_id", "pre"]).where(F.col("kept_depth") <= deepest)
     orphan = F.col("tag").rlike("^h[3-6]$") & (F.col("kept_depth") > 1)
     return signal(rows, "hierarchy", "hierarchy_node", F.col("tag"), 1.0, depth=F.col("kept_depth"), heading=heading, orphan=orphan)
 
@@ -222,12 +223,13 @@ def semantic_html(nodes: DataFrame) -> DataFrame:
 
 def semantic_structure(nodes: DataFrame) -> DataFrame:
     """Sectioning elements in their usual parents, and divs of a sectioning class that hold a heading or over 50 characters."""
-    up = F.try_element_at("ancestor_tags", F.lit(-1))
+    up = F.col("parent_tag")
     box = reduce(lambda x, y: x | y, [(up == parent) & F.col("tag").isin(tags) for parent, tags in SECTION_PARENTS.items()])
     boxes = nodes.where("kind = 'element'").where(box)
-    divs = nodes.where((F.col("tag") == "div") & dom.has_any(F.lower(attr("class")), SECTION_CLASSES))
-    with_heading = nodes.where(F.col("tag").rlike("^h[1-6]$")).select("page_id", F.explode("ancestors").alias("pre")).distinct()
-    long = divs.where(F.length("content") > 50).select("page_id", "pre")
+    div = (F.col("tag") == "div") & dom.has_any(F.lower(attr("class")), SECTION_CLASSES)
+    divs = nodes.where(div)
+    with_heading = containment.holding(nodes, div, F.col("tag").rlike("^h[1-6]$"))
+    long = divs.where("chars > 50").select("page_id", F.col("pre").cast("long").alias("pre"))
     chosen = divs.join(with_heading.union(long).distinct(), ["page_id", "pre"], "left_semi").select(*boxes.columns)
     return signal(boxes.union(chosen), "semantic_structure", F.when(F.col("tag") == "div", "structure_div").otherwise("structure_section"), F.concat_ws(" ", "tag", attr("class")), 0.85, tag=F.col("tag"), depth=F.col("depth"))
 
@@ -242,9 +244,11 @@ def semantic_headings(headings_: DataFrame, nodes: DataFrame) -> DataFrame:
     ambiguous = dom.has_any(key, AMBIGUOUS_HEADINGS) | (F.length("value") < 5)
     kind = F.when(ambiguous, "heading_ambiguous").when(F.length("value") > 5, "heading_clear").otherwise("heading_plain")
     tags = nodes.where(F.col("tag").rlike("^h[1-6]$")).withColumn("level", F.substring("tag", 2, 1).cast("int"))
-    beside = tags.select("page_id", F.col("parent").alias("up"), F.col("level").alias("other")).distinct()
-    above = tags.select("page_id", F.col("pre").alias("pos"), "level", F.explode(F.slice("ancestors", 2, F.greatest(F.size("ancestors") - 1, F.lit(0)))).alias("up"))
-    found = above.join(beside, ["page_id", "up"]).where("other < level").groupBy("page_id", "pos").agg(F.max("other").alias("found"))
+    beside = tags.groupBy("page_id", F.col("parent").alias("pre")).agg(F.bit_or(F.expr("shiftleft(1, level)")).alias("mask"))
+    marked = nodes.select("page_id", "pre", "last", "tag", "parent").join(beside, ["page_id", "pre"], "left")
+    above = containment.enclosing(marked, F.col("mask").isNotNull() & F.col("parent").isNotNull(), F.col("tag").rlike("^h[1-6]$"), F.col("mask"))
+    lower = F.expr("bits & (shiftleft(1, level) - 1)")  # the levels above this one, a bit each
+    found = above.join(tags.select("page_id", "pre", "level"), ["page_id", "pre"]).select("page_id", F.col("pre").alias("pos"), F.when(lower > 0, F.length(F.bin(lower)) - 1).alias("found"))
     rows = headings_.join(found, ["page_id", "pos"], "left")
     fits = F.when(F.col("found").isNull(), level <= 2).otherwise(level <= F.col("found") + 1)
     topic = F.when(kind == "heading_clear", F.array_join(F.slice(F.split("value", r"\s+"), 1, 5), " "))
@@ -303,7 +307,9 @@ def structured_content(nodes: DataFrame) -> DataFrame:
     rows = nodes.where("kind = 'element'").select("page_id", "pre", "tag", "attrs", "content", F.explode(hits).alias("m"))
     first = F.rank().over(W.partitionBy("page_id", "m.kind").orderBy("m.prio"))
     chosen = rows.withColumn("r", first).where("r = 1")
-    price = F.when(F.col("m.kind") == "pricing", F.nullif(F.regexp_extract(F.coalesce("content", F.lit("")), r"\$\d+(?:\.\d{2})?", 0), F.lit("")))
+    texts = dom.element_text(nodes, chosen.where("m.kind = 'pricing'").select("page_id", "pre")).select("page_id", "pre", F.col("content").alias("all_text"))
+    chosen = chosen.join(texts, ["page_id", "pre"], "left")
+    price = F.when(F.col("m.kind") == "pricing", F.nullif(F.regexp_extract(F.coalesce("all_text", F.lit("")), r"\$\d+(?:\.\d{2})?", 0), F.lit("")))
     return signal(chosen, "structured_content", F.concat("m.kind", F.lit("_block")), T.truncate(F.coalesce(F.when(F.col("content") != "", F.col("content")), attr("class"), F.col("tag")), 300), F.col("m.sure"), price=price)
 
 
@@ -315,12 +321,12 @@ def extractability(nodes: DataFrame, flags: DataFrame, pages: DataFrame) -> Data
     twelve selectors find something; regions: 1 if the main content has over 50 characters.
     """
     element = F.col("kind") == "element"
-    outer = element & F.col("tag").isin(NOISE_TAGS) & ~F.arrays_overlap("ancestor_tags", F.array(*map(F.lit, NOISE_TAGS)))
+    outer = element & F.col("tag").isin(NOISE_TAGS) & ~F.arrays_overlap("within", F.array(*map(F.lit, NOISE_TAGS)))
     block = element & F.col("tag").isin("p", "div", "span", "li", "td")
-    per = nodes.groupBy("page_id").agg(F.sum(F.when(outer, F.length(F.coalesce("content", F.lit("")))).otherwise(0)).alias("noise_chars"), sum(dom.found(css) for css in BOILERPLATE).alias("boilerplate"), F.sum(F.when(block, 1).otherwise(0)).alias("blocks"))
-    keys = nodes.where(block & (F.length("content") > 30)).groupBy("page_id", F.xxhash64(F.substring("content", 1, 100)).alias("key")).count()
+    per = nodes.groupBy("page_id").agg(F.sum(F.when(outer, F.coalesce("chars", F.lit(0))).otherwise(0)).alias("noise_chars"), sum(dom.found(css) for css in BOILERPLATE).alias("boilerplate"), F.sum(F.when(block, 1).otherwise(0)).alias("blocks"))
+    keys = nodes.where(block & (F.col("chars") > 30)).groupBy("page_id", F.xxhash64(F.substring("content", 1, 100)).alias("key")).count()
     repeated = keys.where("count > 1").groupBy("page_id").agg(F.count("*").alias("repeated"))
-    main = inventory.main_content(nodes).select("page_id", F.when(F.col("tag") != "body", F.length(F.coalesce("content", F.lit("")))).alias("main_chars"))
+    main = inventory.main_content(nodes).select("page_id", F.when(F.col("tag") != "body", F.coalesce("chars", F.lit(0))).alias("main_chars"))
     rows = pages.select("page_id").join(flags.select("page_id", F.length("element_text").alias("text"), "contamination"), "page_id")
     for part in (per, repeated, main):
         rows = rows.join(part, "page_id", "left")
@@ -332,10 +338,10 @@ def extractability(nodes: DataFrame, flags: DataFrame, pages: DataFrame) -> Data
 
 def redundancy(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts of 30 characters and more of headings, paragraphs and divs without divs that occur twice or more, by their first 150, and navigation that stands in the text more than once."""
-    holders = nodes.where("tag = 'div'").select("page_id", F.explode("ancestors").alias("pre")).distinct().withColumn("holds", F.lit(True))
-    blocks = nodes.where(F.col("tag").rlike("^(h[1-6]|p|div)$") & (F.length("content") >= 30)).select("page_id", "pre", "tag", "content").join(holders, ["page_id", "pre"], "left").where("tag <> 'div' or holds is null")
+    holders = containment.holding(nodes, F.col("tag") == "div", F.col("tag") == "div").withColumn("holds", F.lit(True))
+    blocks = nodes.where(F.col("tag").rlike("^(h[1-6]|p|div)$") & (F.col("chars") >= 30)).select("page_id", "pre", "tag", "content").join(holders, ["page_id", "pre"], "left").where("tag <> 'div' or holds is null")
     again = blocks.groupBy("page_id", F.substring(F.lower("content"), 1, 150).alias("key")).agg(F.count("*").alias("n"), F.min_by("tag", "pre").alias("tag"), F.min("pre").alias("pre")).where("n >= 2")
-    menus = nodes.where("tag = 'nav'").where(F.length("content") > 20).groupBy("page_id", F.substring("content", 1, 100).alias("key")).agg(F.min("pre").alias("pre"))
+    menus = nodes.where("tag = 'nav'").where("chars > 20").groupBy("page_id", F.substring("content", 1, 100).alias("key")).agg(F.min("pre").alias("pre"))
     low = F.lower("element_text")
     menus = menus.join(texts.select("page_id", "element_text"), "page_id").withColumn("n", ((F.length(low) - F.length(F.replace(low, F.lower("key"), F.lit("")))) / F.length("key")).cast("long")).where("n > 1")
     severity = F.when(F.col("n") >= 5, "critical").when(F.col("n") >= 3, "warning").otherwise("info")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelens.operators import dom
+from pagelens.operators import containment, dom
 
 # Selectors of lazily loaded elements, and classes and attributes of a page builder's parts.
 LAZY_SELECTORS = ['[loading="lazy"]', "[data-lazy]", "[data-lazy-src]", "[data-src]", "[data-bg]", "[data-background]", "[data-lazyload]", "[data-ll-status]", "[data-was-processed]", "[data-elementor-type]", "[data-elementor-id]", ".lazy", ".lazyload", ".lazy-loading", ".lazyload-pending", ".lazyload-item"]
@@ -33,18 +33,22 @@ def selectors(nodes: DataFrame) -> DataFrame:
     classes = F.slice(F.filter(F.split(F.coalesce(F.trim(F.col("attrs")["class"]), F.lit("")), r"\s+"), lambda c: c != ""), 1, 2)
     id_ = F.col("attrs")["id"]
     step = F.concat(F.col("tag"), F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), ""), F.when(F.col("alike") > 1, F.concat(F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")"))).otherwise(""))
-    rows = rows.select("page_id", "pre", F.concat("ancestors", F.array("pre")).alias("path"), F.when(id_ != "", F.concat(F.lit("#"), id_)).alias("by_id"), step.alias("step"))
+    rows = rows.select("page_id", "pre", "last", F.when(id_ != "", F.concat(F.lit("#"), id_)).alias("by_id"), step.alias("step"))
     steps = rows.select("page_id", F.col("pre").alias("up"), "by_id", "step")
-    joined = rows.select("page_id", "pre", F.explode("path").alias("up")).join(steps, ["page_id", "up"])
+    path = containment.pairs(rows, F.lit(True), F.lit(True)).union(rows.select("page_id", "pre", "pre"))
+    joined = path.join(steps, ["page_id", "up"])
     ordered = joined.groupBy("page_id", "pre").agg(F.array_sort(F.collect_list(F.struct("up", "by_id", "step"))).alias("steps"))
     last = F.aggregate(F.sequence(F.lit(1), F.size("steps")), F.lit(1), lambda at, i: F.when(F.get("steps", i - 1)["by_id"].isNotNull(), i).otherwise(at))
     return ordered.withColumn("from", last).select("page_id", "pre", F.array_join(F.transform(F.slice("steps", F.col("from"), F.size("steps")), lambda s: F.coalesce(s["by_id"], s["step"])), " > ").alias("selector"))
 
 
 def main_content(nodes: DataFrame) -> DataFrame:
-    """(page_id, pre, tag, content) of the first main, element of role main, article or body of each page."""
+    """(page_id, pre, tag, content, chars) of the first main, element of role main, article or body of each page.
+
+    content is the beginning of its text, chars the length of all of it.
+    """
     prio = F.when(F.col("tag") == "main", 0).when(F.col("attrs")["role"] == "main", 1).when(F.col("tag") == "article", 2).when(F.col("tag") == "body", 3)
-    best = nodes.where("kind = 'element'").withColumn("prio", prio).where("prio is not null").groupBy("page_id").agg(F.min_by(F.struct("pre", "tag", "content"), F.struct("prio", "pre")).alias("m"))
+    best = nodes.where("kind = 'element'").withColumn("prio", prio).where("prio is not null").groupBy("page_id").agg(F.min_by(F.struct("pre", "tag", "content", "chars"), F.struct("prio", "pre")).alias("m"))
     return best.select("page_id", "m.*")
 
 
@@ -60,12 +64,12 @@ def lazy_media(nodes: DataFrame) -> DataFrame:
     media = F.col("tag").isin("img", "iframe", "video") & (attrs["data-src"].isNotNull() | attrs["data-lazy-src"].isNotNull()) & (F.trim(F.coalesce(attrs["src"], F.lit(""))) == "")
     waiting = (dom.matches(".lazy") | dom.matches(".lazyload") | dom.matches(".lazyload-pending")) & ~dom.matches(".lazy-loaded") & ~dom.matches(".lazyloaded")
     state = attrs["data-ll-status"].isin("pending", "loading")
-    observer = F.coalesce(F.array_contains("ancestor_tags", "script") & F.contains("text", F.lit("IntersectionObserver")), F.lit(False))
+    observer = F.coalesce(F.array_contains("within", "script") & F.contains("text", F.lit("IntersectionObserver")), F.lit(False))
     n = lambda *tests: sum((F.sum(F.coalesce(t, F.lit(False)).cast("int")) for t in tests), F.lit(0))
     per = nodes.groupBy("page_id").agg(n(lazy).alias("lazy"), n(media, waiting, state).alias("unloaded"), F.max(observer).alias("observer"))
-    documents = nodes.where("kind = 'element'").where(attrs["data-elementor-type"].isNotNull()).select("page_id", "pre")
-    inside = nodes.where(dom.matches(".elementor-widget-container")).select("page_id", F.explode("ancestors").alias("pre")).distinct()
-    empty = documents.join(inside, ["page_id", "pre"], "left_anti").groupBy("page_id").agg(F.count("*").alias("empty"))
+    document = (F.col("kind") == "element") & attrs["data-elementor-type"].isNotNull()
+    inside = containment.holding(nodes, document, dom.matches(".elementor-widget-container"))
+    empty = nodes.where(document).select("page_id", "pre").join(inside, ["page_id", "pre"], "left_anti").groupBy("page_id").agg(F.count("*").alias("empty"))
     rows = per.join(empty, "page_id", "left").withColumn("unloaded", F.col("unloaded") + F.coalesce("empty", F.lit(0))).drop("empty")
     return rows.where((F.col("lazy") > 0) | (F.col("unloaded") > 0) | F.col("observer"))
 
@@ -81,8 +85,8 @@ def builder_inventory(nodes: DataFrame) -> DataFrame:
     n = lambda test, name: F.sum(F.when(element & test, 1).otherwise(0)).alias(name)
     inner = F.contains(classes, F.lit("elementor-inner-section")) | dom.class_has(attrs, "e-con-inner")
     kind = F.regexp_extract(classes, r"elementor-widget-([\w-]+)", 1)
-    script = F.array_contains("ancestor_tags", "script") & dom.has_any(F.col("text"), BUILDER_SCRIPTS) | (F.col("tag") == "script") & dom.has_any(attrs["src"], BUILDER_SCRIPTS)
-    style = F.array_contains("ancestor_tags", "style") & F.contains("text", F.lit(".elementor-"))
+    script = F.array_contains("within", "script") & dom.has_any(F.col("text"), BUILDER_SCRIPTS) | (F.col("tag") == "script") & dom.has_any(attrs["src"], BUILDER_SCRIPTS)
+    style = F.array_contains("within", "style") & F.contains("text", F.lit(".elementor-"))
     marked = reduce(lambda x, y: x | y, [attrs[a].isNotNull() for a in BUILDER_ATTRIBUTES])
     parts = [n(dom.has_any(classes, marks), name) for name, marks in BUILDER_PARTS.items()]
     per = nodes.groupBy("page_id").agg(*parts, n(inner, "inner_section"), F.array_sort(F.collect_set(F.when(element & (kind != ""), kind))).alias("widget_types"), F.max(F.coalesce(script | style | (element & marked), F.lit(False))).alias("marked"))
@@ -92,7 +96,8 @@ def builder_inventory(nodes: DataFrame) -> DataFrame:
 
 def builder_text(nodes: DataFrame) -> DataFrame:
     """(page_id, widget, texts): texts of the headings, paragraphs, links, buttons and image descriptions of each builder widget."""
-    widgets = nodes.where((F.col("kind") == "element") & F.contains(F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit("elementor-widget"))).select("page_id", F.col("pre").alias("widget"))
+    widget = (F.col("kind") == "element") & F.contains(F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit("elementor-widget"))
     text = F.when(F.col("tag").rlike("^(h[1-6]|p|a|button)$"), F.col("content")).when(F.col("tag") == "img", F.col("attrs")["alt"])
-    parts = nodes.select("page_id", "pre", F.trim(text).alias("text"), F.explode("ancestors").alias("widget")).where("text <> ''")
-    return parts.join(widgets, ["page_id", "widget"]).groupBy("page_id", "widget").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda t: t["text"]).alias("texts"))
+    inside = containment.pairs(nodes, widget, F.trim(text) != "").withColumnRenamed("up", "widget")
+    parts = inside.join(nodes.select("page_id", "pre", F.trim(text).alias("text")), ["page_id", "pre"])
+    return parts.groupBy("page_id", "widget").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda t: t["text"]).alias("texts"))

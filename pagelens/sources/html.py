@@ -3,173 +3,155 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import SPACE
+from pagelens.sources.tree import Builder, Element, Text
 
-#: Pages and nodes that are turned into a batch of Arrow at once.
-PAGES, NODES = 64, 20_000
+#: Nodes that are turned into a batch of Arrow at once.
+NODES = 20_000
 
-# Fixed values of HTML: elements without content, those that belong in the head, and which start tags close a <p>.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEAD = frozenset("title meta link style script base noscript template".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: A start tag closes an open tag of its row, up to a tag of the second set.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-for _tag in ("tbody", "thead", "tfoot"):
-    CLOSES[_tag] = ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})
-
-#: Elements whose text is kept with them, and those whose text is not shown.
-TEXT_TAGS = frozenset("title h1 h2 h3 h4 h5 h6 p li td th a div main article section summary figcaption caption label span nav header footer aside summary details".split())
+#: Elements whose text is kept with them: whole, or its first HEAD characters where elements of the kind hold each other.
+WHOLE_TEXT = frozenset("title h1 h2 h3 h4 h5 h6 p a td th caption figcaption label summary button".split())
+SOME_TEXT = frozenset("li div span main article section nav header footer aside details body".split())
+HEAD = 300
+#: Ancestors that a node tells of in `within`, and those whose text is not shown.
+INSIDE = frozenset("body head script style template noscript svg nav footer header aside label ul ol pre table a button details".split())
 UNSHOWN = frozenset(("script", "style", "template"))
 _BLANKS = re.compile(f"{SPACE}+")
-
-NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, ancestors array<int>, ancestor_tags array<string>, content string"
-
-
-class TreeBuilder(HTMLParser):
-    """Nodes of one page in document order. html, head and body are there even where the page leaves them out."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
-        self.stack: list[int] = []
-        self.children: dict[int, int] = {}
-
-    def _add(self, kind: str, tag: str | None, text: str | None, attrs: dict) -> int:
-        parent = self.stack[-1] if self.stack else None
-        pre = len(self.nodes)
-        self.children[parent] = self.children.get(parent, 0) + 1
-        self.nodes.append({"pre": pre, "last": pre, "parent": parent, "depth": len(self.stack), "sib": self.children[parent], "kind": kind, "tag": tag, "text": text, "attrs": attrs, "ancestors": list(self.stack), "ancestor_tags": [self.nodes[i]["tag"] for i in self.stack]})
-        return pre
-
-    def _tags(self) -> list[str]:
-        return [self.nodes[i]["tag"] for i in self.stack]
-
-    def _pop_to(self, at: int) -> None:
-        for i in self.stack[at:]:
-            self.nodes[i]["last"] = len(self.nodes) - 1
-        del self.stack[at:]
-
-    def _open(self, tag: str, attrs: dict) -> None:
-        self.stack.append(self._add("element", tag, None, attrs))
-
-    def _ensure(self, tag: str) -> None:
-        """html, and then head or body, are open as the next node needs it."""
-        if not self.stack:
-            self._open("html", {})
-        if len(self.stack) == 1 and tag not in ("html", "head", "body"):
-            if tag in HEAD and not any(n["tag"] == "body" for n in self.nodes):
-                self._open("head", {})
-            else:
-                self._open("body", {})
-        elif len(self.stack) == 2 and self.nodes[self.stack[1]]["tag"] == "head" and tag not in HEAD:
-            self._pop_to(1)
-            if tag != "body":
-                self._open("body", {})
-
-    def handle_starttag(self, tag, attrs):
-        found = {}
-        for k, v in attrs:
-            found.setdefault(k, v or "")
-        open_tags = self._tags()
-        if tag in ("html", "body", "head") and tag in [n["tag"] for n in self.nodes[:64]]:
-            for i in self.stack:
-                if self.nodes[i]["tag"] == tag:
-                    for k, v in found.items():
-                        self.nodes[i]["attrs"].setdefault(k, v)
-            return
-        if tag == "html":
-            self._open(tag, found)
-            return
-        self._ensure(tag)
-        open_tags = self._tags()
-        if tag in CLOSES_P and "p" in open_tags:
-            self._pop_to(len(open_tags) - 1 - open_tags[::-1].index("p"))
-        if tag in CLOSES:
-            closed, stop = CLOSES[tag]
-            open_tags = self._tags()
-            at = None
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i] in stop:
-                    break
-                if open_tags[i] in closed:
-                    at = i
-            if at is not None:
-                self._pop_to(at)
-        if tag in VOID:
-            self._add("element", tag, None, found)
-        else:
-            self._open(tag, found)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        open_tags = self._tags()
-        if tag in ("html", "body") or tag not in open_tags:
-            return
-        self._pop_to(len(open_tags) - 1 - open_tags[::-1].index(tag))
-
-    def handle_data(self, data):
-        in_head = len(self.stack) == 2 and self.nodes[self.stack[1]]["tag"] == "head"
-        if not data.strip() and (len(self.stack) < 2 or in_head):
-            return
-        if len(self.stack) < 2 or in_head:
-            self._ensure("#text")
-        self._add("text", None, data, {})
-
-    def finish(self) -> list[dict]:
-        self.close()
-        if len(self.stack) < 2 and not any(n["tag"] == "body" for n in self.nodes):
-            self._ensure("#text")
-        self._pop_to(0)
-        parts: dict[int, list[str]] = {n["pre"]: [] for n in self.nodes if n["tag"] in TEXT_TAGS}
-        for n in self.nodes:
-            if n["kind"] == "text" and UNSHOWN.isdisjoint(n["ancestor_tags"]):
-                for up in n["ancestors"]:
-                    if up in parts:
-                        parts[up].append(n["text"])
-        for n in self.nodes:
-            n["content"] = _BLANKS.sub(" ", "".join(parts[n["pre"]])).strip(" ") if n["pre"] in parts else None
-        return self.nodes
+_SPACES = np.array(sorted({ord(c) for c in map(chr, range(0x10000)) if _BLANKS.fullmatch(c)}), np.uint32)
+
+NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, parent_tag string, within array<string>, content string, chars int"
+NAMES = [c.split()[0] for c in NODE.split(", ")]
+_TYPES = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
+
+
+class _Shown:
+    """A page's shown text, with the length of any part of it once its white space is collapsed."""
+
+    def __init__(self, text: str):
+        self.text = text
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ink = ~np.isin(codes, _SPACES)
+        starts = ink & ~np.concatenate(([False], ink[:-1])) if len(ink) else ink
+        self.ink, self.words = (np.concatenate(([0], np.cumsum(x))) for x in (ink, starts))
+        self.is_ink, self.starts = ink, starts
+
+    def chars(self, a: int, b: int) -> int:
+        if a >= b:
+            return 0
+        words = int(self.words[b] - self.words[a]) + int(self.is_ink[a] and not self.starts[a])
+        return int(self.ink[b] - self.ink[a]) + max(0, words - 1)
+
+    def head(self, a: int, b: int, n: int | None) -> str:
+        if n is None:
+            return _BLANKS.sub(" ", self.text[a:b]).strip(" ")
+        size = 4 * n
+        while True:
+            out = _BLANKS.sub(" ", self.text[a : min(b, a + size)]).strip(" ")
+            if len(out) >= n or a + size >= b:
+                return out[:n].rstrip(" ")
+            size *= 4
+
+
+def columns_of(root: Element) -> list[list]:
+    """The columns of NODE for a tree, in document order; work and size are in proportion to its nodes and text."""
+    pre, last, parent, depth, sib, kind, tags, texts, attrs, parent_tag, within = cols = [[] for _ in range(11)]
+    spans, parts, length = [], [], 0
+    withins: dict[tuple, tuple] = {}
+    stack = [(root, None, 0, 1, None, (), True)]
+    while stack:
+        node, up, level, nth, up_tag, inside, shown = stack.pop()
+        if node is None:  # the end of an element
+            last[up] = len(pre) - 1
+            spans[up] = (spans[up][0], length)
+            continue
+        at = len(pre)
+        pre.append(at)
+        last.append(at)
+        parent.append(up)
+        depth.append(level)
+        sib.append(nth)
+        parent_tag.append(up_tag)
+        within.append(inside)
+        if isinstance(node, Text):
+            text = "".join(node.parts)
+            kind.append("text")
+            tags.append(None)
+            texts.append(text)
+            attrs.append(())
+            spans.append(None)
+            if shown:
+                parts.append(text)
+                length += len(text)
+            continue
+        kind.append("element")
+        tags.append(node.tag)
+        texts.append(None)
+        attrs.append(list(node.attrs.items()))
+        spans.append((length, length))
+        stack.append((None, at, 0, 0, None, (), True))
+        if node.tag in INSIDE and node.tag not in inside:
+            inside = withins.setdefault((inside, node.tag), (*inside, node.tag))
+        shown = shown and node.tag not in UNSHOWN
+        for i in range(len(node.kids) - 1, -1, -1):
+            stack.append((node.kids[i], at, level + 1, i + 1, node.tag, inside, shown))
+    page = _Shown("".join(parts))
+    content, chars = [None] * len(pre), [None] * len(pre)
+    for i, tag in enumerate(tags):
+        if tag in WHOLE_TEXT or tag in SOME_TEXT:
+            a, b = spans[i]
+            content[i], chars[i] = page.head(a, b, None if tag in WHOLE_TEXT else HEAD), page.chars(a, b)
+    return [*cols, content, chars]
+
+
+def guarded(html: str | None) -> tuple[list[list], str | None]:
+    """A page's columns, and what went wrong, if anything; a page that fails has no nodes."""
+    if not html or not html.strip():
+        return [[] for _ in NAMES], None
+    try:
+        return columns_of(Builder().build(html)), None
+    except Exception as problem:  # one page must not end the job: it goes on as a row that says why
+        return [[] for _ in NAMES], f"{type(problem).__name__}: {problem}"[:300]
 
 
 def nodes_of(html: str | None) -> list[dict]:
-    if not html or not html.strip():
-        return []
-    builder = TreeBuilder()
-    builder.feed(html)
-    return builder.finish()
+    columns, _ = guarded(html)
+    return [dict(zip(NAMES, row, strict=True)) | {"attrs": dict(row[8])} for row in zip(*columns, strict=True)]
 
 
 def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Nodes of all pages (page_id and NODE): elements and texts in pre-order, each with its ancestors.
+    """Nodes of all pages (page_id and NODE): elements and texts in pre-order; an element's descendants are pre + 1 to last.
 
-    Elements that carry text (TEXT_TAGS) have it as content, white space collapsed, so that no later step has to gather
-    it from the text nodes again.
+    Elements that carry text have it as content, white space collapsed (elements that may hold each other at any depth
+    have its first HEAD characters), and chars is the length of all of it. within lists the ancestors of INSIDE.
 
-    A page is parsed whole, however long it is. Null and blank pages have no nodes. The html column goes no further than this.
+    A page is parsed whole, however long it is. Null and blank pages have no nodes. A page that cannot be parsed has one
+    row of kind 'error' with the reason as its text, and all others go on. The html column goes no further than this.
     """
-    names = [c.split()[0] for c in NODE.split(", ")]
-    types = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
 
     def run(batches):
         for batch in batches:
-            ids, rows, held = [], [], 0
-            for at in range(len(batch)):
-                found = nodes_of(batch.column(1)[at].as_py())
-                ids += [batch.column(0)[at].as_py()] * len(found)
-                rows += found
-                held += 1
-                if held == PAGES or len(rows) >= NODES or at == len(batch) - 1:
-                    for i in range(0, len(rows), NODES):
-                        columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows[i : i + NODES]], t) for n, t in zip(names, types, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + NODES], pa.int64()), *columns], names=["page_id", *names])
-                    ids, rows, held = [], [], 0
+            ids, rows = [], [[] for _ in NAMES]
+
+            def close():
+                for lo in range(0, len(ids), NODES):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + NODES], pa.int64()), *(pa.array(c[lo : lo + NODES], t) for c, t in zip(rows, _TYPES, strict=True))], names=["page_id", *NAMES])
+
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, problem = guarded(html.as_py())
+                if problem:
+                    found = [[{"pre": 0, "last": 0, "depth": 0, "sib": 0, "kind": "error", "text": problem, "attrs": (), "within": ()}.get(n)] for n in NAMES]
+                ids += [page_id] * len(found[0])
+                for column, more in zip(rows, found, strict=True):
+                    column += more
+                if len(ids) >= NODES:
+                    yield from close()
+                    ids, rows = [], [[] for _ in NAMES]
+            yield from close()
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, " + NODE)
