@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import half_up
+from pagelens.operators.baselines import Store, compatible
+from pagelens.operators.fingerprint import ordered_fnv1a
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.scratch import materialize
 
@@ -88,13 +89,14 @@ def create_baseline(results: DataFrame, corpus_hash_: str | Column) -> DataFrame
     return last.select("r.*", (F.lit(corpus_hash_) if isinstance(corpus_hash_, str) else corpus_hash_).alias("corpus_hash"))
 
 
-def store_baseline(baseline: DataFrame, path: str) -> None:
-    baseline.write.mode("overwrite").partitionBy("corpus_hash").parquet(path)
+def store_baseline(baseline: DataFrame, path: str, corpus_hash_: str) -> int:
+    """Stores a corpus' baseline as its next version and returns that; other corpora in the folder stay as they are."""
+    return Store(baseline.sparkSession, path).store(baseline, corpus_hash_)
 
 
-def load_baseline(spark, path: str, corpus_hash_: str) -> DataFrame:
-    """The stored baseline of that corpus; no rows if there is none."""
-    return spark.read.parquet(path).where(F.col("corpus_hash") == corpus_hash_)
+def load_baseline(spark, path: str, corpus_hash_: str, version: int | None = None) -> DataFrame | None:
+    """The stored baseline of that corpus, its last version by default; None if there is none."""
+    return Store(spark, path).load(corpus_hash_, version)
 
 
 def serialize_baseline(baseline: DataFrame) -> DataFrame:
@@ -110,15 +112,18 @@ def deserialize_baseline(lines: DataFrame, schema) -> DataFrame:
 
 
 def compare_or_store(current: DataFrame, path: str, corpus_hash_: str) -> DataFrame | None:
-    """Drift against the stored baseline of this corpus; stores current as one and returns None where there is none."""
-    spark = current.sparkSession
-    try:
-        stored = load_baseline(spark, path, corpus_hash_)
-    except AnalysisException:  # nothing stored yet
-        stored = None
-    if stored is None or stored.isEmpty():
-        store_baseline(create_baseline(current, corpus_hash_), path)
-        return None
+    """Drift against the stored baseline of this corpus; stores current as its first version and returns None where there is none.
+
+    If another run stores one meanwhile, that is the baseline. ValueError if the two cannot be compared.
+    """
+    store = Store(current.sparkSession, path)
+    stored = store.load(corpus_hash_)
+    if stored is None:
+        if store.store(create_baseline(current, corpus_hash_), corpus_hash_, version=1):
+            return None
+        stored = store.load(corpus_hash_)
+    if problems := compatible(stored, current):
+        raise ValueError("; ".join(problems))
     return drift(current, stored)
 
 
@@ -192,3 +197,8 @@ def corpus_verdict(current: DataFrame, baseline: DataFrame, drifts: DataFrame) -
 
 def drift_by(drifts: DataFrame, column: str) -> DataFrame:
     return drifts.groupBy(column).agg(F.count("*").alias("records"), F.countDistinct("case_id").alias("cases"))
+
+
+def corpus_fingerprint(corpus: DataFrame) -> DataFrame:
+    """(corpus_hash, cases): the FNV-1a of all cases' lines in (category, id) order, joined by line feeds."""
+    return ordered_fnv1a(corpus, case_line(corpus), "category", "id").toDF("corpus_hash", "cases")

@@ -5,6 +5,7 @@ Every extractor returns (page_id, section, pos, type, value, confidence, meta);
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,17 @@ NOISE_TAGS = ["nav", "footer", "header", "aside"]
 AMBIGUOUS_HEADINGS = ["click here", "read more", "more info", "details", "home", "welcome", "untitled", "lorem ipsum"]
 AMBIGUOUS_ANCHORS = ["click here", "read more", "more", "here", "link", "this", "this page", "this link", "see more", "view more", "learn more", "continue", "go", "next", "prev", "previous"]
 TECHNICAL = ["API", "SDK", "HTTP", "JSON", "SQL", "algorithm", "function", "parameter", "variable", "configure?", "deploy", "instance", "async"]
+LIST_WORDS = {
+    "definitions": ["definition", "meaning", "refers to", "is defined as", "describes"],
+    "steps": ["step", "first", "second", "third", "then", "next", "finally", "install", "run", "execute"],
+    "features": ["feature", "benefit", "advantage", "includes", "supports", "enables", "allows"],
+    "attributes": ["property", "attribute", "setting", "option", "parameter", "field"],
+}
+TABLE_WORDS = {
+    "pricing": ["price", "cost", "$", "€", "£", "plan", "monthly", "annual", "free", "premium", "starter", "pro"],
+    "comparison": ["compare", "vs", "versus", "difference", "feature", "plan"],
+    "specifications": ["spec", "specification", "dimension", "weight", "size", "color", "material", "model"],
+}
 SECTION_PARENTS = {"main": ["section", "article", "aside"], "article": ["section"], "section": ["section"], "body": ["section", "main", "article"]}
 SECTION_CLASSES = ["elementor-section", "elementor-top-section", "elementor-inner-section", "elementor-container", "elementor-column", "elementor-widget", "elementor-element", "e-con", "e-con-inner", "e-con-boxed", "e-con-full", "wp-block", "wp-block-group", "wp-block-cover", "wp-block-columns", "wp-block-media-text", "entry-content", "post-content", "page-content", "content-area", "content-block", "content-section", "main-content", "primary-content", "module", "panel", "card", "tile", "feature", "hero", "hero-section", "banner", "container", "row", "col-", "section", "grid", "flex", "flex-col", "flex-row", "post-block", "article-body", "story-body"]
 #: Kinds of content blocks: their selectors in order of precedence, and confidence.
@@ -119,12 +131,21 @@ def lists(nodes: DataFrame) -> DataFrame:
     return signal(rows, "lists", F.when(F.col("tag") == "ol", "ordered_list").otherwise("unordered_list"), F.array_join(F.transform(F.slice("items", 1, 20), lambda i: i["item"]), " | "), 0.9, items=F.size("items"), nested=nested)
 
 
-def tables(nodes: DataFrame) -> DataFrame:
-    """Tables: headers, number of rows and a sample of five rows."""
+def table_rows(nodes: DataFrame) -> DataFrame:
+    """(page_id, pre, rows) of every table: its rows in order, inner tables' too, as (row, first, head, cells of (pre, tag, content)).
+
+    first: the row is its parent's first element; head: its parent is a thead.
+    """
     cells = with_text(nodes, ["td", "th"]).select("page_id", F.col("parent").alias("row"), "pre", "tag", "content")
     inside = containment.pairs(nodes, F.col("tag") == "table", F.col("tag") == "tr").toDF("page_id", "table", "row")
-    filled = inside.join(cells, ["page_id", "row"], "left").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("pre", "tag", "content"))).alias("cells"))
-    per = filled.groupBy("page_id", "table").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows")).withColumnRenamed("table", "pre")
+    places = nodes.where("tag = 'tr'").select("page_id", F.col("pre").alias("row"), (F.col("sib") == 1).alias("first"), (F.col("parent_tag") == "thead").alias("head"))
+    per_row = places.join(cells, ["page_id", "row"], "left").groupBy("page_id", "row", "first", "head").agg(F.array_sort(F.collect_list(F.when(F.col("pre").isNotNull(), F.struct("pre", "tag", "content")))).alias("cells"))
+    return inside.join(per_row, ["page_id", "row"]).groupBy("page_id", F.col("table").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("row", "first", "head", "cells"))).alias("rows"))
+
+
+def tables(nodes: DataFrame) -> DataFrame:
+    """Tables: headers, number of rows and a sample of five rows."""
+    per = table_rows(nodes)
     of = lambda r: F.array_join(F.transform(r["cells"], lambda c: c["content"]), " | ")
     headers = F.transform(F.filter(F.col("rows")[0]["cells"], lambda c: c["tag"] == "th"), lambda c: c["content"])
     return signal(per, "tables", "table", F.array_join(F.transform(F.slice("rows", 1, 6), of), " / "), 0.9, rows=F.size("rows"), headers=F.array_join(headers, " | "), columns=F.array_max(F.transform("rows", lambda r: F.size(r["cells"]))))
@@ -270,16 +291,53 @@ def semantic_paragraphs(paragraphs_: DataFrame, most: int = 200) -> DataFrame:
     return paragraphs_.withColumn("n", n).where(F.col("n") <= most).select("page_id", F.lit("semantic_paragraphs").alias("section"), "pos", F.when(clear, "paragraph_clear").otherwise("paragraph_unclear").alias("type"), T.truncate(F.col("value"), 500).alias("value"), F.when(clear, 0.85).otherwise(0.5).alias("confidence"), meta.alias("meta"))
 
 
-def semantic_lists(lists_: DataFrame) -> DataFrame:
-    v = F.lower("value")
-    kind = F.when(v.rlike(r"\w+ ?[:–-] \w+"), "definition_list").when((F.col("type") == "ordered_list") | v.rlike(r"\bstep\b|^\d+\."), "step_list").when(v.rlike("feature|benefit|include"), "feature_list").when(v.rlike("size|color|weight|material"), "attribute_list").otherwise("general_list")
-    return lists_.select("page_id", F.lit("semantic_lists").alias("section"), "pos", kind.alias("type"), "value", F.lit(0.75).alias("confidence"), "meta")
+def ordered_class(rules: list[tuple[Column, str, float]], otherwise: tuple[str, float]) -> Column:
+    """(kind, confidence) of the first rule that holds."""
+    out = None
+    for holds, kind, sure in rules:
+        made = F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
+        out = F.when(holds, made) if out is None else out.when(holds, made)
+    return out.otherwise(F.struct(F.lit(otherwise[0]).alias("kind"), F.lit(otherwise[1]).alias("confidence")))
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands anywhere in a lower-case text: one pass of one compiled alternation."""
+    return F.coalesce(text.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
-def semantic_tables(tables_: DataFrame) -> DataFrame:
-    v = F.lower(F.concat_ws(" ", F.col("meta")["headers"], "value"))
-    kind = F.when(v.rlike("price|cost|plan|[$€£]"), "pricing_table").when(v.rlike(r"\bvs\b|compar"), "comparison_table").when(v.rlike("spec|dimension|weight|size"), "specification_table").when(F.col("meta")["columns"] == "2", "key_value_table").otherwise("general_table")
-    return tables_.select("page_id", F.lit("semantic_tables").alias("section"), "pos", kind.alias("type"), "value", F.lit(0.75).alias("confidence"), "meta")
+def semantic_lists(nodes: DataFrame) -> DataFrame:
+    """ol, ul and dl with items (their own li and dt) as definitions, steps, features, attributes or general.
+
+    The first class that fits counts: a dl or words of definition, an ol or words of steps, words of features, words of
+    attributes, in the text of all items.
+    """
+    items = with_text(nodes, ["li", "dt"]).where("content <> ''").select("page_id", F.col("parent").alias("pre"), F.struct(F.col("pre").alias("at"), F.col("content").alias("item")).alias("item"))
+    per = items.groupBy("page_id", "pre").agg(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["item"]).alias("items"))
+    rows = nodes.where(F.col("tag").isin("ul", "ol", "dl")).select("page_id", "pre", "tag").join(per, ["page_id", "pre"])
+    text = F.lower(F.array_join("items", " "))
+    rules = [((F.col("tag") == "dl") | holds_any(text, LIST_WORDS["definitions"]), "definitions", 0.85), ((F.col("tag") == "ol") | holds_any(text, LIST_WORDS["steps"]), "steps", 0.85), (holds_any(text, LIST_WORDS["features"]), "features", 0.8), (holds_any(text, LIST_WORDS["attributes"]), "attributes", 0.8)]
+    rows = rows.withColumn("class", ordered_class(rules, ("general", 0.6)))
+    return signal(rows, "semantic_lists", F.concat(F.lit("semantic_"), "tag"), T.truncate(F.array_join("items", " | "), 500), F.col("class.confidence"), items=F.size("items"), ordered=F.col("tag") == "ol", **{"class": F.col("class.kind")})
+
+
+def semantic_tables(nodes: DataFrame) -> DataFrame:
+    """Tables as pricing, comparison, specifications, key_value or general; the first class that fits counts.
+
+    Headers are the cells of a thead and the th of rows that come first; columns their number, or that of the first
+    row's cells. Words of prices and specifications count in the whole text, those of comparison in headers alone, and
+    only with over two columns; two columns and over three rows are key and value.
+    """
+    texts = nodes.where("tag = 'table'").select("page_id", F.col("pre").cast("long").alias("pre"), F.lower(F.coalesce("content", F.lit(""))).alias("text"))
+    captions = containment.holding(nodes, F.col("tag") == "table", F.col("tag") == "caption").withColumn("caption", F.lit(True))
+    header = lambda r: F.transform(F.filter(r["cells"], lambda c: (r["head"] | (r["first"] & (c["tag"] == "th"))) & (c["content"] != "")), lambda c: c["content"])
+    rows = texts.join(table_rows(nodes), ["page_id", "pre"], "left").join(captions, ["page_id", "pre"], "left").withColumn("rows", F.coalesce("rows", F.array()))
+    rows = rows.withColumn("headers", F.flatten(F.transform("rows", header)))
+    columns = F.when(F.size("headers") > 0, F.size("headers")).otherwise(F.coalesce(F.size(F.get("rows", F.lit(0))["cells"]), F.lit(0)))
+    rows = rows.withColumn("columns", columns).withColumn("head_text", F.lower(F.array_join("headers", " ")))
+    rules = [(holds_any(F.col("text"), TABLE_WORDS["pricing"]), "pricing", 0.85), (holds_any(F.col("head_text"), TABLE_WORDS["comparison"]) & (F.col("columns") > 2), "comparison", 0.85), (holds_any(F.col("text"), TABLE_WORDS["specifications"]), "specifications", 0.8), ((F.col("columns") == 2) & (F.size("rows") > 3), "key_value", 0.75)]
+    rows = rows.withColumn("class", ordered_class(rules, ("general", 0.65)))
+    value = F.concat(F.lit("["), F.col("class.kind"), F.lit("] "), F.array_join("headers", " | "))
+    return signal(rows, "semantic_tables", "semantic_table", T.truncate(value, 300), F.col("class.confidence"), rows=F.size("rows"), columns=F.col("columns"), has_headers=F.size("headers") > 0, has_caption=F.coalesce("caption", F.lit(False)), **{"class": F.col("class.kind")})
 
 
 def semantic_links(links_: DataFrame, most: int = 300) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import grade
-from pagelens.operators import benchmark, evidence, inventory, normalize, reports, scoring
+from pagelens.operators import benchmark, evidence, inventory, normalize, reports
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
 from pagelens.plans.runner import run_cases
+from pagelens.plans.scratch import shared_dir
 from pagelens.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,11 +236,11 @@ def page_domains(spark, sf_dir):
 def page_semantics(spark, sf_dir):
     """Classes of headings, paragraphs, lists, tables, links and anchors."""
     a = audit(spark, sf_dir)
-    h, p, li, t, k = evidence.headings(a.nodes), evidence.paragraphs(a.nodes), evidence.lists(a.nodes), evidence.tables(a.nodes), evidence.links(a.nodes, a.pages)
+    h, p, k = evidence.headings(a.nodes), evidence.paragraphs(a.nodes), evidence.links(a.nodes, a.pages)
     rows = evidence.semantic_headings(h, a.nodes)
-    for more in (evidence.semantic_paragraphs(p), evidence.semantic_lists(li), evidence.semantic_tables(t), evidence.semantic_links(k), evidence.anchor_text(k, a.nodes)):
+    for more in (evidence.semantic_paragraphs(p), evidence.semantic_lists(a.nodes), evidence.semantic_tables(a.nodes), evidence.semantic_links(k), evidence.anchor_text(k, a.nodes)):
         rows = rows.unionByName(more)
-    return rows.groupBy("section", "type").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+    return rows.groupBy("section", F.coalesce(F.col("meta")["class"], "type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
 @query()
@@ -392,6 +394,45 @@ def made_metrics(spark, sf_dir):
     return a.metric_rows.where("metric in ('structure', 'accessibility', 'semantic', 'structuredData')").select("page_id", "metric", "score", "confidence")
 
 
+#: Items of a made list by kind of list, what they are headed by, and the kind and confidence that follow; likewise tables.
+_LISTS = [("dl", "dt", "Word of", "definitions", 0.85), ("ul", "li", "Refers to", "definitions", 0.85), ("ol", "li", "Good", "steps", 0.85), ("ul", "li", "Then do", "steps", 0.85), ("ul", "li", "Main benefit of", "features", 0.8), ("ul", "li", "One setting of", "attributes", 0.8), ("ul", "li", "Item by", "general", 0.6)]
+_TABLES = [("Monthly", "k", 2, "pricing", 0.85), ("Versus", "b", 3, "comparison", 0.85), ("Versus", "b", 2, "key_value", 0.75), ("Weight", "kg", 1, "specifications", 0.8), ("Name", "k", 2, "key_value", 0.75), ("Name", "k", 1, "general", 0.65)]
+
+
+def listed_pages(spark, sf_dir) -> DataFrame:
+    """Pages of suppliers, each with a list within a list and a table in a cell of a table."""
+    p, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    pick = lambda rows, i: F.element_at(F.array(*(F.lit(r[i]) for r in rows)), (k % len(rows)).cast("int") + 1)
+    tag, item, head = (pick(_LISTS, i) for i in range(3))
+    entry = lambda text: F.concat(F.lit("<"), item, F.lit(">"), text, F.lit("</"), item, F.lit(">"))
+    listing = F.concat(F.lit("<"), tag, F.lit(">\n"), entry(F.concat(head, F.lit(" <b>"), F.lpad("s_name", 18, "x"), F.lit("</b>"))), F.lit(" \n "), entry(F.lit(" Another\n one ")), F.lit("</"), tag, F.lit(">"))
+    name, cell, columns = (pick(_TABLES, i) for i in range(3))
+    heads = F.concat(F.lit("<thead> <tr>"), F.array_join(F.array_repeat(F.concat(F.lit("<th>"), name, F.lit("</th>")), columns), ""), F.lit("</tr></thead>"))
+    rows = F.array_join(F.array_repeat(F.concat(F.lit("<tr><td>"), cell, F.lit("</td></tr>")), 3), "\n")
+    html = F.concat(F.lit("<!DOCTYPE html><title>t</title><ul><li>"), listing, F.lit("</ul><table><tr><td>"), F.lit("<table>"), heads, rows, F.lit("</table></table>"))
+    return p.select(k.alias("page_id"), F.concat(F.lit("https://made.example/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+def _value_sql(rows: list[tuple], key: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join([str(i)] + [repr(x) for x in row]) + ")" for i, row in enumerate(rows)) + f") AS {key}"
+
+
+@query(
+    f"""WITH l AS (SELECT s_suppkey AS page_id, tag, head || ' ' || lpad(s_name, 18, 'x') AS one, kind, confidence FROM supplier JOIN {_value_sql(_LISTS, 'v(i, tag, item, head, kind, confidence)')} ON i = s_suppkey % {len(_LISTS)}),
+    t AS (SELECT s_suppkey AS page_id, name, n, kind, confidence FROM supplier JOIN {_value_sql(_TABLES, 'v(i, name, cell, n, kind, confidence)')} ON i = s_suppkey % {len(_TABLES)})
+    SELECT page_id, 'semantic_' || tag AS type, one || ' | Another one' AS value, kind, confidence FROM l UNION ALL
+    SELECT page_id, 'semantic_ul', one || ' Another one', CASE WHEN kind IN ('definitions', 'steps') AND one NOT LIKE 'Word of%' AND one NOT LIKE 'Good%' OR kind NOT IN ('definitions', 'steps') THEN kind ELSE 'general' END, CASE WHEN one LIKE 'Word of%' OR one LIKE 'Good%' THEN 0.6 ELSE confidence END FROM l UNION ALL
+    SELECT page_id, 'semantic_table', '[' || kind || '] ' || array_to_string(list_transform(range(n), lambda j: name), ' | '), kind, confidence FROM t UNION ALL
+    SELECT page_id, 'semantic_table', '[' || outer_kind || '] ' || array_to_string(list_transform(range(n), lambda j: name), ' | '), outer_kind, sure FROM (
+        SELECT *, kind AS outer_kind, confidence AS sure FROM t)"""
+)
+def made_lists_and_tables(spark, sf_dir):
+    """Classes of lists and tables within each other; a table's rows and headers are those of the tables in it too."""
+    n = PageAudit(listed_pages(spark, sf_dir)).nodes
+    rows = evidence.semantic_lists(n).unionByName(evidence.semantic_tables(n))
+    return rows.select("page_id", "type", "value", F.col("meta")["class"].alias("kind"), "confidence")
+
+
 def supplier_cases(spark, sf_dir) -> DataFrame:
     p = supplier_pages(spark, sf_dir)
     return p.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("kind_"), (F.col("page_id") % 4).cast("string")).alias("category"), "url", F.when(F.col("page_id") % 11 != 5, F.col("html")).alias("snapshot_html"))
@@ -435,6 +476,41 @@ def corpus_hash(spark, sf_dir):
     return benchmark.corpus_hash(cases(spark, sf_dir))
 
 
+_LINES = "id || '|' || category || '|' || url || '|0|' || source || '|' || source || ',' || category"
+
+
+@query(f"WITH {_CASES}, t AS (SELECT string_agg({_LINES}, chr(10) ORDER BY category, id) AS x, count(*) AS n FROM cases) SELECT {_FNV.format('x')} AS corpus_hash, n AS cases FROM t")
+def corpus_fingerprint(spark, sf_dir):
+    """One hash over all cases' lines in order."""
+    return benchmark.corpus_fingerprint(cases(spark, sf_dir))
+
+
+@query(
+    """WITH c AS (SELECT s_suppkey, 'kind_' || (s_suppkey % 4) AS category, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS corpus, s_suppkey % 11 = 5 AS failed FROM supplier),
+    v AS (SELECT *, 1 AS version FROM c UNION ALL SELECT *, 2 FROM c WHERE corpus = 'odd')
+    SELECT corpus AS corpus_hash, version, version = max(version) OVER (PARTITION BY corpus) AS latest, category, count(*) AS cases, count(*) FILTER (WHERE NOT failed) AS ok, count(*) FILTER (WHERE failed AND version = 1 OR NOT failed AND version = 2 AND s_suppkey % 3 = 0) AS moved FROM v GROUP BY corpus, version, category"""
+)
+def stored_baselines(spark, sf_dir):
+    """Two corpora of stored pages in one folder, one of them stored twice: all versions, read back.
+
+    moved: cases that failed in the first version, or whose score the second version has changed.
+    """
+    runs = run_cases(supplier_cases(spark, sf_dir))
+    path, rows = f"{shared_dir(spark)}/baselines-{uuid.uuid4().hex}", None
+    of = {"even": runs.where("cast(case_id AS long) % 2 = 0"), "odd": runs.where("cast(case_id AS long) % 2 = 1")}
+    for name, own in of.items():
+        benchmark.store_baseline(benchmark.create_baseline(own.withColumn("second", F.lit(False)), name), path, name)
+    again = F.coalesce((F.col("case_id").cast("long") % 3 == 0) & F.col("final_score").isNotNull(), F.lit(False))
+    benchmark.store_baseline(benchmark.create_baseline(of["odd"].withColumn("second", again), "odd"), path, "odd")
+    for name, version, latest in (("even", 1, True), ("odd", 1, False), ("odd", 2, True)):
+        found = benchmark.load_baseline(spark, path, name, None if latest else version)
+        found = found.select("corpus_hash", F.lit(version).alias("version"), F.lit(latest).alias("latest"), "category", "status", "second")
+        rows = found if rows is None else rows.union(found)
+    moved = ((F.col("version") == 1) & (F.col("status") == "error")) | F.col("second")
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("corpus_hash", "version", "latest", "category").agg(F.count("*").alias("cases"), n(F.col("status") == "ok").alias("ok"), n(moved).alias("moved"))
+
+
 @query(f"WITH {_CASES} SELECT url, count(*) AS n FROM cases GROUP BY url HAVING count(*) > 1")
 def corpus_duplicate_urls(spark, sf_dir):
     return benchmark.duplicates(cases(spark, sf_dir), "url")
@@ -447,11 +523,6 @@ def corpus_csv_problems(spark, sf_dir):
     return corpus.validate_csv(rows)
 
 
-@query("SELECT c || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS id, c AS category, 'https://example.com/' || c || '/' || lpad(CAST(i AS VARCHAR), 3, '0') AS url FROM (SELECT unnest(['" + "','".join(corpus.CATEGORIES) + "']) AS c), (SELECT unnest(range(1, 201)) AS i)")
-def corpus_synthetic(spark, sf_dir):
-    return corpus.synthetic_corpus(spark).select("id", "category", "url")
-
-
 def results(spark, sf_dir, which: str) -> DataFrame:
     """Two runs over documents: the later one misses some cases, has new ones, errors and moved scores."""
     d = table(spark, sf_dir, "documents")
@@ -527,8 +598,3 @@ def baseline_round_trip(spark, sf_dir):
     made = benchmark.create_baseline(results(spark, sf_dir, "baseline"), "h1")
     back = benchmark.deserialize_baseline(benchmark.serialize_baseline(made), made.schema)
     return back.where("problem is null").select("case_id", "status", "final_score", "corpus_hash")
-
-
-@query("SELECT m AS metric, CAST(w AS DOUBLE) AS weight FROM (VALUES " + ", ".join(f"('{m}', {w})" for m, w in WEIGHTS.items()) + ") AS t(m, w)")
-def scoring_weights(spark, sf_dir):
-    return spark.createDataFrame(list(scoring.normalize_weights(None).items()), "metric string, weight double")

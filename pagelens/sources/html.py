@@ -16,8 +16,8 @@ from pagelens.sources.tree import Builder, Element, Text
 NODES = 20_000
 
 #: Elements whose text is kept with them: whole, or its first HEAD characters where elements of the kind hold each other.
-WHOLE_TEXT = frozenset("title h1 h2 h3 h4 h5 h6 p a td th caption figcaption label summary button".split())
-SOME_TEXT = frozenset("li div span main article section nav header footer aside details body".split())
+WHOLE_TEXT = frozenset("title h1 h2 h3 h4 h5 h6 p a li dt dd table td th caption figcaption label summary button".split())
+SOME_TEXT = frozenset("div span main article section nav header footer aside details body".split())
 HEAD = 300
 #: Ancestors that a node tells of in `within`, and those whose text is not shown.
 INSIDE = frozenset("body head script style template noscript svg nav footer header aside label ul ol pre table a button details".split())
@@ -98,8 +98,11 @@ def columns_of(root: Element) -> list[list]:
         if node.tag in INSIDE and node.tag not in inside:
             inside = withins.setdefault((inside, node.tag), (*inside, node.tag))
         shown = shown and node.tag not in UNSHOWN
+        left = sum(isinstance(kid, Element) for kid in node.kids)
         for i in range(len(node.kids) - 1, -1, -1):
-            stack.append((node.kids[i], at, level + 1, i + 1, node.tag, inside, shown))
+            element = isinstance(node.kids[i], Element)
+            stack.append((node.kids[i], at, level + 1, left if element else i + 1, node.tag, inside, shown))
+            left -= element
     page = _Shown("".join(parts))
     content, chars = [None] * len(pre), [None] * len(pre)
     for i, tag in enumerate(tags):
@@ -127,8 +130,9 @@ def nodes_of(html: str | None) -> list[dict]:
 def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Nodes of all pages (page_id and NODE): elements and texts in pre-order; an element's descendants are pre + 1 to last.
 
-    Elements that carry text have it as content, white space collapsed (elements that may hold each other at any depth
-    have its first HEAD characters), and chars is the length of all of it. within lists the ancestors of INSIDE.
+    Elements that carry text have it as content, white space collapsed (those of SOME_TEXT its first HEAD characters), and
+    chars is the length of all of it. within lists the ancestors of INSIDE. sib counts an element among the elements of
+    its parent, a text among all that its parent has.
 
     A page is parsed whole, however long it is. Null and blank pages have no nodes. A page that cannot be parsed has one
     row of kind 'error' with the reason as its text, and all others go on. The html column goes no further than this.

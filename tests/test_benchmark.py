@@ -67,9 +67,9 @@ def test_corpus_hash(spark):
 
 def test_baseline(spark, tmp_path):
     rows = frame(spark, result("1"), result("2"))
-    B.store_baseline(B.create_baseline(rows, "abc"), str(tmp_path / "b"))
+    B.store_baseline(B.create_baseline(rows, "abc"), str(tmp_path / "b"), "abc")
     assert B.load_baseline(spark, str(tmp_path / "b"), "abc").count() == 2
-    assert B.load_baseline(spark, str(tmp_path / "b"), "other").count() == 0
+    assert B.load_baseline(spark, str(tmp_path / "b"), "other") is None
 
 
 def test_csv(spark, tmp_path):
