@@ -7,7 +7,8 @@ shard's tokens are dealt out by successor too. A shard adds up the batches' coun
 smoothed probabilities quantised to two bytes, answers every batch from it by context-relative successor search, and
 forgets it. Words get dense ids, the most frequent the smallest; a pair's id is its place in its shard's level: ids are
 whole, no hashes of n-grams are compared. N-grams of which all occurrences lie in one batch, known from the counts of
-their parts, are counted there and never sent; neither are those of contexts that were not learned.
+their parts, are never sent: the batch builds levels of its own of them and asks those. So every n-gram that was learned
+is answered by a level of the trie, and only n-grams of contexts that were not learned have nothing to ask.
 
 The model: P(w|h) = (c(hw) + f(c(h)) * Q(w)) / (c(h) + f(c(h))) with f(c) = c**beta, where Q is the next shorter
 context's P, and for no context base(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); a proper distribution for every context up
@@ -232,6 +233,20 @@ def _answer(asked: pa.Table, beta: float, counted: bool) -> pa.Table:
     return pa.table({"shard": pa.array([shard] * len(batches), pa.int64()), "batch": pa.array(batches, pa.int64()), "data": pa.array(answers, pa.binary())})
 
 
+def own_level(contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, counts: np.ndarray, lower: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, counts and whether they are there, of n-grams that one batch alone has learned, from a level of those.
+
+    Contexts and successors are places in the batch, ascending; n-grams that are not there get the code of their shorter
+    context's probability, weighed by what the context leaves for it.
+    """
+    learned, f = counts > 0, mass(totals, beta)
+    level = Trie(contexts[learned], successors[learned], quantise((counts + f * probability(lower)) / (totals + f))[learned], counts[learned])
+    at, there = level(contexts, successors)
+    codes = quantise(f * probability(lower) / (totals + f))
+    codes[there] = level.codes[at[there]]
+    return codes, np.where(there, level.counts[at], 0) if learned.any() else np.zeros(len(counts), np.int64), there
+
+
 def _count_words(asked: pa.Table, shards: int) -> pa.Table:
     """A shard's answers to every batch: words' counts and ids, in the order asked; and the totals (tokens, words) with batch -1."""
     shard = asked["shard"][0].as_py()
@@ -249,10 +264,11 @@ def _count_words(asked: pa.Table, shards: int) -> pa.Table:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_of: int = 10, batch_bytes: int = 8 << 20, tokens_per_shard: int = 3_000_000, beta: float = 0.7) -> DataFrame:
-    """Scores of all rows: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+    """Scores of all rows: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_found).
 
     The model learns from the documents whose crc32 of the id as text, modulo held_out_of, is not 0. base_score is the
-    sum of log10 base(w), score that of log10 P(w|h); both run over all tokens and the end. A null or empty text is the
+    sum of log10 base(w), score that of log10 P(w|h); both run over all tokens and the end. n_found counts the tokens whose
+    longest n-gram a level of the trie holds. A null or empty text is the
     end alone. A null id counts as the empty text, so it is held out. Repeated rows are learned and scored each; other
     columns are ignored; an empty table gives no rows. With nothing to learn from, every token has base 1.
     """
@@ -314,13 +330,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         context, send = counts[b.first], np.flatnonzero(~own)
         order, cuts = asking_order(ids[b.first[send]], ids[b.second[send]], context[send], shards, limit)
         send = send[order]
-        f, low = mass(context, beta), probability(quantise((counts + 0.1) / norm))[b.second]
-        n, place = np.where(own, b.pair_counts, 0), np.zeros(len(own), np.int64)
-        codes = quantise((n + f * low) / (context + f))
+        f, low = mass(context, beta), quantise((counts + 0.1) / norm)[b.second]
+        n, place, hit = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        codes = quantise(f * probability(low) / (context + f))
+        codes[own], n[own], hit[own] = own_level(b.first[own], b.second[own], context[own], b.pair_counts[own], low[own], beta)
         for s, at, (found, times, places) in in_order(answers, cuts):
             there = found != NONE
             to = send[at]
-            codes[to[there]] = found[there]
+            codes[to[there]], hit[to[there]] = found[there], True
             n[to] = times
             place[to[there]] = (s << 32) + np.cumsum(places.astype(np.int64))
         b.triples()
@@ -328,11 +345,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         own = closed[b.head] | closed[b.tail]
         context, low = n[b.head], codes[b.tail]
         f = mass(context, beta)
-        exact = quantise((np.where(own, b.triple_counts, 0) + f * probability(low)) / (context + f))
+        exact, known = quantise(f * probability(low) / (context + f)), np.zeros(len(own), bool)
+        exact[own], _, known[own] = own_level(b.head[own], b.second[b.tail[own]], context[own], b.triple_counts[own], low[own], beta)
         send = np.flatnonzero(~own)
         out, order = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
         _, cuts = asking_order(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
-        put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]]))
+        put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]], known.view(np.uint8), hit[b.pair[b.starts]].view(np.uint8)))
         return pa.Table.from_batches([_rows(out)])
 
     def finish(answers: pa.Table) -> pa.Table:
@@ -341,21 +359,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         b.pairs()
         b.triples()
         counts = unpack(get_file(f"{folder}/words-{number}"))[0].astype(np.int64)
-        send, sizes, codes, heads = unpack(get_file(f"{folder}/triples-{number}"))
-        codes, send = codes.astype(np.int64), send.astype(np.int64)
+        send, sizes, codes, heads, known, hit = unpack(get_file(f"{folder}/triples-{number}"))
+        codes, send, known = codes.astype(np.int64), send.astype(np.int64), known.astype(np.int64)
         for _, at, (found,) in in_order(answers, np.cumsum(np.append(0, sizes))):
             there = found != NONE
-            codes[send[at][there]] = found[there]
-        token = np.zeros(len(b.places))
+            codes[send[at][there]], known[send[at][there]] = found[there], 1
+        token, there = np.zeros(len(b.places)), np.zeros(len(b.places), np.int64)
         inner = b.triple >= 0
         token[inner], token[b.starts] = codes[b.triple[inner]] * -STEP, heads * -STEP
+        there[inner], there[b.starts] = known[b.triple[inner]], hit
         base = np.log10((counts + 0.1) / norm)[b.places]
         seen = (counts[b.places] > 0).astype(np.int64)
-        out = [b.ids, b.held, b.lengths, np.add.reduceat(seen, b.starts), np.add.reduceat(base, b.starts), np.add.reduceat(token, b.starts)]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), out, kinds, strict=True)})
+        out = [b.ids, b.held, b.lengths, np.add.reduceat(seen, b.starts), np.add.reduceat(base, b.starts), np.add.reduceat(token, b.starts), np.add.reduceat(there, b.starts)]
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_found"), out, kinds, strict=True)})
 
     level2 = words.where("batch <> -1").select("shard", "batch", "data").groupBy("batch").applyInArrow(ask_pairs, ASKED).groupBy("shard").applyInArrow(lambda t: _answer(t, beta, True), ASKED)
     level3 = level2.groupBy("batch").applyInArrow(ask_triples, ASKED).groupBy("shard").applyInArrow(lambda t: _answer(t, beta, False), ASKED)
-    scored = level3.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train)).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = level3.groupBy("batch").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_found long")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train)).cast("long").alias("train_tokens"), "base_score", "score", "n_found")

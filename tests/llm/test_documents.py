@@ -358,15 +358,17 @@ def test_language_model(corpus):
     for i, t in toks:
         padded = [b" start", *t]
         total = sum(log10(p(tuple(padded[max(0, j - 2) : j]), padded[j])) for j in range(1, len(padded)))
-        want[i].append((held(i), len(t), sum(c[1][w,] > 0 for w in t), n, sum(log10(base(w)) for w in t), total))
-    for options in ({"batch_bytes": 3000, "tokens_per_shard": 50}, {}):  # heavy contexts in parts; and all in one batch
+        found = sum(c[len(h) + 1][(*h, padded[j])] > 0 for j in range(1, len(padded)) for h in [tuple(padded[max(0, j - 2) : j])])
+        want[i].append((held(i), len(t), sum(c[1][w,] > 0 for w in t), n, sum(log10(base(w)) for w in t), total, found))
+    # heavy contexts in parts, and all in one batch: at either size every learned n-gram is found in a level of the trie
+    for options in ({"batch_bytes": 3000, "tokens_per_shard": 50}, {}):
         got = defaultdict(list)
         for r in language_model.score(corpus, **options).collect():
             got[r.doc_id].append(tuple(r)[1:])
         assert set(got) == set(want)
         for i in want:
             for a, b in zip(sorted(got[i], key=str), sorted(want[i], key=str), strict=True):
-                assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and abs(a[5] - b[5]) <= 1e-3 * b[1]
+                assert a[6] == b[6] and a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and abs(a[5] - b[5]) <= 1e-3 * b[1]
 
 
 def test_the_model_is_a_distribution():
