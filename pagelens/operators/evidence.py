@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.functions.score import ratio
 from pagelens.operators import containment, dom, inventory
+from pagelens.operators.blocks import structured_content
 from pagelens.operators.entities import extract_entities
 
 META = "map<string,string>"
@@ -42,15 +43,6 @@ TABLE_WORDS = {
 }
 SECTION_PARENTS = {"main": ["section", "article", "aside"], "article": ["section"], "section": ["section"], "body": ["section", "main", "article"]}
 SECTION_CLASSES = ["elementor-section", "elementor-top-section", "elementor-inner-section", "elementor-container", "elementor-column", "elementor-widget", "elementor-element", "e-con", "e-con-inner", "e-con-boxed", "e-con-full", "wp-block", "wp-block-group", "wp-block-cover", "wp-block-columns", "wp-block-media-text", "entry-content", "post-content", "page-content", "content-area", "content-block", "content-section", "main-content", "primary-content", "module", "panel", "card", "tile", "feature", "hero", "hero-section", "banner", "container", "row", "col-", "section", "grid", "flex", "flex-col", "flex-row", "post-block", "article-body", "story-body"]
-#: Kinds of content blocks: their selectors in order of precedence, and confidence.
-BLOCKS = {
-    "faq": ([".faq", "[class*='faq']", "[class*='frequently-asked']", "details > summary", ".accordion-item"], 0.85),
-    "pricing": ([".pricing-table", ".pricing-card", "[class*='pricing']", ".plan-card", ".price-card", "[class*='plan-']"], 0.9),
-    "specs": ([".product-specs", ".specifications", "[class*='spec']", ".tech-specs", ".product-details"], 0.85),
-    "feature": ([".features-list", ".feature-list", "[class*='feature']", ".benefits-list", ".advantages"], 0.8),
-    "review": ([".review", ".reviews", "[class*='review']", ".testimonial", ".testimonials", "[class*='testimonial']", ".rating", ".star-rating"], 0.8),
-    "qa": ([".qa", ".q-a", "[class*='question-answer']", ".comment-question", ".discussion"], 0.75),
-}
 #: Absent selector, its usual name and severity.
 ABSENCES = [
     ("title", "title", "critical"),
@@ -359,18 +351,6 @@ def domain_profile(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return signal(rows, "domain_profile", "domain", F.col("e.d"), F.least(F.col("e.s") / 10, F.lit(1.0)), score=F.col("e.s"))
 
 
-def structured_content(nodes: DataFrame) -> DataFrame:
-    """Blocks of faq, pricing, specs, feature, review and qa: all that the first selector of a kind which finds any finds."""
-    hits = F.array_compact(F.array(*(F.when(dom.matches(css), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("prio"), F.lit(sure).alias("sure"))) for kind, (marks, sure) in BLOCKS.items() for i, css in enumerate(marks))))
-    rows = nodes.where("kind = 'element'").select("page_id", "pre", "tag", "attrs", "content", F.explode(hits).alias("m"))
-    first = F.rank().over(W.partitionBy("page_id", "m.kind").orderBy("m.prio"))
-    chosen = rows.withColumn("r", first).where("r = 1")
-    texts = dom.element_text(nodes, chosen.where("m.kind = 'pricing'").select("page_id", "pre")).select("page_id", "pre", F.col("content").alias("all_text"))
-    chosen = chosen.join(texts, ["page_id", "pre"], "left")
-    price = F.when(F.col("m.kind") == "pricing", F.nullif(F.regexp_extract(F.coalesce("all_text", F.lit("")), r"\$\d+(?:\.\d{2})?", 0), F.lit("")))
-    return signal(chosen, "structured_content", F.concat("m.kind", F.lit("_block")), T.truncate(F.coalesce(F.when(F.col("content") != "", F.col("content")), attr("class"), F.col("tag")), 300), F.col("m.sure"), price=price)
-
-
 def extractability(nodes: DataFrame, flags: DataFrame, pages: DataFrame) -> DataFrame:
     """Content density, noise share, repeated blocks, boilerplate and main region of each page.
 

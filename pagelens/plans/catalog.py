@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import grade
-from pagelens.operators import benchmark, evidence, inventory, normalize, reports
+from pagelens.operators import benchmark, blocks, evidence, inventory, normalize, reports
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
 from pagelens.plans.runner import run_cases
@@ -370,7 +370,7 @@ def made_domains(spark, sf_dir):
     SELECT page_id, 'anchor_text', CASE three WHEN 2 THEN 'anchor_clear' ELSE 'anchor_ambiguous' END, anchor, CASE three WHEN 2 THEN 0.9 ELSE 0.4 END FROM made UNION ALL
     SELECT page_id, 'semantic_paragraphs', 'paragraph_clear', p, 0.85 FROM made, range(1, copies + 1) UNION ALL
     SELECT page_id, 'redundancy', 'redundant_content', lower(p), 0.5 + copies * 0.1 FROM made WHERE copies > 1 UNION ALL
-    SELECT page_id, 'structured_content', 'faq_block', aside, 0.85 FROM made WHERE odd = 1"""
+    SELECT page_id, 'structured_content', 'faq_block', 'FAQ item', 0.85 FROM made WHERE odd = 1"""
 )
 def made_semantics(spark, sf_dir):
     """Classes of headings, anchors and paragraphs, repeats and content blocks of made pages."""
@@ -433,6 +433,55 @@ def made_lists_and_tables(spark, sf_dir):
     return rows.select("page_id", "type", "value", F.col("meta")["class"].alias("kind"), "confidence")
 
 
+#: Content blocks by kind, as SQL and Spark write them alike; @ is the supplier's name, # its key.
+_BLOCK_PAGES = [
+    '<div class="faq"><h3 class="faq-question">What is @?</h3><p>It is a firm .</p><p>More</p></div>',
+    '<div class="pricing-card"><h4>Plan @</h4><b>$#.50</b> a month</div>',
+    '<div class="product-specs"><dl><dt>Key of @</dt><dd>v</dd></dl><table><tr><td>A</td><td>#</td></tr></table></div>',
+    '<div class="features-list"><ul><li>One of @</li><li> </li><li>Two !!</li></ul></div>',
+    '<div class="review"><i class="stars">5 of 5</i> <b class="review-author">@</b> said so</div>',
+    '<div class="qa">Ask @ !</div>',
+    '<table><thead><tr><th>Plan</th><th>@</th><th>Other</th></tr></thead><tr><td>x</td></tr></table>',
+]
+#: Of each: type, value, rendered value, confidence, question, answer, price, plan, items, rating, author.
+_BLOCK_FACTS = [
+    ("faq_block", "What is @?", "Q: What is @?", 0.85, "What is @?", "It is a firm .", None, None, None, None, None),
+    ("pricing_block", "Plan @$#.50 a month", "Plan @ — $#.50 — Plan @$#.50 a month", 0.9, None, None, "$#.50", "Plan @", None, None, None),
+    ("specs_block", "Key of @ | A#", "Key of @ | A#", 0.85, None, None, None, None, "Key of @ | A#", None, None),
+    ("feature_block", "One of @ | Two !!", "One of @ | Two!", 0.8, None, None, None, None, "One of @ | Two !!", None, None),
+    ("review_block", "5 of 5 @ said so", "@ — 5 of 5 — 5 of 5 @ said so", 0.8, None, None, None, None, None, "5 of 5", "@"),
+    ("qa_block", "Ask @ !", "Ask @!", 0.75, None, None, None, None, None, None, None),
+    ("comparison_block", "plan ~ other", "Plan vs @ vs Other", 0.85, None, None, None, None, "Plan | @ | Other", None, None),
+]
+
+
+def block_pages(spark, sf_dir) -> DataFrame:
+    p, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    body = F.element_at(F.array(*map(F.lit, _BLOCK_PAGES)), (k % len(_BLOCK_PAGES)).cast("int") + 1)
+    html = F.concat(F.lit("<!DOCTYPE html><title>t</title><main>"), F.replace(F.replace(body, F.lit("@"), F.col("s_name")), F.lit("#."), F.concat(k.cast("string"), F.lit("."))), F.lit("</main>"))
+    html = F.replace(html, F.lit("<td>#</td>"), F.concat(F.lit("<td>"), k.cast("string"), F.lit("</td>")))
+    return p.select(k.alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+
+
+_FACT_NAMES = "type value rendered confidence question answer price plan items rating author".split()
+_NAMED = lambda c: f"replace(replace(replace(replace({c}, '#', CAST(s_suppkey AS VARCHAR)), '@#', '@'), '@', s_name), '~', lower(s_name)) AS {c}"
+
+
+@query(
+    "SELECT s_suppkey AS page_id, type, confidence, "
+    + ", ".join(_NAMED(c) for c in _FACT_NAMES if c not in ("type", "confidence"))
+    + " FROM supplier JOIN (VALUES "
+    + ", ".join("(" + ", ".join([str(i)] + ["CAST(NULL AS VARCHAR)" if x is None else repr(x) for x in row]) + ")" for i, row in enumerate(_BLOCK_FACTS))
+    + f") AS f(i, {', '.join(_FACT_NAMES)}) ON i = s_suppkey % {len(_BLOCK_FACTS)}"
+)
+def made_blocks(spark, sf_dir):
+    """Content blocks of all seven kinds, what is found in them, and their renderings."""
+    found = blocks.structured_content(PageAudit(block_pages(spark, sf_dir)).nodes)
+    shown = blocks.render_blocks(found).select("page_id", "pos", "type", F.col("value").alias("rendered"))
+    meta = [F.col("meta")[c].alias(c) for c in _FACT_NAMES[4:]]
+    return found.join(shown, ["page_id", "pos", "type"]).select("page_id", "type", "value", "rendered", "confidence", *meta)
+
+
 def supplier_cases(spark, sf_dir) -> DataFrame:
     p = supplier_pages(spark, sf_dir)
     return p.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("kind_"), (F.col("page_id") % 4).cast("string")).alias("category"), "url", F.when(F.col("page_id") % 11 != 5, F.col("html")).alias("snapshot_html"))

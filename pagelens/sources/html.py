@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import SPACE
-from pagelens.sources.tree import Builder, Element, Text
+from pagelens.sources.tree import VOID, Builder, Element, Text
 
 #: Nodes that are turned into a batch of Arrow at once.
 NODES = 20_000
 
-#: Elements whose text is kept with them: whole, or its first HEAD characters where elements of the kind hold each other.
+#: Elements whose text is kept whole with them, and those of which none is; all others keep its first HEAD characters.
 WHOLE_TEXT = frozenset("title h1 h2 h3 h4 h5 h6 p a li dt dd table td th caption figcaption label summary button".split())
-SOME_TEXT = frozenset("div span main article section nav header footer aside details body".split())
+NO_TEXT = VOID | frozenset(("html", "head", "script", "style", "template"))
 HEAD = 300
 #: Ancestors that a node tells of in `within`, and those whose text is not shown.
 INSIDE = frozenset("body head script style template noscript svg nav footer header aside label ul ol pre table a button details".split())
@@ -106,7 +106,7 @@ def columns_of(root: Element) -> list[list]:
     page = _Shown("".join(parts))
     content, chars = [None] * len(pre), [None] * len(pre)
     for i, tag in enumerate(tags):
-        if tag in WHOLE_TEXT or tag in SOME_TEXT:
+        if tag is not None and tag not in NO_TEXT:
             a, b = spans[i]
             content[i], chars[i] = page.head(a, b, None if tag in WHOLE_TEXT else HEAD), page.chars(a, b)
     return [*cols, content, chars]
@@ -130,7 +130,7 @@ def nodes_of(html: str | None) -> list[dict]:
 def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Nodes of all pages (page_id and NODE): elements and texts in pre-order; an element's descendants are pre + 1 to last.
 
-    Elements that carry text have it as content, white space collapsed (those of SOME_TEXT its first HEAD characters), and
+    Elements have their text as content, white space collapsed (those of WHOLE_TEXT all of it, others its beginning), and
     chars is the length of all of it. within lists the ancestors of INSIDE. sib counts an element among the elements of
     its parent, a text among all that its parent has.
 
