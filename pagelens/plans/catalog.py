@@ -269,6 +269,36 @@ def documents_as_pages(spark, sf_dir):
     return PageAudit(corpus.text_pages(table(spark, sf_dir, "documents"), "doc_id", "text")).scores
 
 
+_HEAD = "'<!DOCTYPE html>' || chr(10) || '<html lang=\"en\">' || chr(10) || '<head>' || chr(10) || '<meta charset=\"UTF-8\">' || chr(10) || '<title>' || s_name || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<main>' || chr(10)"
+_TAIL = "chr(10) || '</main>' || chr(10) || '</body>' || chr(10) || '</html>'"
+
+
+@query(
+    f"""SELECT s_suppkey AS page_id, {_HEAD} || array_to_string(['<h1>' || s_name || '</h1>', '<p>Of <strong>' || s_suppkey || '</strong> &amp; <code>a*b</code></p>',
+        '<ol start="' || (s_suppkey % 5 + 2) || '">', '<li>', 'first', '<ul>', '<li>', 'inner ' || s_name, '</li>', '</ul>', '</li>', '<li>', 'second', '</li>', '</ol>',
+        '<blockquote>', 'said', '<ul>', '<li>', '<a href="/x">it</a>', '</li>', '</ul>', '</blockquote>', '<pre><code>x &lt; ' || s_suppkey, '</code></pre>'], chr(10)) || {_TAIL} AS html FROM supplier"""
+)
+def made_markdown(spark, sf_dir):
+    """Markdown of suppliers as pages: a list within a numbered one, a quote with a list, inline marks and code."""
+    name, k = F.col("s_name"), F.col("s_suppkey")
+    start = (k % 5 + 2).cast("string")
+    parts = ["# ", name, "\n\nOf **", k.cast("string"), "** & `a*b`\n\n", start, ". first\n   - inner ", name, "\n", start, ". second\n\n> said\n> - [it](/x)\n\n```\nx < ", k.cast("string"), "\n```\n"]
+    md = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return table(spark, sf_dir, "supplier").select(k.alias("page_id"), corpus.markdown_pages(md).alias("html"))
+
+
+@query(
+    f"""SELECT s_suppkey AS page_id, {_HEAD} || '<h1>JSON Object</h1>' || array_to_string(['<p><strong>title:</strong> ' || s_name || '</p>', '<p><strong>key:</strong> ' || s_suppkey || '</p>', '<p><strong>none:</strong> null</p>',
+        '<h2>tags</h2><ul><li>a</li><li>&lt;b&gt;</li></ul>', '<h2>rows</h2><table><thead><tr><th>x</th><th>y</th></tr></thead><tbody><tr><td>' || s_suppkey || '</td><td></td></tr><tr><td></td><td>z</td></tr></tbody></table>',
+        '<h2>in</h2><h3>deep</h3><ul><li>1</li></ul>'], chr(10)) || {_TAIL} AS html FROM supplier"""
+)
+def made_json(spark, sf_dir):
+    """JSON of suppliers as pages: fields, a list, a table of objects of unlike keys, and nesting."""
+    name, k = F.col("s_name"), F.col("s_suppkey").cast("string")
+    raw = F.concat(F.lit('{"title":"'), name, F.lit('","key":'), k, F.lit(',"none":null,"tags":["a","<b>"],"rows":[{"x":'), k, F.lit('},{"y":"z"}],"in":{"deep":[1]}}'))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), corpus.json_pages(raw).alias("html"))
+
+
 @query("SELECT page_id, 'article' AS tag FROM pages")
 def page_main_content(spark, sf_dir):
     return inventory.main_content(audit(spark, sf_dir).nodes).select("page_id", "tag")

@@ -109,11 +109,43 @@ def test_text_markdown_json_pages(spark):
     rows = {r.page_id: r for r in corpus.text_pages(docs, "doc_id", "text").collect()}
     assert "<p>First &amp; one.</p>\n<p>Second.</p>" in rows[1].html and rows[2].input_flag == "empty_input"
     md = corpus.markdown_to_html("# T\n\ntext **b** [l](u)\n\n- a\n- b\n\n1. c\n\n```\n<x>\n```\n> q")
-    for part in ("<h1>T</h1>", "<strong>b</strong>", '<a href="u">l</a>', "<ul>\n<li>a</li>\n<li>b</li>\n</ul>", "<ol>", "&lt;x&gt;", "<blockquote>q</blockquote>"):
+    for part in ("<h1>T</h1>", "<strong>b</strong>", '<a href="u">l</a>', "<ul>\n<li>\na\n</li>\n<li>\nb\n</li>\n</ul>", "<ol>", "&lt;x&gt;", "<blockquote>\nq\n</blockquote>"):
         assert part in md
     made = corpus.json_to_html('{"a": {"b": 1}, "l": [{"x": 1}, {"y": 2}], "s": ["u", "v"]}')
-    assert "<h1>a</h1><p>b: 1</p>" in made and "<th>x</th><th>y</th>" in made and "<li>u</li>" in made
-    assert corpus.json_to_html("{") is None
+    assert "<h2>a</h2><p><strong>b:</strong> 1</p>" in made and "<th>x</th><th>y</th>" in made and "<li>u</li>" in made
+    assert corpus.json_to_html("{") is None and corpus.json_to_html(None) is None
+    assert corpus.json_to_html("[" * 100_000) is None and corpus.json_to_html('{"a":' * 3000 + "1" + "}" * 3000) is None
+    cut = corpus.json_to_html(json.dumps([{"k": "&" * 300}]))
+    assert "<td>" + "&amp;" * 200 + "</td>" in cut
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("- a\n  - b\n    - c\n- d", "<ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ul>"),
+        ("3. x\n4. y", '<ol start="3"><li>x</li><li>y</li></ol>'),
+        ("> a\n> - b\n> - c\n\nd", "<blockquote>a<ul><li>b</li><li>c</li></ul></blockquote><p>d</p>"),
+        ("- a\n\n  para\n- b", "<ul><li>a<p>para</p></li><li>b</li></ul>"),
+        ("1. a\n   ```\n   code\n   ```\n2. b", "<ol><li>a<pre><code>code</code></pre></li><li>b</li></ol>"),
+        ("> > deep\n> one", "<blockquote><blockquote>deep</blockquote><p>one</p></blockquote>"),
+        ("- a\n1. b", "<ul><li>a</li></ul><ol><li>b</li></ol>"),
+        ("* * *", "<hr>"),
+        ("a\nb", "<p>a</p><p>b</p>"),
+        ("- \n- x", "<ul><li></li><li>x</li></ul>"),
+        ("text\n- item\nmore", "<p>text</p><ul><li>item</li></ul><p>more</p>"),
+        ("`a*b*` *c* __d__ _e_", "<p><code>a*b*</code> <em>c</em> <strong>d</strong> <em>e</em></p>"),
+        ("```\nopen <b>", "<pre><code>open &lt;b&gt;</code></pre>"),
+        ("> # h\n> p\nq", "<blockquote><h1>h</h1><p>p</p></blockquote><p>q</p>"),
+        ("10) ten\n11) eleven\n    - sub", '<ol start="10"><li>ten</li><li>eleven<ul><li>sub</li></ul></li></ol>'),
+        ("[a & b](http://x?y=1&z=2) <i>", '<p><a href="http://x?y=1&amp;z=2">a &amp; b</a> &lt;i&gt;</p>'),
+        ("# one\r\n#two\n####### seven", "<h1>one</h1><p>#two</p><p>####### seven</p>"),
+        ("", ""),
+    ],
+)
+def test_markdown_blocks(text, want):
+    made = corpus.markdown_to_html(text, "the title")
+    assert made.partition("<main>\n")[2].partition("\n</main>")[0].replace("\n", "") == want
+    assert f"<title>{'one' if text.startswith('# one') else 'the title'}</title>" in made and '<html lang="en">' in made
 
 
 def test_every_part_has_a_product_page(spark, tmp_path):
