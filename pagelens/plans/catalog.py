@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import grade
-from pagelens.operators import benchmark, blocks, evidence, inventory, normalize, reports
+from pagelens.operators import benchmark, blocks, evidence, inventory, normalize, reconcile, reports
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
 from pagelens.plans.runner import run_cases
@@ -512,6 +512,46 @@ def made_blocks(spark, sf_dir):
     return found.join(shown, ["page_id", "pos", "type"]).select("page_id", "type", "value", "rendered", "confidence", *meta)
 
 
+def disputed_pages(spark, sf_dir) -> DataFrame:
+    """Pages of suppliers on whose headings extractors agree (a third) or not; every tenth is blank."""
+    p, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    heads = F.element_at(F.array(F.lit("<h2>One</h2><h2>Two</h2><h2>Three</h2><h2>Four</h2><h2>Five</h2>"), F.lit("<h1>Only one</h1>"), F.lit("<h2></h2><h2></h2><h2></h2><h2></h2>")), (k % 3).cast("int") + 1)
+    text = F.concat(F.lit("<p>A text of "), F.col("s_name"), F.lit(" that is long enough to be one.</p><p>It goes on for another sentence, so that nothing is amiss.</p><p>The end.</p>"))
+    html = F.concat(F.lit("<!DOCTYPE html><title>t</title><main>"), heads, text, F.lit("</main>"))
+    return p.select(k.alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(k % 10 != 9, html).otherwise("").alias("html"))
+
+
+@query(
+    """SELECT s_suppkey AS page_id, h AS headings, t AS tree_headings, s AS structure_signals, abs(h - t) <= 2 AND abs(h - s) <= 2 AS consistent,
+        CASE WHEN abs(h - t) <= 2 AND abs(h - s) <= 2 THEN '' ELSE 'Heading count mismatch: extractor=' || h || ', hierarchy=' || t || ', semanticStructure=' || s END AS contradictions
+    FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN 0 ELSE [5, 1, 0][s_suppkey % 3 + 1] END::BIGINT AS h, CASE WHEN s_suppkey % 10 = 9 THEN 0 ELSE [5, 1, 4][s_suppkey % 3 + 1] END::BIGINT AS t, CASE WHEN s_suppkey % 10 = 9 THEN 0 ELSE 1 END::BIGINT AS s FROM supplier)"""
+)
+def made_consistency(spark, sf_dir):
+    """Counts of headings by several extractors on made pages, and what they contradict each other in."""
+    a = PageAudit(disputed_pages(spark, sf_dir))
+    rows = reconcile.consistency(a.signals, a.flags)
+    return rows.select("page_id", *(F.col(c).cast("long").alias(c) for c in ("headings", "tree_headings", "structure_signals")), "consistent", F.array_join("contradictions", ";").alias("contradictions"))
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 9 THEN ['parser_error', 'dom_corruption', 'malformed_dom', 'script_only_dom'] ELSE []::VARCHAR[] END AS own,
+        CASE s_suppkey % 5 WHEN 1 THEN ['rate_limited'] WHEN 3 THEN ['encoding_failure', 'fetch_failure'] ELSE []::VARCHAR[] END AS f,
+        CASE s_suppkey % 4 WHEN 0 THEN ['hydration_shell'] WHEN 1 THEN ['partial', 'rendering_failed'] ELSE []::VARCHAR[] END AS r FROM supplier)
+    SELECT k AS page_id, array_to_string(own || f || r, ',') AS flags, len(own || f || r) > 0 AS contaminated, (own || f || r)[1] AS type,
+        array_to_string(list_transform(list_filter(f, lambda x: x <> 'fetch_failure'), lambda x: 'fetcher:' || x || ':warning:false') || list_transform(r, lambda x: 'evidence_layer:' || x || CASE WHEN x = 'partial' THEN ':warning:false' ELSE ':critical:true' END) || CASE WHEN k % 5 = 0 THEN ['fetcher:cors_proxy_fallback:info:false'] ELSE []::VARCHAR[] END, ',') AS records,
+        CASE WHEN k % 4 = 0 THEN 'rendered' ELSE 'fetched' END AS source, CASE WHEN k % 5 = 3 THEN 'HTTP 500' WHEN k % 10 = 9 THEN 'Empty response from server' END AS error FROM p"""
+)
+def made_merge(spark, sf_dir):
+    """Flags of pages, their fetches and their renderings, put together with where each comes from."""
+    pages = disputed_pages(spark, sf_dir)
+    k, flags = F.col("page_id"), lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    fetches = pages.where(k % 5 != 4).select("page_id", F.when(k % 5 == 0, flags("cors_proxy_used")).when(k % 5 == 1, flags("rate_limited")).when(k % 5 == 3, flags("cors_block", "encoding_failure", "fetch_failure")).otherwise(flags()).alias("fetch_flags"), F.when(k % 5 == 0, "p1").alias("proxy"), F.when(k % 5 == 3, "HTTP 500").alias("fetch_error"))
+    renders = pages.where(k % 4 < 2).select("page_id", (k % 4 == 0).alias("rendered"), F.when(k % 4 == 0, flags("hydration_shell")).otherwise(flags("partial", "rendering_failed")).alias("render_flags"), F.lit(None).cast("string").alias("render_error"))
+    merged = reconcile.merge_evidence(PageAudit(pages).flags, fetches, renders)
+    record = lambda r: F.concat_ws(":", r["source"], r["type"], r["severity"], r["blocks"].cast("string"))
+    return merged.select("page_id", F.array_join("flags", ",").alias("flags"), "contaminated", "type", F.array_join(F.transform("records", record), ",").alias("records"), "source", "error")
+
+
 def supplier_cases(spark, sf_dir) -> DataFrame:
     p = supplier_pages(spark, sf_dir)
     return p.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("kind_"), (F.col("page_id") % 4).cast("string")).alias("category"), "url", F.when(F.col("page_id") % 11 != 5, F.col("html")).alias("snapshot_html"))
