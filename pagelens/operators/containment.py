@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,7 +42,9 @@ def _pass(nodes: DataFrame, outer: Column, inner: Column, payload: Column | None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return rows.repartition("page_id").sortWithinPartitions("page_id", "pre").mapInArrow(run, schema)
+    # a rank within pages puts each page's nodes together and in order, and moves nothing where they lie so already
+    ordered = rows.withColumn("nth", F.row_number().over(W.partitionBy("page_id").orderBy("pre")))
+    return ordered.mapInArrow(run, schema)
 
 
 def pairs(nodes: DataFrame, outer: Column, inner: Column) -> DataFrame:

@@ -47,7 +47,7 @@ def matches(css: str) -> Column:
         elif mark == "#":
             tests.append(F.col("attrs")["id"] == name)
         elif mark == ".":
-            tests.append(class_has(F.col("attrs"), name))
+            tests.append(class_has(name))
         elif test == "=":
             tests.append(F.col("attrs")[attribute] == value)
         else:
@@ -67,8 +67,8 @@ def has_any(col: Column, marks: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def class_has(col: Column, name: str) -> Column:
-    return F.coalesce(F.array_contains(F.split(F.trim(col["class"]), r"\s+"), name), F.lit(False))
+def class_has(name: str) -> Column:
+    return F.array_contains("classes", name)
 
 
 def joined_text(keep: Column) -> Column:

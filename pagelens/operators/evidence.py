@@ -411,11 +411,10 @@ def absence(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return signal(missing, "absence", F.concat(F.lit("missing_"), "name"), F.col("name"), 0.95, severity=F.col("severity"))
 
 
-def extract_all(pages: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """All sections' signals."""
-    h, p, li, t, a = headings(nodes), paragraphs(nodes), lists(nodes), tables(nodes), links(nodes, pages)
-    parts = [metadata(nodes), h, p, li, t, a, accessibility(nodes), structured_data(nodes), hierarchy(nodes), semantic_html(nodes), semantic_structure(nodes), entities(texts), domain_profile(nodes, texts), structured_content(nodes), redundancy(nodes, texts), anchor_text(a, nodes), absence(nodes, pages), poor_content(nodes, texts)]
-    return reduce(DataFrame.unionByName, parts)
+def extractors(pages: DataFrame, nodes: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """All sections' signals, a table for each extractor."""
+    a = links(nodes, pages)
+    return [metadata(nodes), headings(nodes), paragraphs(nodes), lists(nodes), tables(nodes), a, accessibility(nodes), structured_data(nodes), hierarchy(nodes), semantic_html(nodes), semantic_structure(nodes), entities(texts), domain_profile(nodes, texts), structured_content(nodes), redundancy(nodes, texts), anchor_text(a, nodes), absence(nodes, pages), poor_content(nodes, texts)]
 
 
 def summary(signals: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def selectors(nodes: DataFrame) -> DataFrame:
     element = nodes.where("kind = 'element'")
     same = W.partitionBy("page_id", "parent", "tag")
     rows = element.withColumn("nth", F.row_number().over(same.orderBy("pre"))).withColumn("alike", F.count("*").over(same))
-    classes = F.slice(F.filter(F.split(F.coalesce(F.trim(F.col("attrs")["class"]), F.lit("")), r"\s+"), lambda c: c != ""), 1, 2)
+    classes = F.slice("classes", 1, 2)
     id_ = F.col("attrs")["id"]
     step = F.concat(F.col("tag"), F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), ""), F.when(F.col("alike") > 1, F.concat(F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")"))).otherwise(""))
     rows = rows.select("page_id", "pre", "last", F.when(id_ != "", F.concat(F.lit("#"), id_)).alias("by_id"), step.alias("step"))
@@ -83,7 +83,7 @@ def builder_inventory(nodes: DataFrame) -> DataFrame:
     classes = F.coalesce(attrs["class"], F.lit(""))
     element = F.col("kind") == "element"
     n = lambda test, name: F.sum(F.when(element & test, 1).otherwise(0)).alias(name)
-    inner = F.contains(classes, F.lit("elementor-inner-section")) | dom.class_has(attrs, "e-con-inner")
+    inner = F.contains(classes, F.lit("elementor-inner-section")) | dom.class_has("e-con-inner")
     kind = F.regexp_extract(classes, r"elementor-widget-([\w-]+)", 1)
     script = F.array_contains("within", "script") & dom.has_any(F.col("text"), BUILDER_SCRIPTS) | (F.col("tag") == "script") & dom.has_any(attrs["src"], BUILDER_SCRIPTS)
     style = F.array_contains("within", "style") & F.contains("text", F.lit(".elementor-"))

@@ -10,24 +10,32 @@ from pyspark.sql import functions as F
 from pagelens.functions import text as T
 from pagelens.operators import dom, evidence, metrics, normalize, reports, scoring
 from pagelens.operators.entities import dedup_entities, extract_entities
-from pagelens.plans.scratch import materialize
+from pagelens.plans.scratch import by_page, written_apart
 from pagelens.sources.html import parse_dom
 
 
 class PageAudit:
-    """Lazy tables of one set of pages (page_id, url, html); what several others read is written once."""
+    """Lazy tables of one set of pages (page_id, url, html); what several others read is written once, in buckets by page.
+
+    Pages and their nodes are dealt out by page once. All later tables lie as those do, so that nothing that is counted,
+    ranked or joined within pages moves rows again; only containment joins' few rows do.
+    """
 
     def __init__(self, pages: DataFrame, weights: dict[str, float] | None = None):
-        self.pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+        self.given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
         self.weights = weights
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        return by_page(self.given, "pages", deal=True)
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return materialize(parse_dom(self.pages), "nodes")
+        return by_page(parse_dom(self.given), "nodes", deal=True)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return materialize(dom.page_flags(self.nodes, self.pages), "flags")
+        return by_page(dom.page_flags(self.nodes, self.pages), "flags")
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -35,21 +43,22 @@ class PageAudit:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return materialize(evidence.extract_all(self.pages, self.nodes, self.texts), "signals")
+        return written_apart(evidence.extractors(self.pages, self.nodes, self.texts), "signals")
 
     @cached_property
     def kept(self) -> DataFrame:
-        return materialize(normalize.normalize_signals(self.signals), "kept")
+        dealt = self.signals.repartition(int(self.signals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+        return by_page(normalize.normalize_signals(dealt), "kept")
 
     @cached_property
     def stats(self) -> DataFrame:
         extract = evidence.extractability(self.nodes, self.flags, self.pages)
-        return materialize(normalize.page_stats(self.kept, self.flags, extract), "stats")
+        return by_page(normalize.page_stats(self.kept, self.flags, extract), "stats")
 
     @cached_property
     def metric_rows(self) -> DataFrame:
         """Blocked pages have no metrics."""
-        return materialize(metrics.metric_rows(self.stats.where("not blocked"), metrics.text_metrics() + metrics.page_metrics()), "metrics")
+        return by_page(metrics.metric_rows(self.stats.where("not blocked"), metrics.text_metrics() + metrics.page_metrics()), "metrics")
 
     @cached_property
     def scores(self) -> DataFrame:

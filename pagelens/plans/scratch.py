@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +26,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_page(df: DataFrame, name: str, deal: bool = False) -> DataFrame:
+    """df, written in buckets by page_id: what is grouped, ranked or joined by page from it needs no exchange.
+
+    deal: df is dealt out by page first, as a table must be that does not lie so yet. The table's name is forgotten at
+    once, and its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, "page_id") if deal else df
+    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, "page_id").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved now, so that nothing asks for the name again
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def written_apart(parts: list[DataFrame], name: str, at_once: int = 6) -> DataFrame:
+    """Tables of one schema, written by a job each, some at a time, and read as one.
+
+    A union of many plans is one stage whose every task carries all of them; apart, a task carries its own.
+    """
+    spark, base = parts[0].sparkSession, f"{shared_dir(parts[0].sparkSession)}/{name}-{uuid.uuid4().hex}"
+    schema = parts[0].schema
+    write = inheritable_thread_target(spark)(lambda i: parts[i].select(schema.names).write.option("compression", "zstd").parquet(f"{base}/{i}"))
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(write, range(len(parts))))
+    return spark.read.schema(schema).parquet(*(f"{base}/{i}" for i in range(len(parts))))

@@ -25,9 +25,9 @@ UNSHOWN = frozenset(("script", "style", "template"))
 _BLANKS = re.compile(f"{SPACE}+")
 _SPACES = np.array(sorted({ord(c) for c in map(chr, range(0x10000)) if _BLANKS.fullmatch(c)}), np.uint32)
 
-NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, parent_tag string, within array<string>, content string, chars int"
+NODE = "pre int, last int, parent int, depth int, sib int, kind string, tag string, text string, attrs map<string,string>, classes array<string>, parent_tag string, within array<string>, content string, chars int"
 NAMES = [c.split()[0] for c in NODE.split(", ")]
-_TYPES = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
+_TYPES = [pa.int32()] * 5 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
 
 
 class _Shown:
@@ -60,7 +60,7 @@ class _Shown:
 
 def columns_of(root: Element) -> list[list]:
     """The columns of NODE for a tree, in document order; work and size are in proportion to its nodes and text."""
-    pre, last, parent, depth, sib, kind, tags, texts, attrs, parent_tag, within = cols = [[] for _ in range(11)]
+    pre, last, parent, depth, sib, kind, tags, texts, attrs, classes, parent_tag, within = cols = [[] for _ in range(12)]
     spans, parts, length = [], [], 0
     withins: dict[tuple, tuple] = {}
     stack = [(root, None, 0, 1, None, (), True)]
@@ -84,6 +84,7 @@ def columns_of(root: Element) -> list[list]:
             tags.append(None)
             texts.append(text)
             attrs.append(())
+            classes.append(())
             spans.append(None)
             if shown:
                 parts.append(text)
@@ -93,6 +94,7 @@ def columns_of(root: Element) -> list[list]:
         tags.append(node.tag)
         texts.append(None)
         attrs.append(list(node.attrs.items()))
+        classes.append(node.attrs["class"].split() if "class" in node.attrs else ())
         spans.append((length, length))
         stack.append((None, at, 0, 0, None, (), True))
         if node.tag in INSIDE and node.tag not in inside:
@@ -149,7 +151,7 @@ def parse_dom(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found, problem = guarded(html.as_py())
                 if problem:
-                    found = [[{"pre": 0, "last": 0, "depth": 0, "sib": 0, "kind": "error", "text": problem, "attrs": (), "within": ()}.get(n)] for n in NAMES]
+                    found = [[{"pre": 0, "last": 0, "depth": 0, "sib": 0, "kind": "error", "text": problem, "attrs": (), "classes": (), "within": ()}.get(n)] for n in NAMES]
                 ids += [page_id] * len(found[0])
                 for column, more in zip(rows, found, strict=True):
                     column += more
