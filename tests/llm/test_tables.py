@@ -122,7 +122,7 @@ def test_registry():
     import corpus_pipeline
 
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(e.oracle_sql()) <= names and len(corpus_pipeline.STAGES) == 5
 
 
