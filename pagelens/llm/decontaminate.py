@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, grams, id_and_text, map_rows, map_texts, materialize, mix64, words_of
 
+#: Bytes of item text that go out together.
+BLOCK_BYTES = 64 << 20
+
 
 def _signatures(values: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """Minima of every hash function over blocks of `size` values: (functions, blocks)."""
@@ -73,22 +76,40 @@ def _index(items: list[tuple[int, np.ndarray]], seeds: np.ndarray) -> list[Class
     return [Class(size, members, [items[m][1] for m in members], seeds) for size, members in sorted(classes.items())]
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000) -> DataFrame:
+def _inverted(items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All items' values in ascending order, and the item that each is of."""
+    values, owners = np.concatenate([v for _, v in items]), np.repeat(np.arange(len(items)), [len(v) for _, v in items])
+    order = np.argsort(values, kind="stable")
+    return values[order], owners[order]
+
+
+def _overlaps(own: np.ndarray, values: np.ndarray, owners: np.ndarray) -> list[tuple[int, int]]:
+    """(item, common values) of the items that share a value with own, distinct values."""
+    left = np.searchsorted(values, own, "left")
+    n = np.searchsorted(values, own, "right") - left
+    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    items, common = np.unique(owners[at], return_counts=True)
+    return list(zip(items.tolist(), common.tolist(), strict=True))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000, exact: bool = False) -> DataFrame:
     """Items of which a document holds at least threshold of the distinct shingles.
 
     Returns (doc_id, item_id, item_shingles, found, containment), one row per document row and item row. At the
     threshold a window has a Jaccard similarity of at least 1/6 with its item, so 48 rows miss it with odds of 2 in
-    10,000; the whole passage (similarity 1/4 and more) with 1 in 1,000,000.
+    10,000; the whole passage (similarity 1/4 and more) with 1 in 1,000,000. With exact, every document's shingles are
+    looked up in an inverted list of the items' instead, and nothing is missed.
 
     Items of fewer words than shingle_words are looked for as one run of all their words. Items that are null or have
     no words are never found, documents without words hold none. A repeated item or document gives rows of its own.
     Null ids are kept as null. Empty tables give no rows. Other columns are ignored. Items are read to the driver in
-    blocks of `block` rows, numbered by item hash, so that what a task holds is bounded.
+    blocks of at most about `block` rows and BLOCK_BYTES of text, numbered by item hash, so that what a task holds is
+    bounded by these and the longest item.
     """
     rows = id_and_text(docs, id_col, text_col)
     found = []
     for part in _blocks(items, item_id, item_text, block):
-        hits = _search(rows.sparkSession, part, threshold, shingle_words, functions)
+        hits = _search(rows.sparkSession, part, threshold, shingle_words, functions, exact)
 
         def make(hits=hits):
             search = hits()
@@ -103,14 +124,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     return reduce(DataFrame.union, found)
 
 
-def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.75, shingle_words: int = 5, functions: int = 48, block: int = 50_000, exact: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds none of the items (see contained_items).
 
     Each row is judged by its own text, in one pass for each block of items and without a join, whether its id is null
     or repeated. Null and empty texts stay; without items all rows stay; an empty table gives no rows.
     """
     for part in _blocks(items, item_id, item_text, block):
-        hits = _search(docs.sparkSession, part, threshold, shingle_words, functions)
+        hits = _search(docs.sparkSession, part, threshold, shingle_words, functions, exact)
 
         def make(hits=hits):
             search = hits()
@@ -127,16 +148,17 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, block: int) -> list[DataFrame]:
-    """Items (item_id, text) in parts of about `block` rows."""
+    """Items (item_id, text) in parts of about `block` rows and BLOCK_BYTES."""
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
-    blocks = max(1, -(-wanted.count() // block))
+    rows, size = wanted.agg(F.count("*"), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-rows // block), -(-(size or 0) // BLOCK_BYTES))
     if blocks == 1:
         return [wanted]
     numbered = materialize(wanted.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     return [numbered.where(F.col("part") == i).select("item_id", "text") for i in range(blocks)]
 
 
-def _search(spark: SparkSession, items: DataFrame, threshold: float, shingle_words: int, functions: int):
+def _search(spark: SparkSession, items: DataFrame, threshold: float, shingle_words: int, functions: int, exact: bool):
     """A function that a task calls once for a search: texts to (text's place, item_id, item_shingles, found, containment)."""
     hashes = WordHashes()
     seeds = mix64(np.arange(1, functions + 1, dtype=np.uint64)) | np.uint64(1)
@@ -146,7 +168,7 @@ def _search(spark: SparkSession, items: DataFrame, threshold: float, shingle_wor
         if words:
             length = min(shingle_words, len(words))
             by_length.setdefault(length, []).append((item, np.unique(grams(hashes.of(words), length))))
-    shared = spark.sparkContext.broadcast([(n, its, _index(its, seeds)) for n, its in sorted(by_length.items())])
+    shared = spark.sparkContext.broadcast([(n, its, _inverted(its) if exact else _index(its, seeds)) for n, its in sorted(by_length.items())])
 
     def make():
         known = WordHashes()
@@ -171,6 +193,13 @@ def _search(spark: SparkSession, items: DataFrame, threshold: float, shingle_wor
                 stream = np.concatenate(values)
                 if not len(stream):
                     continue
+                if exact:
+                    for doc, own in enumerate(values):
+                        for hit, common in _overlaps(np.unique(own), *classes):
+                            item, size = its[hit][0], len(its[hit][1])
+                            if common >= threshold * size:
+                                out.append((doc, item, size, common, common / size))
+                    continue
                 whole: dict[int, np.ndarray] = {}
                 for doc, hit in sorted(candidates(stream, np.cumsum([*map(len, values)]), classes)):
                     if doc not in whole:

@@ -105,6 +105,7 @@ def test_contained_items(spark, corpus):
     items = [(1, " ".join(long[100:140])), (2, " ".join(long[2000:2009])), (3, "one TWO"), (4, None), (5, "  "), (6, " ".join(long[50:90] + ["new"] * 5)), (7, "nowhere to be found at all"), (1, " ".join(long[100:140]))]
     table = spark.createDataFrame([(i, t, 0, 1.0) for i, t in items], "item_id long, text string, found int, containment double")
     got = Counter(tuple(r) for r in decontaminate.contained_items(corpus, table).collect())
+    assert got == Counter(tuple(r) for r in decontaminate.contained_items(corpus, table, exact=True).collect())
     want = Counter()
     for d, t in docs:
         w = words_of(t.encode() if t is not None else None)
@@ -118,6 +119,24 @@ def test_contained_items(spark, corpus):
     assert got == want and len(want) > 5
 
 
+def test_exact_search_at_the_threshold(spark):
+    """Passages that share just three of four shingles with items of every size are all found; those that share less are not."""
+    rnd = random.Random(12)
+    items, docs, want = [], [], set()
+    for i in range(120):
+        words = [f"i{i}w{j}" for j in range(rnd.randrange(8, 200))]
+        n = len(words) - 4
+        need = -(-3 * n // 4)
+        items.append((i, " ".join(words)))
+        for k, there in enumerate((need, need - 1)):
+            docs.append((10 * i + k, " ".join([f"d{i}"] * 30 + words[: there + 4] + [f"e{i}"] * 30)))
+        want.add((10 * i, i, n, need))
+    found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), exact=True, block=50)
+    assert {tuple(r)[:4] for r in found.collect()} == want
+    left = decontaminate.without_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), exact=True)
+    assert {r.doc_id for r in left.collect()} == {10 * i + 1 for i in range(120)}
+
+
 def test_decontamination_in_blocks(spark, corpus):
     long = corpus.where("doc_id = 98").first().text.split()
     table = spark.createDataFrame([(i, " ".join(long[30 * i : 30 * i + 20])) for i in range(40)], "item_id long, text string")
