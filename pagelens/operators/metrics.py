@@ -251,8 +251,9 @@ def penalty(metric: Metric) -> Column:
 
 
 def evaluate(metric: Metric, contaminated: bool = True) -> Column:
-    """The metric as a struct: metric, score, confidence, parts; nulls where evidence is missing."""
-    score = clamp_score(sum((clamp_score(v) * w for v, w in metric.parts.values()), F.lit(0.0)))
+    """The metric as a struct: metric, score, confidence, parts; nulls where evidence is missing. Its parts are columns."""
+    part = {k: F.col(f"`{metric.name}:{k}`") for k in metric.parts}
+    score = clamp_score(sum((part[k] * w for k, (_, w) in metric.parts.items()), F.lit(0.0)))
     confidence = F.lit(metric.confidence)
     for times, loss in metric.losses:
         confidence = confidence - times * loss
@@ -262,13 +263,14 @@ def evaluate(metric: Metric, contaminated: bool = True) -> Column:
     if contaminated:
         score = score * penalty(metric)
         confidence = F.when(c("contamination_type").isNotNull(), confidence * 0.6).otherwise(confidence)
-    parts = F.create_map(*(x for k, (v, _) in metric.parts.items() for x in (F.lit(k), clamp_score(v).cast("double"))))
+    parts = F.create_map(*(x for k, v in part.items() for x in (F.lit(k), v.cast("double"))))
     has = ~metric.missing
     return F.struct(F.lit(metric.name).alias("metric"), F.when(has, clamp_score(score)).alias("score"), F.when(has, clamp_confidence(confidence)).alias("confidence"), F.when(has, parts).alias("parts"))
 
 
 def metric_rows(stats: DataFrame, metrics: list[Metric], id_col: str = "page_id", contaminated: bool = True) -> DataFrame:
-    """(id, metric, score, confidence, parts): a row for each metric."""
+    """(id, metric, score, confidence, parts): a row for each metric. Parts are columns first, so that each is worked out once."""
+    parts = {f"{m.name}:{k}": clamp_score(v) for m in metrics for k, (v, _) in m.parts.items()}
     each = F.array(*(evaluate(m, contaminated) for m in metrics))
     keep = [x for x in ("contamination_type",) if contaminated]
-    return stats.select(id_col, *keep, F.inline(each))
+    return stats.withColumns(parts).select(id_col, *keep, F.inline(each))
