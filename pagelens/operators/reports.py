@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions.score import ratio
+from pagelens.operators.diagnostics import versions
 from pagelens.operators.metrics import WEIGHTS
 
 # The recommendations by name: category, priority, message.
@@ -110,11 +111,35 @@ def weaknesses(stats: DataFrame, metric_rows: DataFrame, under: float = 60.0) ->
 
 
 def summary_report(scores: DataFrame, recs: DataFrame, weak: DataFrame, n: int = 5) -> DataFrame:
-    """One JSON document per page: score, grade, distinct weaknesses, top recommendations."""
+    """One JSON document per page: versions, score, grade, distinct weaknesses in metric order, top recommendations.
+
+    A blocked page has the reason as its only weakness, and neither it nor one without evidence has recommendations.
+    """
+    places = F.create_map(*(F.lit(x) for i, m in enumerate(WEIGHTS) for x in (m, i)))
     top = top_recommendations(recs, n).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "priority", "message"))).alias("recommendations"))
-    parts = weak.groupBy("page_id").agg(F.array_sort(F.collect_set(F.concat_ws(".", "metric", "part"))).alias("weaknesses"))
+    ordered = F.array_sort(F.collect_set(F.struct(places[F.col("metric")].alias("place"), F.concat_ws(".", "metric", "part").alias("text"))))
+    parts = weak.groupBy("page_id").agg(F.transform(ordered, lambda x: x["text"]).alias("found"))
     rows = scores.join(top, "page_id", "left").join(parts, "page_id", "left")
-    return rows.select("page_id", F.to_json(F.struct("page_id", "final_score", "confidence", "status", "grade", "weaknesses", "recommendations")).alias("report"))
+    unscored = F.col("status").isin("blocked", "insufficient_evidence")
+    reason = F.array(F.concat(F.lit("Scoring blocked: "), F.coalesce("contamination_type", F.lit("contamination detected"))))
+    rows = rows.withColumn("weaknesses", F.when(unscored, reason).otherwise(F.coalesce("found", F.array().cast("array<string>")))).withColumn("recommendations", F.when(~unscored, F.col("recommendations")))
+    return rows.select("page_id", F.to_json(F.struct(versions().alias("version"), "page_id", "final_score", "confidence", "status", "grade", "weaknesses", "recommendations")).alias("report"))
+
+
+def developer_report(scores: DataFrame, metric_rows: DataFrame, diagnostics: DataFrame, warnings: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One JSON document per page for those who build on it: versions, signals by section before and after normalising, score, metrics, diagnostics.
+
+    before and after are signals; diagnostics and warnings are those of scoring_diagnostics and report_diagnostics.
+    """
+    counts = lambda rows, name: rows.groupBy("page_id", "section").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "n")))).alias(name))
+    places = F.create_map(*(F.lit(x) for i, m in enumerate(WEIGHTS) for x in (m, i)))
+    metrics = metric_rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(places[F.col("metric")].alias("place"), "metric", "score", "confidence"))).alias("metrics"))
+    rows = scores.withColumnRenamed("metrics", "metric_count")
+    for part in (metrics, diagnostics, warnings, counts(before, "evidence"), counts(after, "normalized")):
+        rows = rows.join(part, "page_id", "left")
+    score = F.struct("final_score", "weighted_score", "confidence", "status", "grade", "contamination_type", "metrics")
+    said = F.struct("missing", "absence", F.col("warnings").alias("pipeline_warnings"), "skipped", "skip_reason")
+    return rows.select("page_id", F.to_json(F.struct(versions().alias("version"), "page_id", "evidence", "normalized", score.alias("score"), said.alias("diagnostics"))).alias("report"))
 
 
 def absence_lists(signals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
-from pagelens.operators import dom, evidence, metrics, normalize, reports, scoring
+from pagelens.operators import diagnostics, dom, evidence, metrics, normalize, reports, scoring
 from pagelens.operators.entities import dedup_entities, extract_entities
 from pagelens.plans.scratch import by_page, written_apart
 from pagelens.sources.html import parse_dom
@@ -68,6 +68,16 @@ class PageAudit:
     def recommendations(self) -> DataFrame:
         return reports.recommendations(self.stats, self.metric_rows)
 
+    @cached_property
+    def all_reports(self) -> DataFrame:
+        """(page_id, full, developer, summary): the three reports of each page."""
+        found = diagnostics.scoring_diagnostics(self.stats, self.metric_rows)
+        said = diagnostics.report_diagnostics(self.scores, found)
+        developer = reports.developer_report(self.scores, self.metric_rows, found, said, self.signals, self.kept)
+        summary = reports.summary_report(self.scores, self.recommendations, reports.weaknesses(self.stats, self.metric_rows))
+        named = [self.reports.withColumnRenamed("report", "full"), developer.withColumnRenamed("report", "developer"), summary.withColumnRenamed("report", "summary")]
+        return named[0].join(named[1], "page_id").join(named[2], "page_id")
+
     @cached_property
     def reports(self) -> DataFrame:
         return reports.full_report(self.scores, self.metric_rows, self.recommendations)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import text as T
 from pagelens.functions.score import grade
-from pagelens.operators import benchmark, blocks, evidence, inventory, normalize, reconcile, reports
+from pagelens.operators import benchmark, blocks, diagnostics, evidence, inventory, normalize, reconcile, reports
 from pagelens.operators.metrics import WEIGHTS
 from pagelens.plans.audit import PageAudit, text_entities, text_metrics, text_stats
 from pagelens.plans.runner import run_cases
@@ -574,6 +574,32 @@ def case_regression(spark, sf_dir):
     return drifts.groupBy("case_id").agg(F.max((F.col("type") == "score") & (F.col("delta") < 0)).alias("lower_score"))
 
 
+_SCORED = """s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'insufficient_evidence' WHEN 2 THEN 'scored_absence_evidence' ELSE 'scored' END AS status,
+    CASE WHEN doc_id % 4 = 0 THEN 'hydration_shell' WHEN doc_id % 5 = 0 THEN 'shadow_dom' END AS kind, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 12 ELSE n_chars % 3 END AS lacking FROM documents)"""
+
+
+@query(
+    f"""WITH {_SCORED} SELECT doc_id AS page_id, array_to_string(list_filter([
+        CASE WHEN status = 'blocked' THEN 'Scoring BLOCKED due to contamination: ' || kind || '. All metric calculators were skipped. finalScore=null, confidence=null.' END,
+        CASE WHEN status = 'insufficient_evidence' THEN 'Pipeline result: insufficient evidence — final score is null' END,
+        CASE WHEN status = 'scored_absence_evidence' THEN 'Pipeline result: absence evidence dominance — final score set to 0' END,
+        CASE WHEN kind IS NOT NULL AND status LIKE 'scored%' THEN 'Pipeline warning: contamination (' || kind || ') affected scoring confidence' END,
+        CASE WHEN lacking > 0 THEN 'Pipeline warning: ' || lacking || ' metric(s) had insufficient evidence' END], lambda x: x IS NOT NULL), '; ') AS warnings,
+        status = 'blocked' AS skipped, CASE WHEN status = 'blocked' THEN 'Scoring blocked due to contamination: hydration_shell' END AS skip_reason, lacking::BIGINT AS missing FROM s"""
+)
+def score_diagnostics(spark, sf_dir):
+    """Warnings of the pipeline about results of every status, with metrics that have no evidence."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    status = F.element_at(F.array(*map(F.lit, ("blocked", "insufficient_evidence", "scored_absence_evidence", "scored"))), (i % 4).cast("int") + 1)
+    lacking = F.when(i % 4 == 0, 0).when(i % 4 == 1, 12).otherwise(F.col("n_chars") % 3)
+    rows = d.select(i.alias("page_id"), status.alias("status"), F.when(i % 4 == 0, "hydration_shell").when(i % 5 == 0, "shadow_dom").alias("contamination_type"), F.array(F.lit("h1")).alias("absent"), lacking.alias("lacking"))
+    named = rows.where("status <> 'blocked'").select("page_id", "lacking", F.posexplode(F.array(*map(F.lit, WEIGHTS))).alias("place", "metric"))
+    metric_rows = named.select("page_id", "metric", F.when(F.col("place") >= F.col("lacking"), 50.0).alias("score"))
+    found = diagnostics.scoring_diagnostics(rows, metric_rows)
+    said = diagnostics.report_diagnostics(rows, found).join(found, "page_id")
+    return said.select("page_id", F.array_join("warnings", "; ").alias("warnings"), "skipped", "skip_reason", F.size("missing").cast("long").alias("missing"))
+
+
 # ---- corpora, baselines and drift ----------------------------------------------------------------------------
 
 
