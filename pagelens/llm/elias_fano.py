@@ -64,11 +64,16 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of the first value not under x (size, if none), for sorted or unsorted x: a successor search."""
+        return self.search(x)[0]
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As find, and whether the value at the place is x."""
         bucket = x >> self.low_bits
         most = int(self.zeros[-1]) + 64 - int(_ONES[self.high[-8:]].sum())
         begin = np.where(bucket > 0, self._select(np.clip(bucket - 1, 0, most - 1), self.zeros, 255) - bucket + 1, 0)
         end = np.where(bucket < most, self._select(np.clip(bucket, 0, most - 1), self.zeros, 255) - bucket, self.size)
         begin, end = np.where(bucket > most, self.size, begin), np.where(bucket >= most, self.size, end)
+        last = end.copy()
         low = x & ((1 << self.low_bits) - 1)
         active = np.flatnonzero(begin < end)
         while len(active):  # halves each bucket's range
@@ -77,7 +82,10 @@ class EliasFano:
             begin[active] = np.where(under, middle + 1, begin[active])
             end[active] = np.where(under, end[active], middle)
             active = active[begin[active] < end[active]]
-        return begin
+        there = np.flatnonzero(begin < last)  # a value of the same high bits
+        found = np.zeros(len(x), bool)
+        found[there] = self.low_of(begin[there]) == low[there]
+        return begin, found
 
 
 class Trie:
@@ -110,13 +118,16 @@ class Trie:
         """Places of the pairs, in any order, and whether they are there (0 and False for others)."""
         if not self.successors.size or not len(contexts):
             return np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
-        context, which = np.unique(contexts, return_inverse=True)
+        new = np.diff(contexts, prepend=-1) != 0
+        if (np.diff(contexts) >= 0).all():
+            context, which = contexts[new], np.cumsum(new) - 1
+        else:
+            context, which = np.unique(contexts, return_inverse=True)
         place = np.minimum(self.contexts.find(context), self.contexts.size - 1)
         known = (self.contexts[place] == context)[which] & (successors < 1 << self.bits)
         begin, end = self.pointers[place], self.pointers[place + 1]
         target = (place[which] << self.bits) | np.where(known, successors, 0)
-        at = self.successors.find(target)
+        at, same = self.successors.search(target)
         inside = known & (at >= begin[which]) & (at < end[which])
-        at = np.where(inside, at, 0)
-        there = inside & (self.successors[at] == target)
+        there = inside & same
         return np.where(there, at, 0), there

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -129,6 +130,15 @@ def tokenize(rows: DataFrame, folder: str, batch_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "batch long, tokens long, learned long")
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and each value's place among them; sorts those alone."""
+    codes, found = pd.factorize(values)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[codes]
+
+
 class Batch:
     """A batch's file: its documents, token places in the dictionary, and distinct n-grams with how often each was learned."""
 
@@ -147,7 +157,7 @@ class Batch:
         """first, second: places of every distinct pair's words; pair: every token's; pair_counts."""
         before = np.roll(self.places, 1)
         before[self.starts] = self.start
-        found, self.pair = np.unique(before * len(self.words) + self.places, return_inverse=True)
+        found, self.pair = distinct(before * len(self.words) + self.places)
         self.first, self.second = np.divmod(found, len(self.words))
         self.pair_counts = np.bincount(self.pair[self.learned], minlength=len(found))
 
@@ -156,7 +166,9 @@ class Batch:
         inner = np.ones(len(self.places), bool)
         inner[self.starts] = False
         inner = np.flatnonzero(inner)
-        found, at, which = np.unique(self.pair[inner - 1] * len(self.words) + self.places[inner], return_index=True, return_inverse=True)
+        found, which = distinct(self.pair[inner - 1] * len(self.words) + self.places[inner])
+        at = np.empty(len(found), np.int64)
+        at[which] = np.arange(len(which))  # any occurrence tells a triple's pairs
         self.head, self.tail = self.pair[inner[at] - 1], self.pair[inner[at]]
         self.triple = np.full(len(self.places), -1)
         self.triple[inner] = which
@@ -252,7 +264,7 @@ def _count_words(asked: pa.Table, shards: int) -> pa.Table:
     shard = asked["shard"][0].as_py()
     sent = [unpack(d.as_py()) for d in asked["data"]]
     keys = [np.cumsum(k[0]) if len(k[0]) else k[0].astype(np.uint64) for k in sent]
-    found, which = np.unique(np.concatenate(keys), return_inverse=True)
+    found, which = distinct(np.concatenate(keys))
     counts = np.bincount(which, weights=np.concatenate([k[1] for k in sent]), minlength=len(found)).astype(np.int64)
     ids = np.empty(len(found), np.int64)
     ids[np.argsort(-counts, kind="stable")] = np.arange(len(found)) * shards + shard
@@ -345,12 +357,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         own = closed[b.head] | closed[b.tail]
         context, low = n[b.head], codes[b.tail]
         f = mass(context, beta)
-        exact, known = quantise(f * probability(low) / (context + f)), np.zeros(len(own), bool)
-        exact[own], _, known[own] = own_level(b.head[own], b.second[b.tail[own]], context[own], b.triple_counts[own], low[own], beta)
+        exact = quantise(f * probability(low) / (context + f))
+        exact[own], _, _ = own_level(b.head[own], b.second[b.tail[own]], context[own], b.triple_counts[own], low[own], beta)
         send = np.flatnonzero(~own)
         out, order = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
         _, cuts = asking_order(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
-        put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]], known.view(np.uint8), hit[b.pair[b.starts]].view(np.uint8)))
+        put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]], hit[b.pair[b.starts]].view(np.uint8)))
         return pa.Table.from_batches([_rows(out)])
 
     def finish(answers: pa.Table) -> pa.Table:
@@ -359,8 +371,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         b.pairs()
         b.triples()
         counts = unpack(get_file(f"{folder}/words-{number}"))[0].astype(np.int64)
-        send, sizes, codes, heads, known, hit = unpack(get_file(f"{folder}/triples-{number}"))
-        codes, send, known = codes.astype(np.int64), send.astype(np.int64), known.astype(np.int64)
+        send, sizes, codes, heads, hit = unpack(get_file(f"{folder}/triples-{number}"))
+        codes, send, known = codes.astype(np.int64), send.astype(np.int64), (b.triple_counts > 0).astype(np.int64)
+        known[send] = 0  # those that the batch did not send it has found itself, if they were learned
         for _, at, (found,) in in_order(answers, np.cumsum(np.append(0, sizes))):
             there = found != NONE
             codes[send[at][there]], known[send[at][there]] = found[there], 1
