@@ -88,3 +88,18 @@ def test_entities(spark):
     got = {(r.type, r.value) for r in text_entities(rows).collect()}
     assert {("email", "joe@x.org"), ("date", "2024-01-02"), ("money", "$20"), ("person", "Ann Lee"), ("location", "Paris"), ("url", "https://a.io/p")} <= got
     assert sum(k == "email" for k, _ in got) == 1
+
+
+def test_texts_are_normalised_and_searched_once(spark):
+    from pagelens.plans.catalog import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("text_tokens").count("(?=[A-Za-z])") == 1  # for sentences and words
+    assert plan("text_frequent_words").count("regexp_extract_all") == 1  # no filter on the number of words under the explode
+
+
+def test_normalising_takes_rare_and_plain_texts_alike(spark):
+    texts = ["a  b \n\t c", "a \x00 ,b", "wait !\x00! now??yes", "‘a’  ,  “b”", "a . , b ;c", "''x``", "a　 b　", "CafÃ© ,x", "  a  ", "!! ??", "x\xa0\xa0y .z"]
+    wanted = ["a b c", "a, b", "wait! now? yes", "'a', \"b\"", "a., b; c", '"x"', "a b", "Café, x", "a", "!?", "x y. z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.normalize_text(F.col("text")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == wanted
