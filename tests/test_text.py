@@ -103,3 +103,14 @@ def test_normalising_takes_rare_and_plain_texts_alike(spark):
     wanted = ["a b c", "a, b", "wait! now? yes", "'a', \"b\"", "a., b; c", '"x"', "a b", "Café, x", "a", "!?", "x y. z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.normalize_text(F.col("text")).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == wanted
+
+
+def test_dropping_empty_keys_normalises_nothing(spark):
+    from pagelens.operators.normalize import normalize_signals
+
+    chars = [chr(i) for i in range(0x3100) if i % 97 == 0 or i < 0x180 or 0x2000 <= i < 0x2150]
+    made = spark.createDataFrame([(c,) for c in chars], "c string")
+    assert made.where(T.has_key(F.col("c")) != (T.comparison_key(F.col("c")) != "")).count() == 0
+    signals = spark.createDataFrame([], "page_id long, section string, pos int, type string, value string, confidence double, meta map<string,string>")
+    plan = normalize_signals(signals.repartition(2, "page_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("[A-Za-z])" in line for line in plan.split("\n") if "Filter" in line)
