@@ -114,3 +114,13 @@ def test_dropping_empty_keys_normalises_nothing(spark):
     signals = spark.createDataFrame([], "page_id long, section string, pos int, type string, value string, confidence double, meta map<string,string>")
     plan = normalize_signals(signals.repartition(2, "page_id"))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("[A-Za-z])" in line for line in plan.split("\n") if "Filter" in line)
+
+
+def test_page_stats_expand_no_rows(spark):
+    from pagelens.operators.normalize import page_stats
+
+    kept = spark.createDataFrame([], "page_id long, section string, pos int, type string, value string, confidence double, meta map<string,string>, key string").repartition(2)
+    flags = spark.createDataFrame([], "page_id long, visible_text string, element_text string").repartition(2)
+    extract = spark.createDataFrame([], "page_id long, density double, extractable boolean").repartition(2)
+    plan = page_stats(kept, flags, extract)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Expand" not in plan
