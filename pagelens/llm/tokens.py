@@ -19,8 +19,10 @@ def default_tokenizer() -> str:
 
     return public_tokenizers.path("word_bpe_49k.json")
 
-#: What an encoder may remember of words, in bytes; it forgets all beyond that.
-MAX_ENCODER_BYTES = 160 << 20
+#: What an encoder may remember of words, in bytes (a process takes about twice that); beyond it keeps the most used only.
+MAX_ENCODER_BYTES = 64 << 20
+#: New words that are encoded at once: the library's results take about a kilobyte each.
+NEW_WORDS = 8192
 
 
 class _Words(dict):
@@ -60,6 +62,27 @@ class Encoder:
     def _forget(self) -> None:
         self.known = _Words()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Forgets the words met once, and as many of the least used as leave half of what may be remembered."""
+        known, uses = self.known, self.uses
+        order = np.argsort(-uses, kind="stable")[: np.count_nonzero(uses > 1)]
+        words, taken, keep = list(known), 0, []
+        for at in order.tolist():
+            taken += len(words[at]) + WORD_BYTES
+            if taken > MAX_ENCODER_BYTES // 2:
+                break
+            keep.append(at)
+        at = np.array(keep, np.int64)
+        starts, lengths, flat = self.starts[at], self.lengths[at], self.flat
+        self._forget()
+        for place in keep:
+            self.known[words[place]]
+        self.known.new = []
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.flat = flat[np.arange(lengths.sum()) + np.repeat(starts - self.starts, lengths)]
+        self.uses = uses[at] >> 1
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +90,7 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, as uint32, and each text's number of ids."""
         if self.known.size > MAX_ENCODER_BYTES:
-            self._forget()
+            self._forget_rare()
         whole: dict[int, np.ndarray] = {}
         places: list[np.ndarray] = []
         of = self.known.__getitem__
@@ -79,13 +102,17 @@ class Encoder:
             words = (self.split(b" ", low) if self.split else low).split()
             places.append(np.fromiter(map(of, words), np.int64, len(words)))
         if self.known.new:
-            ids = self._raw([w.decode() for w in self.known.new])
-            self.known.new = []
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))))
+            new, self.known.new = self.known.new, []
+            sizes, parts = [self.lengths], [self.flat]
+            for i in range(0, len(new), NEW_WORDS):
+                ids = self._raw([w.decode() for w in new[i : i + NEW_WORDS]])
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                parts.append(np.fromiter((x for i in ids for x in i), np.uint32, int(sizes[-1].sum())))
+            self.lengths, self.flat = np.concatenate(sizes), np.concatenate(parts)
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
         words = np.concatenate(places) if places else np.zeros(0, np.int64)
+        self.uses += np.bincount(words, minlength=len(self.uses))
         lengths = self.lengths[words]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - lengths), lengths)

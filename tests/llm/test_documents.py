@@ -471,6 +471,26 @@ def test_encoder_matches_the_library():
         at += n
 
 
+def test_a_full_encoder_keeps_its_frequent_words_and_encodes_new_ones_in_slices(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_ENCODER_BYTES", 200_000, raising=False)
+    monkeypatch.setattr(tokens, "NEW_WORDS", 100, raising=False)
+    encoder, asked = tokens.Encoder(tokens.default_tokenizer()), []
+    raw = encoder._raw
+    encoder._raw = lambda texts: asked.append(texts) or raw(texts)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(9))
+    frequent = [word() for _ in range(300)]
+    for _ in range(12):
+        words = [w for w in frequent for _ in range(2)] + [word() for _ in range(400)]
+        rnd.shuffle(words)
+        flat, sizes = encoder.encode([" ".join(words).encode(), b"", " ".join(frequent).encode()])
+        one = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert flat.tolist() == one(" ".join(words)) + one(" ".join(frequent)) and sizes[1] == 0
+        assert len(encoder.known) < 2_200
+    assert max(map(len, asked)) <= 100
+    assert sum(frequent[0] in texts for texts in asked) == 1
+
+
 def test_token_files(corpus, ids):
     got = token_files.token_files(corpus, ids_per_file=500).collect()
     want, at = [], 0
