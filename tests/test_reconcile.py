@@ -48,3 +48,15 @@ def test_blocks_within_blocks_and_without_parts(spark):
     assert [m["items"] for _, m in got["specs_block"]] == ["k" * 100 + "…", ""]  # the item's own class names specifications too
     assert got["review_block"][0][0] == "fine" and "comparison_block" not in got
     assert found.where(F.col("page_id") != 1).count() == 0
+
+
+def test_blocks_try_their_selectors_once_and_join_only_the_nodes_that_these_find(spark):
+    """The selectors are not in the plan of the signals, and what is joined for blocks are their own and their parts' nodes."""
+    html = "<body><div><div class='faq'><div class='faq-question'>Why?</div><span>x</span><p>So.</p></div></div><div class='pricing-card'><h3>Pro</h3><b>$5 a month</b></div></body>"
+    nodes = parse_dom(spark.createDataFrame([(1, html), (2, "<body><div><b>nothing</b></div></body>")], "page_id long, html string"))
+    found = blocks.structured_content(nodes)
+    assert "pricing-table" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page_id, r.pre) for r in blocks.candidates(nodes).collect()} == {(r.page_id, r.pre) for r in nodes.where("tag in ('p', 'h3') or attrs['class'] is not null").collect()}
+    rows = {r.type: (r.value, r.meta) for r in found.collect()}
+    assert rows["faq_block"][0] == "Why?" and rows["faq_block"][1]["answer"] == "So."
+    assert rows["pricing_block"][1]["plan"] == "Pro" and rows["pricing_block"][1]["price"] == "$5"
