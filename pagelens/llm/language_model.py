@@ -163,16 +163,34 @@ class Batch:
 
     def triples(self) -> None:
         """head, tail: the two pairs of every distinct triple; triple: every token's, -1 for the first of a document; triple_counts."""
-        inner = np.ones(len(self.places), bool)
-        inner[self.starts] = False
-        inner = np.flatnonzero(inner)
+        inner = self._inner()
         found, which = distinct(self.pair[inner - 1] * len(self.words) + self.places[inner])
         at = np.empty(len(found), np.int64)
         at[which] = np.arange(len(which))  # any occurrence tells a triple's pairs
         self.head, self.tail = self.pair[inner[at] - 1], self.pair[inner[at]]
+        self._triples(inner, which, len(found))
+
+    def triples_of_words(self) -> None:
+        """triple and triple_counts alone, numbered alike, from the words' places where three of them fit 63 bits."""
+        n = len(self.words)
+        if n**3 >= 1 << 63:
+            self.pairs()
+            return self.triples()
+        before = np.roll(self.places, 1)
+        before[self.starts] = self.start
+        inner = self._inner()
+        found, which = distinct((before[inner - 1] * n + before[inner]) * n + self.places[inner])
+        self._triples(inner, which, len(found))
+
+    def _inner(self) -> np.ndarray:
+        inner = np.ones(len(self.places), bool)
+        inner[self.starts] = False
+        return np.flatnonzero(inner)
+
+    def _triples(self, inner: np.ndarray, which: np.ndarray, n: int) -> None:
         self.triple = np.full(len(self.places), -1)
         self.triple[inner] = which
-        self.triple_counts = np.bincount(which[self.learned[inner]], minlength=len(found))
+        self.triple_counts = np.bincount(which[self.learned[inner]], minlength=n)
 
 
 def shard_of(contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, shards: int, limit: int) -> np.ndarray:
@@ -193,8 +211,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "batch", "data"])
 
 
-def ask(batch: int, contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, counts: np.ndarray, lower: np.ndarray, shards: int, limit: int) -> tuple[list[tuple], np.ndarray]:
-    """(shard, batch, data) for n-grams of a level, and the order in which answers will come, shard after shard.
+def ask(batch: int, contexts: np.ndarray, successors: np.ndarray, totals: np.ndarray, counts: np.ndarray, lower: np.ndarray, shards: int, limit: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(shard, batch, data) for n-grams of a level, the order in which answers will come, shard after shard, and where shards begin.
 
     totals: the context's count; counts: the n-gram's in this batch; lower: the code of the shorter context's probability.
     A batch always sends a row, be it an empty one.
@@ -207,7 +225,7 @@ def ask(batch: int, contexts: np.ndarray, successors: np.ndarray, totals: np.nda
         heads = own[fresh]
         sizes = np.diff(np.append(np.flatnonzero(fresh), len(own)))
         out.append((int(s), batch, pack(np.diff(contexts[heads], prepend=0), sizes, totals[heads], steps(successors[own], fresh), counts[own], lower[own])))
-    return out or [(batch % shards, batch, b"")], order
+    return out or [(batch % shards, batch, b"")], order, cuts
 
 
 def _answer(asked: pa.Table, beta: float, counted: bool) -> pa.Table:
@@ -322,7 +340,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         base = quantise((counts + 0.1) / norm)
         whole = counts == b.counts  # all that was learned of the word is in this batch
         send = np.flatnonzero(~(whole[b.first] | whole[b.second]))
-        out, _ = ask(number, ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], b.pair_counts[send], base[b.second[send]], shards, limit)
+        out, _, _ = ask(number, ids[b.first[send]], ids[b.second[send]], counts[b.first[send]], b.pair_counts[send], base[b.second[send]], shards, limit)
         put_file(f"{folder}/words-{number}", pack(counts, ids))
         return pa.Table.from_batches([_rows(out)])
 
@@ -360,16 +378,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         exact = quantise(f * probability(low) / (context + f))
         exact[own], _, _ = own_level(b.head[own], b.second[b.tail[own]], context[own], b.triple_counts[own], low[own], beta)
         send = np.flatnonzero(~own)
-        out, order = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
-        _, cuts = asking_order(place[b.head[send]], ids[b.second[b.tail[send]]], context[send], shards, limit)
+        out, order, cuts = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
         put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]], hit[b.pair[b.starts]].view(np.uint8)))
         return pa.Table.from_batches([_rows(out)])
 
     def finish(answers: pa.Table) -> pa.Table:
         number = answers["batch"][0].as_py()
         b = Batch(folder, number)
-        b.pairs()
-        b.triples()
+        b.triples_of_words()
         counts = unpack(get_file(f"{folder}/words-{number}"))[0].astype(np.int64)
         send, sizes, codes, heads, hit = unpack(get_file(f"{folder}/triples-{number}"))
         codes, send, known = codes.astype(np.int64), send.astype(np.int64), (b.triple_counts > 0).astype(np.int64)

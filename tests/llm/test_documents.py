@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.llm import decontaminate, langid, language_model, near_dedup, packing, quality, secrets, token_files, tokens
-from pagelens.llm.common import connected_components, words_of
+from pagelens.llm.common import connected_components, put_file, words_of
 from pagelens.llm.elias_fano import EliasFano, Trie
 
 
@@ -419,6 +419,28 @@ def test_steps_and_packing():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(parts, back, strict=True)) and language_model.unpack(b"") == []
 
 
+def test_triples_are_numbered_alike_with_and_without_pairs(tmp_path):
+    rnd = np.random.default_rng(4)
+    lengths = np.array([1, 40, 2, 1, 300, 3])
+    words = np.append(rnd.integers(1, 1 << 60, 12).astype(np.uint64), language_model.START)
+    places, held = rnd.integers(0, 12, lengths.sum()), np.array([0, 1, 0, 0, 0, 1], np.uint8)
+    put_file(f"file://{tmp_path}/0", language_model.pack(lengths, places, words, held, np.ones(6, np.uint8), np.arange(6)))
+    a, b = (language_model.Batch(f"file://{tmp_path}", 0) for _ in range(2))
+    a.pairs()
+    a.triples()
+    b.triples_of_words()
+    assert (a.triple == b.triple).all() and (a.triple_counts == b.triple_counts).all() and not hasattr(b, "pair")
+
+
+def test_what_is_asked_comes_with_where_shards_begin():
+    rnd = np.random.default_rng(5)
+    contexts, successors = rnd.integers(0, 50, 400), rnd.integers(0, 50, 400)
+    totals, ones = np.full(400, 9), np.ones(400, np.int64)
+    _, order, cuts = language_model.ask(3, contexts, successors, totals, ones, ones, 7, 100)
+    want = language_model.asking_order(contexts, successors, totals, 7, 100)
+    assert (order == want[0]).all() and (cuts == want[1]).all()
+
+
 def test_language_model_of_nothing(empty):
     assert language_model.score(empty).count() == 0
 
