@@ -1,5 +1,6 @@
 """Tree construction against trees that the HTML standard prescribes, and containment joins against brute force."""
 
+import gc
 import random
 import time
 
@@ -152,3 +153,27 @@ def test_shown_text_lengths():
         b = rnd.randrange(a, 301)
         want = H._BLANKS.sub(" ", text[a:b]).strip(" ")
         assert page.chars(a, b) == len(want) and page.head(a, b, None) == want and page.head(a, b, 9) == want[:9].rstrip(" ")
+
+
+def test_pages_move_before_they_are_parsed(spark, monkeypatch):
+    """Nodes are many times their pages' rows: the exchange stands below the parser."""
+    from pagelens.plans import audit
+
+    plans = {}
+    monkeypatch.setattr(audit, "by_page", lambda df, name: plans.setdefault(name, df))
+    pages = spark.createDataFrame([(1, "u", "<p>a<p>b")], "page_id long, url string, html string")
+    plan = PageAudit(pages).nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+    assert plans["nodes"].where("tag = 'p'").count() == 2
+
+
+def test_parsed_trees_leave_nothing_to_the_collector():
+    guarded("<p>x")
+    gc.collect()
+    gc.disable()
+    try:
+        columns, problem = guarded("<table><b><tr><td>aaa</td></tr>bbb</table>ccc" + "<ul><li>x<b>y</b></ul>" * 200)
+        left = gc.collect()
+    finally:
+        gc.enable()
+    assert problem is None and len(columns[0]) > 1000 and left < 50
