@@ -163,3 +163,26 @@ def test_pages_are_parsed_whole(spark):
     nodes = parse_dom(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = {(r.page_id, r.tag): r.n for r in nodes.where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n")).collect()}
     assert got[1, "a"] == 1 and got[1, "i"] == 15_000 and got[2, "p"] == 1 and got[4, "b"] == 1 and {p for p, _ in got} == {1, 2, 4}
+
+
+def test_topics_of_paragraphs_are_their_most_frequent_long_words(spark):
+    """Against a plain count, on paragraphs of words that repeat; ties go to the word that comes first."""
+    import random
+    from collections import Counter
+
+    from pagelens.operators import evidence
+
+    rnd, texts = random.Random(4), ["", "tiny", "aaaaa"]
+    for n in range(400):
+        vocabulary = ["".join(rnd.choice("abcé") for _ in range(rnd.randrange(3, 9))) for _ in range(30)]
+        texts.append(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 120))))
+    rows = [(i, "paragraphs", 1, "paragraph", x, 0.9, {"words": str(len(x.split()))}) for i, x in enumerate(texts)]
+    schema = "page_id long, section string, pos int, type string, value string, confidence double, meta map<string,string>"
+
+    def topic(text):
+        words = [w for w in text.split() if len(w) > 4]
+        n = Counter(words)
+        return ",".join(sorted(n, key=lambda w: (-n[w], words.index(w)))[:3])
+
+    got = evidence.semantic_paragraphs(spark.createDataFrame(rows, schema)).select("page_id", F.col("meta")["topic"]).collect()
+    assert {i: t for i, t in got} == {i: topic(x) for i, x in enumerate(texts)}
