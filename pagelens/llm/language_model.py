@@ -379,6 +379,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         exact[own], _, _ = own_level(b.head[own], b.second[b.tail[own]], context[own], b.triple_counts[own], low[own], beta)
         send = np.flatnonzero(~own)
         out, order, cuts = ask(number, place[b.head[send]], ids[b.second[b.tail[send]]], context[send], b.triple_counts[send], low[send], shards, limit)
+        exact = exact[own | (b.triple_counts == 0)]  # the level has a code for all that is sent and learned
         put_file(f"{folder}/triples-{number}", pack(send[order], np.diff(cuts), exact, codes[b.pair[b.starts]], hit[b.pair[b.starts]].view(np.uint8)))
         return pa.Table.from_batches([_rows(out)])
 
@@ -387,8 +388,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         b = Batch(folder, number)
         b.triples_of_words()
         counts = unpack(get_file(f"{folder}/words-{number}"))[0].astype(np.int64)
-        send, sizes, codes, heads, hit = unpack(get_file(f"{folder}/triples-{number}"))
-        codes, send, known = codes.astype(np.int64), send.astype(np.int64), (b.triple_counts > 0).astype(np.int64)
+        send, sizes, exact, heads, hit = unpack(get_file(f"{folder}/triples-{number}"))
+        send, known = send.astype(np.int64), (b.triple_counts > 0).astype(np.int64)
+        kept = b.triple_counts == 0
+        kept |= np.bincount(send, minlength=len(kept)) == 0
+        codes = np.full(len(kept), NONE)
+        codes[kept] = exact
         known[send] = 0  # those that the batch did not send it has found itself, if they were learned
         for _, at, (found,) in in_order(answers, np.cumsum(np.append(0, sizes))):
             there = found != NONE

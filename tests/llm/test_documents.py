@@ -680,3 +680,20 @@ def test_languages_of_one_letter_words(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert model.langs == sorted({x for _, x in order}) and got == dict(order)
+
+
+def test_codes_of_triples_that_the_level_answers_are_not_stored(spark, monkeypatch, tmp_path):
+    """A batch keeps codes for the triples that it did not send, and for those that nobody may have learned."""
+    monkeypatch.setattr(language_model, "new_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    texts = [(i, " ".join(f"w{(i % 5 + j) % 11}" for j in range(200))) for i in range(60)]
+    rows = language_model.score(spark.createDataFrame(texts, "doc_id long, text string"), batch_bytes=4000).collect()
+    assert len(rows) == 60
+    stored = sent = 0
+    for path in (tmp_path / "lm").glob("triples-*"):
+        send, _, codes, *_ = language_model.unpack(path.read_bytes())
+        b = language_model.Batch(f"file://{tmp_path}/lm", int(path.name.partition("-")[2]))
+        b.triples_of_words()
+        own = ~np.isin(np.arange(len(b.triple_counts)), send)
+        assert len(codes) == (own | (b.triple_counts == 0)).sum()
+        stored, sent = stored + len(codes), sent + len(send)
+    assert stored < sent
