@@ -13,6 +13,9 @@ _SELECT = np.full((256, 8), 8, np.int64)
 for _byte in range(256):
     _at = np.flatnonzero(_BITS[_byte])
     _SELECT[_byte, : len(_at)] = _at
+_SELECT = _SELECT.ravel()
+#: for sums over all bytes of a 64-bit word at once
+_EACH, _TOP, _EIGHTS = (np.uint64(x) for x in (0x0101010101010101, 0x8080808080808080, 0x4038302820181008))
 
 
 class EliasFano:
@@ -21,6 +24,11 @@ class EliasFano:
     def __init__(self, size: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.size, self.low_bits, self.low, self.high, self.ones = size, low_bits, low, high, ones
         self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
+        self.words = high.view("<u8")
+        self.high_words = np.lib.stride_tricks.as_strided(self.words, (len(high) - 7,), (1,))
+        self.most = len(high) * 8 - size  # zeros
+        #: of each word, in byte i the ones of its bytes up to i
+        self.sums = _ONES[high].astype(np.uint8).view("<u8") * _EACH
         self.low_words = np.lib.stride_tricks.as_strided(low[:8].view("<u8"), (max(1, len(low) - 7),), (1,))
 
     @classmethod
@@ -43,14 +51,15 @@ class EliasFano:
     def _select(self, r: np.ndarray, directory: np.ndarray, flip: int) -> np.ndarray:
         """Place of the r-th one (flip 0) or zero (flip 255)."""
         word = np.searchsorted(directory, r, "right") - 1
-        left = r - directory[word]
-        of_word = self.high.reshape(-1, 8)[word] ^ np.uint8(flip)
-        counts = np.cumsum(_ONES[of_word], axis=1)
-        byte = (counts <= left[:, None]).sum(axis=1)
-        byte = np.minimum(byte, 7)
-        rows = np.arange(len(r))
-        left = left - np.where(byte > 0, counts[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[of_word[rows, byte], np.minimum(left, 7)]
+        left = (r - directory[word]).astype(np.uint64)
+        bits, sums = self.words[word], self.sums[word]
+        if flip:
+            bits, sums = ~bits, _EIGHTS - sums
+        byte = ((((left * _EACH | _TOP) - sums & _TOP) >> np.uint64(7)) * _EACH) >> np.uint64(56)  # bytes whose sums are not over left
+        shift = np.minimum(byte, np.uint64(7)) << np.uint64(3)
+        left -= (sums << np.uint64(8)) >> shift & np.uint64(255)
+        cell = ((bits >> shift & np.uint64(255)) << np.uint64(3)) + np.minimum(left, np.uint64(7))
+        return word * 64 + shift.astype(np.int64) + _SELECT[cell.astype(np.int64)]
 
     def low_of(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -69,10 +78,18 @@ class EliasFano:
     def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As find, and whether the value at the place is x."""
         bucket = x >> self.low_bits
-        most = int(self.zeros[-1]) + 64 - int(_ONES[self.high[-8:]].sum())
+        most = self.most
         begin = np.where(bucket > 0, self._select(np.clip(bucket - 1, 0, most - 1), self.zeros, 255) - bucket + 1, 0)
-        end = np.where(bucket < most, self._select(np.clip(bucket, 0, most - 1), self.zeros, 255) - bucket, self.size)
-        begin, end = np.where(bucket > most, self.size, begin), np.where(bucket >= most, self.size, end)
+        begin = np.where(bucket > most, self.size, begin)
+        at = np.minimum(begin + bucket, len(self.high) * 8 - 1)  # the first bit of the bucket
+        from_ = np.minimum(at >> 3, len(self.high) - 8)
+        shift = at - (from_ << 3)
+        bits = self.high_words[from_] >> shift.astype(np.uint64)
+        run = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)  # ones up to the next zero
+        end = begin + run
+        far = np.flatnonzero(run + shift >= 64)  # which may be beyond what was read
+        end[far] = np.where(bucket[far] < most, self._select(np.clip(bucket[far], 0, most - 1), self.zeros, 255) - bucket[far], self.size)
+        end = np.where(bucket >= most, self.size, end)
         last = end.copy()
         low = x & ((1 << self.low_bits) - 1)
         active = np.flatnonzero(begin < end)
@@ -123,8 +140,9 @@ class Trie:
             context, which = contexts[new], np.cumsum(new) - 1
         else:
             context, which = np.unique(contexts, return_inverse=True)
-        place = np.minimum(self.contexts.find(context), self.contexts.size - 1)
-        known = (self.contexts[place] == context)[which] & (successors < 1 << self.bits)
+        place, same = self.contexts.search(context)
+        place = np.minimum(place, self.contexts.size - 1)
+        known = same[which] & (successors < 1 << self.bits)
         begin, end = self.pointers[place], self.pointers[place + 1]
         target = (place[which] << self.bits) | np.where(known, successors, 0)
         at, same = self.successors.search(target)

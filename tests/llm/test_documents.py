@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pagelens.llm import decontaminate, langid, language_model, near_dedup, packing, quality, secrets, token_files, tokens
@@ -697,3 +699,48 @@ def test_codes_of_triples_that_the_level_answers_are_not_stored(spark, monkeypat
         assert len(codes) == (own | (b.triple_counts == 0)).sum()
         stored, sent = stored + len(codes), sent + len(send)
     assert stored < sent
+
+
+def test_held_out_copies_are_answered_in_whatever_batch_they_are(spark):
+    """What one batch has learned and another holds out; words, pairs and triples that no third document has."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(400) if i not in ids]
+    common = " ".join(f"c{i % 7}" for i in range(60))
+    words = [(ids[k], f"{common} " + " ".join(f"u{k}x{j}" for j in range(50)) + f" c{k % 7} c1 c5") for k in range(20)]
+    rows = words + [(i, common) for i in ids[20:60]] + [(held[k], t) for k, (_, t) in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: (r.n_found, r.n_tokens, r.score) for r in language_model.score(docs).collect()}
+    assert all(want[h][:2] == (len(t.split()) + 1,) * 2 for h, (_, t) in zip(held, words))
+    for size in (500, 2000, 9000):
+        got = {r.doc_id: (r.n_found, r.n_tokens, r.score) for r in language_model.score(docs, batch_bytes=size).collect()}
+        assert got == want
+
+
+def test_tokens_of_texts_are_their_words():
+    texts = [b" Foo  b\x1c\x85\xa0C\x0b\x0c\t", None, b"", b" \n ", "\u00c4\u00a0B\u2003c \u0130I".encode(), b"\xff\xfe A a"]
+    for kind in (pa.binary(), pa.large_binary()):
+        lengths, places, hashes = language_model.tokens_of([pa.array([b"cut", *texts[:2]], kind).slice(1), pa.array(texts[2:], kind)])
+        want = [[*map(xxhash.xxh3_64_intdigest, words_of(t)), int(language_model.END)] for t in texts]
+        assert hashes[places].tolist() == sum(want, []) and lengths.tolist() == [*map(len, want)] and hashes[-1] == language_model.START
+
+
+def test_ids_and_codes_are_sent_for_what_batches_share_alone():
+    hashes = [np.array([5, 9, 11], np.uint64), np.array([7, 9, 11], np.uint64)]
+    asked = pa.table({"shard": [3, 3], "batch": [0, 1], "data": [language_model.pack(h, np.array(n), stepwise=(0,)) for h, n in zip(hashes, ([4, 2, 0], [1, 0, 0]))]})
+    out = [[x.tolist() for x in language_model.unpack(d)] for d in language_model._count_words(asked, 8)["data"].to_pylist()]
+    assert out == [[[0, 1, 0], [3], [3]], [[0, 3, 0], [3], [3]]]  # 9 is held out in the second batch, and nobody learned 11
+    part = lambda first, counts: language_model.pack(np.array([1, first]), np.array([1, 1]), np.array([9, 9]), np.array([2, 2]), np.array(counts), np.array([100]), stepwise=(0, 5))
+    asked = pa.table({"shard": [0, 0], "batch": [0, 1], "data": [part(4, [3, 1]), part(6, [0, 2])]})
+    out = [language_model.unpack(d) for d in language_model._answer(asked, 0.7, True, 1)["data"].to_pylist()]
+    assert [x[0].tolist() for x in out] == [[1, 0], [4, 0]] and all(len(x[1]) == len(x[2]) == 1 for x in out)
+
+
+def test_select_and_search_of_long_runs():
+    """Many equal high bits in a row, beyond one read of 64 bits, and gaps of many words."""
+    values = np.sort(np.concatenate((np.arange(5000), 10**9 + np.arange(300), np.array([2**40]))))
+    (n, low), *rest = EliasFano.parts(values)
+    lists = EliasFano(int(n), int(low), *rest)
+    assert (lists[np.arange(len(values))] == values).all()
+    x = np.concatenate((values, values + 1, np.arange(10**9 - 50, 10**9 + 50), np.array([0, 2**41])))
+    at, there = lists.search(x)
+    assert (at == np.searchsorted(values, x)).all() and (there == np.isin(x, values)).all()
