@@ -124,3 +124,50 @@ def test_page_stats_expand_no_rows(spark):
     extract = spark.createDataFrame([], "page_id long, density double, extractable boolean").repartition(2)
     plan = page_stats(kept, flags, extract)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Expand" not in plan
+
+
+def test_classes_without_nested_ranges_mean_the_same(spark):
+    """Words, sentences, keys and white space against the patterns as they are said, on texts of odd characters."""
+    import random
+
+    rnd = random.Random(5)
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    word = f"(?=[a-zA-ZÀ-ſ]){edge}[a-zA-ZÀ-ſ]+(?:['-][a-zA-ZÀ-ſ]+)*{edge}"
+    bits = [*" \t\n\r\f\x0b\xa0\u1680\u2003\u2028\u3000\ufeff\x00\x7f\x85,.!?;:-'_aAzZéÉßſÀ×÷İK09½日‘“«Ã\"`", "  ", " ,", ". A", "!!", "don't", "foo-bar9", "éa", "aé", "x_y"]
+    rows = spark.createDataFrame([("".join(rnd.choice(bits) for _ in range(rnd.randrange(14))),) for _ in range(4000)], "t string")
+    n = F.col("n")
+    rows = rows.withColumn("n", T.normalize_text(F.col("t"))).cache()
+    want = {
+        "words": F.regexp_extract_all(F.lower(n), F.lit(word), F.lit(0)).eqNullSafe(T.words_of_normal(n)),
+        "sentences": F.filter(F.transform(F.split(n, r"(?<=[.!?])\s+(?=[A-ZÀ-ſ])"), lambda x: F.trim(x)), lambda s: s != "").eqNullSafe(T.sentences_of_normal(n)),
+        "keys": F.trim(F.regexp_replace(F.regexp_replace(F.lower(n), "[^A-Za-z0-9_ -]+", ""), " {2,}", " ")).eqNullSafe(T.key_of_normal(n)),
+        "space": F.trim(F.regexp_replace("t", f"{T.SPACE}+", " ")).eqNullSafe(T.collapse_space(F.col("t"))),
+    }
+    assert {k: rows.where(~same).count() for k, same in want.items()} == dict.fromkeys(want, 0)
+    assert "A-Za-z" not in T.key_of_normal(n)._jc.toString()  # a negated class of ranges took ten times as long
+
+
+def test_texts_not_searched_for_a_kind_have_none_of_it(spark):
+    from pagelens.operators import entities
+
+    parts = ["by John Smith", "owner  Ann Lee", "May 3, 2020", "3 May 2021", "1/2/2020", "12 kg", "5 people", "$5", "€3.10", "100 USD", "12 Main Street", "555-123-4567", "+49 30 1234 5678", "x@y.com", "@some_one", "http://a.bc/d", "iPhone", "Acme Inc", "Foo Pro", "Paris", "word", "Words"]
+    texts = [*parts, *(f"{a} and {b}." for a in parts for b in parts)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r.id, r.type, r.value) for r in entities.extract_entities(rows, "id", "t").collect()}
+    every = rows.select("id", *(entities.values_of(k, F.col("t")).alias(k) for k, _, _ in entities.KINDS)).collect()
+    assert got == {(r.id, k, v) for r in every for k, _, _ in entities.KINDS for v in r[k]} and {k for _, k, _ in got} == {k for k, _, _ in entities.KINDS}
+
+
+def test_audits_carry_texts_once(spark):
+    """A page's text is lowered once for all keywords of domains, and no text is written with the stats."""
+    from pagelens.operators import dom, evidence
+    from pagelens.plans.audit import PageAudit
+
+    text = "<main><h1>A title of it</h1><noscript>hid<b>den</b></noscript><p>buy now , to the checkout.</p><svg><text>drawn</text></svg></main>"
+    a = PageAudit(spark.createDataFrame([(1, "http://a.b/", text), (2, None, "<main><p>One  text</p> of two</main>"), (3, None, "")], "page_id long, url string, html string"))
+    assert not {"visible_text", "element_text", "sentence_list", "word_list"} & set(a.stats.columns)
+    plan = evidence.domain_profile(a.nodes, a.texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(element_text") == 1
+    got = {r.page_id: (r.visible_text, r.element_text) for r in a.texts.collect()}
+    assert got == {1: ("A title of itbuy now , to the checkout.", "A title of ithiddenbuy now , to the checkout.drawn"), 2: ("One text of two",) * 2, 3: ("", "")}
+    assert dom.has_any(F.lit("x"), ["lazy", "lazyload", "data-lazy", "e-con"])._jc.toString().count("contains") == 2
