@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,26 @@ def test_run_cases(spark):
     assert got["c"].final_score is None and got["d"].final_score is None and got["d"].contamination_type
     rows = list(got.values())
     assert B.drift(spark.createDataFrame(rows, SCHEMA + ", error_message string"), spark.createDataFrame(rows, SCHEMA + ", error_message string")).count() == 0
+
+
+def test_audits_and_runs_send_no_table_through_the_driver(spark):
+    """Joins of an audit's tables merge, whatever their files' size; nodes stay where they lie."""
+    from pagelens.operators import dom, evidence, normalize
+    from pagelens.plans.audit import PageAudit
+    from pagelens.plans.runner import run_cases
+    from pagelens.plans.scratch import lying_by_page
+
+    page = "<html><body><main><h1>Title of it</h1><p>Some text in a page that is long enough.</p><a href='/x'><img alt='y'></a></main></body></html>"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    a = PageAudit(spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string"))
+    stats = normalize.page_stats(a.kept, a.flags, evidence.extractability(a.nodes, a.flags, a.pages))
+    for part in (dom.page_flags(a.nodes, a.pages), *evidence.extractors(a.pages, a.nodes, a.texts), stats, a.scores, a.recommendations):
+        assert "Broadcast" not in plan(part)
+    with lying_by_page(spark):
+        tree = plan(evidence.hierarchy(a.nodes))
+    assert "SortMergeJoin" in tree and not re.search(r"hashpartitioning\(page_id#\d+L, (cast\()?pre", tree)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    cases = spark.createDataFrame([("1", "k", None, page), ("2", "k", None, None)], "id string, category string, url string, snapshot_html string")
+    now = run_cases(cases)
+    drifts = B.drift(now, B.create_baseline(run_cases(cases), "h"))
+    assert "Broadcast" not in plan(drifts) and drifts.count() == 0 and now.count() == 2
